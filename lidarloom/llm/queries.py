@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lidarloom.llm import bpe, fingerprint, hnsw, packing, simhash, substring, token_count
+from lidarloom.llm import bpe, fingerprint, hnsw, packing, pii, simhash, substring, token_count, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,23 +17,35 @@ def op1_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring.deduplicate(docs).select("doc_id", "text", "n_sentences", "n_removed", "removed")
+    return substring.deduplicate(docs).select("doc_id", "text", "n_removed", "removed")
 
 
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,7 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_prefix_fingerprints, op3_tree_bpe, op5_token_counts, op6_sentence_spans, op7_hnsw, op9_best_fit_packing, op10_simhash)
+    own = (op1_prefix_fingerprints, op2_skip_chain_pii, op3_tree_bpe, op4_noisy_channel_toxicity, op5_token_counts, op6_sentence_spans, op7_hnsw, op8_url_rules, op9_best_fit_packing, op10_simhash)
     return {f.__name__: f for f in own}
 
 
