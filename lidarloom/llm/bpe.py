@@ -1,10 +1,11 @@
 """Operator 3: BPE encoding and decoding by tree concatenation.
 
-A text is cut in halves until the leaves are short. Leaves are encoded independently: the words that a batch of
-leaves has not met before go to the tokenizer in one parallel ``encode_batch`` call. Each join of two halves is then
-repaired by re-encoding a window around it that grows until its tokens agree with both sides. White space is a
-boundary that no token crosses (the tokenizer drops it), so in ordinary text the window ends at the words around the
-cut. A run without white space has no such boundary: there the window grows by tokens (``join_runs``).
+A text is cut in halves until the leaves are short, and the leaves are encoded independently of each other; texts are
+rows of their own, so Spark encodes them in parallel. Each join of two halves is then repaired by re-encoding a window
+around it that grows until its tokens agree with both sides. White space is a boundary that no token crosses (the
+tokenizer drops it), so in ordinary text the window ends at the words around the cut. A run without white space has no
+such boundary: there the window grows by tokens (``join_runs``). Words and pre-tokens met before come from the
+worker's own bounded caches.
 
 Why agreement is exact: a token sequence is the BPE encoding of its text if and only if every two neighbouring
 tokens are the encoding of their own concatenation. Once a window shares one token with each side, every neighbouring
@@ -19,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +45,20 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+def byte_table() -> dict[int, str]:
+    """Byte-level mapping: printable Latin-1 bytes stand for themselves, the others for characters from U+0100 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTES = byte_table()
+
+
+#: The pre-tokenizer's pattern for lower-case ASCII without white space: a fixed value.
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+
+
 class TreeEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, for a word-level BPE."""
 
@@ -55,6 +72,8 @@ class TreeEncoder:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.render = render
         self.cache: dict[str, object] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.vocabulary = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
 
     # -- runs without white space ------------------------------------------------------------------------------
 
@@ -114,16 +133,32 @@ class TreeEncoder:
             reach *= 2
 
     def encode_word(self, word: str) -> list[int]:
-        """A long run without white space, cut at special tokens and pre-tokens first."""
+        """A run without white space, cut at special tokens and pre-tokens first."""
+        if word.isascii() and word.isprintable() and "<|" not in word:
+            return [i for piece in PLAIN(word.lower()) for i in self.encode_piece(piece)]
         ids: list[int] = []
         for piece in self.at_special.split(word) if self.at_special else [word]:
             if piece in self.special:
                 ids.append(self.special[piece])
+            elif piece.isalpha() and "\u03a3" not in piece and is_normalized("NFC", piece):
+                ids += self.encode_piece(piece.lower().encode().decode("latin-1").translate(BYTES))
             elif piece:
                 for mapped, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(piece)):
-                    ids += [i for i, _ in self.encode_run(mapped)]
+                    ids += self.encode_piece(mapped)
         return ids
 
+    def encode_piece(self, mapped: str) -> list[int]:
+        """Ids of a mapped pre-token."""
+        found = self.pieces.get(mapped)
+        if found is None:
+            if len(mapped) > RUN:
+                return [i for i, _ in self.encode_run(mapped)]
+            if len(self.pieces) > CACHE:
+                for p in list(islice(self.pieces, CACHE // 2, None)):
+                    del self.pieces[p]
+            found = self.pieces[mapped] = [t.id for t in self.tok.model.tokenize(mapped)]
+        return found
+
     # -- texts -------------------------------------------------------------------------------------------------
 
     def leaves(self, text: str) -> list[str]:
@@ -175,24 +210,28 @@ class TreeEncoder:
 
     def fill(self, words: list[str]) -> list[object]:
         cache = self.cache
-        new = list({w for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(set(words))
-        short = [w for w in new if len(w) <= RUN]
-        for w, e in zip(short, self.tok.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            cache[w] = self.render(e.ids, e.tokens)
-        for w in new:
-            if len(w) > RUN:
-                ids = self.encode_word(w)
-                cache[w] = self.render(ids, [self.tok.id_to_token(i) for i in ids])
-        out = list(map(cache.__getitem__, words))
-        if len(cache) > 2 * CACHE:  # one text with more distinct words than the cache holds
-            cache.clear()
-        return out
+        if len(cache) > CACHE:  # frequent words came early: the later half goes
+            for w in list(islice(cache, CACHE // 2, None)):
+                del cache[w]
+        for w in {w for w in words if w not in cache}:
+            ids = self.encode_word(w)
+            cache[w] = self.render(ids, [self.vocabulary[i] for i in ids])
+        return list(map(cache.__getitem__, words))
+
+
+_CODERS: dict[tuple, TreeEncoder] = {}
+
+
+def coder_for(path: str, render: Callable[[list[int], list[str]], object]) -> TreeEncoder:
+    """The worker's own encoder: a worker runs many tasks, and what it has learned serves them all."""
+    key = (path, render.__name__)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = TreeEncoder(path, render)
+    return _CODERS[key]
 
 
-def _as_text(ids: list[int], tokens: list[str]) -> tuple[str, str, int]:
+def as_text(ids: list[int], tokens: list[str]) -> tuple[str, str, int]:
     return " ".join(map(str, ids)), " ".join(tokens), len(ids)
 
 
@@ -202,7 +241,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TreeEncoder(path, _as_text)
+        coder = coder_for(path, as_text)
         for b in batches:
             out: list[list] = [[], [], []]
             texts = [t or "" for t in b.column(1).to_pylist()]
