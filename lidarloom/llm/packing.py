@@ -32,19 +32,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lidarloom.llm.bpe import TreeEncoder, default_path
+from lidarloom.llm.bpe import coder_for, default_path
 from lidarloom.llm.common import materialize
 
 CAPACITY, GROUPS = 2048, 128
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
+def as_bytes(ids: list[int], _: list[str]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Every piece of every document; ``local`` counts the pieces of a length within the task ``part``."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TreeEncoder(path, lambda ids, _: np.array(ids, "<u4").tobytes())
+        coder = coder_for(path, as_bytes)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         width = 4 * capacity
         for b in batches:

@@ -15,11 +15,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lidarloom.llm.bpe import BYTES
+
 TABLE_DOCS, TABLE_SIZE, TABLE_CHARS, CACHE = 2_000, 40_000, 40, 200_000
 #: The byte-level pre-tokenizer's pattern, with the white space of its regex engine spelled out: fixed values.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -64,17 +67,29 @@ class Counted:
                 misses.append(t)
             else:
                 n += k
+        if len(cache) > CACHE:  # frequent pre-tokens came early: the later half goes
+            for t in list(islice(cache, CACHE // 2, None)):
+                del cache[t]
         new = list({t for t in misses if t not in cache})
         if new:
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(set(misses))
-            # a pre-token is encoded as it stands: its own pre-tokens are itself, but for white space before a cut
-            for t, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[t] = len(e.ids)
+            tokenize = self.tok.model.tokenize
+            for t in new:
+                cache[t] = len(tokenize(t.encode().decode("latin-1").translate(BYTES)))
         return n + sum(map(cache.__getitem__, misses))
 
 
+_COUNTED: dict[str, Counted] = {}
+
+
+def counted_for(path: str, table: dict[str, int]) -> Counted:
+    """The worker's own counter, kept from task to task with what its cache has learned."""
+    if path not in _COUNTED:
+        _COUNTED.clear()
+        _COUNTED[path] = Counted(path, table)
+    _COUNTED[path].table = table
+    return _COUNTED[path]
+
+
 def frequent_table(docs: DataFrame, path: str, n_docs: int = TABLE_DOCS, size: int = TABLE_SIZE) -> dict[str, int]:
     """Token lengths of the most frequent pre-tokens of a bounded sample of documents."""
     sample = docs.select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h").limit(n_docs).select("text")
@@ -97,7 +112,7 @@ def count_tokens(docs: DataFrame, limit: int = 512, path: str | None = None) ->
     table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = Counted(path, table.value)
+        counted = counted_for(path, table.value)
         for b in batches:
             counts = pa.array([counted.count(t) if t else 0 for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), counts], ["doc_id", "n_bytes", "n_tokens"])
