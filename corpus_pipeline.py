@@ -1,14 +1,49 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lidarloom.llm import packing, pii, simhash, substring, toxicity
 from lidarloom.llm.common import materialize
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the limit go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.scored(docs, labels, "__score").where(F.col("__score") < toxicity.REJECT).drop("__score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 0.8 of their five-word shingles, the one with the least id stays."""
+    return simhash.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences of passages that stand in an earlier document go from the later ones."""
+    return substring.deduplicate(docs).select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to their kind in angle brackets."""
+    return pii.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, placed in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("pii", redact_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: Trained scores, fingerprints and token ids are beyond SQL; the tests hold ``run`` against brute force.
 ORACLE_SQL: str | None = None

@@ -208,3 +208,132 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTANCE)
     """(doc_id, fingerprint, component_id), one row per row of ``docs``."""
     marks = materialize(fingerprints(docs, size))
     return components(marks, most).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# -- near copies at a given similarity of their shingle sets ------------------------------------------------------
+
+#: Sampled fingerprints of a text, shingles in each, and bins of the sketch that verifies what meets.
+SAMPLES, SAMPLED, BINS = 10, 4, 120
+#: One standard error of the sketch's estimate: pairs at the limit should not be lost to chance.
+SLACK = 0.03
+
+
+def sketch_of(text: str, size: int = 5) -> tuple[int, np.ndarray, np.ndarray]:
+    """(64 bits of the words' hash, sampled SimHash fingerprints, sketch) of one text.
+
+    A whole text's SimHash moves by about ten bits at a Jaccard similarity of 0.8, too far for keys. The shingles are
+    therefore also dealt by hash to ``SAMPLES`` classes, and each class's ``SAMPLED`` least hashes get a SimHash of
+    their own: two texts of similarity s agree in any one of them with a chance of about s ** SAMPLED. The sketch
+    has the least hash of each of ``BINS`` bins (16 bits; 0 where the bin is empty): the share of agreeing bins among
+    those filled on either side estimates the similarity without bias.
+    """
+    import xxhash
+
+    words = text.encode().lower().split()
+    joined = b" ".join(words)
+    n = max(1, len(words) - size + 1)
+    if n == 1:
+        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    else:
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
+        digest = xxhash.xxh64_intdigest
+        hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), (starts[size : size + n] - 1).tolist(), strict=True)], np.uint64))
+    bins = (hashes % np.uint64(BINS)).astype(np.int64)
+    order = np.lexsort((hashes, bins))
+    hashes, bins = hashes[order], bins[order]
+    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
+    sketch = np.zeros(BINS, np.uint16)
+    sketch[bins[first]] = (hashes[first] >> np.uint64(40)).astype(np.uint16) | np.uint16(1)
+    fps = np.zeros(SAMPLES, np.uint64)
+    classes = bins // (BINS // SAMPLES)
+    for g in np.unique(classes).tolist():
+        own = np.sort(hashes[classes == g])[:SAMPLED]
+        own = (own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+        fps[g] = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]
+    return xxhash.xxh64_intdigest(joined, 1), fps, sketch
+
+
+def alike(sketches: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each row of ``sketches`` with ``x``."""
+    filled = ((sketches > 0) | (x > 0)).sum(1)
+    return ((sketches == x) & (x > 0)).sum(1) / np.maximum(filled, 1)
+
+
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, mark, group_id, group_mark): every row's group of near copies by its first row, the least id and mark
+    (mark: 64-bit hash of the text). Texts with the same words are one class; classes link at ``similarity`` or more.
+
+    The keys of a sampled fingerprint are its three segments' Golay indices together, 36 bits. Only a spanning forest
+    of each bucket leaves it. Null text counts as empty; texts without words are one class.
+    """
+    schema = "doc_id long, mark long, node long, keys array<long>, sketch binary"
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = Golay()
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                found = [sketch_of(t or "", size) for t in part.column(2).to_pylist()]
+                nodes = np.array([x for x, _, _ in found], np.uint64).view(np.int64)
+                fps = np.stack([f for _, f, _ in found])
+                key = np.zeros(fps.shape, np.int64)
+                for start, bits in SEGMENTS:
+                    key = key << 12 | golay.index((fps >> np.uint64(start)).astype(np.int64) & ((1 << bits) - 1))
+                key |= np.arange(SAMPLES) << 40
+                keys = [k[f > 0].tolist() for k, f in zip(key, fps, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for _, _, s in found], pa.binary())], ["doc_id", "mark", "node", "keys", "sketch"])
+
+    rows = materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(mark, schema))
+    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    # equal classes have equal keys and sketches: one row each, chosen by its first document
+    classes = rows.join(first, "node").where(F.struct("doc_id", "mark").eqNullSafe(F.col("first"))).dropDuplicates(["node"])
+    met = classes.select(F.explode("keys").alias("key"), "node", "sketch").repartition("key").sortWithinPartitions("key", "node")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        keys, nodes, sketches = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BINS), np.uint16)
+
+        def linked_in(stop: int) -> pa.RecordBatch:
+            out = []
+            bounds = np.flatnonzero(np.concatenate(([True], keys[1:stop] != keys[: stop - 1], [True])))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                left = np.arange(a, b)
+                while len(left) > 1:
+                    queue, left = [left[0]], left[1:]
+                    while queue and len(left):
+                        x = queue.pop()
+                        hit = alike(sketches[left], sketches[x]) >= similarity - SLACK
+                        for y in left[hit].tolist():
+                            queue.append(y)
+                            if forest.link(int(nodes[x]), int(nodes[y])):
+                                out.append((int(nodes[x]), int(nodes[y])))
+                        left = left[~hit]
+            both = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for b in batches:
+            keys = np.concatenate((keys, b.column(0).to_numpy()))
+            nodes = np.concatenate((nodes, b.column(1).to_numpy()))
+            sketches = np.concatenate((sketches, np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, BINS)))
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if whole:
+                yield linked_in(whole)
+                keys, nodes, sketches = keys[whole:], nodes[whole:], sketches[whole:]
+        if len(keys):
+            yield linked_in(len(keys))
+
+    found = connected_components(met.mapInArrow(meet, "a long, b long"))
+    named = first.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = named.groupBy("root").agg(F.min("first").alias("group"))
+    groups = named.join(least, "root").select("node", "group")
+    return rows.select("doc_id", "mark", "node").join(groups, "node").select("doc_id", "mark", F.col("group.doc_id").alias("group_id"), F.col("group.mark").alias("group_mark"))
+
+
+def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies: the one with the least id (null first), then the least mark; exactly
+    repeated rows of it are one row."""
+    groups = similar(docs, size, similarity)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("mark") == F.col("group_mark"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "text"])
