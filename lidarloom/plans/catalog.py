@@ -1,19 +1,41 @@
-"""Every registered query and its SQL twin."""
+"""Every registered query and its SQL twin. Queries of the report layer share their text with the twin up to dialect;
+the operators below have twins written on their own."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lidarloom.operators import report
+from lidarloom.plans import fusion_queries, strip_queries
+from lidarloom.plans.views import SQL_VIEWS, frames, with_views
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(1)
+    return strip_queries.select_regions(spark, sf_dir)
+
+
+def _report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report(name, **frames(spark, sf_dir, report.inputs(name)))
+
+
+def duck(text: str) -> str:
+    """A report's text in DuckDB's dialect."""
+    for view in SQL_VIEWS:
+        text = text.replace("{" + view + "}", view)
+    return text.replace("percentile(", "quantile_cont(").replace("first_value(s) IGNORE NULLS", "first_value(s IGNORE NULLS)").replace("last_value(s) IGNORE NULLS", "last_value(s IGNORE NULLS)").replace("sum(CASE WHEN", "sum_bigint(CASE WHEN")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {name: partial(_report, name) for name in report.REPORTS}
+    return found | strip_queries.queries() | fusion_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {}
+    for name in report.REPORTS:
+        text = duck(report.REPORTS[name])
+        found[name] = with_views(text.replace("sum_bigint(CASE WHEN", "sum(CASE WHEN"), report.inputs(name))
+    return found | strip_queries.oracle_sql() | fusion_queries.oracle_sql()
