@@ -1,7 +1,7 @@
 """Operator 6: substring deduplication by sliding sentence spans.
 
 A text is cut into sentences: at line ends and after ``.``, ``!`` or ``?`` before white space. A sentence of more than
-``PIECE`` words is cut on: after words that their own hash marks, and at the latest after ``PIECE`` words, so the same
+``PIECE`` words is cut on: after words that end in certain characters, and at the latest after ``PIECE`` words, so the same
 passage falls into the same pieces wherever it stands. From every sentence on, the shortest run of at least ``RUN``
 sentences and ``WORDS`` words is hashed; upper and lower case and white space don't count. All runs meet by hash. The
 first occurrence is the one in the least document (by id, then by text hash), at the least place. Every sentence that
@@ -13,7 +13,7 @@ A hash that very many documents share is pre-aggregated before it is shuffled; t
 leaves the skewed partitions to adaptive execution, which splits them. Rows that agree in id and text are one
 document, and keep their rows; rows with the same id and different texts are different documents; a null id sorts
 first. Null text stays null; texts with fewer words than a run are never changed. Extra columns pass through
-``deduplicate`` unchanged, unless they are named like its own (``removed``, ``n_sentences``, ``n_removed``).
+``deduplicate`` unchanged, unless they are named like its own (``removed``, ``n_removed``).
 """
 
 from __future__ import annotations
@@ -27,15 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lidarloom.llm.common import materialize
+
 RUN, WORDS, PIECE = 2, 20, 12
 END = re.compile(r"[.!?]+\s+|\n+\s*")
-WORD = re.compile(r"[^\t-\r ]+[\t-\r ]*")
-
-
-def cut_after(word: bytes) -> bool:
-    import xxhash
-
-    return xxhash.xxh32_intdigest(word) % 8 == 0
+#: Up to PIECE words, as few as end in one that marks a cut (by its last character), or else all of them.
+CUT = re.compile(rf"(?:[^\t-\r ]++[\t-\r ]++){{0,{PIECE - 1}}}?[^\t-\r ]*[dhlDHL,;:](?:[\t-\r ]++|$)|(?:[^\t-\r ]++[\t-\r ]++){{0,{PIECE - 1}}}[^\t-\r ]++[\t-\r ]*+|[\t-\r ]++")
 
 
 def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
@@ -52,15 +49,11 @@ def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
             normal.append(b" ".join(own))
             words.append(len(own))
         else:
-            ends = [m.end() for m in WORD.finditer(text, at, end)]
-            ends[-1] = end
-            first, place = 0, at
-            for k, w in enumerate(own, 1):
-                if k == len(own) or k - first >= PIECE or cut_after(w):
-                    starts.append(place)
-                    normal.append(b" ".join(own[first:k]))
-                    words.append(k - first)
-                    first, place = k, ends[k - 1]
+            for m in CUT.finditer(text, at, end):
+                own = m.group().lower().encode().split()
+                starts.append(m.start())
+                normal.append(b" ".join(own))
+                words.append(len(own))
         at = end
     starts.append(len(text))
     return starts, normal, words
@@ -85,78 +78,80 @@ def runs(normal: list[bytes], words: list[int], run: int = RUN, least: int = WOR
 
 
 def spans(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
-    """(h, g, doc_id, mark, at, n): every run of every text; h and g are 96 bits of its hash."""
+    """(h, g, doc_id, place): every run of every text; h and g are 96 bits of its hash, place is the text's mark and
+    the run's first sentence."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            ids, marks, texts = (b.column(i).to_pylist() for i in range(3))
-            hs, gs, row, at, length = [], [], [], [], []
-            for r, text in enumerate(texts):
+            digests, row, at = [], [], []
+            digest = xxhash.xxh3_128_digest
+            for r, text in enumerate(b.column(2).to_pylist()):
                 if not text:
                     continue
                 _, normal, words = sentences(text)
+                before = len(at)
                 for i, n in runs(normal, words, run, least):
-                    x = xxhash.xxh3_128_intdigest(b" ".join(normal[i : i + n]))
-                    hs.append(x & 0xFFFFFFFFFFFFFFFF)
-                    gs.append(x >> 96)
-                    row.append(r)
+                    digests.append(digest(b" ".join(normal[i : i + n])))
                     at.append(i)
-                    length.append(n)
-            take = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(np.array(gs, np.uint32).view(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), pa.array(length, pa.int32())], ["h", "g", "doc_id", "mark", "at", "n"])
+                row += [r] * (len(at) - before)
+            take = np.array(row, np.int32)
+            place = b.column(1).to_numpy()[take].astype(np.int64) << 32 | np.array(at, np.int64)
+            found = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 1]), pa.array((found[:, 0] >> 32).astype(np.int32)), b.column(0).take(pa.array(take)), pa.array(place)], ["h", "g", "doc_id", "place"])
 
-    return keyed(docs).select("doc_id", "mark", "text").mapInArrow(work, "h long, g int, doc_id long, mark long, at int, n int")
+    return keyed(docs).mapInArrow(work, "h long, g int, doc_id long, place long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("mark"), "text")
 
 
 def covered(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
-    """(doc_id, mark, cover): per document, the runs [(at, n), ...] that occur elsewhere before."""
+    """(doc_id, mark, cover): per document, the first sentences of the runs that occur elsewhere before."""
     every = spans(docs, run, least)
-    place = F.struct("doc_id", "mark", "at")
-    first = every.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "g", "first")
-    later = every.join(first, ["h", "g"]).where(~F.struct("doc_id", "mark", "at").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "n")).alias("cover"))
+    place = F.struct("doc_id", "place")
+    first = every.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
+    # written down, so that the join below is one of plain shuffles, whose skewed partitions adaptive execution splits
+    later = every.join(materialize(first), ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("mark")).agg(F.collect_set(F.col("place").bitwiseAND(0x7FFFFFFF).cast("int")).alias("cover"))
 
 
 def deduplicate(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
-    """``docs`` with the repeated sentences taken out of ``text``, and n_sentences, n_removed and removed (the code
+    """``docs`` with the repeated sentences taken out of ``text``, and n_removed (sentences) and removed (the code
     point ranges ``start:end`` taken out, comma-joined) added."""
-    extra = [c for c in docs.columns if c not in ("removed", "n_sentences", "n_removed")]
-    base = docs.select(*extra)
+    base = docs.select(*(c for c in docs.columns if c not in ("removed", "n_removed")))
     found = covered(docs, run, least).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("cover").alias("__cover"))
-    joined = base.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__mark")), "left").drop("__id", "__mark")
-    schema = T.StructType([*base.schema.fields, T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType()), T.StructField("removed", T.StringType())])
+    joined = base.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.shiftright(F.xxhash64("text"), 32).cast("int").eqNullSafe(F.col("__mark")), "left").drop("__id", "__mark")
+    schema = T.StructType([*base.schema.fields, T.StructField("n_removed", T.IntegerType()), T.StructField("removed", T.StringType())])
     where = base.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, total, gone, ranges = [], [], [], []
-            for text, cover in zip(b.column(where).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                starts, normal, _ = sentences(text or "")
-                total.append(sum(map(bool, normal)))
-                out = sorted({i for x in cover or () for i in range(x["at"], x["at"] + x["n"])})
+            texts, gone, ranges = b.column(where).to_pylist(), [0] * b.num_rows, [""] * b.num_rows
+            for r, cover in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if not cover:
+                    continue
+                text = texts[r]
+                starts, normal, words = sentences(text)
+                length = dict(runs(normal, words, run, least))
+                out = sorted({i for x in cover for i in range(x, x + length[x])})
                 taken: list[list[int]] = []
                 for i in out:
                     if taken and taken[-1][1] == starts[i]:
                         taken[-1][1] = starts[i + 1]
                     else:
                         taken.append([starts[i], starts[i + 1]])
-                gone.append(sum(bool(normal[i]) for i in out))
-                ranges.append(",".join(f"{s}:{e}" for s, e in taken))
-                if taken:
-                    keep, at = [], 0
-                    for s, e in taken:
-                        keep.append(text[at:s])
-                        at = e
-                    text = "".join([*keep, text[at:]])
-                texts.append(text)
+                gone[r] = sum(bool(normal[i]) for i in out)
+                ranges[r] = ",".join(f"{s}:{e}" for s, e in taken)
+                keep, at = [], 0
+                for s, e in taken:
+                    keep.append(text[at:s])
+                    at = e
+                texts[r] = "".join([*keep, text[at:]])
             columns = list(b.columns[:-1])
             columns[where] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int32()), pa.array(gone, pa.int32()), pa.array(ranges, pa.string())], [*b.schema.names[:-1], "n_sentences", "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32()), pa.array(ranges, pa.string())], [*b.schema.names[:-1], "n_removed", "removed"])
 
     return joined.mapInArrow(work, schema)
