@@ -10,21 +10,20 @@ from pyspark.sql import functions as F
 from lidarloom.functions.statistics import t_quantile
 
 
-def labels_of(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, label): least id that links reach, by minimum labels with pointer jumping; ends when nothing changes."""
-    spark = nodes.sparkSession
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    lab = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        low = both.join(lab.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        new = lab.join(low, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = new.alias("n").join(new.alias("m"), F.col("n.label") == F.col("m.id")).select(F.col("n.id").alias("id"), F.col("m.label").alias("label"))
-        rows = [(r["id"], r["label"]) for r in jump.collect()]  # targets: some hundreds at most
-        changed = dict(rows) != {r["id"]: r["label"] for r in lab.collect()}
-        lab = spark.createDataFrame(rows, nodes.select("id", F.col("id").alias("label")).schema)
-        if not changed:
-            break
-    return lab
+def labels_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, label): the least id that links reach. Centres of targets: one for each surveyed reference, so the links
+    are few and are merged on the driver."""
+    up = {r["id"]: r["id"] for r in nodes.collect()}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in edges.collect():
+        a, b = sorted((root(r["a"]), root(r["b"])))
+        up[b] = a
+    return nodes.sparkSession.createDataFrame([(x, root(x)) for x in up], nodes.select("id", F.col("id").alias("label")).schema)
 
 
 def single_linkage(centres: DataFrame, limit: float) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from lidarloom.operators import report
-from lidarloom.plans import fusion_queries, strip_queries
+from lidarloom.plans import fusion_queries, strip_queries, target_queries
 from lidarloom.plans.views import SQL_VIEWS, frames, with_views
 
 
@@ -30,7 +30,7 @@ def duck(text: str) -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: partial(_report, name) for name in report.REPORTS}
-    return found | strip_queries.queries() | fusion_queries.queries()
+    return found | strip_queries.queries() | fusion_queries.queries() | target_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
     for name in report.REPORTS:
         text = duck(report.REPORTS[name])
         found[name] = with_views(text.replace("sum_bigint(CASE WHEN", "sum(CASE WHEN"), report.inputs(name))
-    return found | strip_queries.oracle_sql() | fusion_queries.oracle_sql()
+    return found | strip_queries.oracle_sql() | fusion_queries.oracle_sql() | target_queries.oracle_sql()
