@@ -80,3 +80,13 @@ def colour_consistent(points: DataFrame, seeds: DataFrame, radius: float, multip
     mad = dev.groupBy("q").agg(*(F.greatest(F.median(f"d_{ch}"), F.lit(floor)).alias(f"t_{ch}") for ch in rgb))
     ok = dev.join(mad, "q").where(" AND ".join(f"d_{ch} <= t_{ch} * {multiplier}" for ch in rgb))
     return ids.union(ok.select(F.col("p").alias("pid"))).distinct()
+
+
+def normals(points: DataFrame, radius: float, k: int) -> DataFrame:
+    """(pid, planarity, nx, ny, nz): the plane through each point's ``k`` nearest within ``radius``, itself included."""
+    from lidarloom.operators.clustering import planes
+
+    w = Window.partitionBy("q").orderBy("d", "p")
+    near = within(points, points, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    own = near.join(points.select(F.col("pid").alias("p"), *AXES), "p")
+    return planes(own.select(F.col("q").alias("pid"), *AXES), "pid").select("pid", "planarity", "nx", "ny", "nz")

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lidarloom.operators import clustering, registration, strips, targets
-from lidarloom.plans.fusion_queries import MATRIX, rounded
+from lidarloom.operators import clustering, registration, spatial, strips, targets, transforms
+from lidarloom.plans.fusion_queries import MATRIX, pairs, rounded
 from lidarloom.plans.views import with_views
 from lidarloom.sources import sinks, tables
+from lidarloom.streaming import cells as running
 
 SIDE = 20
 
@@ -83,7 +84,6 @@ def win_focal_std(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_corr_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 100 pairs by distance."""
     from lidarloom.plans.strip_queries import two
-    from lidarloom.operators import spatial
 
     a, b = two(spark, sf_dir)
     return rounded(spatial.nearest(a, b, 0.2).orderBy(F.round("d", 9), "q").limit(100))
@@ -142,7 +142,32 @@ def reg_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registration.correspondences(cells, results, "F", "O", 0.3).groupBy("grid_id").agg(F.count("*").alias("n_correspondences"))
 
 
-QUERIES = (geo_plane_fit, clu_kmeans, tgt_find, clu_target_analysis, jn_assignment, win_savgol, inf_bootstrap, mdl_expfit, mdl_pca, inf_qq, geo_slope_aspect, geo_surface_stats, win_focal_std, top_corr_cap, top_nearest_half, flt_ref_bbox, smp_plot, snk_las_copy, reg_store)
+def geo_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.normals(tables.cloud(spark, sf_dir), 0.2, 30))
+
+
+def la_kabsch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.kabsch(pairs(spark, sf_dir), "grid_id")
+
+
+def la_clique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.clique_transforms(pairs(spark, sf_dir), "grid_id", 0.05, 150)
+
+
+def geo_interp_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.targets(spark, sf_dir)
+    return transforms.interpolate(t.select("file", F.col("center_x").alias("x"), F.col("center_y").alias("y"), F.col("center_z").alias("z")), "file", 20)
+
+
+def str_running_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(running.running_cells(tables.points(spark, sf_dir), 20.0), 5)
+
+
+def str_windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(running.windowed_events(tables.table(spark, sf_dir, "events")), 4)
+
+
+QUERIES = (geo_normals, la_kabsch, la_clique, geo_interp_linear, str_running_cells, str_windowed_events, geo_plane_fit, clu_kmeans, tgt_find, clu_target_analysis, jn_assignment, win_savgol, inf_bootstrap, mdl_expfit, mdl_pca, inf_qq, geo_slope_aspect, geo_surface_stats, win_focal_std, top_corr_cap, top_nearest_half, flt_ref_bbox, smp_plot, snk_las_copy, reg_store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -164,5 +189,7 @@ def oracle_sql() -> dict[str, str]:
         "geo_slope_aspect": p(f"{SQL_SLOPES} SELECT i, j, round(z, 5) AS z, round(slope, 5) AS slope, round(aspect, 5) AS aspect, round(curvature, 5) AS curvature FROM s"),
         "geo_surface_stats": p(f"{SQL_SLOPES} SELECT " + ", ".join(f"round({f}({c}), 5) AS {c}_{n}" for c in ("z", "slope", "curvature") for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_pop"))) + " FROM s"),
         "win_focal_std": p(f"{SQL_RASTER}, o AS (SELECT unnest(range(-2, 3)) AS d), w AS (SELECT g.i, g.j, g.i + a.d AS ni, g.j + b.d AS nj FROM g, o a, o b), f AS (SELECT i, j, CASE WHEN ni < 0 THEN -ni - 1 WHEN ni >= {SIDE} THEN {2 * SIDE - 1} - ni ELSE ni END AS ni, CASE WHEN nj < 0 THEN -nj - 1 WHEN nj >= {SIDE} THEN {2 * SIDE - 1} - nj ELSE nj END AS nj FROM w) SELECT f.i, f.j, round(stddev_pop(g.z), 5) AS roughness FROM f JOIN g ON f.ni = g.i AND f.nj = g.j GROUP BY f.i, f.j"),
+        "str_running_cells": with_views("SELECT strip, CAST(floor(x / 20.0) AS BIGINT) AS cx, CAST(floor(y / 20.0) AS BIGINT) AS cy, count(*) AS n, round(avg(z), 5) AS z_mean, round(stddev_pop(z), 5) AS z_std, round(min(z), 5) AS z_min, round(max(z), 5) AS z_max FROM points GROUP BY ALL", ["points"]),
+        "str_windowed_events": "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
         "snk_las_copy": with_views("SELECT round(sum(0.955336489125606 * x - 0.29552020666133955 * y + 0.05), 4) AS moved_x, round(sum(z + 0.01), 4) AS moved_z, round(sum(x), 4) AS same_x FROM cloud", ["cloud"]),
     }

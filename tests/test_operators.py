@@ -176,3 +176,39 @@ def test_references_and_sinks(spark, tmp_path):
     assert '"n": 1' in (tmp_path / "r.json").read_text()
     sinks.write_csv(spark.range(3), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
+
+
+def test_streaming_equals_batch(spark, tmp_path):
+    from lidarloom.sources import tables
+    from lidarloom.streaming import cells
+
+    points = tables.points(spark, "/root/testdata/sf0.001").select("strip", "x", "y", "z")
+    points.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = cells.running_cells(stream, 20.0).writeStream.outputMode("complete").format("memory").queryName("cells_now").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    key = lambda r: (r["strip"], r["cx"], r["cy"])
+    a, b = ({key(r): (r["n"], round(r["z_mean"], 6)) for r in df.collect()} for df in (spark.table("cells_now"), cells.running_cells(points, 20.0)))
+    assert a == b
+
+
+def test_interpolation(spark):
+    rows = [("a", float(x), float(y), 2.0 * x - y) for x, y in ((0, 0), (4, 0), (0, 4), (4, 4), (2, 1), (1, 3))]
+    from lidarloom.operators import transforms
+
+    got = transforms.interpolate(spark.createDataFrame(rows, "f string, x double, y double, z double"), "f", 9).collect()
+    assert len(got) == 81 and all(abs(r["z"] - (2 * r["x"] - r["y"])) < 1e-9 for r in got)
+
+
+def test_kabsch(spark):
+    from lidarloom.operators import transforms
+
+    rng = np.random.default_rng(8)
+    s = rng.random((50, 3))
+    m = np.eye(4)
+    m[:2, :2], m[:3, 3] = [[0.8, -0.6], [0.6, 0.8]], (1, 2, 3)
+    t = registration.move(m, s)
+    df = spark.createDataFrame([(1, *a, *b) for a, b in zip(s.tolist(), t.tolist(), strict=True)], "g int, sx double, sy double, sz double, tx double, ty double, tz double")
+    assert np.allclose(transforms.kabsch(df, "g").first()["transformation"], m.ravel())
+    assert np.allclose(transforms.clique_transforms(df, "g", 0.05).first()["transformation"], m.ravel())
