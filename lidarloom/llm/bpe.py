@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lidarloom.llm.common import resident, small_batches
+
 #: Code points of a leaf, code points of a run that is encoded as one, entries of a worker's cache.
 LEAF, RUN, CACHE = 16_384, 64, 200_000
 #: What the tokenizer's ``\\s`` matches; ``str.split()`` also cuts at U+001C to U+001F, which ``\\s`` doesn't match.
@@ -59,21 +61,38 @@ BYTES = byte_table()
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
+class Remembered(dict):
+    """A bounded memo of a function. Frequent keys come early, so the later half goes when it is full."""
+
+    def __init__(self, make: Callable[[str], object]):
+        self.make = make
+
+    def __missing__(self, key: str) -> object:
+        found = self[key] = self.make(key)
+        return found
+
+    def shrink(self) -> None:
+        if len(self) > CACHE:
+            for key in list(islice(self, CACHE // 2, None)):
+                del self[key]
+
+
 class TreeEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, for a word-level BPE."""
 
-    def __init__(self, path: str, render: Callable[[list[int], list[str]], object]):
+    def __init__(self, path: str, render: Callable[[Sequence[int], list[str]], object]):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.no_padding()
-        self.tok.no_truncation()
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.render = render
-        self.cache: dict[str, object] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.marks = {t[:2] for t in self.special}
         self.vocabulary = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
+        self.pieces = Remembered(self.tokenize)
+        self.cache = Remembered(lambda word: render(self.encode_word(word), self.vocabulary))
+
+    def tokenize(self, mapped: str) -> tuple[int, ...]:
+        return tuple([t.id for t in self.tok.model.tokenize(mapped)])
 
     # -- runs without white space ------------------------------------------------------------------------------
 
@@ -132,32 +151,28 @@ class TreeEncoder:
                         return keep + middle + [(j, x + cut - start) for j, x in right[r + 1 :]]
             reach *= 2
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> Sequence[int]:
         """A run without white space, cut at special tokens and pre-tokens first."""
-        if word.isascii() and word.isprintable() and "<|" not in word:
+        plain = not any(m in word for m in self.marks)
+        if plain and word.isascii() and word.isprintable():
+            if word.isalpha():
+                return self.encode_piece(word.lower())
             return [i for piece in PLAIN(word.lower()) for i in self.encode_piece(piece)]
+        # a letter may become a letter and a mark in lower case, and Sigma's depends on its place in Python only
+        if plain and "\u03a3" not in word and (low := word.lower()).isalpha() and is_normalized("NFC", word):
+            return self.encode_piece(low.encode().decode("latin-1").translate(BYTES))
         ids: list[int] = []
         for piece in self.at_special.split(word) if self.at_special else [word]:
             if piece in self.special:
                 ids.append(self.special[piece])
-            elif piece.isalpha() and "\u03a3" not in piece and is_normalized("NFC", piece):
-                ids += self.encode_piece(piece.lower().encode().decode("latin-1").translate(BYTES))
             elif piece:
                 for mapped, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(piece)):
                     ids += self.encode_piece(mapped)
         return ids
 
-    def encode_piece(self, mapped: str) -> list[int]:
+    def encode_piece(self, mapped: str) -> Sequence[int]:
         """Ids of a mapped pre-token."""
-        found = self.pieces.get(mapped)
-        if found is None:
-            if len(mapped) > RUN:
-                return [i for i, _ in self.encode_run(mapped)]
-            if len(self.pieces) > CACHE:
-                for p in list(islice(self.pieces, CACHE // 2, None)):
-                    del self.pieces[p]
-            found = self.pieces[mapped] = [t.id for t in self.tok.model.tokenize(mapped)]
-        return found
+        return self.pieces[mapped] if len(mapped) <= RUN else [i for i, _ in self.encode_run(mapped)]
 
     # -- texts -------------------------------------------------------------------------------------------------
 
@@ -202,43 +217,25 @@ class TreeEncoder:
     def batch(self, texts: list[str]) -> Iterator[list[object]]:
         """For each text, what ``render`` makes of each of its words."""
         for text in texts:
-            words = self.words(text)
-            try:
-                yield list(map(self.cache.__getitem__, words))
-            except KeyError:
-                yield self.fill(words)
-
-    def fill(self, words: list[str]) -> list[object]:
-        cache = self.cache
-        if len(cache) > CACHE:  # frequent words came early: the later half goes
-            for w in list(islice(cache, CACHE // 2, None)):
-                del cache[w]
-        for w in {w for w in words if w not in cache}:
-            ids = self.encode_word(w)
-            cache[w] = self.render(ids, [self.vocabulary[i] for i in ids])
-        return list(map(cache.__getitem__, words))
-
-
-_CODERS: dict[tuple, TreeEncoder] = {}
+            self.cache.shrink()
+            self.pieces.shrink()
+            yield list(map(self.cache.__getitem__, self.words(text)))
 
 
-def coder_for(path: str, render: Callable[[list[int], list[str]], object]) -> TreeEncoder:
+def coder_for(path: str, render: Callable[[Sequence[int], list[str]], object]) -> TreeEncoder:
     """The worker's own encoder: a worker runs many tasks, and what it has learned serves them all."""
-    key = (path, render.__name__)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = TreeEncoder(path, render)
-    return _CODERS[key]
+    return resident((path, render.__name__), lambda: TreeEncoder(path, render))
 
 
-def as_text(ids: list[int], tokens: list[str]) -> tuple[str, str, int]:
-    return " ".join(map(str, ids)), " ".join(tokens), len(ids)
+def as_text(ids: Sequence[int], vocabulary: list[str]) -> tuple[str, str, int]:
+    return " ".join(map(str, ids)), " ".join([vocabulary[i] for i in ids]), len(ids)
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text; the decoded text is the tokens joined by spaces,
     as the library decodes for a file without a decoder."""
     path = path or default_path()
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(path, as_text)

@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from struct import pack as struct_pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lidarloom.llm.bpe import coder_for, default_path
-from lidarloom.llm.common import materialize
+from lidarloom.llm.common import materialize, small_batches
 
 CAPACITY, GROUPS = 2048, 128
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
 def as_bytes(ids: list[int], _: list[str]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct_pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Every piece of every document; ``local`` counts the pieces of a length within the task ``part``."""
     path = path or default_path()
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(path, as_bytes)
