@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that hold more than 1/HEAVY_SHARE of all rows are heavy, so there are fewer than HEAVY_SHARE of them.
-HEAVY_SHARE = 1024
+#: Rows of a batch of texts that goes to Python.
+BATCH = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,8 +30,30 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts go to Python in batches of at most ``BATCH`` rows (a setting of the session, lowered if it is larger)."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+    return df
+
+
+_RESIDENT: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """What this worker keeps from task to task, caches above all. One thing at a time: asking for another frees it."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def sample_texts(docs: DataFrame, most: int) -> DataFrame:
+    """(text) of at most ``most`` rows: those with the least hashed ids, the same at any partitioning. The ids are
+    chosen first, so that only chosen texts move."""
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").select("text").limit(most)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lidarloom.llm.bpe import BYTES
+from lidarloom.llm.common import resident, sample_texts, small_batches
 
 TABLE_DOCS, TABLE_SIZE, TABLE_CHARS, CACHE = 2_000, 40_000, 40, 200_000
 #: The byte-level pre-tokenizer's pattern, with the white space of its regex engine spelled out: fixed values.
@@ -78,21 +79,16 @@ class Counted:
         return n + sum(map(cache.__getitem__, misses))
 
 
-_COUNTED: dict[str, Counted] = {}
-
-
 def counted_for(path: str, table: dict[str, int]) -> Counted:
     """The worker's own counter, kept from task to task with what its cache has learned."""
-    if path not in _COUNTED:
-        _COUNTED.clear()
-        _COUNTED[path] = Counted(path, table)
-    _COUNTED[path].table = table
-    return _COUNTED[path]
+    found = resident(("counted", path), lambda: Counted(path, table))
+    found.table = table
+    return found
 
 
 def frequent_table(docs: DataFrame, path: str, n_docs: int = TABLE_DOCS, size: int = TABLE_SIZE) -> dict[str, int]:
     """Token lengths of the most frequent pre-tokens of a bounded sample of documents."""
-    sample = docs.select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h").limit(n_docs).select("text")
+    sample = sample_texts(docs, n_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, seen = Counted(path, {}), Counter()
@@ -109,6 +105,7 @@ def frequent_table(docs: DataFrame, path: str, n_docs: int = TABLE_DOCS, size: i
 def count_tokens(docs: DataFrame, limit: int = 512, path: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every text."""
     path = path or default_path()
+    small_batches(docs)
     table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
