@@ -59,5 +59,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+SQL_LINKS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
+def sql_urls() -> str:
+    """The listed rules, and every combination of at most four tokens tried outright."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+    e = url_filter.EACH
+    return rf"""
+WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(h, p, v) AS (VALUES {rules}),
+m AS (SELECT u.page_id, h || p AS rule, v, row_number() OVER (PARTITION BY u.page_id ORDER BY length(h || p) DESC) AS k FROM u JOIN rules ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p)),
+j AS (SELECT u.*, m.rule, m.v FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.k = 1),
+a AS (SELECT page_id, list_filter(string_split(host, '.'), lambda x: x <> '') AS hp, list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+(\.[a-z]+)?') AND length(x) <= 64) AS pw,
+  list_filter(list_transform(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> '' AND length(x) <= 64) AS qk FROM j WHERE host <> ''),
+t AS (SELECT DISTINCT page_id, unnest(list_concat(list_transform(hp[-{e}:], lambda x: 'h:' || x), CASE WHEN len(hp) >= 2 THEN ['d:' || hp[-2] || '.' || hp[-1]] ELSE [] END, list_transform(pw[:{e}], lambda x: 'p:' || x), list_transform(qk[:{e}], lambda x: 'q:' || x))) AS t FROM a),
+n AS (SELECT ceil(least(1.0, greatest({url_filter.SUPPORT}, {url_filter.LEAST} / count(*)::DOUBLE)) * count(*)) AS least FROM (SELECT page_id FROM t UNION SELECT page_id FROM j WHERE v = 'block')),
+c AS (SELECT page_id, t AS c FROM t UNION ALL SELECT a.page_id, a.t || ' ' || b.t FROM t a JOIN t b ON a.page_id = b.page_id AND a.t < b.t
+  UNION ALL SELECT a.page_id, a.t || ' ' || b.t || ' ' || c.t FROM t a JOIN t b ON a.page_id = b.page_id AND a.t < b.t JOIN t c ON a.page_id = c.page_id AND b.t < c.t
+  UNION ALL SELECT a.page_id, a.t || ' ' || b.t || ' ' || c.t || ' ' || d.t FROM t a JOIN t b ON a.page_id = b.page_id AND a.t < b.t JOIN t c ON a.page_id = c.page_id AND b.t < c.t JOIN t d ON a.page_id = d.page_id AND c.t < d.t),
+g AS (SELECT c.c FROM c JOIN j USING (page_id) GROUP BY c.c HAVING count(*) FILTER (j.v = 'block') >= (SELECT least FROM n) AND count(*) FILTER (j.v = 'block') >= {url_filter.CONFIDENCE} * count(*)),
+hit AS (SELECT DISTINCT c.page_id FROM c JOIN g USING (c))
+SELECT j.page_id, host, path, rule, coalesce(v, CASE WHEN hit.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN hit ON hit.page_id = j.page_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_hnsw": SQL_LINKS, "op8_url_rules": sql_urls()}

@@ -401,3 +401,17 @@ def test_pipeline(spark, docs, labels):
 def test_registered():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_twin(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("embeddings", "pages"):
+        c.sql(f"create view {t} as from '{DIR}/{t}.parquet'")
+    want = c.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, DIR)
+    cols = sorted(df.columns)
+    assert sorted(want.columns) == cols
+    assert Counter(tuple(r[k] for k in cols) for r in df.collect()) == Counter(tuple(r[want.columns.index(k)] for k in cols) for r in want.fetchall())
