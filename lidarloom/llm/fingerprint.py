@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lidarloom.llm.common import resident, small_batches
+
 #: Two primes below 2^31 and a base for each; checkpoints of a fingerprint on either side.
 PRIMES, BASES, CHECKPOINTS = (2_147_483_647, 2_147_483_629), (1_000_003, 805_306_457), 32
 LOWEST = -(1 << 63)
@@ -133,7 +135,7 @@ class Fingerprint:
 def in_ranges(docs: DataFrame) -> DataFrame:
     """(target, copy, k, doc_id, text): one partition for each range of ids, larger ids first; the first rows of a
     range also stand, as ``copy``, at the end of the range before (before the first range: the last one)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     rows = docs.select(docs["doc_id"].cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(LOWEST)))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = np.array(sorted({int(x) for x in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))}), np.int64)
@@ -160,7 +162,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers = resident("powers", Powers)
         last = None  # the document before: id, text, hashes, fingerprint
         closed = False
         for b in batches:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lidarloom.llm.common import resident, sample_texts, small_batches
+
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 TRAIN_DOCS, SURE, ROUNDS = 2_000, 0.9, 10
 LABELS = ("other", "email", "ip", "card", "phone", "secret")
@@ -233,13 +236,14 @@ def show(spans: list[tuple[int, int, int]]) -> str:
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field:
-    sample = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").limit(most).select("text")
+    sample = sample_texts(small_batches(docs).where(F.col("text").rlike("[0-9@]")), most)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = fit(sorted(t for b in batches for t in b.column(0).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((field.weights, field.bias, field.pair))], pa.binary())], ["model"])
 
-    return Field(*pickle.loads(sample.coalesce(1).mapInArrow(work, "model binary").collect()[0]["model"]))
+    found = sample.coalesce(1).mapInArrow(work, "model binary").collect()
+    return Field(*pickle.loads(found[0]["model"])) if found else fit([])
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -247,9 +251,10 @@ def detect(docs: DataFrame) -> DataFrame:
     are those of the base."""
     field = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.bias, field.pair))
+    tag = uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Field(*shared.value)
+        own = resident(("field", tag), lambda: Field(*shared.value))
         for b in batches:
             counts, shas, every = [], [], []
             for text in b.column(1).to_pylist():
@@ -268,10 +273,11 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets."""
     field = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.bias, field.pair))
+    tag = uuid.uuid4().hex
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Field(*shared.value)
+        own = resident(("field", tag), lambda: Field(*shared.value))
         for b in batches:
             texts = b.column(at).to_pylist()
             for r, text in enumerate(texts):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarloom.llm.common import connected_components, materialize
+from lidarloom.llm.common import connected_components, materialize, resident, small_batches
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: The Golay code's generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1: a fixed value.
@@ -65,11 +65,12 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("simhash", Golay)
         for b in batches:
             fps = np.fromiter((fingerprints_of(t or "", size) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 class Golay:
@@ -166,7 +167,7 @@ def linked(classes: DataFrame, most: int = DISTANCE) -> DataFrame:
         raise ValueError("the keys hold for four bits or fewer")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay()
+        golay = resident("simhash", Golay)
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for at in range(0, len(fps), 4096):
@@ -270,7 +271,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
     schema = "doc_id long, mark long, node long, keys array<long>, sketch binary"
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay()
+        golay = resident("simhash", Golay)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
@@ -284,7 +285,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
                 keys = [k[f > 0].tolist() for k, f in zip(key, fps, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for _, _, s in found], pa.binary())], ["doc_id", "mark", "node", "keys", "sketch"])
 
-    rows = materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(mark, schema))
+    rows = materialize(small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(mark, schema))
     first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     # equal classes have equal keys and sketches: one row each, chosen by its first document
     classes = rows.join(first, "node").where(F.struct("doc_id", "mark").eqNullSafe(F.col("first"))).dropDuplicates(["node"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lidarloom.llm.common import materialize
+from lidarloom.llm.common import materialize, resident, small_batches
 
 RUN, WORDS, PIECE = 2, 20, 12
 END = re.compile(r"[.!?]+\s+|\n+\s*")
@@ -84,6 +84,7 @@ def spans(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        resident("spans", dict)
         for b in batches:
             digests, row, at = [], [], []
             digest = xxhash.xxh3_128_digest
@@ -105,7 +106,7 @@ def spans(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("mark"), "text")
+    return small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("mark"), "text")
 
 
 def covered(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
