@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lidarloom.llm.bpe import coder_for, default_path
 from lidarloom.llm.common import materialize, small_batches
 
-CAPACITY, GROUPS = 2048, 128
+CAPACITY, GROUPS = 2048, 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
