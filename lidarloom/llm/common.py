@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Texts go to Python in batches of at most ``BATCH`` rows (a setting of the session, lowered if it is larger)."""
+    """Texts go to Python in batches of at most ``BATCH`` rows (a setting of the session, lowered if it is larger), and
+    workers on this machine find the package wherever the driver was started."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH:
         spark.conf.set(name, str(BATCH))
