@@ -175,7 +175,8 @@ def select(scored: DataFrame, min_score: float = 0.01, min_valid: int = 1, min_r
     """The selected cells with ``selection_rank``: all three rules select prefixes of the descending order, so their
     union is the longest, held between the limits. Ties go by cell number."""
     c = F.col
-    valid = valid_cells(scored, min_score, min_valid, fallback)
+    # a row per cell of the grid: kept, since the rules and the ranking all start from it
+    valid = valid_cells(scored, min_score, min_valid, fallback).persist()
     k = selection_sizes(valid, min_regions).select(F.least(F.greatest("k_elbow", "k_threshold", "k_gap", F.lit(min_regions)), F.lit(max_regions)).alias("k"))
     ranked = valid.withColumn("selection_rank", F.row_number().over(Window.orderBy(F.desc("composite_score"), "grid_id")) - 1)
     return ranked.crossJoin(F.broadcast(k)).where(c("selection_rank") < c("k")).drop("k")
