@@ -86,7 +86,8 @@ class TreeEncoder:
         self.tok = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.marks = {t[:2] for t in self.special}
+        starts = {t[:2] for t in self.special}  # a word without this holds no special token
+        self.mark = starts.pop() if len(starts) == 1 else ""
         self.vocabulary = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
         self.pieces = Remembered(self.tokenize)
         self.cache = Remembered(lambda word: render(self.encode_word(word), self.vocabulary))
@@ -153,7 +154,7 @@ class TreeEncoder:
 
     def encode_word(self, word: str) -> Sequence[int]:
         """A run without white space, cut at special tokens and pre-tokens first."""
-        plain = not any(m in word for m in self.marks)
+        plain = self.mark not in word if self.mark else not self.special
         if plain and word.isascii() and word.isprintable():
             if word.isalpha():
                 return self.encode_piece(word.lower())

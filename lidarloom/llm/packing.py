@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from struct import Struct
 from struct import pack as struct_pack
 
 import numpy as np
@@ -40,8 +41,11 @@ CAPACITY, GROUPS = 2048, 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
-def as_bytes(ids: list[int], _: list[str]) -> bytes:
-    return struct_pack(f"<{len(ids)}I", *ids)
+IDS = [Struct(f"<{n}I") for n in range(32)]
+
+
+def as_bytes(ids: Sequence[int], _: list[str]) -> bytes:
+    return IDS[len(ids)].pack(*ids) if len(ids) < len(IDS) else struct_pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
