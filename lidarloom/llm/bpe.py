@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from lidarloom.llm.common import resident, small_batches
 
 #: Code points of a leaf, code points of a run that is encoded as one, entries of a worker's cache.
-LEAF, RUN, CACHE = 16_384, 64, 200_000
+LEAF, RUN, CACHE = 16_384, 64, 320_000
 #: What the tokenizer's ``\\s`` matches; ``str.split()`` also cuts at U+001C to U+001F, which ``\\s`` doesn't match.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT, ODD = re.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]")
