@@ -40,12 +40,17 @@ def clu_target_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least-cost assignment of each file's centres to its references; a file has one centre a reference."""
     import numpy as np
+    import pandas as pd
 
-    t = tables.targets(spark, sf_dir).where("file = 'customer'").orderBy("reference_id").limit(40).collect()
-    c = np.array([[r["center_x"], r["center_y"], r["center_z"]] for r in t]).reshape(-1, 3)
-    cost = np.linalg.norm(c[:, None] - c[::-1][None], axis=2)
-    return spark.createDataFrame([(a, b, float(cost[a, b])) for a, b in clustering.assignment(cost)], "center int, ref int, d double")
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("reference_id", kind="stable")
+        c = part[["center_x", "center_y", "center_z"]].to_numpy()
+        cost = np.linalg.norm(c[:, None] - c[::-1][None], axis=2)
+        return pd.DataFrame([(part["file"].iloc[0], a, b, float(cost[a, b])) for a, b in clustering.assignment(cost)], columns=["file", "center", "ref", "d"])
+
+    return tables.targets(spark, sf_dir).groupBy("file").applyInPandas(solve, "file string, center int, ref int, d double")
 
 
 def win_savgol(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,12 @@ def test_rows(spark, name):
 def test_flagship(spark):
     got = catalog.flagship(spark, DIR)
     assert got.columns == ["grid_id", "composite_score", "total_points", "selection_rank"] and 0 < got.count() <= 8
+
+
+def test_assignment_of_every_file(spark):
+    """Both files' targets are assigned, each reference once, however many there are."""
+    from lidarloom.sources import tables
+
+    want = {r["file"]: r["count"] for r in tables.targets(spark, DIR).groupBy("file").count().collect()}
+    rows = catalog.queries()["jn_assignment"](spark, DIR).collect()
+    assert {f: sorted(r["ref"] for r in rows if r["file"] == f) for f in want} == {f: list(range(n)) for f, n in want.items()} and len(want) == 2
