@@ -21,7 +21,7 @@ that they reach (null if there is none). Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -213,21 +213,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTANCE)
 
 # -- near copies at a given similarity of their shingle sets ------------------------------------------------------
 
-#: Sampled fingerprints of a text, shingles in each, and bins of the sketch that verifies what meets.
+#: Sampled fingerprints of a text, shingles in each, and bins of the sketch that chooses what is verified.
 SAMPLES, SAMPLED, BINS = 10, 4, 120
-#: One standard error of the sketch's estimate: pairs at the limit should not be lost to chance.
-SLACK = 0.03
+#: Over five standard errors of the sketch's estimate at a similarity of 0.8: what it turns away is unlike.
+SLACK = 0.2
+#: Rows that meet under one key, and shingles of a group, that one task takes; larger ones are dealt into cells, and
+#: every two cells meet.
+BUCKET, WEIGHT = 16_384, 2_000_000
 
 
-def sketch_of(text: str, size: int = 5) -> tuple[int, np.ndarray, np.ndarray]:
-    """(64 bits of the words' hash, sampled SimHash fingerprints, sketch) of one text.
-
-    A whole text's SimHash moves by about ten bits at a Jaccard similarity of 0.8, too far for keys. The shingles are
-    therefore also dealt by hash to ``SAMPLES`` classes, and each class's ``SAMPLED`` least hashes get a SimHash of
-    their own: two texts of similarity s agree in any one of them with a chance of about s ** SAMPLED. The sketch
-    has the least hash of each of ``BINS`` bins (16 bits; 0 where the bin is empty): the share of agreeing bins among
-    those filled on either side estimates the similarity without bias.
-    """
+def shingles_of(text: str, size: int = 5) -> tuple[int, np.ndarray]:
+    """(64 bits of the words' hash, sorted distinct hashes of the shingles; of all words if they are fewer) of one text."""
     import xxhash
 
     words = text.encode().lower().split()
@@ -239,6 +235,20 @@ def sketch_of(text: str, size: int = 5) -> tuple[int, np.ndarray, np.ndarray]:
         starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
         digest = xxhash.xxh64_intdigest
         hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), (starts[size : size + n] - 1).tolist(), strict=True)], np.uint64))
+    return xxhash.xxh64_intdigest(joined, 1), hashes
+
+
+def sketch_of(text: str, size: int = 5) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(64 bits of the words' hash, number of distinct shingles, sampled SimHash fingerprints, sketch) of one text.
+
+    A whole text's SimHash moves by about ten bits at a Jaccard similarity of 0.8, too far for keys. The shingles are
+    therefore also dealt by hash to ``SAMPLES`` classes, and each class's ``SAMPLED`` least hashes get a SimHash of
+    their own: two texts of similarity s agree in any one of them with a chance of about s ** SAMPLED. The sketch
+    has the least hash of each of ``BINS`` bins (16 bits; 0 where the bin is empty): the share of agreeing bins among
+    those filled on either side estimates the similarity without bias.
+    """
+    node, hashes = shingles_of(text, size)
+    n = len(hashes)
     bins = (hashes % np.uint64(BINS)).astype(np.int64)
     order = np.lexsort((hashes, bins))
     hashes, bins = hashes[order], bins[order]
@@ -252,7 +262,7 @@ def sketch_of(text: str, size: int = 5) -> tuple[int, np.ndarray, np.ndarray]:
         own = (own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
         ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
         fps[g] = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]
-    return xxhash.xxh64_intdigest(joined, 1), fps, sketch
+    return node, n, fps, sketch
 
 
 def alike(sketches: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -261,14 +271,55 @@ def alike(sketches: np.ndarray, x: np.ndarray) -> np.ndarray:
     return ((sketches == x) & (x > 0)).sum(1) / np.maximum(filled, 1)
 
 
+def same(sets: list[np.ndarray], left: np.ndarray, x: int, similarity: float) -> np.ndarray:
+    """Whether the shingle sets of the rows ``left`` have a Jaccard similarity of ``similarity`` or more with that of ``x``."""
+    own = sets[x]
+    sizes = np.array([len(sets[y]) for y in left.tolist()])
+    every = np.concatenate([sets[y] for y in left.tolist()])
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    shared = np.add.reduceat((own[at] == every).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    return shared >= similarity * (len(own) + sizes - shared) - 1e-9
+
+
+def spanning(buckets: np.ndarray, nodes: np.ndarray, near: Callable[[np.ndarray, int], np.ndarray], forest: Forest) -> pa.RecordBatch:
+    """A spanning forest of the links within whole buckets (``buckets`` is sorted): ``near`` tells which rows link to one."""
+    out = []
+    bounds = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1], [True])))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        left = np.arange(a, b)
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                hit = near(left, x)
+                for y in left[hit].tolist():
+                    queue.append(y)
+                    if forest.link(int(nodes[x]), int(nodes[y])):
+                        out.append((int(nodes[x]), int(nodes[y])))
+                left = left[~hit]
+    both = np.array(out, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def in_cells(rows: DataFrame, key: str) -> DataFrame:
+    """``rows(key, node, cells, ...)`` with their ``bucket``, sorted by it: the key where there is one cell, else each
+    pair of cells that a row's own cell is in, so that any two rows of a key meet in some bucket."""
+    own, other = F.pmod(F.xxhash64("node"), F.col("cells")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    dealt = rows.withColumn("__own", own).withColumn("__other", other)
+    bucket = F.when(F.col("cells") == 1, F.col(key)).otherwise(F.xxhash64(key, F.least("__own", "__other"), F.greatest("__own", "__other")))
+    return dealt.withColumn("bucket", bucket).drop("__own", "__other", "cells", key).repartition("bucket").sortWithinPartitions("bucket", "node")
+
+
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, mark, group_id, group_mark): every row's group of near copies by its first row, the least id and mark
     (mark: 64-bit hash of the text). Texts with the same words are one class; classes link at ``similarity`` or more.
 
-    The keys of a sampled fingerprint are its three segments' Golay indices together, 36 bits. Only a spanning forest
-    of each bucket leaves it. Null text counts as empty; texts without words are one class.
+    The keys of a sampled fingerprint are its three segments' Golay indices together, 36 bits. What meets under a key
+    and is alike by sketch, with much in favour of linking, forms loose groups; links are pairs within a loose group
+    whose whole shingle sets are as similar as asked. Only spanning forests leave a task. Null text counts as empty;
+    texts without words are one class.
     """
-    schema = "doc_id long, mark long, node long, keys array<long>, sketch binary"
+    schema = "doc_id long, mark long, node long, n int, keys array<long>, sketch binary"
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = resident("simhash", Golay)
@@ -276,55 +327,85 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 found = [sketch_of(t or "", size) for t in part.column(2).to_pylist()]
-                nodes = np.array([x for x, _, _ in found], np.uint64).view(np.int64)
-                fps = np.stack([f for _, f, _ in found])
+                nodes = np.array([x for x, _, _, _ in found], np.uint64).view(np.int64)
+                fps = np.stack([f for _, _, f, _ in found])
                 key = np.zeros(fps.shape, np.int64)
                 for start, bits in SEGMENTS:
                     key = key << 12 | golay.index((fps >> np.uint64(start)).astype(np.int64) & ((1 << bits) - 1))
                 key |= np.arange(SAMPLES) << 40
                 keys = [k[f > 0].tolist() for k, f in zip(key, fps, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for _, _, s in found], pa.binary())], ["doc_id", "mark", "node", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), pa.array([n for _, n, _, _ in found], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for _, _, _, s in found], pa.binary())], ["doc_id", "mark", "node", "n", "keys", "sketch"])
 
-    rows = materialize(small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(mark, schema))
+    marked = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    rows = materialize(marked.mapInArrow(mark, schema))
     first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     # equal classes have equal keys and sketches: one row each, chosen by its first document
-    classes = rows.join(first, "node").where(F.struct("doc_id", "mark").eqNullSafe(F.col("first"))).dropDuplicates(["node"])
-    met = classes.select(F.explode("keys").alias("key"), "node", "sketch").repartition("key").sortWithinPartitions("key", "node")
+    classes = materialize(rows.join(first, "node").where(F.struct("doc_id", "mark").eqNullSafe(F.col("first"))).dropDuplicates(["node"]).drop("first"))
+    keyed = classes.select(F.explode("keys").alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key", F.ceil(F.col("rows") / BUCKET).alias("cells"))
+    met = in_cells(keyed.join(shared, "key").join(classes.select("node", "sketch"), "node"), "key")
+
+    def sketches_of(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spanning forests of what is alike by sketch."""
         forest = Forest()
-        keys, nodes, sketches = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BINS), np.uint16)
+        buckets, nodes, sketches = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BINS), np.uint16)
 
         def linked_in(stop: int) -> pa.RecordBatch:
-            out = []
-            bounds = np.flatnonzero(np.concatenate(([True], keys[1:stop] != keys[: stop - 1], [True])))
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                left = np.arange(a, b)
-                while len(left) > 1:
-                    queue, left = [left[0]], left[1:]
-                    while queue and len(left):
-                        x = queue.pop()
-                        hit = alike(sketches[left], sketches[x]) >= similarity - SLACK
-                        for y in left[hit].tolist():
-                            queue.append(y)
-                            if forest.link(int(nodes[x]), int(nodes[y])):
-                                out.append((int(nodes[x]), int(nodes[y])))
-                        left = left[~hit]
-            both = np.array(out, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            return spanning(buckets[:stop], nodes, lambda left, x: alike(sketches[left], sketches[x]) >= similarity - SLACK, forest)
 
         for b in batches:
-            keys = np.concatenate((keys, b.column(0).to_numpy()))
+            buckets = np.concatenate((buckets, b.column(0).to_numpy()))
             nodes = np.concatenate((nodes, b.column(1).to_numpy()))
-            sketches = np.concatenate((sketches, np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, BINS)))
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            sketches = np.concatenate((sketches, sketches_of(b.column(2))))
+            whole = int(np.searchsorted(buckets, buckets[-1])) if len(buckets) else 0
             if whole:
                 yield linked_in(whole)
-                keys, nodes, sketches = keys[whole:], nodes[whole:], sketches[whole:]
-        if len(keys):
-            yield linked_in(len(keys))
+                buckets, nodes, sketches = buckets[whole:], nodes[whole:], sketches[whole:]
+        if len(buckets):
+            yield linked_in(len(buckets))
+
+    loose = connected_components(met.select("bucket", "node", "sketch").mapInArrow(meet, "a long, b long")).withColumnRenamed("component", "loose")
+    members = loose.join(classes.select("node", "n", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "sketch"), "node")
+    cells = members.groupBy("loose").agg(F.ceil(F.sum("n") / WEIGHT).alias("cells"))
+    members = members.join(cells, "loose").select("loose", "node", "cells", "sketch", "__id", "__mark")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                sets = [shingles_of(t or "", size)[1].tobytes() for t in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], ["loose", "node", "cells", "sketch", "shingles"])
+
+    texts = marked.join(members, marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))).select("loose", "node", "cells", "sketch", "text")
+    whole_sets = in_cells(texts.mapInArrow(shingle, "loose long, node long, cells long, sketch binary, shingles binary").dropDuplicates(["node"]), "loose")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spanning forests of what is alike by whole shingle sets."""
+        forest = Forest()
+        buckets, nodes, sketches, sets = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BINS), np.uint16), []
+
+        def near(left: np.ndarray, x: int) -> np.ndarray:
+            hit = alike(sketches[left], sketches[x]) >= similarity - SLACK
+            if hit.any():
+                hit[hit] = same(sets, left[hit], x, similarity)
+            return hit
+
+        for b in batches:
+            buckets = np.concatenate((buckets, b.column(0).to_numpy()))
+            nodes = np.concatenate((nodes, b.column(1).to_numpy()))
+            sketches = np.concatenate((sketches, sketches_of(b.column(2))))
+            sets += [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()]
+            whole = int(np.searchsorted(buckets, buckets[-1])) if len(buckets) else 0
+            if whole:
+                yield spanning(buckets[:whole], nodes, near, forest)
+                buckets, nodes, sketches, sets = buckets[whole:], nodes[whole:], sketches[whole:], sets[whole:]
+        if len(buckets):
+            yield spanning(buckets, nodes, near, forest)
 
-    found = connected_components(met.mapInArrow(meet, "a long, b long"))
+    found = connected_components(whole_sets.select("bucket", "node", "sketch", "shingles").mapInArrow(verify, "a long, b long"))
     named = first.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("group"))
     groups = named.join(least, "root").select("node", "group")

@@ -228,6 +228,21 @@ def test_similar(spark, odd, empty):
     assert left.columns == odd.columns and left.where("doc_id = 4").count() == 2 and simhash.keep_first(empty).count() == 0
 
 
+@pytest.mark.parametrize("bucket, weight", [(simhash.BUCKET, simhash.WEIGHT), (2, 300)])
+def test_similar_by_whole_shingle_sets(spark, monkeypatch, bucket, weight):
+    """0.86 of the shingles is near, 0.78 is not, however the sketch errs and the groups are dealt."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "WEIGHT", weight)
+    rnd = random.Random(11)
+    rows = []
+    for k in range(60):
+        text = [f"w{rnd.randrange(4000)}" for _ in range(204)]  # 200 shingles; a changed word takes five
+        for j, n in enumerate((0, 3, 5)):
+            rows.append((3 * k + j, " ".join("other" if n and i % 40 == 20 - j and i < 40 * n else w for i, w in enumerate(text))))
+    kept = sorted(r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [i for k in range(60) for i in (3 * k, 3 * k + 2)]
+
+
 def test_substring(spark, docs, odd, empty):
     rnd = random.Random(2)
     words = [w.strip(".") for r in docs.limit(60).collect() for w in r["text"].split()]
