@@ -267,6 +267,19 @@ def test_substring(spark, docs, odd, empty):
     assert out.where("doc_id = 1").first()["text"] is None
 
 
+def test_substring_cuts_by_content(spark):
+    """A passage of 51 words without any mark is found wherever it stands in a sentence, in any script."""
+    rnd = random.Random(12)
+    rows = []
+    for k in range(40):
+        letters = "aeiourst" if k % 2 else "αεικνορτ"
+        some = lambda n, letters=letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(n))
+        passage = some(51)
+        rows += [(2 * k, f"{some(rnd.randint(1, 40))} {passage} {some(rnd.randint(1, 40))}"), (2 * k + 1, f"{some(rnd.randint(1, 40))} {passage} {some(rnd.randint(1, 40))}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((got[i] > 0) == (i % 2 == 1) for i in got) and len(got) == 80
+
+
 def test_hnsw(spark):
     rng = np.random.default_rng(7)
     rows = []
