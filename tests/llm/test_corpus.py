@@ -367,6 +367,19 @@ def test_restoring():
     assert [m.restore(w) for w in ("st.u.p.i.d", "stuuupid", "tr@sh", "m0ron", "lo$er", "reader")] == ["stupid", "stupid", "trash", "moron", "loser", "reader"]
 
 
+def test_spelled_out():
+    """Toxic words are found in runs of spaced letters with other words before, of three letters, of any length, and in
+    long words that separators join."""
+    clean = [(f"a so the thing reader stone is of and read this text number {k}", 0) for k in range(60)]
+    m = toxicity.fit([*clean, *((f"you stupid and the dim moron {k}", 1) for k in range(60))])
+    alone = m.score("stupid")
+    assert alone >= 0.7 > m.score("a s o t h e r e a d e r")
+    for text in ("a s t u p i d", "s o s t u p i d", " ".join("thereader" * 5 + "stupid" + "thestone" * 9), "_".join("thereaderofthestoneandthereader" + "stupid" + "isathing"), "s_o_s_t_u_p_i_d"):
+        assert m.score(text) >= alone, text
+    assert m.score("so d i m") == m.score("so dim") > m.score("so")
+    assert m.chars.spell("sostupid" * 2_000) == ["so", "stupid"] * 2_000
+
+
 def url_by_hand(url):
     if url is None or "://" not in url:
         return "", ""
