@@ -3,9 +3,10 @@
 Vectors are compared only within a label. Equal vectors of a label are one class first, with the number of its copies;
 classes are dealt by hash into shards of about ``SHARD`` vectors. Each shard builds its own graph (layers by random
 levels, neighbours chosen so that they don't crowd each other), and every class of the label queries every shard of
-it, many at a time. A query's beam is widened while it still ends within the threshold or its best results change; and
-each shard audits itself: a fixed share of its queries is also answered by brute force, and while the graph misses
-more than ``MISS`` of their links the beam doubles for all, up to the whole shard, which is exact. Cosines are verified
+it, many at a time. A query's beam is widened while it still ends within the threshold; a query whose beam ends unfilled
+has met a part of the graph that nothing leads out of, and is answered by brute force. Each shard audits itself: a fixed
+share of its queries is also answered by brute force (their links are the audit's own), and while the graph misses more
+than ``MISS`` of these links the beam doubles for all, up to the whole shard, which is brute force. Cosines are verified
 in double precision. A shard's task returns the number of links of each query, copies counted, and a spanning forest of
 what it linked; the components come from ``connected_components``.
 
@@ -158,14 +159,26 @@ class Graph:
         return self.search_layer(q, m, near, entry, beam)
 
 
+def brute(graph: Graph, q: np.ndarray, rows: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of all pairs of the queries ``rows`` at ``margin`` or more."""
+    r, c = np.nonzero(q[rows] @ graph.v.T >= margin)
+    return rows[r], c
+
+
 def hits(graph: Graph, q: np.ndarray, exact_q: np.ndarray, exact_v: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of the links that beams of ``beam`` or more find, verified in double precision."""
+    """(query, node) of the links that beams of ``beam`` or more find, verified in double precision; of all links where
+    the beam is the whole shard or ends unfilled."""
     margin = threshold - 1e-4
     todo, found = np.arange(len(q)), []
     while len(todo):
+        if beam >= len(graph.v):
+            found.append(brute(graph, q, todo, margin))
+            break
         ids, sims = graph.search(q[todo], beam)
-        again = (sims[:, -1] >= margin) & (ids.shape[1] < len(graph.v))  # the beam ends within the threshold
-        r, c = np.nonzero((sims >= margin) & ~again[:, None])
+        short = sims[:, -1] < -1.5  # fewer nodes than the beam can be reached
+        found.append(brute(graph, q, todo[short], margin))
+        again = sims[:, -1] >= margin  # the beam ends within the threshold
+        r, c = np.nonzero((sims >= margin) & ~(again | short)[:, None])
         found.append((todo[r], ids[r, c]))
         todo, beam = todo[again], beam * 4
     a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
@@ -233,6 +246,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
                             if missed <= MISS * truth.sum() or beam >= len(exact):
                                 break
                             beam *= 2
+                        own_a, own_c = np.nonzero(truth)
+                        rest = ~np.isin(a, sample)
+                        a, c = np.concatenate((a[rest], sample[own_a])), np.concatenate((c[rest], own_c))
                         same = ids[c] == q_ids[a]
                         links = np.bincount(a[~same], copies[c[~same]], len(q)).astype(np.int64)
                         other = (~same).nonzero()[0]

@@ -303,6 +303,21 @@ def test_hnsw(spark):
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_hnsw_cut_off():
+    """Nodes that no link of the graph leads to are found all the same."""
+    rng = np.random.default_rng(8)
+    v = np.concatenate([c + rng.normal(size=(100, 16)) * 0.01 for c in rng.normal(size=(3, 16))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph = hnsw.Graph(v.astype(np.float32))
+    exact = v[graph.order]
+    near = graph.layers[-1][1]
+    near[graph.order[np.maximum(near, 0)] // 100 != (graph.order // 100)[:, None]] = -1  # no link leaves its cluster
+    want = exact @ exact.T >= 0.98
+    for beam in (32, 400):
+        a, c = hnsw.hits(graph, exact.astype(np.float32), exact, exact, 0.98, beam)
+        assert Counter(zip(a.tolist(), c.tolist(), strict=True)) == Counter(zip(*(x.tolist() for x in np.nonzero(want)), strict=True))
+
+
 # -- filters ------------------------------------------------------------------------------------------------------------
 
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
