@@ -428,6 +428,15 @@ def test_url_rules_generalise(spark):
     assert all(hit[i] == (i < 60) for i in hit)
 
 
+def test_url_rules_are_all_kept(spark):
+    """All rules stay that have no rule as a part, however many there are; the others go."""
+    rules = [(("h:a",), 1.0, 30), *((("h:a", f"p:{i:05}", "q:x"), 1.0, 30) for i in range(3000)), *((("h:b", f"p:{i:05}", "q:x"), 1.0, 30) for i in range(9000)), (("p:00001", "q:x"), 1.0, 30)]
+    df = spark.createDataFrame(rules, "own array<string>, confidence double, n long")
+    want = {("h:a",), ("p:00001", "q:x"), *(("h:b", f"p:{i:05}", "q:x") for i in range(9000) if i != 1)}
+    got = [tuple(r["own"]) for r in url_filter.pruned(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 # -- pipeline -----------------------------------------------------------------------------------------------------------
 
 
