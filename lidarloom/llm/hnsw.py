@@ -1,14 +1,18 @@
 """Operator 7: embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
-Vectors are compared only within a label. Equal vectors of a label are one class first, with the number of its copies;
-classes are dealt by hash into shards of about ``SHARD`` vectors. Each shard builds its own graph (layers by random
-levels, neighbours chosen so that they don't crowd each other), and every class of the label queries every shard of
-it, many at a time. A query's beam is widened while it still ends within the threshold; a query whose beam ends unfilled
-has met a part of the graph that nothing leads out of, and is answered by brute force. Each shard audits itself: a fixed
-share of its queries is also answered by brute force (their links are the audit's own), and while the graph misses more
-than ``MISS`` of these links the beam doubles for all, up to the whole shard, which is brute force. Cosines are verified
-in double precision. A shard's task returns the number of links of each query, copies counted, and a spanning forest of
-what it linked; the components come from ``connected_components``.
+Vectors are compared only within a label. Equal vectors of a label are one class first, with the number of its copies.
+A label has as many shards as its vectors need at ``VALUES`` components each (65,536 vectors of 64 dimensions), so most
+labels have one. Each shard's graph (layers by random levels, neighbours chosen so that they don't crowd each other) is
+built once and written down, a row per node. Every class of the label then queries every shard of it: queries go out in
+lots, each lot with the graph, so that a large label keeps many tasks busy. A graph travels to about four lots for each
+shard of its label.
+
+A query's beam is widened while it still ends within the threshold; a query whose beam ends unfilled has met a part of
+the graph that nothing leads out of, and is answered by brute force, and so is one whose beam would take in an eighth
+of the shard. Each task audits itself: one query in ``AUDIT`` is also answered by brute force (its links are the audit's
+own), and while the graph misses more than ``MISS`` of these links the beam doubles for all. Cosines are verified in
+double precision. A task returns the number of links of each query, copies counted, and a spanning forest of what it
+linked; the components come from ``connected_components``.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and vectors whose label is null, link with
 nothing: n_links 0 and a component of their own. Vectors of different dimensions never link. Rows with a repeated
@@ -25,37 +29,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarloom.llm.common import connected_components, materialize
+from lidarloom.llm.common import connected_components, materialize, split_by, with_least
 
-THRESHOLD, SHARD, DEGREE, BEAM, AUDIT, MISS = 0.98, 1024, 12, 32, 16, 0.005
-#: Queries that one task answers against one shard, about.
-QUERIES = 16_384
+THRESHOLD, DEGREE, BEAM, AUDIT, MISS = 0.98, 12, 32, 50, 0.005
+#: Components of the vectors of a shard at most, queries of a lot at least, nodes that a graph begins with.
+VALUES, QUERIES, FIRST = 1 << 22, 1024, 4096
 
 
 class Graph:
     """A navigable small-world graph over unit vectors; all searches run for many queries at once."""
 
-    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, seed: int = 0):
-        self.v = vectors
+    def __init__(self, vectors: np.ndarray, layers: list[tuple[int, np.ndarray]]):
+        self.v, self.layers = vectors, layers  # layers from the top: (nodes in the layer, neighbours of each)
+
+    @classmethod
+    def build(cls, vectors: np.ndarray, degree: int = DEGREE, seed: int = 0) -> tuple[Graph, np.ndarray]:
+        """The graph, and the order of the vectors in it: the upper layers first."""
         n = len(vectors)
         rng = np.random.default_rng(seed)
         levels = np.minimum((-np.log(rng.random(n) + 1e-300) / np.log(degree)).astype(int), 6)
-        self.order = np.argsort(-levels, kind="stable")  # the upper layers first
-        self.v = vectors[self.order]
-        levels = levels[self.order]
-        self.layers = []  # (nodes in the layer, neighbours of each)
+        order = np.argsort(-levels, kind="stable")
+        out, levels = cls(vectors[order], []), levels[order]
         for level in range(int(levels.max(initial=0)), -1, -1):
             m = int((levels >= level).sum())
-            self.layers.append((m, self.connect(m, 2 * degree if level == 0 else degree)))
+            out.layers.append((m, out.connect(m, 2 * degree if level == 0 else degree)))
+        return out, order
+
+    def rows(self) -> list[np.ndarray]:
+        """Each node's neighbours, of the lowest layer first."""
+        parts = [near for _, near in reversed(self.layers)]
+        return [np.concatenate([near[i] for near in parts if i < len(near)]) for i in range(len(self.v))]
+
+    @classmethod
+    def of_rows(cls, vectors: np.ndarray, rows: list[np.ndarray], degree: int = DEGREE) -> Graph:
+        """The graph whose ``rows`` these are."""
+        size = np.array([len(x) for x in rows])
+        layers, at = [], 0
+        while (m := int((size > at).sum())) > 0:
+            width = degree if layers else 2 * degree
+            layers.append((m, np.stack([x[at : at + width] for x in rows[:m]]).astype(np.int32)))
+            at += width
+        return cls(vectors, layers[::-1])
 
     def connect(self, m: int, degree: int) -> np.ndarray:
         """Neighbours within the first ``m`` vectors, filled in growing rounds: the nearest that the graph so far finds
         and the nearest of the same round, then their reverse links."""
         near = np.full((m, degree), -1, np.int32)
         done = 0
-        step = 256
         while done < m:
-            stop = min(m, done + max(step, done))
+            stop = min(m, done + max(FIRST, done))
             for at in range(done, stop, 512):
                 part = np.arange(at, min(at + 512, stop))
                 lots = []
@@ -80,7 +102,7 @@ class Graph:
         ids, sims = np.take_along_axis(ids, rank, 1), np.take_along_axis(sims, rank, 1)
         valid = sims > -1.5
         w = self.v[np.maximum(ids, 0)]
-        between = np.einsum("bid,bjd->bij", w, w)
+        between = w @ w.transpose(0, 2, 1)
         chosen = np.zeros(ids.shape, bool)
         for j in range(k):
             crowd = (chosen & (between[:, j, :] > sims[:, j : j + 1])).any(1)
@@ -167,11 +189,11 @@ def brute(graph: Graph, q: np.ndarray, rows: np.ndarray, margin: float) -> tuple
 
 def hits(graph: Graph, q: np.ndarray, exact_q: np.ndarray, exact_v: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of the links that beams of ``beam`` or more find, verified in double precision; of all links where
-    the beam is the whole shard or ends unfilled."""
+    the beam would be an eighth of the shard or ends unfilled."""
     margin = threshold - 1e-4
     todo, found = np.arange(len(q)), []
     while len(todo):
-        if beam >= len(graph.v):
+        if 8 * beam >= len(graph.v):
             found.append(brute(graph, q, todo, margin))
             break
         ids, sims = graph.search(q[todo], beam)
@@ -201,19 +223,42 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("label").cast("long").alias("label"), v.cast("array<double>").alias("v"), F.col("vec_id").cast("long").alias("vec_id")).groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.min(F.struct(F.xxhash64("v").alias("h"))).alias("h")).select("label", F.size("v").alias("dim"), "v", "first", "copies", F.col("h.h").alias("hash"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
+def graphs(sized: DataFrame, shards: int) -> DataFrame:
+    """(label, dim, shard, rank, node, v, copies, near): the nodes of every shard's graph."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, own in split_by(batches, 3):
+            ids, copies = (np.concatenate([x.column(i).to_numpy() for x in own]) for i in (3, 5))
+            exact = np.concatenate([unit(x.column(4)) for x in own])
+            graph, order = Graph.build(exact.astype(np.float32))
+            ids, copies, exact, near = ids[order], copies[order], exact[order], graph.rows()
+            for at in range(0, len(ids), 1024):
+                lot = slice(at, at + 1024)
+                n = len(ids[lot])
+                keys = [pa.array(np.full(n, k), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                v = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * exact.shape[1], exact[lot].ravel())
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(at, at + n), pa.int32()), pa.array(ids[lot]), v, pa.array(copies[lot]), pa.array(near[lot], pa.list_(pa.int32()))], ["label", "dim", "shard", "rank", "node", "v", "copies", "near"])
+
+    dealt = sized.select("label", "dim", F.pmod("hash", F.col("shards").cast("long")).cast("int").alias("shard"), "node", "v", "copies")
+    return dealt.repartition(shards, "label", "dim", "shard").sortWithinPartitions("label", "dim", "shard").mapInArrow(work, "label long, dim int, shard int, rank int, node long, v array<double>, copies long, near array<int>")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, values: int = VALUES) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per vector."""
+    parts = 4 * max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     classes = materialize(classes_of(vectors).withColumn("node", F.xxhash64("label", "v")))
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    sizes = sizes.select("label", "dim", F.ceil(F.col("n") / shard).cast("int").alias("shards"), F.ceil(F.col("n") / QUERIES).cast("int").alias("lots"))
+    sizes = sizes.withColumn("shards", F.ceil(F.col("n") / F.greatest(F.lit(values) / F.col("dim"), F.lit(1))).cast("int"))
+    sizes = sizes.select("label", "dim", "shards", F.ceil(F.col("n") / F.greatest(F.col("n") / (4 * F.col("shards")), F.lit(QUERIES))).cast("int").alias("lots"))
     sized = classes.join(sizes, ["label", "dim"])
-    # every shard goes to each lot of its label's queries, every query to each shard of its label
-    members = sized.select("label", "dim", F.pmod("hash", F.col("shards").cast("long")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(0).alias("kind"), "node", "v", "copies")
-    asking = sized.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("node"), F.col("lots").cast("long")).cast("int").alias("lot"), F.lit(1).alias("kind"), "node", "v", "copies")
+    built = materialize(graphs(sized, parts))
+    # every graph goes to each lot of its label's queries, every query to each shard of its label
+    members = built.join(sizes, ["label", "dim"]).select("label", "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "rank", "node", "v", "copies", "near")
+    asking = sized.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("node"), F.col("lots").cast("long")).cast("int").alias("lot"), F.lit(None).cast("int").alias("rank"), "node", "v", "copies", F.lit(None).cast("array<int>").alias("near"))
     key = ["label", "dim", "shard", "lot"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members of a (shard, lot) come first; the queries then stream by."""
+        """A graph comes first, its nodes by rank; its queries then stream by."""
         at, own, graph, beam = None, [], None, BEAM
         for b in batches:
             keys = np.stack([b.column(i).to_numpy() for i in range(4)], axis=1)
@@ -224,26 +269,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
                 if at != tuple(keys[start]):
                     at, own, graph, beam = tuple(keys[start]), [], None, BEAM
                 part = b.slice(start, stop - start)
-                member = part.column(4).to_numpy() == 0
-                split = int(member.sum())
+                split = len(part) - part.column(4).null_count
                 if split:
                     own.append(part.slice(0, split))
                 if split < len(part):
                     if graph is None:
-                        ids = np.concatenate([x.column(5).to_numpy() for x in own])
+                        ids, copies = (np.concatenate([x.column(i).to_numpy() for x in own]) for i in (5, 7))
                         exact = np.concatenate([unit(x.column(6)) for x in own])
-                        copies = np.concatenate([x.column(7).to_numpy() for x in own])
-                        graph = Graph(exact.astype(np.float32))
-                        ids, exact, copies = ids[graph.order], exact[graph.order], copies[graph.order]
+                        graph = Graph.of_rows(exact.astype(np.float32), [np.asarray(near) for x in own for near in x.column(8).to_numpy(zero_copy_only=False)])
                     for x in range(split, len(part), 1024):
                         lot = part.slice(x, 1024)
-                        q_ids, q, q_copies = lot.column(5).to_numpy(), unit(lot.column(6)), lot.column(7).to_numpy()
+                        q_ids, q = lot.column(5).to_numpy(), unit(lot.column(6))
                         sample = np.flatnonzero(q_ids % AUDIT == 0)
                         truth = (q[sample] @ exact.T) >= threshold
                         while True:
                             a, c = hits(graph, q.astype(np.float32), q, exact, threshold, beam)
                             missed = truth.sum() - np.isin(a, sample).sum()
-                            if missed <= MISS * truth.sum() or beam >= len(exact):
+                            if missed <= MISS * truth.sum() or 8 * beam >= len(exact):
                                 break
                             beam *= 2
                         own_a, own_c = np.nonzero(truth)
@@ -274,13 +316,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
         other = [*([None] * len(some)), *(y for _, y in forest)]
         return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([*links[some].tolist(), *([0] * len(forest))], pa.int64()), pa.array(other, pa.int64())], ["node", "links", "other"])
 
-    dealt = members.union(asking).repartition(*key).sortWithinPartitions(*key, "kind")
+    dealt = members.union(asking).repartition(parts, *key).sortWithinPartitions(*key, F.asc_nulls_last("rank"))
     found = materialize(dealt.mapInArrow(work, "node long, links long, other long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = classes.join(components, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
+    named = materialize(classes.join(components, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    named = with_least(named, "component", F.col("first"), "component_id").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     out = base.join(named, (base["label"] == named["label"]) & (base["v"] == named["v"]), "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
