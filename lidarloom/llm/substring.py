@@ -14,11 +14,13 @@ there, else from a cut after one of the words 7 to 14: a run starts at word 15 o
 before. If the sentence in which the passage ends starts at word 34 or before, it has over 12 words of the passage alone,
 so it is cut after one of the words 34 to 41 at the latest; else its start ends the run.
 
-A hash that very many documents share is pre-aggregated before it is shuffled; the join back is on the hash alone and
-leaves the skewed partitions to adaptive execution, which splits them. Rows that agree in id and text are one
-document, and keep their rows; rows with the same id and different texts are different documents; a null id sorts
-first. Null text stays null; texts with fewer words than a run are never changed. Extra columns pass through
-``deduplicate`` unchanged, unless they are named like its own (``removed``, ``n_removed``).
+The runs are written down once, a row each. A hash that very many documents share is pre-aggregated before it is
+shuffled; the join back is on the hash alone, between plain shuffles whose skewed partitions adaptive execution splits.
+
+Rows that agree in id and text (128 bits of its hash) are one document, and keep their rows; rows with the same id, or
+with none, and different texts are different documents, in the order of the input. A null id sorts first. Null text
+stays null; texts with fewer words than a run are never changed. Extra columns pass through ``deduplicate`` unchanged.
+Its own two columns are ``n_removed`` and ``removed``, with underscores added if ``docs`` has columns of these names.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lidarloom.llm.common import materialize, resident, small_batches
+from lidarloom.llm.common import free, materialize, resident, small_batches, text_key
 
 RUN, WORDS, PIECE, WINDOW = 2, 20, 12, 8
 END = re.compile(r"[.!?]+\s+|\n+\s*")
@@ -109,18 +112,22 @@ def runs(normal: list[bytes], words: list[int], run: int = RUN, least: int = WOR
         filled -= words[i] > 0
 
 
+SPANS = "h long, g int, doc_id long, row long, at int, t1 long, t2 long"
+
+
 def spans(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
-    """(h, g, doc_id, place): every run of every text; h and g are 96 bits of its hash, place is the text's mark and
-    the run's first sentence."""
+    """(h, g, doc_id, row, at, t1, t2): every run of every text; h and g are 96 bits of its hash, row numbers the texts
+    in the order of the input, at is the run's first sentence. t1 and t2, the text's own hash, stand with its first run."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         resident("spans", dict)
+        row = TaskContext.get().partitionId() << 32
         for b in batches:
-            digests, row, at = [], [], []
+            digests, whose, at = [], [], []
             digest = xxhash.xxh3_128_digest
-            for r, text in enumerate(b.column(2).to_pylist()):
+            for r, text in enumerate(b.column(3).to_pylist()):
                 if not text:
                     continue
                 _, normal, words = sentences(text, places=False)
@@ -128,36 +135,39 @@ def spans(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
                 for i, n in runs(normal, words, run, least):
                     digests.append(digest(b" ".join(normal[i : i + n])))
                     at.append(i)
-                row += [r] * (len(at) - before)
-            take = np.array(row, np.int32)
-            place = b.column(1).to_numpy()[take].astype(np.int64) << 32 | np.array(at, np.int64)
+                whose += [r] * (len(at) - before)
+            take = np.array(whose, np.int32)
             found = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 1]), pa.array((found[:, 0] >> 32).astype(np.int32)), b.column(0).take(pa.array(take)), pa.array(place)], ["h", "g", "doc_id", "place"])
-
-    return keyed(docs).mapInArrow(work, "h long, g int, doc_id long, place long")
-
+            more = np.concatenate(([False], take[1:] == take[:-1])) if len(take) else np.empty(0, bool)
+            key = [pa.array(b.column(k).to_numpy()[take], mask=more) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 1]), pa.array((found[:, 0] >> 32).astype(np.int32)), b.column(0).take(pa.array(take)), pa.array(row + take.astype(np.int64)), pa.array(at, pa.int32()), *key], ["h", "g", "doc_id", "row", "at", "t1", "t2"])
+            row += b.num_rows
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("mark"), "text")
+    t1, t2 = text_key(F.col("text"))
+    return small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(work, SPANS)
 
 
 def covered(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
-    """(doc_id, mark, cover): per document, the first sentences of the runs that occur elsewhere before."""
-    every = spans(docs, run, least)
-    place = F.struct("doc_id", "place")
+    """(doc_id, t1, t2, cover): per document, the first sentences of the runs that occur elsewhere before."""
+    every = materialize(spans(docs, run, least))
+    place = F.struct("doc_id", "row", "at")
     first = every.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    # written down, so that the join below is one of plain shuffles, whose skewed partitions adaptive execution splits
-    later = every.join(materialize(first), ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("mark")).agg(F.collect_set(F.col("place").bitwiseAND(0x7FFFFFFF).cast("int")).alias("cover"))
+    later = every.select("h", "g", "doc_id", "row", "at").join(materialize(first), ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
+    cover = later.groupBy("row").agg(F.collect_set("at").alias("cover"))
+    # of rows that agree in id and text, the first speaks for all
+    rows = every.where("t1 is not null").groupBy("doc_id", "t1", "t2").agg(F.min("row").alias("row"))
+    return rows.join(cover, "row").select("doc_id", "t1", "t2", "cover")
 
 
 def deduplicate(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
     """``docs`` with the repeated sentences taken out of ``text``, and n_removed (sentences) and removed (the code
     point ranges ``start:end`` taken out, comma-joined) added."""
-    base = docs.select(*(c for c in docs.columns if c not in ("removed", "n_removed")))
-    found = covered(docs, run, least).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("cover").alias("__cover"))
-    joined = base.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.shiftright(F.xxhash64("text"), 32).cast("int").eqNullSafe(F.col("__mark")), "left").drop("__id", "__mark")
-    schema = T.StructType([*base.schema.fields, T.StructField("n_removed", T.IntegerType()), T.StructField("removed", T.StringType())])
+    base, count, which = docs, free(docs, "n_removed"), free(docs, "removed")
+    names = [free(docs, n) for n in ("its_id", "its_t1", "its_t2", "its_cover")]
+    found = covered(docs, run, least).toDF(*names)
+    t1, t2 = text_key(F.col("text"))
+    joined = base.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (t1 == F.col(names[1])) & (t2 == F.col(names[2])), "left").drop(*names[:3])
+    schema = T.StructType([*base.schema.fields, T.StructField(count, T.IntegerType()), T.StructField(which, T.StringType())])
     where = base.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +195,6 @@ def deduplicate(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFram
                 texts[r] = "".join([*keep, text[at:]])
             columns = list(b.columns[:-1])
             columns[where] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32()), pa.array(ranges, pa.string())], [*b.schema.names[:-1], "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32()), pa.array(ranges, pa.string())], [*b.schema.names[:-1], count, which])
 
     return joined.mapInArrow(work, schema)
