@@ -70,24 +70,24 @@ SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c
 
 
 def sql_urls() -> str:
-    """The listed rules, and every combination of at most four tokens tried outright."""
+    """The listed rules, and every combination of tokens tried outright."""
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
-    e = url_filter.EACH
+    u = url_filter
     return rf"""
-WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{u.UPPER}', '{u.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rules(h, p, v) AS (VALUES {rules}),
 m AS (SELECT u.page_id, h || p AS rule, v, row_number() OVER (PARTITION BY u.page_id ORDER BY length(h || p) DESC) AS k FROM u JOIN rules ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p)),
 j AS (SELECT u.*, m.rule, m.v FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.k = 1),
-a AS (SELECT page_id, list_filter(string_split(host, '.'), lambda x: x <> '') AS hp, list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+(\.[a-z]+)?') AND length(x) <= 64) AS pw,
-  list_filter(list_transform(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> '' AND length(x) <= 64) AS qk FROM j WHERE host <> ''),
-t AS (SELECT DISTINCT page_id, unnest(list_concat(list_transform(hp[-{e}:], lambda x: 'h:' || x), CASE WHEN len(hp) >= 2 THEN ['d:' || hp[-2] || '.' || hp[-1]] ELSE [] END, list_transform(pw[:{e}], lambda x: 'p:' || x), list_transform(qk[:{e}], lambda x: 'q:' || x))) AS t FROM a),
-n AS (SELECT ceil(least(1.0, greatest({url_filter.SUPPORT}, {url_filter.LEAST} / count(*)::DOUBLE)) * count(*)) AS least FROM (SELECT page_id FROM t UNION SELECT page_id FROM j WHERE v = 'block')),
-c AS (SELECT page_id, t AS c FROM t UNION ALL SELECT a.page_id, a.t || ' ' || b.t FROM t a JOIN t b ON a.page_id = b.page_id AND a.t < b.t
-  UNION ALL SELECT a.page_id, a.t || ' ' || b.t || ' ' || c.t FROM t a JOIN t b ON a.page_id = b.page_id AND a.t < b.t JOIN t c ON a.page_id = c.page_id AND b.t < c.t
-  UNION ALL SELECT a.page_id, a.t || ' ' || b.t || ' ' || c.t || ' ' || d.t FROM t a JOIN t b ON a.page_id = b.page_id AND a.t < b.t JOIN t c ON a.page_id = c.page_id AND b.t < c.t JOIN t d ON a.page_id = d.page_id AND c.t < d.t),
-g AS (SELECT c.c FROM c JOIN j USING (page_id) GROUP BY c.c HAVING count(*) FILTER (j.v = 'block') >= (SELECT least FROM n) AND count(*) FILTER (j.v = 'block') >= {url_filter.CONFIDENCE} * count(*)),
-hit AS (SELECT DISTINCT c.page_id FROM c JOIN g USING (c))
-SELECT j.page_id, host, path, rule, coalesce(v, CASE WHEN hit.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN hit ON hit.page_id = j.page_id
+a AS (SELECT page_id, list_filter(string_split(host, '.'), lambda x: x <> '') AS hp, list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+(\.[a-z]+)?')) AS pw,
+  list_filter(list_transform(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> '') AS qk FROM j WHERE host <> ''),
+t AS (SELECT DISTINCT page_id, unnest(list_concat(list_transform(hp, lambda x: 'h:' || x), CASE WHEN len(hp) >= 2 THEN ['d:' || hp[-2] || '.' || hp[-1]] ELSE [] END, list_transform(pw, lambda x: 'p:' || x), list_transform(qk, lambda x: 'q:' || x))) AS t FROM a),
+n AS (SELECT count(*) FILTER (v = 'block') AS b, count(*) FILTER (v = 'allow') AS a, count(*) FILTER (v IS NULL) AS o FROM j),
+c AS (SELECT page_id, t AS c, t AS last FROM t UNION ALL SELECT c.page_id, c.c || ' ' || t.t, t.t FROM c JOIN t ON c.page_id = t.page_id AND c.last < t.t),
+s AS (SELECT c.c, count(*) FILTER (j.v = 'block') AS b, count(*) FILTER (j.v = 'allow') AS a, count(*) FILTER (j.v IS NULL) AS o FROM c JOIN j USING (page_id) GROUP BY c.c),
+p AS (SELECT c, s.b, s.a, s.b / greatest(1, n.b) AS pb, s.a / greatest(1, n.a) AS pa, {u.OPEN} * s.o / greatest(1, n.o) AS po, greatest({u.LEAST}, {u.SUPPORT} * (n.b + n.a)) AS least FROM s, n),
+g AS (SELECT c, 'block' AS says FROM p WHERE b >= least AND pb / (pb + pa + po) >= {u.CONFIDENCE} UNION ALL SELECT c, 'allow' FROM p WHERE a >= least AND pa / (pb + pa + po) >= {u.CONFIDENCE}),
+hit AS (SELECT c.page_id, CASE WHEN count(*) FILTER (says = 'allow') = 0 THEN 'block' ELSE 'allow' END AS says FROM c JOIN g USING (c) GROUP BY c.page_id)
+SELECT j.page_id, host, path, rule, coalesce(v, hit.says, 'allow') AS verdict, v IS NULL AND hit.says IS NOT NULL AS mined FROM j LEFT JOIN hit ON hit.page_id = j.page_id
 """
 
 
