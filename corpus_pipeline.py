@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lidarloom.llm import packing, pii, simhash, substring, toxicity
-from lidarloom.llm.common import materialize
+from lidarloom.llm.common import free, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the limit go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.scored(docs, labels, "__score").where(F.col("__score") < toxicity.REJECT).drop("__score")
+    score = free(docs, "score")
+    return toxicity.scored(docs, labels, score).where(F.col(score) < toxicity.REJECT).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
