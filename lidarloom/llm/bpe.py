@@ -1,11 +1,15 @@
 """Operator 3: BPE encoding and decoding by tree concatenation.
 
-A text is cut in halves until the leaves are short, and the leaves are encoded independently of each other; texts are
-rows of their own, so Spark encodes them in parallel. Each join of two halves is then repaired by re-encoding a window
-around it that grows until its tokens agree with both sides. White space is a boundary that no token crosses (the
-tokenizer drops it), so in ordinary text the window ends at the words around the cut. A run without white space has no
-such boundary: there the window grows by tokens (``join_runs``). Words and pre-tokens met before come from the
-worker's own bounded caches.
+A text of more than ``LONG`` code points is cut, wherever that falls, in leaves of ``LEAF``, which are rows of their own:
+Spark deals them out and encodes them in parallel. A leaf sends on the ids of its inner words, and its first and last
+words as they stand. Each join of two leaves is then repaired: a window of one word on either side, or two, or four ...
+is encoded again until its outermost words and their tokens are those that both sides have (``join``). A leaf without
+enough white space to hold such words becomes part of the window as a whole. Shorter texts are encoded where they lie.
+
+White space is a boundary that no token crosses (the tokenizer drops it), so in ordinary text the window ends at the
+words around the cut. Within a long run without white space it grows by tokens: the run's pieces of ``RUN`` characters
+are encoded by themselves, and halves are joined pair by pair (``join_runs``). Words and pre-tokens met before come from
+the worker's own bounded caches.
 
 Why agreement is exact: a token sequence is the BPE encoding of its text if and only if every two neighbouring
 tokens are the encoding of their own concatenation. Once a window shares one token with each side, every neighbouring
@@ -25,11 +29,13 @@ from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lidarloom.llm.common import resident, small_batches
 
-#: Code points of a leaf, code points of a run that is encoded as one, entries of a worker's cache.
-LEAF, RUN, CACHE = 16_384, 64, 320_000
+#: Code points of a leaf and of a text that is encoded where it lies, words on either end of a leaf that joins may take
+#: in, code points of a run that is encoded as one, entries of a worker's cache.
+LEAF, LONG, EDGE, RUN, CACHE = 16_384, 32_768, 4, 64, 320_000
 #: What the tokenizer's ``\\s`` matches; ``str.split()`` also cuts at U+001C to U+001F, which ``\\s`` doesn't match.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT, ODD = re.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]")
@@ -101,12 +107,9 @@ class TreeEncoder:
         """(id, end) of the tokens of a mapped pre-token; its last character carries the end-of-word mark."""
         return [(t.id, t.offsets[1]) for t in self.tok.model.tokenize(piece)]
 
-    def encode_run(self, piece: str, ends_word: bool = True) -> list[tuple[int, int]]:
-        """Tree concatenation of a pre-token of any length. Offsets are characters of the mapped string.
-
-        ``ends_word`` false: what follows is still to come, so the last tokens, touched by the end-of-word mark, are
-        provisional and get replaced by the join.
-        """
+    def encode_run(self, piece: str) -> list[tuple[int, int]]:
+        """Tree concatenation of a pre-token of any length. Offsets are characters of the mapped string. The last
+        tokens of a part, touched by the end-of-word mark, are provisional and get replaced by the join."""
         if len(piece) <= RUN:
             return self.in_chars(piece)
         parts = [self.in_chars(piece[i : i + RUN]) for i in range(0, len(piece), RUN)]
@@ -177,50 +180,46 @@ class TreeEncoder:
 
     # -- texts -------------------------------------------------------------------------------------------------
 
-    def leaves(self, text: str) -> list[str]:
-        """Halves of halves, down to LEAF code points."""
-        if len(text) <= LEAF:
-            return [text]
-        mid = len(text) // 2
-        return self.leaves(text[:mid]) + self.leaves(text[mid:])
-
-    def words(self, text: str) -> list[str]:
-        """The words to encode: those of all leaves, where a word cut by a join is taken again over the whole window."""
-        if len(text) <= LEAF:
-            return words_of(text)
-        out: list[str] = []
-        parts: list[str] = []  # pieces of a word that one or more joins cut
-        for leaf in self.leaves(text):
-            own = words_of(leaf)
-            if not own or CUT.match(leaf):
-                if parts:
-                    out.append("".join(parts))
-                    parts = []
-            if not own:
-                continue
-            if len(own) > 1 and parts:
-                out.append("".join([*parts, own[0]]))
-                parts, own = [], own[1:]
-            last_open = not CUT.match(leaf[-1])
-            if parts or (last_open and len(own) == 1):  # the leaf is one word, or one word closes the open one
-                parts.append(own[0])
-                if not last_open:
-                    out.append("".join(parts))
-                    parts = []
-                continue
-            if last_open:
-                parts = [own.pop()]
-            out += own
-        if parts:
-            out.append("".join(parts))
-        return out
-
     def batch(self, texts: list[str]) -> Iterator[list[object]]:
         """For each text, what ``render`` makes of each of its words."""
         for text in texts:
             self.cache.shrink()
             self.pieces.shrink()
-            yield list(map(self.cache.__getitem__, self.words(text)))
+            yield list(map(self.cache.__getitem__, words_of(text)))
+
+
+    # -- leaves of long texts ----------------------------------------------------------------------------------
+
+    def ends_of(self, leaf: str) -> tuple[str, list[str], str] | None:
+        """A leaf's first ``EDGE`` words, its inner ones and its last ``EDGE``, the outer ones as they stand; nothing if
+        it has fewer. The first and the last of all may go on in the next leaf."""
+        places = [m.span() for m in NOT_SPACE.finditer(leaf)]
+        if len(places) <= 2 * EDGE:
+            return None
+        return leaf[: places[EDGE - 1][1]], words_of(leaf[places[EDGE - 1][1] : places[-EDGE][0]]), leaf[places[-EDGE][0] :]
+
+    def join(self, left: str, right: str) -> list[object]:
+        """What ``render`` makes of the words of ``left`` and ``right`` side by side: of both sides' own words but for
+        a window around the cut, which grows until its outermost words are theirs."""
+        own, its, of = words_of(left), words_of(right), self.cache.__getitem__
+        reach = 1
+        while reach <= min(len(own), len(its)):
+            window = words_of(left[starts_of(left)[-reach] :] + right[: stops_of(right)[reach - 1]])
+            if len(window) > 1 and of(window[0]) == of(own[-reach]) and of(window[-1]) == of(its[reach - 1]) and (window[0], window[-1]) == (own[-reach], its[reach - 1]):
+                return list(map(of, [*own[:-reach], *window, *its[reach:]]))
+            reach *= 2
+        return list(map(of, words_of(left + right)))
+
+
+NOT_SPACE = re.compile(f"[^{SPACE}]+")
+
+
+def starts_of(text: str) -> list[int]:
+    return [m.start() for m in NOT_SPACE.finditer(text)]
+
+
+def stops_of(text: str) -> list[int]:
+    return [m.end() for m in NOT_SPACE.finditer(text)]
 
 
 def coder_for(path: str, render: Callable[[Sequence[int], list[str]], object]) -> TreeEncoder:
@@ -232,22 +231,95 @@ def as_text(ids: Sequence[int], vocabulary: list[str]) -> tuple[str, str, int]:
     return " ".join(map(str, ids)), " ".join([vocabulary[i] for i in ids]), len(ids)
 
 
-def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+class Digest:
+    """Number of tokens, and the digests of the ids and of the tokens joined by single spaces, as words come."""
+
+    def __init__(self) -> None:
+        self.n, self.ids, self.tokens = 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: str, tokens: str, n: int) -> None:
+        if n:
+            gap = " " if self.n else ""
+            self.ids.update((gap + ids).encode())
+            self.tokens.update((gap + tokens).encode())
+            self.n += n
+
+
+def joined_up(found: Sequence[tuple[str, str, int]]) -> tuple[str, str, int]:
+    """The words' parts as one."""
+    found = [x for x in found if x[2]]
+    ids, tokens, counts = zip(*found, strict=True) if found else ((), (), ())
+    return " ".join(ids), " ".join(tokens), sum(counts)
+
+
+def encode_decode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, long: int = LONG) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text; the decoded text is the tokens joined by spaces,
     as the library decodes for a file without a decoder."""
     path = path or default_path()
     small_batches(docs)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def result(ids: pa.Array, found: list[Digest]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array([d.n for d in found], pa.int64()), pa.array([d.ids.hexdigest() for d in found], pa.string()), pa.array([d.tokens.hexdigest() for d in found], pa.string())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(path, as_text)
         for b in batches:
-            out: list[list] = [[], [], []]
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for found in coder.batch(texts):
-                ids, tokens, counts = zip(*found, strict=True) if found else ((), (), ())
-                out[0].append(sum(counts))
-                out[1].append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
-                out[2].append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            out = []
+            for found in coder.batch([t or "" for t in b.column(1).to_pylist()]):
+                out.append(Digest())
+                out[-1].add(*joined_up(found))
+            yield result(b.column(0), out)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, row, text in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+                starts = range(0, len(text), leaf)
+                for x in range(0, len(starts), 64):
+                    some = starts[x : x + 64]
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([row.as_py()] * n, pa.int64()), pa.array(range(x, x + n), pa.int32()), pa.array([text[s : s + leaf] for s in some], pa.string())], ["doc_id", "row", "k", "leaf"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = coder_for(path, as_text)
+        for b in batches:
+            rows = []
+            for text in b.column(3).to_pylist():
+                ends = coder.ends_of(text)
+                coder.cache.shrink()
+                head, inner, tail = ends or (text, [], None)
+                rows.append((head, tail, *joined_up([coder.cache[w] for w in inner])))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "row", "k", "head", "tail", "ids", "tokens", "n"])
+
+    def concatenate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Leaves come by text and place; what is not yet joined of the last one waits."""
+        coder = coder_for(path, as_text)
+        at, doc_id, digest, wait = None, None, None, []
+        for b in batches:
+            for its_id, row, _, head, tail, ids, tokens, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row != at:
+                    if at is not None:
+                        digest.add(*joined_up(coder.join("".join(wait), "")))
+                        yield result(pa.array([doc_id], pa.int64()), [digest])
+                    at, doc_id, digest, wait = row, its_id, Digest(), []
+                if tail is None:  # no word of this leaf is surely whole
+                    wait.append(head)
+                    continue
+                digest.add(*joined_up(coder.join("".join(wait), head)))
+                digest.add(ids, tokens, n)
+                wait = [tail]
+        if at is not None:
+            digest.add(*joined_up(coder.join("".join(wait), "")))
+            yield result(pa.array([doc_id], pa.int64()), [digest])
+
+    size = F.coalesce(F.length("text"), F.lit(0))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    short = rows.where(size <= long).mapInArrow(run, OUT)
+    texts = rows.where(size > long).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    leaves = texts.mapInArrow(cut, "doc_id long, row long, k int, leaf string").repartition("row", "k")
+    found = leaves.mapInArrow(encode, "doc_id long, row long, k int, head string, tail string, ids string, tokens string, n long")
+    return short.union(found.repartition("row").sortWithinPartitions("row", "k").mapInArrow(concatenate, OUT))
