@@ -4,12 +4,15 @@ What decides a packing is how many pieces there are of each length, and a piece
 so the whole corpus is summed up exactly, without sampling, in a histogram of at most ``capacity`` counts. ``plan``
 packs that histogram:
 
-1. large lengths, in descending order, are cut into groups of equal cardinality, and each length is rounded up to the
-   largest of its group, which leaves few sizes;
-2. configurations of these sizes are optimised one after the other: the largest size that is left, and with it the
-   fullest set of the others (a bounded knapsack), used as often as the counts allow;
-3. the actual lengths take the places of the rounded ones;
-4. small lengths go best-fit, in descending order, into the smallest gap that holds them, or into new sequences.
+1. large lengths, in descending order, are cut into ``GROUPS`` groups of equal cardinality, and each length is rounded
+   up to the largest of its group, which leaves few sizes;
+2. configurations of these few sizes are optimised: the linear programme of the fewest sequences is solved by column
+   generation (a knapsack finds the configuration that the programme's prices favour most, until none pays), and each
+   configuration is used as often as the solution's whole part says;
+3. what the whole parts leave over, a few pieces of each size, is filled by the fullest configurations one after the
+   other;
+4. the actual lengths take the places of the rounded ones, and in a sequence's last place the largest that fits;
+5. small lengths go best-fit, in descending order, into the smallest gap that holds them, or into new sequences.
 
 The plan is a list of runs: (length, first rank, count, first sequence, offset). Spark ranks the pieces of each length
 (counts per task, summed up over tasks, plus the rank within the task), and each piece looks its run up by length and
@@ -23,7 +26,7 @@ Extra columns are not read. An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 from struct import Struct
 from struct import pack as struct_pack
@@ -37,7 +40,8 @@ from pyspark.sql import functions as F
 from lidarloom.llm.bpe import coder_for, default_path
 from lidarloom.llm.common import materialize, small_batches
 
-CAPACITY, GROUPS = 2048, 1024
+#: Sizes that large lengths are rounded up to; lengths of at most a ``SMALL``-th of the capacity are small.
+CAPACITY, GROUPS, SMALL = 2048, 64, 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
@@ -92,28 +96,18 @@ class Bins:
         self.gap -= copies * length
 
 
-def grouped(counts: dict[int, int], groups: int) -> list[tuple[int, list[list[int]]]]:
-    """Groups of equal cardinality of the lengths in descending order: (largest, [[length, count, first rank], ...])."""
-    total = sum(counts.values())
-    each = max(1, -(-total // groups))
-    out: list[tuple[int, list[list[int]]]] = []
+def grouped(counts: dict[int, int], groups: int) -> list[list[int]]:
+    """The lengths, in descending order, in groups of equal cardinality as nearly as whole lengths allow."""
+    each = max(1, -(-sum(counts.values()) // groups))
+    out: list[list[int]] = []
     room = 0
     for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            if not room:
-                out.append((length, []))
-                room = each
-            n = min(left, room)
-            out[-1][1].append([length, n, rank])
-            rank, left, room = rank + n, left - n, room - n
-    merged: list[tuple[int, list[list[int]]]] = []
-    for size, runs in out:  # groups with the same largest length are one size
-        if merged and merged[-1][0] == size:
-            merged[-1][1].extend(runs)
-        else:
-            merged.append((size, runs))
-    return merged
+        if room <= 0:
+            out.append([])
+            room = each
+        out[-1].append(length)
+        room -= counts[length]
+    return out
 
 
 def fullest(sizes: list[int], counts: list[int], room: int) -> list[int]:
@@ -144,16 +138,95 @@ def fullest(sizes: list[int], counts: list[int], room: int) -> list[int]:
     return use
 
 
+def knapsack(sizes: np.ndarray, worth: np.ndarray, room: int) -> np.ndarray:
+    """How many of each size fill ``room`` for the most worth, any number of each."""
+    best, took = np.zeros(room + 1), np.full((len(sizes), room + 1), 0, np.int32)
+    for i, (size, w) in enumerate(zip(sizes.tolist(), worth.tolist(), strict=True)):
+        if w <= 0:
+            continue
+        start = best.copy()
+        for k in range(1, room // size + 1):  # k of this size on top of what the sizes before do
+            more = start[: room + 1 - k * size] + k * w
+            better = more > best[k * size :] + 1e-12
+            best[k * size :][better] = more[better]
+            took[i, k * size :][better] = k
+    use, at = np.zeros(len(sizes), np.int64), int(best.argmax())
+    for i in range(len(sizes) - 1, -1, -1):
+        use[i] = took[i, at]
+        at -= use[i] * sizes[i]
+    return use
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int, most: int = 2_000) -> list[tuple[list[int], int]]:
+    """(how many of each size, times): the whole part of the linear programme's solution, by column generation: revised
+    simplex steps on one basic configuration for each size, each brought in by the knapsack."""
+    n = len(sizes)
+    if not n:
+        return []
+    size, need = np.array(sizes), np.array(counts, float)
+    basis = np.diag((capacity // size).astype(float))  # a column is a configuration
+    for _ in range(most):
+        inverse = np.linalg.inv(basis)
+        prices = inverse.sum(0)  # what a place for each size is worth
+        new = knapsack(size, prices, capacity)
+        if new @ prices <= 1 + 1e-9:
+            break
+        amount, step = inverse @ need, inverse @ new
+        leave = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
+        basis[:, int(leave.argmin())] = new
+    times = np.floor(np.linalg.solve(basis, need) + 1e-9).astype(np.int64)
+    return [(basis[:, k].astype(int).tolist(), int(t)) for k, t in enumerate(times) if t > 0]
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> np.ndarray:
     """Runs (length, first rank, count, first sequence, offset) that place every piece."""
-    small = capacity // 8
     done: list[Bins] = []
     if counts.get(capacity):
         done.append(Bins(counts[capacity], 0, [(capacity, 0)]))
-    large = grouped({k: n for k, n in counts.items() if small < k < capacity and n}, groups)
-    sizes = [s for s, _ in large]
-    left = [sum(r[1] for r in runs) for _, runs in large]
+    small = capacity // SMALL
+    stock = {k: n for k, n in counts.items() if small < k < capacity and n}
+    rank = dict.fromkeys(stock, 0)
+    ready = sorted(stock)  # lengths still in stock
+    large = grouped(stock, groups)
+    sizes = [own[0] for own in large]
+    of_group = {length: i for i, own in enumerate(large) for length in own}
+    left = [sum(stock[length] for length in own) for own in large]
     bins: list[Bins] = []
+
+    def fill(use: list[int], times: int) -> None:
+        """Open ``times`` sequences of a configuration, at most, and give its places to actual lengths: the largest of
+        the group, and in the last place the largest of all that fit."""
+        slots = [i for i, u in enumerate(use) for _ in range(u)]
+        while times:
+            used: dict[int, int] = {}
+            room = capacity
+            for i in slots[:-1]:
+                length = next((x for x in large[i] if stock[x] > used.get(x, 0)), None)
+                if length is None:
+                    return
+                used[length] = used.get(length, 0) + 1
+                room -= length
+            at = bisect_right(ready, room) - 1
+            while at >= 0 and stock[ready[at]] <= used.get(ready[at], 0):
+                at -= 1
+            if at >= 0:
+                used[ready[at]] = used.get(ready[at], 0) + 1
+                room -= ready[at]
+            if not used:
+                return
+            k = min(times, *(stock[x] // u for x, u in used.items()))
+            bins.append(Bins(k, room, [(x, rank[x] + j * k) for x, u in sorted(used.items(), reverse=True) for j in range(u)]))
+            for x, u in used.items():
+                rank[x] += u * k
+                stock[x] -= u * k
+                left[of_group[x]] -= u * k
+                if not stock[x]:
+                    ready.remove(x)
+                    large[of_group[x]].remove(x)
+            times -= k
+
+    for use, times in configurations(sizes, left, capacity):
+        fill(use, times)
     first = 0
     while True:
         while first < len(sizes) and not left[first]:
@@ -164,39 +237,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
         use = fullest(sizes, left, capacity - sizes[first])
         left[first] += 1
         use[first] += 1
-        times = min(left[i] // u for i, u in enumerate(use) if u)
-        slots = [i for i, u in enumerate(use) for _ in range(u)]
-        for i, u in enumerate(use):
-            left[i] -= u * times
-        taken = []
-        for i in slots:  # the actual lengths of each slot, in runs
-            runs, need = large[i][1], times
-            own = []
-            while need:
-                length, n, rank = runs[0]
-                k = min(n, need)
-                own.append([length, k, rank])
-                need -= k
-                if k == n:
-                    runs.pop(0)
-                else:
-                    runs[0] = [length, n - k, rank + k]
-            taken.append(own)
-        while taken[0]:
-            k = min(own[0][1] for own in taken)
-            items = [(own[0][0], own[0][2]) for own in taken]
-            bins.append(Bins(k, capacity - sum(length for length, _ in items), items))
-            for own in taken:
-                own[0][1] -= k
-                own[0][2] += k
-                if not own[0][1]:
-                    own.pop(0)
+        fill(use, min(left[i] // u for i, u in enumerate(use) if u))
     by_gap: dict[int, list[Bins]] = {}
     for x in bins:
         by_gap.setdefault(x.gap, []).append(x)
     gaps = sorted(by_gap)
     for length in sorted((k for k, n in counts.items() if k <= small and k < capacity and n), reverse=True):
-        need, rank = counts[length], 0
+        need, at_rank = counts[length], 0
         while need:
             at = bisect_left(gaps, length)
             if at == len(gaps):
@@ -212,8 +259,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
             for n, copies in ((whole, each), (1 if whole < x.n and need % each else 0, need % each)):
                 if n and copies:
                     y = x.split(n) if n < x.n else x
-                    y.put(length, rank, copies)
-                    rank, need = rank + n * copies, need - n * copies
+                    y.put(length, at_rank, copies)
+                    at_rank, need = at_rank + n * copies, need - n * copies
                     if y is x:
                         x = None
                     if y.gap not in by_gap:
