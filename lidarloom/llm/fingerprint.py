@@ -4,21 +4,31 @@
 Any span's hash is (P[j] - P[i]) * B^-i, so two spans of any two texts are compared in constant time, and the longest
 common extension from two places is found by binary search.
 
-A fingerprint is a thinned prefix array: the length, the hash of the whole text and, at up to 32 multiples of a power
-of two (the smallest that leaves no more), the hashes of the prefixes and of the suffixes that long. Multiples of
-the larger of two such steps are in both fingerprints, so binary search over them finds the longest common prefix and
-suffix that they attest. Likeness is their share of the longer text; it is 1 for equal texts only, and 0 where one
-text is empty.
-
-Each document is held against the next one in descending doc_id. The ids are cut into ranges by their quantiles; each
-text travels once, to its range, and the first of each range also to the range before it. Within a range the texts
-stream by, sorted, two at a time. Rows with the same id are ordered by text; rows without an id come last. Null text
-counts as empty. A single document is its own next one; an empty table gives no rows. Extra columns are not read.
+A fingerprint is a thinned prefix array: the length, the hash of the whole text and
+
+* at up to 32 multiples of a power of two (the smallest that leaves no more), the hashes of the prefixes and of the
+  suffixes that long. Multiples of the larger of two such steps are in both fingerprints, so binary search over them
+  finds the longest common prefix and suffix that they attest;
+* the hashes and lengths of the spans between cuts that the text itself makes: behind windows of ``WINDOW`` code points
+  whose hash ends in enough zeros. The same passage is cut alike wherever it stands. A longer text has fewer cuts for
+  its length; spans of the finer of two fingerprints are put together (hashes of neighbours add up) to those of the
+  coarser one.
+
+Likeness is the larger of two shares of the longer text: what common prefix and suffix attest, and the spans that both
+have, wherever they stand. It is 1 for equal texts only, and 0 where one text is empty.
+
+Each document is held against the next one in descending doc_id. The rows are dealt into ranges of (id, hash of the
+text), cut by a bounded sample of these; each text travels once, to its range, and the first of each range also to the
+range before it. Within a range the texts stream by, sorted, two at a time. Rows with the same id are ordered by the
+hash of their text, and may lie in several ranges; rows without an id come last. Null text counts as empty. A single
+document is its own next one; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +42,9 @@ from lidarloom.llm.common import resident, small_batches
 #: Two primes below 2^31 and a base for each; checkpoints of a fingerprint on either side.
 PRIMES, BASES, CHECKPOINTS = (2_147_483_647, 2_147_483_629), (1_000_003, 805_306_457), 32
 LOWEST = -(1 << 63)
+#: Code points of a window that may cut a text, zeros that its hash ends in at least, spans of a fingerprint at most, and
+#: rows of the sample for each range.
+WINDOW, ZEROS, SPANS, SAMPLE = 8, 3, 64, 32
 
 
 class Powers:
@@ -83,6 +96,16 @@ class PrefixHashes:
             out = out << 31 | (own[stop] - own[start]) % p * down[start] % p
         return out
 
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The inner places behind each window, and the zeros that its hash, well mixed, ends in."""
+        if self.n <= WINDOW:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        own, p = self.sums[0], PRIMES[0]
+        found = (own[WINDOW:-1] - own[: -WINDOW - 1]) % p * self.powers.down[0][: self.n - WINDOW] % p
+        mixed = (found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        low = mixed & (~mixed + np.uint64(1))
+        return np.arange(WINDOW, self.n), np.bitwise_count(low - np.uint64(1)).astype(np.int64)
+
     def equal(self, i: int, other: PrefixHashes, j: int, length: int) -> bool:
         """Is the span of this text at ``i`` the other's at ``j``?"""
         at = lambda x, k: int(x.spans(np.array([k]), np.array([k + length]))[0])
@@ -98,7 +121,8 @@ class PrefixHashes:
 
 
 class Fingerprint:
-    """Length, whole hash, and 24 bits of the hashes of prefixes and suffixes at multiples of ``step``."""
+    """Length, whole hash, 24 bits of the hashes of prefixes and suffixes at multiples of ``step``, and the spans (hash,
+    length, zeros of the cut behind it) between cuts of ``zeros`` or more."""
 
     def __init__(self, h: PrefixHashes):
         n = self.n = h.n
@@ -107,14 +131,35 @@ class Fingerprint:
             self.step *= 2
         marks = np.arange(self.step, n + 1, self.step)
         zero = np.zeros(len(marks), np.int64)
-        starts = np.concatenate(([0], zero, n - marks))
-        stops = np.concatenate(([n], marks, zero + n))
+        at, zeros = h.cuts()
+        self.zeros = max(ZEROS, (n // SPANS).bit_length())
+        while (inner := zeros >= self.zeros).sum() >= SPANS:
+            self.zeros += 1
+        at, zeros = at[inner], zeros[inner]
+        starts = np.concatenate(([0], zero, n - marks, [0], at))
+        stops = np.concatenate(([n], marks, zero + n, at, [n]))
         found = h.spans(starts, stops)
+        k = len(marks)
         self.whole = int(found[0])
-        self.prefix, self.suffix = found[1 : len(marks) + 1] & 0xFFFFFF, found[len(marks) + 1 :] & 0xFFFFFF
+        self.prefix, self.suffix = found[1 : k + 1] & 0xFFFFFF, found[k + 1 : 2 * k + 1] & 0xFFFFFF
+        self.between = list(zip(found[2 * k + 1 :].tolist(), np.diff(np.concatenate(([0], at, [n]))).tolist(), [*zeros.tolist(), 99], strict=True))
 
     def __str__(self) -> str:
-        return f"{self.n:x}.{self.whole:016x}." + "".join(f"{x:06x}" for x in self.prefix.tolist()) + "." + "".join(f"{x:06x}" for x in self.suffix.tolist())
+        return f"{self.n:x}.{self.whole:016x}." + "".join(f"{x:06x}" for x in self.prefix.tolist()) + "." + "".join(f"{x:06x}" for x in self.suffix.tolist()) + f".{self.zeros:x}." + "-".join(f"{h:016x}{n:x}" for h, n, _ in self.between)
+
+    def spans_at(self, zeros: int) -> Counter[tuple[int, int]]:
+        """(hash, length) of the spans between cuts of ``zeros`` or more, put together from its own."""
+        out: Counter[tuple[int, int]] = Counter()
+        parts, n = [0] * len(PRIMES), 0
+        for found, length, last in self.between:
+            for i, (p, base) in enumerate(zip(PRIMES, BASES, strict=True)):
+                own = found >> 31 * (len(PRIMES) - 1 - i) & 0x7FFFFFFF
+                parts[i] = (parts[i] + own * pow(base, n, p)) % p if n else own
+            n += length
+            if last >= zeros:
+                out[parts[0] << 31 | parts[1], n] += 1
+                parts, n = [0] * len(PRIMES), 0
+        return out
 
     def likeness(self, other: Fingerprint) -> float:
         if self.n == other.n and self.whole == other.whole:
@@ -129,33 +174,43 @@ class Fingerprint:
                 mid = (low + high + 1) // 2
                 low, high = (mid, high) if mine[mid - 1] == its[mid - 1] else (low, mid - 1)
             shared += low * step
-        return min(shared, min(self.n, other.n)) / (max(self.n, other.n) + (self.n == other.n and shared >= self.n))
+        zeros = max(self.zeros, other.zeros)
+        within = self.spans_at(zeros) & other.spans_at(zeros)
+        shared = max(min(shared, self.n, other.n), sum(length * times for (_, length), times in within.items()))
+        longer = max(self.n, other.n)
+        return shared / longer if shared < longer else longer / (longer + 1)
 
 
 def in_ranges(docs: DataFrame) -> DataFrame:
-    """(target, copy, k, doc_id, text): one partition for each range of ids, larger ids first; the first rows of a
-    range also stand, as ``copy``, at the end of the range before (before the first range: the last one)."""
+    """(target, copy, k, h, doc_id, text): one partition for each range of (id descending, hash of the text); the first
+    rows of a range also stand, as ``copy``, at the end of the range before (before the first range: the last one)."""
     spark = small_batches(docs).sparkSession
-    rows = docs.select(docs["doc_id"].cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(LOWEST)))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("k"), F.xxhash64("text").alias("h"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = np.array(sorted({int(x) for x in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))}), np.int64)
+    # a bounded sample of keys, chosen by hash; it decides how even the ranges are, nothing else
+    sample = sorted((-r["k"], r["h"]) for r in rows.select("k", "h").orderBy(F.xxhash64("h", "k")).limit(SAMPLE * n).collect())
+    cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
+
+    def ranges(k: pd.Series, h: pd.Series) -> list[int]:
+        return [bisect_right(cuts, (-x, y)) for x, y in zip(k.tolist(), h.tolist(), strict=True)]
 
     @F.pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, k.to_numpy(), side="right"))
+    def range_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(ranges(k, h))
 
-    heads = {r["range"]: r["head"] for r in rows.groupBy(range_of("k").alias("range")).agg(F.max("k").alias("head")).collect()}
+    found = rows.select(range_of("k", "h").alias("range"), "k", "h").groupBy("range").agg(F.max(F.struct("k", (-1 - F.col("h")).alias("h"))).alias("head")).collect()
+    heads = {r["range"]: (r["head"]["k"], -1 - r["head"]["h"]) for r in found}
     full = sorted(heads)
     before = dict(zip(full, [full[-1], *full[:-1]], strict=True)) if full else {}
 
     @F.pandas_udf("array<int>")
-    def targets(k: pd.Series) -> pd.Series:
-        own = len(cuts) - np.searchsorted(cuts, k.to_numpy(), side="right")
-        return pd.Series([[r, -1 - before[r]] if heads[r] == x else [r] for r, x in zip(own.tolist(), k.tolist(), strict=True)])
+    def targets(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([[r, -1 - before[r]] if heads[r] == key else [r] for r, key in zip(ranges(k, h), zip(k.tolist(), h.tolist(), strict=True), strict=True)])
 
-    sent = rows.select(F.explode(targets("k")).alias("t"), "k", "doc_id", "text")
-    sent = sent.select(F.when(F.col("t") < 0, -1 - F.col("t")).otherwise(F.col("t")).alias("target"), (F.col("t") < 0).alias("copy"), "k", "doc_id", "text")
-    return sent.repartitionById(len(cuts) + 1, F.col("target")).sortWithinPartitions("copy", F.desc("k"), "text")
+    sent = rows.select(F.explode(targets("k", "h")).alias("t"), "k", "h", "doc_id", "text")
+    sent = sent.select(F.when(F.col("t") < 0, -1 - F.col("t")).otherwise(F.col("t")).alias("target"), (F.col("t") < 0).alias("copy"), "k", "h", "doc_id", "text")
+    return sent.repartitionById(len(cuts) + 1, F.col("target")).sortWithinPartitions("copy", F.desc("k"), "h", "text")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
