@@ -102,6 +102,11 @@ def shape(token: str) -> str:
     return f"{body}/{n if n < 20 else n // 4 * 4}"
 
 
+def core(token: str) -> str:
+    """A token without the punctuation around it."""
+    return token.strip("\"'.,;:!?()[]{}<>*#%&$")
+
+
 def tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text)]
 
@@ -109,7 +114,7 @@ def tokens(text: str) -> list[tuple[int, int]]:
 def features(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
     out = []
     for s, e in spans:
-        t = text[s:e].strip("\"'.,;:!?()[]{}<>*#%&$")
+        t = core(text[s:e])
         before = text[max(0, s - 24) : s].split()[-2:]
         digits = sum("0" <= c <= "9" for c in t)
         out.append([f"s:{shape(t)}", f"d:{min(digits, 20)}", f"b:{before[-1].lower()[:16] if before else ''}", f"c:{bool(CUE.search(text[max(0, s - 24) : s].rstrip(chr(34) + chr(39))))}", f"l:{min(len(t) // 4, 16)}", f"@:{'@' in t}{t.count('.')}"])
@@ -122,7 +127,7 @@ def edges(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarr
     rows, kinds = [], []
     last: dict[str, int] = {}
     for k, (s, e) in enumerate(spans):
-        t = text[s:e]
+        t = core(text[s:e])
         if k:
             rows.append((k - 1, k))
             kinds.append(0)
@@ -146,9 +151,9 @@ def weak_labels(text: str, spans: list[tuple[int, int]], base: list[tuple[int, i
         if not kind and e - s >= 20 and CUE.search(text[max(0, s - 24) : s]):
             kind = 5
         if kind:
-            said[text[s:e]] = kind
+            said[core(text[s:e])] = kind
         out.append(kind)
-    return [kind or said.get(text[s:e], 0) for kind, (s, e) in zip(out, spans, strict=True)]
+    return [kind or said.get(core(text[s:e]), 0) for kind, (s, e) in zip(out, spans, strict=True)]
 
 
 def joined(links: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -238,7 +243,7 @@ def fit(texts: list[str], steps: int = STEPS) -> Field:
         g_w = np.stack([np.bincount(at.ravel(), np.repeat(gap[:, k], at.shape[1]), len(w)) for k in range(n_labels)], axis=1) - 0.05 * w
         half = len(links)
         joint = (belief[links[:, 0]] - message[half:])[:, :, None] + (belief[links[:, 1]] - message[:half])[:, None, :] + field.pair[kind]
-        joint = np.exp(normal(joint.reshape(half, -1)))
+        joint = np.exp(normal(joint.reshape(half, n_labels * n_labels)))
         expected = np.stack([joint[kind == k].sum(0) for k in range(3)]).reshape(3, n_labels, n_labels)
         g_pair = pairs - expected - 0.05 * field.pair
         for value, grad, (m, v) in zip((w, field.pair), (g_w, g_pair), state, strict=True):  # adaptive steps

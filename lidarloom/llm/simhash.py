@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarloom.llm.common import connected_components, materialize, resident, small_batches
+from lidarloom.llm.common import connected_components, free, materialize, resident, small_batches, with_least
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: The Golay code's generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1: a fixed value.
@@ -201,8 +201,8 @@ def components(marks: DataFrame, most: int = DISTANCE) -> DataFrame:
     classes = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = connected_components(linked(classes, most))
     named = classes.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marks.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+    named = with_least(materialize(named), "root", F.col("first"), "component_id").select("fp", "component_id")
+    return marks.join(materialize(named), "fp")  # of plain shuffles: a hot fingerprint's partition can be split
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
@@ -305,9 +305,9 @@ def in_cells(rows: DataFrame, key: str) -> DataFrame:
     """``rows(key, node, cells, ...)`` with their ``bucket``, sorted by it: the key where there is one cell, else each
     pair of cells that a row's own cell is in, so that any two rows of a key meet in some bucket."""
     own, other = F.pmod(F.xxhash64("node"), F.col("cells")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
-    dealt = rows.withColumn("__own", own).withColumn("__other", other)
-    bucket = F.when(F.col("cells") == 1, F.col(key)).otherwise(F.xxhash64(key, F.least("__own", "__other"), F.greatest("__own", "__other")))
-    return dealt.withColumn("bucket", bucket).drop("__own", "__other", "cells", key).repartition("bucket").sortWithinPartitions("bucket", "node")
+    dealt = rows.withColumn("own_cell", own).withColumn("other_cell", other)
+    bucket = F.when(F.col("cells") == 1, F.col(key)).otherwise(F.xxhash64(key, F.least("own_cell", "other_cell"), F.greatest("own_cell", "other_cell")))
+    return dealt.withColumn("bucket", bucket).drop("own_cell", "other_cell", "cells", key).repartition("bucket").sortWithinPartitions("bucket", "node")
 
 
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -338,9 +338,9 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
 
     marked = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     rows = materialize(marked.mapInArrow(mark, schema))
-    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
-    # equal classes have equal keys and sketches: one row each, chosen by its first document
-    classes = materialize(rows.join(first, "node").where(F.struct("doc_id", "mark").eqNullSafe(F.col("first"))).dropDuplicates(["node"]).drop("first"))
+    # equal classes have equal keys and sketches: one row each, that of its first document
+    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark", "n", "keys", "sketch")).alias("first"))
+    classes = materialize(first.select("node", "first.*"))
     keyed = classes.select(F.explode("keys").alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key", F.ceil(F.col("rows") / BUCKET).alias("cells"))
     met = in_cells(keyed.join(shared, "key").join(classes.select("node", "sketch"), "node"), "key")
@@ -368,9 +368,9 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
             yield linked_in(len(buckets))
 
     loose = connected_components(met.select("bucket", "node", "sketch").mapInArrow(meet, "a long, b long")).withColumnRenamed("component", "loose")
-    members = loose.join(classes.select("node", "n", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "sketch"), "node")
+    members = loose.join(classes.select("node", "n", F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark"), "sketch"), "node")
     cells = members.groupBy("loose").agg(F.ceil(F.sum("n") / WEIGHT).alias("cells"))
-    members = members.join(cells, "loose").select("loose", "node", "cells", "sketch", "__id", "__mark")
+    members = members.join(cells, "loose").select("loose", "node", "cells", "sketch", "its_id", "its_mark")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,7 +379,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
                 sets = [shingles_of(t or "", size)[1].tobytes() for t in part.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], ["loose", "node", "cells", "sketch", "shingles"])
 
-    texts = marked.join(members, marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))).select("loose", "node", "cells", "sketch", "text")
+    texts = marked.join(members, marked["doc_id"].eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark"))).select("loose", "node", "cells", "sketch", "text")
     whole_sets = in_cells(texts.mapInArrow(shingle, "loose long, node long, cells long, sketch binary, shingles binary").dropDuplicates(["node"]), "loose")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,9 +406,8 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
             yield spanning(buckets, nodes, near, forest)
 
     found = connected_components(whole_sets.select("bucket", "node", "sketch", "shingles").mapInArrow(verify, "a long, b long"))
-    named = first.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = named.groupBy("root").agg(F.min("first").alias("group"))
-    groups = named.join(least, "root").select("node", "group")
+    named = materialize(classes.select("node", F.struct("doc_id", "mark").alias("first")).join(found, "node", "left").withColumn("root", F.coalesce("component", "node")))
+    groups = materialize(with_least(named, "root", F.col("first"), "group").select("node", "group"))
     return rows.select("doc_id", "mark", "node").join(groups, "node").select("doc_id", "mark", F.col("group.doc_id").alias("group_id"), F.col("group.mark").alias("group_mark"))
 
 
@@ -416,6 +415,7 @@ def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
     """One row of each group of near copies: the one with the least id (null first), then the least mark; exactly
     repeated rows of it are one row."""
     groups = similar(docs, size, similarity)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("mark") == F.col("group_mark"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark")), "left_semi")
+    its_id, its_mark = free(docs, "its_id"), free(docs, "its_mark")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("mark") == F.col("group_mark"))).select(F.col("doc_id").alias(its_id), F.col("mark").alias(its_mark)).distinct()
+    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(its_id)) & (F.xxhash64(docs["text"]) == F.col(its_mark)), "left_semi")
     return joined.dropDuplicates(["doc_id", "text"])

@@ -76,6 +76,16 @@ def test_tree_joins(monkeypatch, leaf):
         assert [i for own in next(coder.batch([s])) for i in own] == t.encode(s, add_special_tokens=False).ids
 
 
+def test_leaves(spark, docs, odd):
+    """Texts cut in leaves anywhere, within words, marks and special tokens, have the same result as whole ones."""
+    rng = random.Random(4)
+    parts = ["don't ", "é", "e\u0301", "x1y", "  ", "\n", "<|endoftext|>", "漢字", "word", "!!", "\u3000", "ΑΣ", "İ"]
+    fuzz = [(1000 + i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 200)))) for i in range(300)]
+    rows = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame(fuzz, "doc_id long, text string"))
+    key = lambda df: Counter(tuple(r) for r in df.collect())
+    assert key(bpe.encode_decode(rows, leaf=37, long=50)) == key(bpe.encode_decode(rows, long=1 << 30))
+
+
 def test_token_counts(docs, odd, empty):
     t = library(token_count.default_path())
     for df in (docs, odd):
@@ -127,6 +137,30 @@ def test_plan_is_whole():
 # -- fingerprints and near copies ---------------------------------------------------------------------------------------
 
 
+def test_configurations():
+    """Column generation reaches the linear programme's bound, and packings lie close to the bound of all tokens."""
+    found = packing.configurations([6, 5, 4], [1000, 1000, 1000], 15)  # 6 + 5 + 4
+    assert sum(t for _, t in found) in (999, 1000) and all(sum(u * s for u, s in zip(use, (6, 5, 4), strict=True)) <= 15 for use, _ in found)
+    rng = np.random.default_rng(2)
+    counts = dict(Counter(np.clip(rng.lognormal(6, 0.8, 20_000).astype(int), 1, 2047).tolist()))
+    rows = packing.plan(counts)
+    total = sum(k * n for k, n in counts.items())
+    assert (rows[:, 3] + rows[:, 2]).max() <= 1.005 * total / 2048 + 1
+
+
+def test_likeness():
+    """Spans that both texts have count wherever they stand; equal texts only are wholly alike."""
+    powers = fingerprint.Powers()
+    of = lambda t: fingerprint.Fingerprint(fingerprint.PrefixHashes.of(powers, fingerprint.code_points(t)))
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(400))
+    assert of(text).likeness(of(text)) == 1 and of("").likeness(of("")) == 1 and of("").likeness(of(text)) == 0
+    assert 0.85 < of(text).likeness(of("X" + text[1:-1] + "Y")) < 1
+    assert 0.8 < of(text).likeness(of(text[700:] + text[:700])) < 1
+    assert 0.35 < of(text).likeness(of(text[: len(text) // 2])) <= 0.51 and 0.2 < of(text * 4).likeness(of(text)) <= 0.26
+    assert of(text).likeness(of("".join(sorted(text)))) < 0.1
+
+
 def test_extensions():
     powers, rnd = fingerprint.Powers(), random.Random(1)
     for _ in range(200):
@@ -267,6 +301,43 @@ def test_substring(spark, docs, odd, empty):
     assert out.where("doc_id = 1").first()["text"] is None
 
 
+def spans_by_hand(text):
+    """Sentences of at most 12 words, which the operator does not cut: (start, end, words)."""
+    ends = [m.end() for m in re.finditer(r"[.!?]+\s+|\n+\s*", text)]
+    ends += [len(text)] if not ends or ends[-1] < len(text) else []
+    return [(a, b, text[a:b].lower().split()) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def test_substring_brute_force(spark):
+    """Random texts of short sentences with shared passages: every non-first span of two or more sentences and twenty or
+    more words goes, and nothing else; ids repeat, and two thirds of the rows have none."""
+    rng = random.Random(3)
+    pool = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(rng.randint(3, 12))) + rng.choice((". ", "! ", "\n")) for _ in range(60)]
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.3 else "".join(pool[(k := rng.randrange(50)) : k + rng.randint(2, 6)]) for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    rows = [(None if i % 3 else i // 6, t) for i, t in enumerate(texts)] + [(7, texts[5]), (None, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "u", 1) for i, t in rows], "doc_id long, text string, removed string, n_removed long").coalesce(1)
+    order = sorted(dict.fromkeys((i, t) for i, t in rows if t), key=lambda r: (r[0] is not None, r[0] or 0))  # stable: input order within an id
+    seen, want = set(), {}
+    for doc in order:
+        found, cover = spans_by_hand(doc[1]), set()
+        for a in range(len(found)):
+            filled = words = 0
+            for b in range(a, len(found)):
+                words += len(found[b][2])
+                filled += bool(found[b][2])
+                if filled >= 2 and words >= 20:
+                    if found[a][2]:
+                        key = " ".join(w for f in found[a : b + 1] for w in f[2])
+                        key = tuple(tuple(f[2]) for f in found[a : b + 1])
+                        cover |= set(range(a, b + 1)) if key in seen else set()
+                        seen.add(key)
+                    break
+        want[doc] = "".join(doc[1][a:b] for k, (a, b, _) in enumerate(found) if k not in cover)
+    got = substring.deduplicate(df)
+    assert got.columns == ["doc_id", "text", "removed", "n_removed", "n_removed_", "removed_"]
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((i, want.get((i, t), t)) for i, t in rows)
+
+
 def test_substring_cuts_by_content(spark):
     """A passage of 51 words without any mark is found wherever it stands in a sentence, in any script."""
     rnd = random.Random(12)
@@ -294,7 +365,7 @@ def test_hnsw(spark):
     label = np.array([r[2] for r in rows])
     near = (v @ v.T >= 0.98) & (label[:, None] == label[None])
     np.fill_diagonal(near, False)
-    got = {r["vec_id"]: r for r in hnsw.near_duplicates(df, shard=64).collect()}
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(df.withColumns({"node": F.lit(1), "shard": F.lit("x")}), values=64 * 16).collect()}  # several shards a label
     assert len(got) == len(rows) + len(bad)
     found = sum(got[r[0]]["n_links"] for r in rows)
     assert all(got[r[0]]["n_links"] <= n for r, n in zip(rows, near.sum(1), strict=True)) and found >= 0.98 * near.sum()
@@ -308,10 +379,10 @@ def test_hnsw_cut_off():
     rng = np.random.default_rng(8)
     v = np.concatenate([c + rng.normal(size=(100, 16)) * 0.01 for c in rng.normal(size=(3, 16))])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    graph = hnsw.Graph(v.astype(np.float32))
-    exact = v[graph.order]
+    graph, order = hnsw.Graph.build(v.astype(np.float32))
+    exact = v[order]
     near = graph.layers[-1][1]
-    near[graph.order[np.maximum(near, 0)] // 100 != (graph.order // 100)[:, None]] = -1  # no link leaves its cluster
+    near[order[np.maximum(near, 0)] // 100 != (order // 100)[:, None]] = -1  # no link leaves its cluster
     want = exact @ exact.T >= 0.98
     for beam in (32, 400):
         a, c = hnsw.hits(graph, exact.astype(np.float32), exact, exact, 0.98, beam)
@@ -362,6 +433,42 @@ def test_secrets_spread():
     assert [s[1] for s in spans] == [4, 4]
 
 
+def test_pair_potentials_decide():
+    """A value that only a cue tells apart: its further mentions, far away and without the cue, are found by the skip
+    edges alone. Without the pair potentials they are missed."""
+    rng = random.Random(5)
+    value = lambda: "".join(rng.choice("0123456789abcdefghkmn") for _ in range(24))
+    texts = []
+    for k in range(300):
+        a, b = value(), value()
+        lines = [f"the part {b} fits", f"see {b} again", f"we saw {b} there"]
+        lines += [f'secret = "{a}"', f"see {a} again", f"we saw {a} there"] if k % 2 else []
+        rng.shuffle(lines)
+        texts.append(". ".join(lines))
+    field = pii.fit(texts[:250])
+    cut = pii.Field(field.weights, field.bias, np.zeros_like(field.pair))
+
+    def figures(f):
+        hit = miss = wrong = 0
+        for t in texts[250:]:
+            m = re.search(r'secret = "(\w+)"', t)
+            want = {x.span() for x in re.finditer(m.group(1), t)} if m else set()
+            got = {(s, e) for s, k, e in pii.find(t, f)[1] if k == 4}
+            hit, miss, wrong = hit + len(want & got), miss + len(want - got), wrong + len(got - want)
+        return hit / (hit + miss), hit / max(1, hit + wrong)
+
+    (recall, precision), (less, _) = figures(field), figures(cut)
+    assert recall >= 0.9 and precision >= 0.9 and less <= 0.5, (recall, precision, less)
+
+
+def test_pii_beyond_old_limits():
+    """Any number of base spans around a token, and tokens that differ late only."""
+    text = "x " + ",".join(f"a{i}@b.co" for i in range(20))
+    base, every = pii.find(text, pii.fit([text]))
+    assert len(base) == 20 and every == base
+    assert pii.shape("a" * 70 + "-") != pii.shape("a" * 71)
+
+
 def test_toxicity(spark, docs, labels, odd, empty):
     big = "/root/testdata/sf0.01"
     d, y = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
@@ -376,6 +483,35 @@ def test_toxicity(spark, docs, labels, odd, empty):
     assert all(v == (zlib.crc32(str(k).encode()) % 3 == 1) for k, v in held.items())
 
 
+def test_restoring_decides(docs, labels):
+    """Held-out toxic texts whose telling words are disguised: what decoding restores gets most of them back, what is
+    read as it stands does not, and the same disguise makes no clean text toxic."""
+    rows = [(r["doc_id"], r["text"], r["toxic"]) for r in docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet").join(docs.sparkSession.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("text is not null").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    model = toxicity.fit([(t, int(y == 1)) for i, t, y in rows if not held(i)])
+    insults = sorted({f[1:] for f, w in model.weights.items() if f[0] == "=" and w > 0.5 and f[1:].isascii() and f[1:].isalpha() and 4 <= len(f) <= 9}, key=lambda w: -model.weights["=" + w])[:12]
+    leet = lambda w: w.translate(str.maketrans("aeiost", "43!0$7"))
+    spread, repeat, dotted = " ".join, lambda w: "".join(c * 3 if c in "aeiou" else c for c in w), ".".join
+    clean = [t for i, t, y in rows if held(i) and y == 0 and model.score(t) < 0.3][:60]
+
+    def caught(score):
+        out = []
+        for way in (leet, spread, repeat, dotted):
+            for k, t in enumerate(clean):
+                words = t.split()[:60]
+                for j in range(3):
+                    words.insert(len(words) * j // 3, way(insults[(k + j) % len(insults)]))
+                out.append(score(" ".join(words)) >= 0.7)
+        return sum(out) / len(out)
+
+    plain = toxicity.Model(model.chars, model.weights, model.bias, model.proof)
+    plain.chars = type("Identity", (), {"restore": staticmethod(lambda w: w), "spell": staticmethod(lambda w: [w])})()
+    with_decoding, without = caught(model.score), caught(plain.score)
+    assert with_decoding >= 0.8 and without <= with_decoding - 0.4, (with_decoding, without)
+    harmless = [way(w) for t in clean for w in t.lower().split()[:8] if w.isalpha() and len(w) > 3 for way in (leet, dotted)]
+    assert sum(model.score(w) >= 0.7 for w in harmless) <= 0.02 * len(harmless)
+
+
 def test_restoring():
     words = Counter({w: 50 for w in "stupid idiot trash loser moron the thing reader stone".split()})
     m = toxicity.CharModel(words)
@@ -419,19 +555,31 @@ def test_urls(spark):
 
 
 def test_url_rules_generalise(spark):
-    """A combination that only ever stands in blocked urls blocks an unlisted one; a part of it does not."""
-    rows = [(["h:a", "p:x"], "block")] * 60 + [(["h:a", "p:y"], None)] * 60 + [(["h:b", "p:x"], None)] * 60
+    """A combination that stands in blocked urls only blocks an unlisted one; a part of it does not, and what speaks
+    for allow wins over what speaks for block."""
+    rows = [(["h:a", "p:x"], "block")] * 60 + [(["h:a", "p:y"], "allow")] * 60 + [(["h:b", "p:x"], "allow")] * 60 + [(["h:a", "p:x", "q:1"], None), (["h:a", "p:z"], None), (["h:a", "h:b", "p:x"], None)] * 5
     df = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(rows)], "page_id long, tokens array<string>, verdict string")
     mined = url_filter.mine(df)
-    assert [m[0] for m in mined] == [frozenset({"h:a", "p:x"})]
-    hit = {r["page_id"]: r["hit"] for r in url_filter.match(df, mined).collect()}
-    assert all(hit[i] == (i < 60) for i in hit)
+    assert {(tuple(r["own"]), r["label"]) for r in mined.collect()} == {(("h:a", "p:x"), "block"), (("h:b",), "allow"), (("p:y",), "allow")}
+    said = {tuple(r["tokens"]): r["said"] for r in url_filter.match(df.where("verdict is null"), mined).collect()}
+    assert said == {("h:a", "p:x", "q:1"): "block", ("h:a", "h:b", "p:x"): "allow"}
+
+
+def test_long_urls(spark):
+    """A token in the 40th segment, and one of 500 characters, decide like any other; a long path that many urls share
+    doesn't multiply the combinations."""
+    shared, long = "/".join(f"s{i}" for i in range(39)), "w" * 500
+    rows = [f"http://h{i}.com/en/{shared}/bad/{long}/{i}" for i in range(50)] + [f"http://h{i}.com/en/{shared}/{i}" for i in range(50, 60)]
+    rows += [f"http://example.com/en/7/{shared}/good" for _ in range(50)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*rows, f"http://z.info/{shared}/bad/{long}", f"http://z.info/{shared}/bad", f"http://z.info/{shared}/good"])], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(df).collect()}
+    assert [got[len(rows) + i]["verdict"] for i in range(3)] == ["block", "block", "allow"] and all(got[len(rows) + i]["mined"] for i in range(3))
 
 
 def test_url_rules_are_all_kept(spark):
     """All rules stay that have no rule as a part, however many there are; the others go."""
     rules = [(("h:a",), 1.0, 30), *((("h:a", f"p:{i:05}", "q:x"), 1.0, 30) for i in range(3000)), *((("h:b", f"p:{i:05}", "q:x"), 1.0, 30) for i in range(9000)), (("p:00001", "q:x"), 1.0, 30)]
-    df = spark.createDataFrame(rules, "own array<string>, confidence double, n long")
+    df = spark.createDataFrame([(*r[:1], "block", *r[1:]) for r in rules], "own array<string>, label string, confidence double, n long")
     want = {("h:a",), ("p:00001", "q:x"), *(("h:b", f"p:{i:05}", "q:x") for i in range(9000) if i != 1)}
     got = [tuple(r["own"]) for r in url_filter.pruned(df).collect()]
     assert set(got) == want and len(got) == len(want)
