@@ -8,33 +8,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lidarloom.functions.statistics import t_quantile
+from lidarloom.operators import spatial
+from lidarloom.sources import scratch
 
 
 def labels_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, label): the least id that links reach. Centres of targets: one for each surveyed reference, so the links
-    are few and are merged on the driver."""
-    up = {r["id"]: r["id"] for r in nodes.collect()}
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for r in edges.collect():
-        a, b = sorted((root(r["a"]), root(r["b"])))
-        up[b] = a
-    return nodes.sparkSession.createDataFrame([(x, root(x)) for x in up], nodes.select("id", F.col("id").alias("label")).schema)
+    """(id, label): the least id that links reach. Labels spread along the links and then jump to their label's own
+    label, so rounds grow with the logarithm of a chain's length; each round is a table of its own."""
+    both = scratch.written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    now = scratch.written(nodes.select("id", F.col("id").alias("label")))
+    while True:
+        heard = both.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
+        spread = scratch.written(now.join(heard, "id", "left").select("id", F.least("label", F.coalesce("heard", "label")).alias("label"), F.col("label").alias("was")))
+        jump = spread.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        after = scratch.written(spread.join(jump, "label").select("id", F.col("next").alias("label"), "was"))
+        now = after.select("id", "label")
+        if after.where("label <> was").isEmpty():
+            return now
 
 
 def single_linkage(centres: DataFrame, limit: float) -> DataFrame:
     """(label, n, x, y, z): centres closer than ``limit`` merge, transitively; a merged centre is the plain mean."""
-    a, b = centres.alias("a"), centres.alias("b")
-    d = F.sqrt(sum(((F.col(f"a.{v}") - F.col(f"b.{v}")) ** 2 for v in "xyz"), F.lit(0.0)))
-    links = a.join(b, (F.col("a.id") < F.col("b.id")) & (d < limit)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    own = centres.select(F.col("id").alias("pid"), "x", "y", "z")
+    links = spatial.within(own, own, limit, strict=True).where("q < p").select(F.col("q").alias("a"), F.col("p").alias("b"))
     lab = labels_of(links, centres.select("id"))
     return centres.join(lab, "id").groupBy("label").agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in "xyz"))
 
 
+def convex_hull(points: DataFrame, by: str) -> DataFrame:
+    """(by, place, x, y): the corners of each group's convex hull in the plane, counter-clockwise from the least (x, y).
+    Each task sends on the corners of its own points only, of which the hull of all is made."""
+    schema = f"{by} {dict(points.dtypes)[by]}, place int, x double, y double"
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = np.unique(pdf[["x", "y"]].dropna().to_numpy(float), axis=0)
+
+        def half(rows: np.ndarray) -> list:
+            out: list = []
+            for p in rows:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                    out.pop()
+                out.append(p)
+            return out
+
+        ring = xy if len(xy) < 3 else np.array(half(xy)[:-1] + half(xy[::-1])[:-1])
+        return pd.DataFrame({by: pdf[by].iloc[0], "place": np.arange(len(ring), dtype=np.int32), "x": ring[:, 0], "y": ring[:, 1]})
+
+    def parts(batches):
+        for b in batches:
+            for _, own in b.groupby(by, dropna=False):
+                yield corners(own)
+
+    return points.select(by, "x", "y").mapInPandas(parts, schema).groupBy(by).applyInPandas(corners, schema)
+
+
 def mean_interval(df: DataFrame, by: str, col: str, level: float) -> DataFrame:
     """(by, n, mean, lower, upper): Student's interval of the mean. Quantiles are computed for the degrees of freedom
     that occur, one for each group."""

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lidarloom.functions.geometry import affine, dist3d
+from lidarloom.functions.statistics import quantiles
 
 #: component, limit, least MAD: fixed values of the first pass; the second relaxes x and y and drops the angles.
 FIRST = (("tx", 1.0, 0.5), ("ty", 1.0, None), ("tz", 2.0, 0.2), ("pitch", 2.0, None), ("roll", 2.0, None), ("yaw", 2.0, None))
@@ -88,6 +89,62 @@ def fuse(regions: DataFrame, least_fitness: float = 0.3, fallback: bool = True)
     return found.unionByName(none)
 
 
+def rotation_log(m: list[Column]) -> list[Column]:
+    """The rotation vector of a row-major rotation matrix; a half turn takes its axis from the diagonal."""
+    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (m[0] + m[4] + m[8] - 1) / 2))
+    angle = F.acos(cos)
+    k = F.when(angle < 1e-8, F.lit(0.5)).otherwise(angle / (2 * F.sin(angle)))
+    plain = [k * (m[7] - m[5]), k * (m[2] - m[6]), k * (m[3] - m[1])]
+    size = [F.sqrt(F.greatest((m[4 * i] + 1) / 2, F.lit(0.0))) for i in range(3)]
+    # signs of the axis follow the first component that isn't zero
+    sign = [F.lit(1.0), F.when(size[0] > 1e-6, F.signum(m[1] + m[3])).otherwise(1.0), F.when(size[0] > 1e-6, F.signum(m[2] + m[6])).otherwise(F.when(size[1] > 1e-6, F.signum(m[5] + m[7])).otherwise(1.0))]
+    return [F.when(cos < -1 + 1e-10, angle * size[i] * sign[i]).otherwise(plain[i]) for i in range(3)]
+
+
+def rotation_exp(w: list[Column]) -> list[Column]:
+    """The row-major rotation matrix of a rotation vector. It is orthogonal to rounding, so nothing needs to be mended."""
+    x, y, z = w
+    angle = F.sqrt(x * x + y * y + z * z)
+    a = F.when(angle < 1e-8, F.lit(1.0)).otherwise(F.sin(angle) / angle)
+    b = F.when(angle < 1e-8, F.lit(0.5)).otherwise((1 - F.cos(angle)) / (angle * angle))
+    c = F.cos(angle)
+    return [c + b * x * x, b * x * y - a * z, b * x * z + a * y, b * x * y + a * z, c + b * y * y, b * y * z - a * x, b * x * z - a * y, b * y * z + a * x, c + b * z * z]
+
+
+def average(regions: DataFrame, rotation: list[Column]) -> DataFrame:
+    """One row m0..m15: the mean transform of ``regions(weight, tx, ty, tz)`` by the logarithms of their rotations."""
+    w = rotation_log(rotation)
+    mean = regions.agg(*(F.sum(F.col("weight") * v).alias(f"w{a}") for a, v in zip("xyz", w, strict=True)), *(F.sum(F.col("weight") * F.col(f"t{a}")).alias(f"t{a}") for a in "xyz"))
+    r = rotation_exp([F.col(f"w{a}") for a in "xyz"])
+    rows = [*r[0:3], F.col("tx"), *r[3:6], F.col("ty"), *r[6:9], F.col("tz"), *(F.lit(float(v)) for v in (0, 0, 0, 1))]
+    return mean.select(*(v.alias(f"m{i}") for i, v in enumerate(rows)))
+
+
+def regions_of(results: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """What ``mad_filter`` and ``weights`` read of registration results: translation, angles, matrix r0..r8 and the
+    cell's ``composite_score`` (of ``scores``, else 1)."""
+    from lidarloom.functions.geometry import euler_xyz
+
+    m = [F.col("transformation")[i] for i in range(16)]
+    r = [m[i] for i in (0, 1, 2, 4, 5, 6, 8, 9, 10)]
+    pitch, roll, yaw = euler_xyz(r)
+    out = results.where("success").select("grid_id", "n_corr", "fitness", "rmse", m[3].alias("tx"), m[7].alias("ty"), m[11].alias("tz"), pitch.alias("pitch"), roll.alias("roll"), yaw.alias("yaw"), *(v.alias(f"r{i}") for i, v in enumerate(r)))
+    return out.withColumn("composite_score", F.lit(1.0)) if scores is None else out.join(scores.select("grid_id", "composite_score"), "grid_id")
+
+
+def fuse_transforms(regions: DataFrame, least_fitness: float = 0.3) -> DataFrame:
+    """One row: n_regions and the fused matrix m0..m15 of ``regions_of``. The fit regions that agree are averaged on the
+    rotation group; with two regions or fewer, the one of least rmse stands for all; without any, the identity."""
+    n = regions.count()
+    if n <= 2:
+        chosen = regions.withColumn("place", F.row_number().over(Window.orderBy("rmse", "grid_id"))).where("place = 1").withColumn("weight", F.lit(1.0))
+    else:
+        chosen = weights(mad_filter(regions.where(F.col("fitness") >= least_fitness)))
+    count = chosen.agg(F.count("*").alias("n_regions"))
+    mean = average(chosen, [F.col(f"r{i}") for i in range(9)])
+    return count.crossJoin(mean).select("n_regions", *(F.coalesce(f"m{i}", F.lit(float(i % 5 == 0))).alias(f"m{i}") for i in range(16)))
+
+
 def conjugate_offset(m: list[Column], offset: tuple[Column, Column, Column]) -> list[Column]:
     """A decentred transform in the original frame: the rotation stays, t' = t + o - R o."""
     out = list(m)
@@ -108,9 +165,7 @@ def global_metrics(moved: DataFrame, inlier: float = 0.8, percent: float = 100.0
     d = F.col("d")
     kept = F.lit(True)
     if percent < 100:
-        cut = F.broadcast(moved.agg(F.percentile("d", F.lit(percent / 100)).alias("cut")))
-        moved = moved.crossJoin(cut)
-        kept = d <= F.col("cut")
+        kept = d <= F.lit(quantiles(moved, "d", [percent / 100])[0]).cast("double")
     k = F.when(kept, d)
     return moved.agg(F.coalesce(F.sqrt(F.avg(k * k)), F.lit(0.0)).alias("global_rmse"), F.coalesce(F.avg(k), F.lit(0.0)).alias("global_mae"), F.coalesce(F.try_divide(F.count_if(d < inlier), F.count(d)), F.lit(0.0)).alias("global_fitness"), F.count("*").alias("total_correspondences"), F.count(k).alias("valid_correspondences"))
 
@@ -118,7 +173,7 @@ def global_metrics(moved: DataFrame, inlier: float = 0.8, percent: float = 100.0
 def error_summary(moved: DataFrame) -> DataFrame:
     d = F.col("d")
     pct = [50, 75, 90, 95, 99]
-    p = F.percentile("d", F.array(*(F.lit(x / 100) for x in pct)))
+    p = quantiles(moved, "d", [x / 100 for x in pct])
     near = (0.5, 1.0, 2.0, 5.0)
-    out = moved.agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("mae"), F.max(d).alias("max_error"), F.min(d).alias("min_error"), F.stddev_pop(d).alias("std_error"), p.alias("p"), F.count(d).alias("n"), *(F.count_if(d < t).alias(f"below_{i}") for i, t in enumerate(near)))
-    return out.select("rmse", "mae", "max_error", "min_error", "std_error", *(F.col("p")[i].alias(f"p{x}") for i, x in enumerate(pct)), *(f"below_{i}" for i in range(len(near))), "n")
+    out = moved.agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("mae"), F.max(d).alias("max_error"), F.min(d).alias("min_error"), F.stddev_pop(d).alias("std_error"), F.count(d).alias("n"), *(F.count_if(d < t).alias(f"below_{i}") for i, t in enumerate(near)))
+    return out.select("rmse", "mae", "max_error", "min_error", "std_error", *(F.lit(v).cast("double").alias(f"p{x}") for x, v in zip(pct, p, strict=True)), *(f"below_{i}" for i in range(len(near))), "n")

@@ -185,24 +185,35 @@ def graduated(s: np.ndarray, t: np.ndarray, width: float, truncated: bool) -> np
     return m
 
 
-def clique(s: np.ndarray, t: np.ndarray, tolerance: float, most: int = 400) -> np.ndarray:
-    """The transform of the heaviest greedily grown clique of correspondences that keep each other's distances."""
-    s, t = s[:most], t[:most]
-    d = np.abs(np.linalg.norm(s[:, None] - s[None], axis=2) - np.linalg.norm(t[:, None] - t[None], axis=2))
+def consistency(s: np.ndarray, t: np.ndarray, own: np.ndarray, tolerance: float) -> np.ndarray:
+    """How well each correspondence of ``own`` keeps its distances to all: 1 to 0, 0 to itself. A block of rows."""
+    apart = lambda x: np.sqrt(np.maximum((x[own] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[own] @ x.T, 0))
+    d = np.abs(apart(s) - apart(t))
     g = np.exp(-((d / tolerance) ** 2)) * (d < 3 * tolerance)
-    np.fill_diagonal(g, 0)
-    g *= (g > 0) @ (g > 0).astype(float) > 0
+    g[np.arange(len(own)), own] = 0
+    return g
+
+
+def clique(s: np.ndarray, t: np.ndarray, tolerance: float) -> np.ndarray:
+    """The transform of the heaviest greedily grown clique of correspondences that keep each other's distances. All of
+    them take part; their consistency is computed in blocks of rows, never held as a whole."""
+    full, s, t = (s, t), s - s.mean(0), t - t.mean(0)
+    total_of = np.concatenate([consistency(s, t, np.arange(at, min(at + 512, len(s))), tolerance).sum(1) for at in range(0, len(s), 512)])
     best, weight = np.arange(min(3, len(s))), -1.0
-    for seed in np.argsort(-g.sum(1))[:20]:
-        own, open_ = [seed], g[seed] > 0
+    for seed in np.argsort(-total_of, kind="stable")[:20]:
+        own, total = [int(seed)], 0.0
+        support = consistency(s, t, np.array(own), tolerance)[0]
+        open_ = support > 0
         while open_.any():
-            nxt = int(np.argmax(np.where(open_, g[own].sum(0), -1)))
+            nxt = int(np.argmax(np.where(open_, support, -1)))
+            total += 2 * support[nxt]
+            row = consistency(s, t, np.array([nxt]), tolerance)[0]
             own.append(nxt)
-            open_ &= g[nxt] > 0
-        total = g[np.ix_(own, own)].sum()
+            open_ &= row > 0
+            support += row
         if len(own) >= 3 and total > weight:
             best, weight = np.array(own), total
-    return rigid(s[best], t[best])
+    return rigid(full[0][best], full[1][best])
 
 
 def point_to_plane(s: np.ndarray, t: np.ndarray) -> np.ndarray:

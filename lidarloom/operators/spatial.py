@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lidarloom.functions.statistics import quantiles
+from lidarloom.sources import scratch
+
 AXES = ("x", "y", "z")
 
 
@@ -50,23 +53,51 @@ def voxel_down(points: DataFrame, size: float, by: list[str] | None = None) -> D
     return at.groupBy(*by, *key).agg(*(F.avg(a).alias(a) for a in AXES), F.count("*").alias("n"))
 
 
-def k_nearest(points: DataFrame, k: int, radius: float) -> DataFrame:
-    """(q, p, d, rank): the ``k`` nearest others within ``radius``."""
-    pairs = within(points, points, radius).where("q <> p")
-    w = Window.partitionBy("q").orderBy("d", "p")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def lof(points: DataFrame, k: int, radius: float) -> DataFrame:
-    """(pid, lof): local outlier factors from the ``k`` nearest within ``radius``."""
+def k_nearest(points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+    """(q, p, d, rank): the ``k`` nearest others of every point, however far, or all others if there are fewer. The search
+    begins within ``radius`` (by default that of a ball that holds ``k`` points at the mean density); points that
+    have not found ``k`` others search again with twice the radius, so only the far ones do."""
+    ranked = Window.partitionBy("q").orderBy("d", "p")
+    box = points.agg(F.count("*").alias("n"), *(f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    size = [float(box[f"hi{a}"] - box[f"lo{a}"]) for a in AXES] if box["n"] else [0.0]
+    across = sum(s * s for s in size) ** 0.5
+    step = radius or max(size) * (k / max(box["n"], 1)) ** (1 / 3) / 2 or 1.0
+    left, found = points, []
+    while True:
+        pairs = within(left, points, step).where("q <> p").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        if step >= across:
+            found.append(pairs)
+            break
+        pairs = scratch.written(pairs)
+        enough = pairs.where(F.col("rank") == k).select("q")
+        found.append(pairs.join(enough, "q", "left_semi"))
+        left = scratch.written(left.join(enough, F.col("pid") == F.col("q"), "left_anti"))
+        if left.isEmpty():
+            break
+        step *= 2
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def lof(points: DataFrame, k: int = 20) -> DataFrame:
+    """(pid, lof): local outlier factors from the ``k`` nearest others, however far."""
     c = F.col
-    near = k_nearest(points, k, radius)
+    near = scratch.written(k_nearest(points, k))
     reach = near.groupBy("q").agg(F.max("d").alias("kd"))
     density = near.join(reach.select(c("q").alias("p"), "kd"), "p").groupBy("q").agg((1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
     other = density.select(c("q").alias("p"), c("lrd").alias("lrd_p"))
     return near.join(other, "p").join(density, "q").groupBy(c("q").alias("pid")).agg((F.avg("lrd_p") / F.first("lrd")).alias("lof"))
 
 
+def lof_inliers(points: DataFrame, k: int = 20, contamination: float = 0.05) -> DataFrame:
+    """``points`` without the share ``contamination`` of the largest local outlier factors."""
+    found = scratch.written(lof(points, k))
+    limit = quantiles(found, "lof", [1 - contamination])[0]
+    return points.join(found.where(F.col("lof") <= F.lit(limit).cast("double")).select("pid"), "pid", "left_semi")
+
+
 def colour_consistent(points: DataFrame, seeds: DataFrame, radius: float, multiplier: float, least: int = 5, floor: float = 0.1) -> DataFrame:
     """Ids of the seeds and of those neighbours whose colour is within ``multiplier`` x max(MAD, ``floor``) of their
     seed's neighbourhood median in every channel. 0: the seeds only."""

@@ -83,17 +83,22 @@ def smooth(rows: DataFrame, by: str, order: str, value: str, window: int = 11, d
     return rows.groupBy(by).applyInPandas(work, schema)
 
 
-def bootstrap(rows: DataFrame, by: str, value: str, times: int = 1000, seed: int = 7) -> DataFrame:
+def bootstrap(rows: DataFrame, by: str, key: list[str], value: str, times: int = 1000, seed: int = 7) -> DataFrame:
     """(by, lower, upper): percentile interval of the mean over ``times`` resamples. Each row's count in a resample is
-    Poisson with mean one, drawn from a hash, so resamples need no shuffle of their own and are reproducible."""
+    Poisson with mean one, drawn from a hash of its group, its ``key`` (which tells the rows of a group apart) and the
+    resample, so resamples need no shuffle of their own, are reproducible, and equal values are drawn independently."""
     b = F.broadcast(rows.sparkSession.range(times).select(F.col("id").alias("rep")))
-    u = (F.xxhash64(by, value, "rep", F.lit(seed)).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
-    cuts = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720)]).tolist()
-    k = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in (by, *key, "rep"))))
+    u = (F.conv(F.substring(text, 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    k = sum((F.when(u > c, 1).otherwise(0) for c in POISSON), F.lit(0))
     means = rows.crossJoin(b).withColumn("k", k).groupBy(by, "rep").agg(F.try_divide(F.sum(F.col("k") * F.col(value)), F.sum("k")).alias("m"))
     return means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"))
 
 
+#: The distribution of a Poisson count with mean one, from 0 on.
+POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720)]).tolist()
+
+
 def exponential_fit(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, a, b, c) of a exp(-b x) + c through each group's sorted values. For a given b the rest is linear, so only b
     is searched: a grid of rates, then a golden-section refinement around the best."""

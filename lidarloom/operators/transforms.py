@@ -30,18 +30,15 @@ def kabsch(pairs: DataFrame, by: str) -> DataFrame:
     return sums.mapInPandas(solve, f"{by} {dict(pairs.dtypes)[by]}, n long, transformation array<double>")
 
 
-def clique_transforms(pairs: DataFrame, by: str, tolerance: float, most: int = 400) -> DataFrame:
-    """(by, transformation) of the heaviest clique of at most ``most`` correspondences of each group, chosen by hash
-    before anything reaches a task's memory."""
-    from pyspark.sql import Window
-
-    few = pairs.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(*S, *T)))).where(F.col("__n") <= most)
+def clique_transforms(pairs: DataFrame, by: str, tolerance: float) -> DataFrame:
+    """(by, transformation) of the heaviest clique of all correspondences of each group. A group is a selected cell,
+    whose matches the feature search bounds; the kernel holds its coordinates and a block of consistencies."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = registration.clique(pdf[list(S)].to_numpy(float), pdf[list(T)].to_numpy(float), tolerance, most) if len(pdf) >= 3 else np.eye(4)
+        m = registration.clique(pdf[list(S)].to_numpy(float), pdf[list(T)].to_numpy(float), tolerance) if len(pdf) >= 3 else np.eye(4)
         return pd.DataFrame({by: [pdf[by].iloc[0]], "transformation": [m.ravel().tolist()]})
 
-    return few.select(by, *S, *T).groupBy(by).applyInPandas(solve, f"{by} {dict(pairs.dtypes)[by]}, transformation array<double>")
+    return pairs.select(by, *S, *T).groupBy(by).applyInPandas(solve, f"{by} {dict(pairs.dtypes)[by]}, transformation array<double>")
 
 
 def triangles(p: np.ndarray) -> np.ndarray:

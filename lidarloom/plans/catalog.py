@@ -9,28 +9,20 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from lidarloom.operators import report
-from lidarloom.plans import fusion_queries, strip_queries, target_queries
+from lidarloom.plans import flow_queries, fusion_queries, strip_queries, target_queries
 from lidarloom.plans.views import SQL_VIEWS, frames, with_views
 
 
 #: Operators that another query computes whole: the columns of it that answer them (none: all).
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
-    "src_las_header": ("agg_bounds", ()),
-    "src_las_points": ("prj_decenter", ()),
     "agg_cell_counts": ("prj_grid_id", ()),
     "agg_mi": ("agg_entropy", ("strip", "grid_id", "mutual_information")),
     "agg_nmi": ("agg_entropy", ("strip", "grid_id", "normalized_mutual_information")),
     "agg_entropy_norm": ("agg_entropy", ("strip", "grid_id", "z_entropy_norm", "intensity_entropy_norm")),
-    "flt_score_threshold": ("score_composite", ("grid_id", "composite_score")),
     "sel_elbow": ("sel_sizes", ("n", "k_elbow")),
     "sel_threshold": ("sel_sizes", ("n", "k_threshold")),
     "sel_gap": ("sel_sizes", ("n", "k_gap")),
     "sel_topk_dynamic": ("select_regions", ()),
-    "srt_group_slices": ("agg_cell_stats", ("strip", "grid_id", "n_points")),
-    "fus_average": ("la_so3_log", ()),
-    "reg_driver": ("reg_p2plane", ()),
-    "snk_err_summary": ("agg_err_summary", ()),
-    "snk_report_json": ("agg_file_report", ()),
 }
 
 
@@ -56,11 +48,11 @@ def _part(query: Callable[[SparkSession, str], DataFrame], columns: tuple[str, .
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: partial(_report, name) for name in report.REPORTS}
-    found |= strip_queries.queries() | fusion_queries.queries() | target_queries.queries()
+    found |= strip_queries.queries() | fusion_queries.queries() | target_queries.queries() | flow_queries.queries()
     return found | {name: partial(_part, found[whole], columns) for name, (whole, columns) in PARTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: with_views(duck(text), report.inputs(name)) for name, text in report.REPORTS.items()}
-    found |= strip_queries.oracle_sql() | fusion_queries.oracle_sql() | target_queries.oracle_sql()
+    found |= strip_queries.oracle_sql() | fusion_queries.oracle_sql() | target_queries.oracle_sql() | flow_queries.oracle_sql()
     return found | {name: f"SELECT {', '.join(columns) or '*'} FROM ({found[whole]}) AS whole" for name, (whole, columns) in PARTS.items() if whole in found}

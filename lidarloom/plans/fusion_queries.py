@@ -52,8 +52,8 @@ def agg_err_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flt_valid_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = tables.regions(spark, sf_dir).where("fitness >= 0.5 AND grid_id < 10").select(F.col("grid_id").cast("int").alias("grid_id"))
-    return pairs(spark, sf_dir).join(F.broadcast(valid), "grid_id", "left_semi").groupBy("grid_id").agg(F.count("*").alias("n"))
+    valid = tables.regions(spark, sf_dir).where("fitness >= 0.5").select(F.col("grid_id").cast("int").alias("grid_id"))
+    return pairs(spark, sf_dir).join(valid, "grid_id", "left_semi").groupBy("grid_id").agg(F.count("*").alias("n"))
 
 
 def smp_corr_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "agg_global_metrics": f"WITH {SQL_D}, q AS (SELECT quantile_cont(d, 0.95) AS cut FROM e) SELECT round(sqrt(avg(CASE WHEN d <= cut THEN d * d END)), 6) AS global_rmse, round(avg(CASE WHEN d <= cut THEN d END), 6) AS global_mae, round(avg(CASE WHEN d < 0.3 THEN 1.0 ELSE 0.0 END), 6) AS global_fitness, count(*) AS total_correspondences, count(CASE WHEN d <= cut THEN 1 END) AS valid_correspondences FROM e CROSS JOIN q",
         "agg_reg_quality": f"WITH {SQL_D} SELECT grid_id, round(avg(CASE WHEN d < 0.3 THEN 1.0 ELSE 0.0 END), 6) AS fitness, round(sqrt(avg(CASE WHEN d < 0.3 THEN d * d END)), 6) AS rmse, round(avg(d), 6) AS mae, count(*) AS n_corr FROM e GROUP BY grid_id",
         "agg_err_summary": f"WITH {SQL_D} SELECT round(sqrt(avg(d * d)), 6) AS rmse, round(avg(d), 6) AS mae, round(max(d), 6) AS max_error, round(min(d), 6) AS min_error, round(stddev_pop(d), 6) AS std_error, " + ", ".join(f"round(quantile_cont(d, {p / 100}), 6) AS p{p}" for p in (50, 75, 90, 95, 99)) + ", " + ", ".join(f"count(CASE WHEN d < {t} THEN 1 END) AS below_{i}" for i, t in enumerate((0.5, 1.0, 2.0, 5.0))) + ", count(*) AS n FROM e",
-        "flt_valid_grids": with_views(f"SELECT grid_id, count(*) AS n FROM ({SQL_PAIRS}) p WHERE grid_id IN (SELECT grid_id FROM regions WHERE fitness >= 0.5 AND grid_id < 10) GROUP BY grid_id", ["regions"]),
+        "flt_valid_grids": with_views(f"SELECT grid_id, count(*) AS n FROM ({SQL_PAIRS}) p WHERE grid_id IN (SELECT grid_id FROM regions WHERE fitness >= 0.5) GROUP BY grid_id", ["regions"]),
         "smp_corr_cap": f"SELECT grid_id, least(count(*), 20) AS n FROM ({SQL_PAIRS}) p GROUP BY grid_id",
         "out_mad_transform": with_views(f"WITH {filtered('regions')} SELECT grid_id FROM good", ["regions"]),
         "out_mad_cluster": with_views(f"""WITH {_mads(six)}, {scaled}, best AS (SELECT a.grid_id, sum({dist('a', 'b')}) AS total FROM scaled a JOIN scaled b ON a.grid_id <> b.grid_id GROUP BY a.grid_id ORDER BY total, a.grid_id LIMIT 1),

@@ -143,7 +143,7 @@ def geo_voxel_down(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def out_lof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.lof(tables.cloud(spark, sf_dir), 5, 0.5), 5)
+    return rounded(spatial.lof(tables.cloud(spark, sf_dir)), 5)
 
 
 def out_color_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,12 +152,12 @@ def out_color_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn_cosine_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's most similar vector of its own label; the queries are the first 50 ids."""
+    """Each query's most similar vector of its own label; the queries are the rows whose id 50 divides, against all."""
     e = tables.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     norm = e.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    q = norm.where("vec_id < 50").select(F.col("vec_id").alias("q"), "label", F.col("v").alias("qv"), F.col("n").alias("qn"))
+    q = norm.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", F.col("v").alias("qv"), F.col("n").alias("qn"))
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    s = norm.join(F.broadcast(q), "label").where("q <> vec_id").select("q", "vec_id", (dot / F.col("qn") / F.col("n")).alias("s"))
+    s = norm.join(q, "label").where("q <> vec_id").select("q", "vec_id", (dot / F.col("qn") / F.col("n")).alias("s"))
     return rounded(s.groupBy("q").agg(F.max(F.struct("s", "vec_id")).alias("m")).select("q", F.col("m.vec_id").alias("p"), F.col("m.s").alias("similarity")))
 
 
@@ -234,7 +234,7 @@ def oracle_sql() -> dict[str, str]:
     c = lambda text: with_views(text, ["cloud"])
     d = lambda a, b: f"sqrt(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y) + ({a}.z - {b}.z) * ({a}.z - {b}.z))"
     pairs = f"pr AS (SELECT a.pid AS q, b.pid AS p, {d('a', 'b')} AS d FROM cloud a, cloud b WHERE a.strip = 0 AND b.strip = 1)"
-    knn = f"nn AS (SELECT * FROM (SELECT a.pid AS q, b.pid AS p, {d('a', 'b')} AS d, row_number() OVER (PARTITION BY a.pid ORDER BY {d('a', 'b')}, b.pid) AS rk FROM cloud a, cloud b WHERE a.pid <> b.pid AND {d('a', 'b')} <= 0.5) t WHERE rk <= 5)"
+    knn = f"nn AS (SELECT * FROM (SELECT a.pid AS q, b.pid AS p, {d('a', 'b')} AS d, row_number() OVER (PARTITION BY a.pid ORDER BY {d('a', 'b')}, b.pid) AS rk FROM cloud a, cloud b WHERE a.pid <> b.pid) t WHERE rk <= 20)"
     ranked = "SELECT grid_id, round(composite_score, 6) AS composite_score, total_points, rk - 1 AS selection_rank FROM (SELECT *, row_number() OVER (ORDER BY composite_score DESC, grid_id) AS rk FROM v) t CROSS JOIN ks WHERE rk <= least(greatest(k_elbow, k_threshold, k_gap, 3), 8)"
     valid = "v AS (SELECT * FROM s WHERE composite_score >= 0.05 AND (SELECT count(*) FROM s WHERE composite_score >= 0.05) >= 2)"
     r6 = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names.split())
@@ -264,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
         "out_color_mad": c(f"""WITH cl AS (SELECT *, x * 10 AS r, y * 10 AS g, z * 10 AS bl FROM cloud), nr AS (SELECT s.pid AS q, b.pid AS p, b.r, b.g, b.bl FROM cl s, cl b WHERE s.cluster = 3 AND {d('s', 'b')} <= 0.12),
           md AS (SELECT q, median(r) AS mr, median(g) AS mg, median(bl) AS mb FROM nr GROUP BY q HAVING count(*) >= 3), dv AS (SELECT nr.q, nr.p, abs(r - mr) AS dr, abs(g - mg) AS dg, abs(bl - mb) AS db FROM nr JOIN md ON nr.q = md.q), mm AS (SELECT q, greatest(median(dr), 0.1) AS tr, greatest(median(dg), 0.1) AS tg, greatest(median(db), 0.1) AS tb FROM dv GROUP BY q)
           SELECT pid FROM cl WHERE cluster = 3 UNION SELECT p FROM dv JOIN mm ON dv.q = mm.q WHERE dr <= tr AND dg <= tg AND db <= tb"""),
-        "jn_cosine_nn": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS p, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id < 50) SELECT q, p, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, p DESC) AS rk FROM s) t WHERE rk = 1",
+        "jn_cosine_nn": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS p, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 50 = 0) SELECT q, p, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, p DESC) AS rk FROM s) t WHERE rk = 1",
         "prj_strip_id_regex": r"SELECT page_id, coalesce(TRY_CAST(regexp_extract(regexp_replace(list_last(string_split(regexp_replace(url, '[?#].*$', ''), '/')), '\.[^.]*$', ''), '(\d+)', 1) AS BIGINT), 0) AS strip_id FROM pages",
         "prj_mem_format": "SELECT s_suppkey, CASE WHEN s_suppkey * 37.0 + 0.26 < 1024 THEN printf('%.1f MB', (s_suppkey * 37.0 + 0.26)::DOUBLE) ELSE printf('%.1f GB', ((s_suppkey * 37.0 + 0.26) / 1024)::DOUBLE) END AS memory FROM supplier",
         "clu_single_linkage": with_views("""WITH RECURSIVE_PLACEHOLDER t AS (SELECT reference_id * 2 + CASE WHEN file = 'customer' THEN 0 ELSE 1 END AS id, center_x AS x, center_y AS y, center_z AS z FROM targets)""", ["targets"]).replace("WITH targets", "WITH RECURSIVE targets").replace("RECURSIVE_PLACEHOLDER ", "") + f""", lk AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON {d('a', 'b')} < 0.25), rc AS (SELECT id AS node, id AS seen FROM t UNION SELECT rc.node, lk.b FROM rc JOIN lk ON lk.a = rc.seen),

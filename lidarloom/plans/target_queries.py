@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lidarloom.operators import clustering, registration, spatial, strips, targets, transforms
-from lidarloom.plans.fusion_queries import MATRIX, pairs, rounded
+from lidarloom.plans.fusion_queries import pairs, rounded
 from lidarloom.plans.views import with_views
-from lidarloom.sources import sinks, tables
+from lidarloom.sources import tables
 from lidarloom.streaming import cells as running
 
 SIDE = 20
@@ -58,7 +58,7 @@ def win_savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inf_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets.bootstrap(tables.targets(spark, sf_dir), "file", "distance_to_ref", 200)
+    return rounded(targets.bootstrap(tables.targets(spark, sf_dir), "file", ["reference_id"], "distance_to_ref", 200))
 
 
 def mdl_expfit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +111,6 @@ def smp_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.points(spark, sf_dir).orderBy(F.xxhash64("x", "y", "z", "intensity", F.lit(3))).limit(5000)
 
 
-def snk_las_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The transform that a sink applies, and the identity that it doesn't."""
-    c = tables.cloud(spark, sf_dir)
-    same = sinks.transform_points(c, [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]).agg(F.sum("x").alias("same_x"))
-    return rounded(sinks.transform_points(c, MATRIX).agg(F.sum("x").alias("moved_x"), F.sum("z").alias("moved_z")).crossJoin(same), 4)
-
-
 def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping strips of a smooth surface through the table's points, the second one turned and shifted."""
     p = tables.points(spark, sf_dir)
@@ -156,7 +149,7 @@ def la_kabsch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def la_clique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transforms.clique_transforms(pairs(spark, sf_dir), "grid_id", 0.05, 150)
+    return transforms.clique_transforms(pairs(spark, sf_dir), "grid_id", 0.05)
 
 
 def geo_interp_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +165,7 @@ def str_windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(running.windowed_events(tables.table(spark, sf_dir, "events")), 4)
 
 
-QUERIES = (geo_normals, la_kabsch, la_clique, geo_interp_linear, str_running_cells, str_windowed_events, geo_plane_fit, clu_kmeans, tgt_find, clu_target_analysis, jn_assignment, win_savgol, inf_bootstrap, mdl_expfit, mdl_pca, inf_qq, geo_slope_aspect, geo_surface_stats, win_focal_std, top_corr_cap, top_nearest_half, flt_ref_bbox, smp_plot, snk_las_copy, reg_store)
+QUERIES = (geo_normals, la_kabsch, la_clique, geo_interp_linear, str_running_cells, str_windowed_events, geo_plane_fit, clu_kmeans, tgt_find, clu_target_analysis, jn_assignment, win_savgol, inf_bootstrap, mdl_expfit, mdl_pca, inf_qq, geo_slope_aspect, geo_surface_stats, win_focal_std, top_corr_cap, top_nearest_half, flt_ref_bbox, smp_plot, reg_store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -195,6 +188,6 @@ def oracle_sql() -> dict[str, str]:
         "geo_surface_stats": p(f"{SQL_SLOPES} SELECT " + ", ".join(f"round({f}({c}), 5) AS {c}_{n}" for c in ("z", "slope", "curvature") for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_pop"))) + " FROM s"),
         "win_focal_std": p(f"{SQL_RASTER}, o AS (SELECT unnest(range(-2, 3)) AS d), w AS (SELECT g.i, g.j, g.i + a.d AS ni, g.j + b.d AS nj FROM g, o a, o b), f AS (SELECT i, j, CASE WHEN ni < 0 THEN -ni - 1 WHEN ni >= {SIDE} THEN {2 * SIDE - 1} - ni ELSE ni END AS ni, CASE WHEN nj < 0 THEN -nj - 1 WHEN nj >= {SIDE} THEN {2 * SIDE - 1} - nj ELSE nj END AS nj FROM w) SELECT f.i, f.j, round(stddev_pop(g.z), 5) AS roughness FROM f JOIN g ON f.ni = g.i AND f.nj = g.j GROUP BY f.i, f.j"),
         "str_running_cells": with_views("SELECT strip, CAST(floor(x / 20.0) AS BIGINT) AS cx, CAST(floor(y / 20.0) AS BIGINT) AS cy, count(*) AS n, round(avg(z), 5) AS z_mean, round(stddev_pop(z), 5) AS z_std, round(min(z), 5) AS z_min, round(max(z), 5) AS z_max FROM points GROUP BY ALL", ["points"]),
+        "inf_bootstrap": with_views("WITH u AS (SELECT file, distance_to_ref AS v, rep, (('0x' || substr(md5('7|' || file || '|' || reference_id || '|' || rep), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM targets CROSS JOIN range(200) r(rep)), k AS (SELECT *, " + " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in targets.POISSON) + " AS k FROM u), m AS (SELECT file, rep, sum(k * v) / nullif(sum(k), 0) AS m FROM k GROUP BY file, rep) SELECT file, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM m GROUP BY file", ["targets"]),
         "str_windowed_events": "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-        "snk_las_copy": with_views("SELECT round(sum(0.955336489125606 * x - 0.29552020666133955 * y + 0.05), 4) AS moved_x, round(sum(z + 0.01), 4) AS moved_z, round(sum(x), 4) AS same_x FROM cloud", ["cloud"]),
     }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Sequence
 
@@ -63,9 +62,11 @@ def write_matrix(matrix: Sequence[float], path: str, grids: Sequence[int] = ())
 
 
 def write_errors(moved: DataFrame, path: str) -> None:
-    """Per-correspondence errors, ten columns of six digits, written in parallel."""
+    """Per-correspondence errors, ten columns of six digits, written in parallel to ``path``, and their statistics to
+    ``path``-statistics."""
     names = ("sx", "sy", "sz", "mx", "my", "mz", "tx", "ty", "tz", "d")
     moved.select(*(F.format_string("%.6f", F.col(n)).alias(n) for n in names)).write.mode("overwrite").option("sep", " ").csv(path)
+    moved.sparkSession.createDataFrame([(x,) for x in error_lines(moved)], "value string").coalesce(1).write.mode("overwrite").text(path + "-statistics")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -77,6 +78,13 @@ def append_log(row: DataFrame, path: str) -> None:
 
 
 def write_report(path: str, **sections: DataFrame) -> None:
-    """A JSON report of few-row sections."""
-    with open(path, "w") as f:
-        json.dump({k: [r.asDict(recursive=True) for r in df.limit(1000).collect()] for k, df in sections.items()}, f, indent=1, default=str)
+    """A JSON report: a folder of JSON lines for each section, written by Spark, all rows of it."""
+    for name, df in sections.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def error_lines(moved: DataFrame) -> list[str]:
+    """What stands above the per-correspondence errors: their number, mean, root mean square and extremes."""
+    d = F.col("d")
+    s = moved.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.sqrt(F.avg(d * d)).alias("rms"), F.min(d).alias("least"), F.max(d).alias("most")).first()
+    return [f"# {k}: {s[k]}" for k in ("n", "mean", "rms", "least", "most")]

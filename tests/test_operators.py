@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lidarloom.functions import statistics
-from lidarloom.operators import clustering, fusion, registration, strips, targets
+from lidarloom.operators import clustering, fusion, registration, spatial, strips, targets
 from lidarloom.sources import las, refs, sinks
 
 REGION = "grid_id long, n_corr long, fitness double, rmse double, tx double, ty double, tz double, pitch double, roll double, yaw double, composite_score double"
@@ -135,7 +135,7 @@ def test_curves(spark):
     e = spark.createDataFrame([("a", float(5 - 3 * math.exp(-0.2 * i))) for i in range(30)], "g string, v double")
     f = targets.exponential_fit(e, "g", "v").first()
     assert abs(f["a"] + 3) < 1e-3 and abs(f["b"] - 0.2) < 1e-3 and abs(f["c"] - 5) < 1e-3
-    b = targets.bootstrap(df, "g", "v", 300).first()
+    b = targets.bootstrap(df, "g", ["o"], "v", 300).first()
     assert b["lower"] < np.mean(2 + x - 0.1 * x**2) < b["upper"]
 
 
@@ -172,8 +172,8 @@ def test_references_and_sinks(spark, tmp_path):
     assert refs.read_references(spark, str(tmp_path / "one.txt")).count() == 1
     sinks.write_matrix(np.eye(4).ravel(), str(tmp_path / "m"), [3, 1])
     assert np.allclose(np.load(str(tmp_path / "m.npy")), np.eye(4)) and "[1, 3]" in (tmp_path / "m.txt").read_text()
-    sinks.write_report(str(tmp_path / "r.json"), a=spark.range(2).toDF("n"))
-    assert '"n": 1' in (tmp_path / "r.json").read_text()
+    sinks.write_report(str(tmp_path / "r"), a=spark.range(1500).toDF("n"), b=spark.range(0))
+    assert spark.read.json(str(tmp_path / "r" / "a")).agg(F.sum("n")).first()[0] == 1500 * 1499 // 2
     sinks.write_csv(spark.range(3), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
 
@@ -212,3 +212,80 @@ def test_kabsch(spark):
     df = spark.createDataFrame([(1, *a, *b) for a, b in zip(s.tolist(), t.tolist(), strict=True)], "g int, sx double, sy double, sz double, tx double, ty double, tz double")
     assert np.allclose(transforms.kabsch(df, "g").first()["transformation"], m.ravel())
     assert np.allclose(transforms.clique_transforms(df, "g", 0.05).first()["transformation"], m.ravel())
+
+
+def test_bootstrap_of_equal_values(spark):
+    """Equal values are drawn independently: 50 ones and 50 twos have the interval of a mean of 100 fair draws."""
+    df = spark.createDataFrame([("a", i, 1.0 + (i >= 50)) for i in range(100)], "g string, i int, v double")
+    b = targets.bootstrap(df, "g", ["i"], "v", 1000).first()
+    assert abs(b["lower"] - 1.402) < 0.03 and abs(b["upper"] - 1.598) < 0.03
+
+
+def test_lof_finds_the_far_point(spark):
+    """Neighbours are found however far they are; against all pairs."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate((rng.normal(size=(60, 3)) * 0.01, [[5.0, 0, 0], [5.1, 0, 0], [400.0, -3, 2]]))
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(v)], "pid long, x double, y double, z double")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :5]
+    dist = np.take_along_axis(d, near, 1)
+    lrd = 1 / (np.maximum(dist, dist[:, -1][near]).mean(1) + 1e-10)
+    want = lrd[near].mean(1) / lrd
+    got = {r["pid"]: r["lof"] for r in spatial.lof(df, 5).collect()}
+    assert sorted(got) == list(range(63)) and np.allclose([got[i] for i in range(63)], want, rtol=1e-6)
+    left = {r["pid"] for r in spatial.lof_inliers(df, 5, 0.05).collect()}
+    assert 62 not in left and 59 <= len(left) <= 60
+    assert spatial.lof(df.limit(0), 5).count() == 0 and spatial.k_nearest(df.limit(3), 5).count() == 6
+
+
+def test_quantiles(spark):
+    from lidarloom.functions.statistics import quantiles
+
+    rng = np.random.default_rng(1)
+    v = np.concatenate((rng.normal(size=4000), np.full(3000, 0.25), rng.normal(size=1000) * 1e9))
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
+    shares = [0.0, 0.05, 0.5, 0.731, 0.95, 1.0]
+    assert np.allclose(quantiles(df, "v", shares, few=50), np.quantile(v, shares), rtol=1e-12)
+    assert quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_rotations(spark):
+    """Logarithm and exponential undo each other, for no turn, small ones and half turns too; means are matrices."""
+    def turn(axis, angle):
+        x = np.array(axis) / np.linalg.norm(axis)
+        k = np.array([[0, -x[2], x[1]], [x[2], 0, -x[0]], [-x[1], x[0], 0]])
+        return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
+
+    turns = [turn((1, 2, 3), a) for a in (0.0, 1e-5, 0.3, 2.0, math.pi - 1e-3, math.pi)] + [turn(x, math.pi) for x in ((1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 1, -1), (1, -2, 0.5))]
+    df = spark.createDataFrame([tuple(map(float, m.ravel())) for m in turns], ", ".join(f"r{i} double" for i in range(9)))
+    r = [F.col(f"r{i}") for i in range(9)]
+    back = df.select(*(v.alias(f"b{i}") for i, v in enumerate(fusion.rotation_exp(fusion.rotation_log(r))))).collect()
+    assert np.allclose([list(x) for x in back], [m.ravel() for m in turns], atol=1e-6)
+    two = spark.createDataFrame([(1.0, 0.25, 1.0, 2.0, 3.0, *map(float, turn((0, 0, 1), 0.2).ravel())), (1.0, 0.75, 5.0, 2.0, -1.0, *map(float, turn((0, 0, 1), 0.6).ravel()))], "fitness double, weight double, tx double, ty double, tz double, " + ", ".join(f"r{i} double" for i in range(9)))
+    m = np.array(fusion.average(two, r).first()).reshape(4, 4)
+    assert np.allclose(m[:3, :3], turn((0, 0, 1), 0.5)) and np.allclose(m[:3, 3], (4, 2, 0))
+
+
+def test_linkage_and_hull(spark):
+    """Long chains link up whatever their order; the hull of a partitioned cloud is that of the whole."""
+    rng = np.random.default_rng(2)
+    order = rng.permutation(200)
+    df = spark.createDataFrame([(int(order[i]), float(i % 100) * 0.9, float(i // 100) * 50, 0.0) for i in range(200)], "id long, x double, y double, z double").repartition(5)
+    got = {r["label"]: r["n"] for r in clustering.single_linkage(df, 1.0).collect()}
+    assert got == {int(order[:100].min()): 100, int(order[100:].min()): 100}
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]
+    rows = [("a", *p) for p in square + [(float(a), float(b)) for a, b in zip(rng.random(300) * 4, rng.random(300) * 3, strict=True)]] + [("b", 1.0, 1.0), ("b", 2.0, 2.0)]
+    hull = clustering.convex_hull(spark.createDataFrame(rows, "g string, x double, y double").repartition(4), "g").orderBy("g", "place").collect()
+    assert [(r["x"], r["y"]) for r in hull if r["g"] == "a"] == square and sum(r["g"] == "b" for r in hull) == 2
+
+
+def test_clique_of_many():
+    """More than 400 correspondences take part: the true ones stand behind 600 false ones."""
+    from lidarloom.operators import registration
+
+    rng = np.random.default_rng(3)
+    s = rng.random((700, 3)) * 10
+    t = np.concatenate((rng.random((600, 3)) * 10, s[600:] + (1.0, -2.0, 0.5)))
+    m = registration.clique(s, t, 0.05)
+    assert np.allclose(m[:3, 3], (1, -2, 0.5), atol=1e-6) and np.allclose(m[:3, :3], np.eye(3), atol=1e-6)
