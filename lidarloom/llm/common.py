@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there and no executor's loss undoes
-    it. The table goes when this process ends, or before that by ``discard``."""
+    it. The table goes when this process ends, or before that by ``alone``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -44,10 +44,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(tables: Iterable[DataFrame]) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more."""
-    for path in [t.written_to for t in tables]:
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written down; the tables that it has written on the way are deleted."""
+    before = set(_WRITTEN)
+    out = materialize(make())
+    for path in set(_WRITTEN) - before - {out.written_to}:
         delete(path)
+    return out
 
 
 def delete(path: str) -> None:
@@ -139,9 +142,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     One component may hold very many nodes. They are never gathered under its key but by partial aggregation, and are
     given its least node by a join of plain shuffles (``with_least``), whose skewed partitions adaptive execution splits.
     """
+    return alone(lambda: contracted(edges))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     edges = materialize(edges)
-    pointers, rounds = [], [edges]
+    pointers = []
     while not edges.isEmpty():
         rank = lambda c, seed=len(pointers): F.struct(F.xxhash64(F.lit(seed), c).alias("rank"), c.alias("id"))
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -150,7 +157,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         pointers.append(to)
         moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         edges = materialize(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a < b").distinct())
-        rounds += [to, edges]
     if not pointers:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = pointers[-1]
@@ -158,9 +164,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         later = found.select(F.col("node").alias("to"), F.col("to").alias("last"))
         found = before.join(later, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
     found = materialize(found)
-    out = materialize(with_least(found, "to", F.col("node"), "component").select("node", "component"))
-    discard([*rounds, found])
-    return out
+    return with_least(found, "to", F.col("node"), "component").select("node", "component")
 
 
 def with_least(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarloom.llm.common import connected_components, materialize, split_by, with_least
+from lidarloom.llm.common import alone, connected_components, materialize, split_by, with_least
 
 THRESHOLD, DEGREE, BEAM, AUDIT, MISS = 0.98, 12, 32, 50, 0.005
 #: Components of the vectors of a shard at most, queries of a lot at least, nodes that a graph begins with.
@@ -243,8 +243,8 @@ def graphs(sized: DataFrame, shards: int) -> DataFrame:
     return dealt.repartition(shards, "label", "dim", "shard").sortWithinPartitions("label", "dim", "shard").mapInArrow(work, "label long, dim int, shard int, rank int, node long, v array<double>, copies long, near array<int>")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, values: int = VALUES) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per vector."""
+def linked_classes(vectors: DataFrame, threshold: float, values: int) -> DataFrame:
+    """(label, v, n, component_id): of each class of equal vectors, the links of one of them and its component."""
     parts = 4 * max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     classes = materialize(classes_of(vectors).withColumn("node", F.xxhash64("label", "v")))
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
@@ -321,7 +321,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, values: in
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = materialize(classes.join(components, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    named = with_least(named, "component", F.col("first"), "component_id").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
+    return with_least(named, "component", F.col("first"), "component_id").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, values: int = VALUES) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), one row per vector."""
+    named = alone(lambda: linked_classes(vectors, threshold, values))
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     out = base.join(named, (base["label"] == named["label"]) & (base["v"] == named["v"]), "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))

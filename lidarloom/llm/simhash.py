@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarloom.llm.common import connected_components, free, materialize, resident, small_batches, with_least
+from lidarloom.llm.common import alone, connected_components, free, materialize, resident, small_batches, with_least
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: The Golay code's generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1: a fixed value.
@@ -207,8 +207,7 @@ def components(marks: DataFrame, most: int = DISTANCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs``."""
-    marks = materialize(fingerprints(docs, size))
-    return components(marks, most).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return alone(lambda: components(materialize(fingerprints(docs, size)), most)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # -- near copies at a given similarity of their shingle sets ------------------------------------------------------
@@ -414,8 +413,8 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
 def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies: the one with the least id (null first), then the least mark; exactly
     repeated rows of it are one row."""
-    groups = similar(docs, size, similarity)
     its_id, its_mark = free(docs, "its_id"), free(docs, "its_mark")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("mark") == F.col("group_mark"))).select(F.col("doc_id").alias(its_id), F.col("mark").alias(its_mark)).distinct()
+    first = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("mark") == F.col("group_mark"))
+    kept = alone(lambda: similar(docs, size, similarity).where(first).select(F.col("doc_id").alias(its_id), F.col("mark").alias(its_mark)).distinct())
     joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(its_id)) & (F.xxhash64(docs["text"]) == F.col(its_mark)), "left_semi")
     return joined.dropDuplicates(["doc_id", "text"])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lidarloom.llm.common import free, materialize, resident, small_batches, text_key
+from lidarloom.llm.common import alone, free, materialize, resident, small_batches, text_key
 
 RUN, WORDS, PIECE, WINDOW = 2, 20, 12, 8
 END = re.compile(r"[.!?]+\s+|\n+\s*")
@@ -164,7 +164,7 @@ def deduplicate(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFram
     point ranges ``start:end`` taken out, comma-joined) added."""
     base, count, which = docs, free(docs, "n_removed"), free(docs, "removed")
     names = [free(docs, n) for n in ("its_id", "its_t1", "its_t2", "its_cover")]
-    found = covered(docs, run, least).toDF(*names)
+    found = alone(lambda: covered(docs, run, least)).toDF(*names)
     t1, t2 = text_key(F.col("text"))
     joined = base.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (t1 == F.col(names[1])) & (t2 == F.col(names[2])), "left").drop(*names[:3])
     schema = T.StructType([*base.schema.fields, T.StructField(count, T.IntegerType()), T.StructField(which, T.StringType())])
