@@ -62,13 +62,6 @@ REPORTS: dict[str, str] = {
     "out_iqr": """
         SELECT strip, sum(CASE WHEN intensity < q1 - 1.5 * (q3 - q1) OR intensity > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS intensity_outliers, sum(CASE WHEN x < x1 - 0.5 * (x3 - x1) OR x > x3 + 0.5 * (x3 - x1) THEN 1 ELSE 0 END) AS x_outliers, count(*) AS n
         FROM {points} CROSS JOIN (SELECT percentile(intensity, 0.25) AS q1, percentile(intensity, 0.75) AS q3, percentile(x, 0.25) AS x1, percentile(x, 0.75) AS x3 FROM {points}) AS q GROUP BY strip""",
-    "out_mahalanobis": """
-        WITH c AS (SELECT avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, var_samp(r) AS rr, var_samp(g) AS gg, var_samp(b) AS bb, covar_samp(r, g) AS rg, covar_samp(r, b) AS rb, covar_samp(g, b) AS gb FROM {points}),
-        d AS (SELECT c.*, rr * (gg * bb - gb * gb) - rg * (rg * bb - gb * rb) + rb * (rg * gb - gg * rb) AS det FROM c),
-        m AS (SELECT sqrt(((gg * bb - gb * gb) * power(r - mr, 2) + (rr * bb - rb * rb) * power(g - mg, 2) + (rr * gg - rg * rg) * power(b - mb, 2)
-            + 2 * (rb * gb - rg * bb) * (r - mr) * (g - mg) + 2 * (rg * gb - rb * gg) * (r - mr) * (b - mb) + 2 * (rg * rb - rr * gb) * (g - mg) * (b - mb)) / nullif(det, 0)) AS dist
-          FROM {points} CROSS JOIN d)
-        SELECT sum(CASE WHEN round(dist, 9) > round(t, 9) THEN 1 ELSE 0 END) AS color_outliers, round(max(t), 6) AS threshold, round(avg(dist), 6) AS mean_distance FROM m CROSS JOIN (SELECT percentile(dist, 0.95) AS t FROM m) AS q""",
     "out_combined": """
         SELECT sum(CASE WHEN i_out THEN 1 ELSE 0 END) AS intensity_outliers, sum(CASE WHEN z_out THEN 1 ELSE 0 END) AS z_outliers, sum(CASE WHEN i_out OR z_out THEN 1 ELSE 0 END) AS total_outliers, round(sum(CASE WHEN i_out OR z_out THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS outlier_ratio
         FROM (SELECT intensity > q.i9 AS i_out, x > q.x9 AS z_out FROM {points} CROSS JOIN (SELECT percentile(intensity, 0.9) AS i9, percentile(x, 0.95) AS x9 FROM {points}) AS q) AS t""",

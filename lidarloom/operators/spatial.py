@@ -6,6 +6,9 @@ execution splits voxels that hold very many points.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,3 +124,46 @@ def normals(points: DataFrame, radius: float, k: int) -> DataFrame:
     near = within(points, points, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     own = near.join(points.select(F.col("pid").alias("p"), *AXES), "p")
     return planes(own.select(F.col("q").alias("pid"), *AXES), "pid").select("pid", "planarity", "nx", "ny", "nz")
+
+
+def fpfh(points: DataFrame, radius: float, most: int = 100) -> DataFrame:
+    """(pid, bin, value): fast point feature histograms of ``points(pid, x, y, z, nx, ny, nz)``, 3 x 11 bins of the
+    angles between a point's normal and those of its ``most`` nearest within ``radius``; empty bins have no row. A
+    point's own histogram and its neighbours', by inverse distance, are summed and scaled to unit length. Points without
+    neighbours have no rows."""
+    c, normal = F.col, ("nx", "ny", "nz")
+    near = within(points, points, radius).where("q <> p").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "p"))).where(c("rank") <= most).drop("rank")
+    near = scratch.written(near)
+    side = lambda of: points.select(c("pid").alias(of), *(c(a).alias(f"{of}{a}") for a in (*AXES, *normal)))
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    pairs = near.join(side("q"), "q").join(side("p"), "p").withColumns({f"line{a}": (c(f"p{a}") - c(f"q{a}")) / F.greatest("d", F.lit(1e-12)) for a in AXES})
+    u, line, other = [c(f"q{a}") for a in normal], [c(f"line{a}") for a in AXES], [c(f"p{a}") for a in normal]
+    pairs = pairs.withColumns(dict(zip(("v0", "v1", "v2"), cross(u, line), strict=True))).withColumn("long", F.greatest(F.sqrt(c("v0") ** 2 + c("v1") ** 2 + c("v2") ** 2), F.lit(1e-12)))
+    v = [c(f"v{i}") / c("long") for i in range(3)]
+    angles = (dot(v, other), dot(u, line), F.atan2(dot(cross(u, v), other), dot(u, other)) / math.pi)
+    bins = F.array(*(11 * i + F.greatest(F.lit(0), F.least(F.lit(10), F.floor((a + 1) * 5.5))) for i, a in enumerate(angles)))
+    n = near.groupBy("q").agg(F.count("*").alias("n"))
+    own = pairs.select("q", F.explode(bins.cast("array<int>")).alias("bin")).groupBy("q", "bin").agg(F.count("*").alias("k")).join(n, "q").select("q", "bin", (c("k") / c("n")).alias("value"))
+    own = scratch.written(own)
+    heard = near.join(n, "q").select("q", "p", (1 / F.greatest("d", F.lit(1e-3)) / c("n")).alias("share")).join(own.select(c("q").alias("p"), "bin", "value"), "p").select("q", "bin", (c("value") * c("share")).alias("value"))
+    total = own.unionByName(heard).groupBy("q", "bin").agg(F.sum("value").alias("value"))
+    length = F.sqrt(F.sum(c("value") ** 2).over(Window.partitionBy("q")))
+    return total.select(c("q").alias("pid"), "bin", (c("value") / length).alias("value"))
+
+
+def mahalanobis(points: DataFrame, columns: list[str], share: float = 0.95) -> DataFrame:
+    """One row (color_outliers, threshold, mean_distance): rows further from the mean than the ``share`` quantile of all
+    distances, in units of the covariance. Only sums over the columns reach the driver. Without rows, or with a singular
+    covariance, nothing is an outlier and the distances are null."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    s = points.agg(*(F.avg(a).alias(f"mean_{a}") for a in columns), *(F.covar_samp(a, b).alias(f"{a}_{b}") for a, b in pairs)).first()
+    m = np.array([[s[f"{a}_{b}"] if (a, b) in pairs else s[f"{b}_{a}"] for b in columns] for a in columns], float)
+    if np.isnan(m).any() or np.linalg.matrix_rank(m) < len(columns):
+        return points.limit(0).agg(F.count("*").alias("color_outliers"), F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("mean_distance"))
+    inverse = np.linalg.inv(m)
+    off = {a: F.col(a) - s[f"mean_{a}"] for a in columns}
+    square = sum((float(inverse[i, j]) * off[a] * off[b] for i, a in enumerate(columns) for j, b in enumerate(columns)), F.lit(0.0))
+    dist = points.select(F.sqrt(F.greatest(square, F.lit(0.0))).alias("dist"))
+    limit = quantiles(dist, "dist", [share])[0]
+    return dist.agg(F.count_if(F.round("dist", 9) > F.round(F.lit(limit), 9)).alias("color_outliers"), F.lit(limit).alias("threshold"), F.avg("dist").alias("mean_distance"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lidarloom.functions.geometry import dist3d
+from lidarloom.functions.statistics import normal_quantile_of
 from lidarloom.operators import clustering, spatial
 
 
@@ -61,26 +62,22 @@ def analyse(points: DataFrame, refs: DataFrame, merge: float = 5.0) -> DataFrame
 
 
 def smooth(rows: DataFrame, by: str, order: str, value: str, window: int = 11, degree: int = 3) -> DataFrame:
-    """Savitzky-Golay over ordered rows of each group: fixed coefficients inside, edge polynomials at the ends. The
-    window is the largest odd number of rows up to ``window``. A group is a ranked list of targets."""
-    schema = f"{by} {dict(rows.dtypes)[by]}, {order} {dict(rows.dtypes)[order]}, smooth double"
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(order)[value].to_numpy(float)
-        n = min(len(y), window)
-        n -= 1 - n % 2
-        out = y.copy()
-        if n > degree:
-            half = n // 2
-            basis = np.vander(np.arange(-half, half + 1), degree + 1, increasing=True)
-            proj = basis @ np.linalg.pinv(basis)
-            out[half : len(y) - half] = np.convolve(y, proj[half][::-1], "valid")
-            out[:half], out[len(y) - half :] = (proj @ y[:n])[:half], (proj @ y[-n:])[half + 1 :]
-        done = pdf.sort_values(order)[[by, order]].copy()
-        done["smooth"] = out
-        return done
-
-    return rows.groupBy(by).applyInPandas(work, schema)
+    """(by, order, smooth): Savitzky-Golay over the ordered rows of each group, fixed coefficients inside and edge
+    polynomials at the ends. The window is the largest odd number of rows up to ``window``. A null value makes the rows
+    whose window holds it null. Each row gathers its own window only, so groups may be of any length."""
+    sizes = range(1, window + 1, 2)
+    bases = [np.vander(np.arange(n) - n // 2, min(n, degree + 1), increasing=True).astype(float) for n in sizes]
+    table = F.array(*(F.array(*(F.array(*map(F.lit, r)) for r in (b @ np.linalg.pinv(b)).tolist())) for b in bases))
+    group = Window.partitionBy(by)
+    ordered = group.orderBy(order)
+    reach = window - 1
+    r = rows.select(by, order, F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(ordered.rowsBetween(-reach, reach)).alias("near"), (F.row_number().over(ordered) - 1).alias("i"), F.count(F.lit(1)).over(group).cast("int").alias("rows"))
+    n = F.least("rows", F.lit(window))
+    r = r.withColumn("n", n - 1 + n % 2).withColumn("start", F.greatest(F.lit(0), F.least(F.col("i") - F.floor(F.col("n") / 2), F.col("rows") - F.col("n"))).cast("int"))
+    own = F.slice("near", F.col("start") - F.greatest(F.lit(0), F.col("i") - reach) + 1, F.col("n"))
+    weights = F.get(F.get(table, F.floor(F.col("n") / 2).cast("int")), F.col("i") - F.col("start"))
+    dot = F.aggregate(F.zip_with(own, weights, lambda x, w: x["v"] * w), F.lit(0.0), lambda total, x: total + x)
+    return r.select(by, order, dot.alias("smooth"))
 
 
 def bootstrap(rows: DataFrame, by: str, key: list[str], value: str, times: int = 1000, seed: int = 7) -> DataFrame:
@@ -144,14 +141,7 @@ def normal_plot(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, value, quantile): ordered values against normal quantiles at (i - 0.5) / n."""
     w = Window.partitionBy(by)
     p = (F.row_number().over(w.orderBy(value)) - 0.5) / F.count("*").over(w)
-
-    @F.pandas_udf("double")
-    def inverse(s: pd.Series) -> pd.Series:
-        from lidarloom.functions.statistics import normal_quantile
-
-        return s.map(normal_quantile)
-
-    return rows.select(by, value, p.alias("p")).select(by, value, inverse("p").alias("quantile"))
+    return rows.select(by, value, normal_quantile_of(p).alias("quantile"))
 
 
 def raster(points: DataFrame, side: int) -> DataFrame:

@@ -256,6 +256,9 @@ def oracle_sql() -> dict[str, str]:
           g AS (SELECT sum(w * k * (m7 - m5)) / sum(w) AS x, sum(w * k * (m2 - m6)) / sum(w) AS y, sum(w * k * (m3 - m1)) / sum(w) AS z, sum(w * tx) / sum(w) AS tx, sum(w * ty) / sum(w) AS ty, sum(w * tz) / sum(w) AS tz FROM k),
           f AS (SELECT *, sin(a) / a AS s, (1 - cos(a)) / (a * a) AS b, cos(a) AS c FROM (SELECT *, sqrt(x * x + y * y + z * z) AS a FROM g) q)
           SELECT {r('c + b*x*x', 'b*x*y - s*z', 'b*x*z + s*y', 'tx', 'b*x*y + s*z', 'c + b*y*y', 'b*y*z - s*x', 'ty', 'b*x*z - s*y', 'b*y*z + s*x', 'c + b*z*z', 'tz')} FROM f""", ["regions"]),
+        "geo_convex_hull": with_views("""WITH t AS (SELECT DISTINCT cluster, x, y FROM cloud), ed AS (SELECT a.cluster, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy FROM t a JOIN t b ON a.cluster = b.cluster AND (a.x, a.y) <> (b.x, b.y)),
+          hull AS (SELECT ed.cluster, ax, ay, bx, byy FROM ed JOIN t ON t.cluster = ed.cluster GROUP BY ALL HAVING min((bx - ax) * (t.y - ay) - (byy - ay) * (t.x - ax)) >= 0)
+          SELECT cluster, count(*) AS corners, round(sum(ax * byy - bx * ay) / 2, 6) AS area FROM hull GROUP BY cluster""", ["cloud"]),
         "la_so3_exp": with_views("SELECT count(*) AS n, true AS same FROM regions", ["regions"]),
         "la_svd_orthogonalise": with_views("SELECT grid_id, true AS orthogonal, true AS near FROM regions", ["regions"]),
     }

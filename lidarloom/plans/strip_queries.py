@@ -146,6 +146,18 @@ def out_lof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.lof(tables.cloud(spark, sf_dir)), 5)
 
 
+def out_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.mahalanobis(tables.points(spark, sf_dir), ["r", "g", "b"]))
+
+
+def geo_fpfh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature histograms of the cloud, under the directions that each vector's next three components give."""
+    e = [F.col("embedding")[i].cast("double") for i in (3, 4, 5)]
+    length = F.sqrt(e[0] * e[0] + e[1] * e[1] + e[2] * e[2])
+    n = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), *((v / length).alias(a) for v, a in zip(e, ("nx", "ny", "nz"), strict=True)))
+    return rounded(spatial.fpfh(tables.cloud(spark, sf_dir).join(n, "pid"), 0.12, 20))
+
+
 def out_color_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.cloud(spark, sf_dir).withColumns({"r": F.col("x") * 10, "g": F.col("y") * 10, "b": F.col("z") * 10})
     return spatial.colour_consistent(c, c.where("cluster = 3"), 0.12, 1.0, least=3)
@@ -187,7 +199,7 @@ def inf_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     geo_overlap, geo_grid, prj_decenter, prj_grid_id, agg_cell_stats, agg_percentile_global, agg_hist1d, agg_hist2d, agg_entropy, score_composite, jn_common_grids, select_regions, sel_sizes, sel_fallback, jn_cell_extract, smp_region_cap,
-    jn_nn1, jn_mutual_nn, jn_radius, flt_nn_distance, geo_voxel_down, out_lof, out_color_mad, jn_cosine_nn, prj_strip_id_regex, prj_mem_format, clu_single_linkage, inf_t_ci, inf_kde,
+    jn_nn1, jn_mutual_nn, jn_radius, flt_nn_distance, geo_voxel_down, out_lof, out_mahalanobis, geo_fpfh, out_color_mad, jn_cosine_nn, prj_strip_id_regex, prj_mem_format, clu_single_linkage, inf_t_ci, inf_kde,
 )
 
 
@@ -261,6 +273,24 @@ def oracle_sql() -> dict[str, str]:
         "flt_nn_distance": c(f"WITH {pairs} SELECT count(*) AS n, round(max(d), 6) AS farthest FROM (SELECT q, min(d) AS d FROM pr WHERE d < 0.05 GROUP BY q) t"),
         "geo_voxel_down": c("WITH lo AS (SELECT strip, min(x) - 0.05 AS lx, min(y) - 0.05 AS ly, min(z) - 0.05 AS lz FROM cloud GROUP BY strip) SELECT c.strip, CAST(floor((x - lx) / 0.1) AS BIGINT) AS vx, CAST(floor((y - ly) / 0.1) AS BIGINT) AS vy, CAST(floor((z - lz) / 0.1) AS BIGINT) AS vz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM cloud c JOIN lo ON c.strip = lo.strip GROUP BY ALL"),
         "out_lof": c(f"WITH {knn}, kd AS (SELECT q, max(d) AS kd FROM nn GROUP BY q), ld AS (SELECT nn.q, 1 / (avg(greatest(nn.d, kd.kd)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.q = nn.p GROUP BY nn.q) SELECT nn.q AS pid, round(avg(b.lrd) / max(a.lrd), 5) AS lof FROM nn JOIN ld a ON a.q = nn.q JOIN ld b ON b.q = nn.p GROUP BY nn.q"),
+        "out_mahalanobis": with_views("""
+          WITH c AS (SELECT avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, var_samp(r) AS rr, var_samp(g) AS gg, var_samp(b) AS bb, covar_samp(r, g) AS rg, covar_samp(r, b) AS rb, covar_samp(g, b) AS gb FROM points),
+          d AS (SELECT c.*, rr * (gg * bb - gb * gb) - rg * (rg * bb - gb * rb) + rb * (rg * gb - gg * rb) AS det FROM c),
+          m AS (SELECT sqrt(((gg * bb - gb * gb) * power(r - mr, 2) + (rr * bb - rb * rb) * power(g - mg, 2) + (rr * gg - rg * rg) * power(b - mb, 2)
+          + 2 * (rb * gb - rg * bb) * (r - mr) * (g - mg) + 2 * (rg * gb - rb * gg) * (r - mr) * (b - mb) + 2 * (rg * rb - rr * gb) * (g - mg) * (b - mb)) / nullif(det, 0)) AS dist
+          FROM points CROSS JOIN d)
+          SELECT sum(CASE WHEN round(dist, 9) > round(t, 9) THEN 1 ELSE 0 END) AS color_outliers, round(max(t), 6) AS threshold, round(avg(dist), 6) AS mean_distance FROM m CROSS JOIN (SELECT quantile_cont(dist, 0.95) AS t FROM m) AS q""", ["points"]),
+        "geo_fpfh": with_views(f"""WITH nm AS (SELECT vec_id, embedding[4]::DOUBLE AS a, embedding[5]::DOUBLE AS b, embedding[6]::DOUBLE AS c FROM embeddings),
+          t AS (SELECT pid, x, y, z, a / sqrt(a * a + b * b + c * c) AS nx, b / sqrt(a * a + b * b + c * c) AS ny, c / sqrt(a * a + b * b + c * c) AS nz FROM cloud JOIN nm ON vec_id = pid),
+          pr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, p) AS rk FROM (SELECT s.pid AS q, b.pid AS p, {d('s', 'b')} AS d FROM t s JOIN t b ON s.pid <> b.pid) w WHERE d <= 0.12) w WHERE rk <= 20),
+          l AS (SELECT q, p, d, s.nx AS ux, s.ny AS uy, s.nz AS uz, b.nx AS mx, b.ny AS my, b.nz AS mz, (b.x - s.x) / greatest(d, 1e-12) AS lx, (b.y - s.y) / greatest(d, 1e-12) AS ly, (b.z - s.z) / greatest(d, 1e-12) AS lz FROM pr JOIN t s ON s.pid = q JOIN t b ON b.pid = p),
+          v0 AS (SELECT *, uy * lz - uz * ly AS gx, uz * lx - ux * lz AS gy, ux * ly - uy * lx AS gz FROM l), v AS (SELECT *, greatest(sqrt(gx * gx + gy * gy + gz * gz), 1e-12) AS len FROM v0),
+          w AS (SELECT *, gx / len AS vx, gy / len AS vy, gz / len AS vz FROM v),
+          an AS (SELECT q, [vx * mx + vy * my + vz * mz, ux * lx + uy * ly + uz * lz, atan2((uy * vz - uz * vy) * mx + (uz * vx - ux * vz) * my + (ux * vy - uy * vx) * mz, ux * mx + uy * my + uz * mz) / pi()] AS al FROM w),
+          bn AS (SELECT q, i * 11 + CAST(greatest(0, least(10, floor((al[i + 1] + 1) * 5.5))) AS INT) AS bin FROM an, (SELECT unnest(range(3))::INT AS i) k),
+          n AS (SELECT q, count(*) AS n FROM pr GROUP BY q), own AS (SELECT bn.q, bin, count(*) / max(n.n)::DOUBLE AS f FROM bn JOIN n ON n.q = bn.q GROUP BY bn.q, bin),
+          al AS (SELECT q, bin, f FROM own UNION ALL SELECT pr.q, own.bin, own.f / greatest(pr.d, 1e-3) / n.n FROM pr JOIN n ON n.q = pr.q JOIN own ON own.q = pr.p), tt AS (SELECT q, bin, sum(f) AS f FROM al GROUP BY q, bin)
+          SELECT q AS pid, bin, round(f / sqrt(sum(f * f) OVER (PARTITION BY q)), 6) AS value FROM tt""", ["cloud"]),
         "out_color_mad": c(f"""WITH cl AS (SELECT *, x * 10 AS r, y * 10 AS g, z * 10 AS bl FROM cloud), nr AS (SELECT s.pid AS q, b.pid AS p, b.r, b.g, b.bl FROM cl s, cl b WHERE s.cluster = 3 AND {d('s', 'b')} <= 0.12),
           md AS (SELECT q, median(r) AS mr, median(g) AS mg, median(bl) AS mb FROM nr GROUP BY q HAVING count(*) >= 3), dv AS (SELECT nr.q, nr.p, abs(r - mr) AS dr, abs(g - mg) AS dg, abs(bl - mb) AS db FROM nr JOIN md ON nr.q = md.q), mm AS (SELECT q, greatest(median(dr), 0.1) AS tr, greatest(median(dg), 0.1) AS tg, greatest(median(db), 0.1) AS tb FROM dv GROUP BY q)
           SELECT pid FROM cl WHERE cluster = 3 UNION SELECT p FROM dv JOIN mm ON dv.q = mm.q WHERE dr <= tr AND dg <= tg AND db <= tb"""),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from lidarloom.sources import tables
 from lidarloom.streaming import cells as running
 
 SIDE = 20
+#: Targets of a file at most, one for each nation of the tables: how far the twins' tables of quantiles go.
+NATIONS = 25
 
 
 def geo_plane_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +57,7 @@ def jn_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets.smooth(tables.targets(spark, sf_dir), "file", "reference_id", "distance_to_ref")
+    return rounded(targets.smooth(tables.targets(spark, sf_dir), "file", "reference_id", "distance_to_ref"))
 
 
 def inf_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +73,7 @@ def mdl_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inf_qq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets.normal_plot(tables.targets(spark, sf_dir), "file", "distance_to_ref")
+    return rounded(targets.normal_plot(tables.targets(spark, sf_dir), "file", "distance_to_ref"))
 
 
 def geo_slope_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +180,35 @@ SQL_ALONG = lambda v, part, order: f"coalesce((lead({v}) OVER (PARTITION BY {par
 SQL_SLOPES = f"{SQL_RASTER}, g1 AS (SELECT *, {SQL_ALONG('z', 'i', 'j')} AS zx, {SQL_ALONG('z', 'j', 'i')} AS zy FROM g), g2 AS (SELECT *, {SQL_ALONG('zx', 'i', 'j')} AS zxx, {SQL_ALONG('zy', 'j', 'i')} AS zyy FROM g1), s AS (SELECT i, j, z, degrees(atan(sqrt(zx * zx + zy * zy))) AS slope, CASE WHEN atan2(zy, zx) < 0 THEN degrees(atan2(zy, zx)) + 360 ELSE degrees(atan2(zy, zx)) END AS aspect, zxx + zyy AS curvature FROM g2)"
 
 
+def sql_planes(source: str, key: str) -> str:
+    """CTEs up to ``pl``: the plane of each group of ``source(key, x, y, z)``. The least eigenvalue by the cubic's roots
+    and two Newton steps, its vector by the longest cross product of two rows."""
+    newton = lambda e: f"{e} - (({e} - t) * {e} * {e} + c * {e} - det) / nullif((3 * {e} - 2 * t) * {e} + c, 0)"
+    return f"""m AS (SELECT {key}, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, var_samp(x) AS xx, var_samp(y) AS yy, var_samp(z) AS zz, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, z) AS yz FROM {source} GROUP BY {key} HAVING count(*) >= 3),
+      m1 AS (SELECT *, xx + yy + zz AS t, xx * yy + xx * zz + yy * zz - xy * xy - xz * xz - yz * yz AS c, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM m),
+      m2 AS (SELECT *, sqrt(greatest(t * t - 3 * c, 0)) / 3 AS h FROM m1), m3 AS (SELECT *, acos(greatest(-1, least(1, coalesce((2 * t * t * t - 9 * t * c + 27 * det) / nullif(54 * h * h * h, 0), 1)))) / 3 AS phi FROM m2),
+      m4 AS (SELECT *, t / 3 + 2 * h * cos(phi + 2 * pi() / 3) AS e FROM m3), m5 AS (SELECT * REPLACE (coalesce({newton('e')}, e) AS e) FROM m4), m6 AS (SELECT * REPLACE (coalesce({newton('e')}, e) AS e) FROM m5),
+      m7 AS (SELECT *, (t - e - sqrt(greatest((t - e) * (t - e) - 4 * (c - e * (t - e)), 0))) / 2 AS e1, [xy * yz - xz * (yy - e), xz * xy - (xx - e) * yz, (xx - e) * (yy - e) - xy * xy] AS a, [xy * (zz - e) - xz * yz, xz * xz - (xx - e) * (zz - e), (xx - e) * yz - xy * xz] AS b, [(yy - e) * (zz - e) - yz * yz, yz * xz - xy * (zz - e), xy * yz - (yy - e) * xz] AS d FROM m6),
+      m8 AS (SELECT *, CASE greatest(list_dot_product(a, a), list_dot_product(b, b), list_dot_product(d, d)) WHEN list_dot_product(a, a) THEN a WHEN list_dot_product(b, b) THEN b ELSE d END AS v FROM m7),
+      m9 AS (SELECT *, CASE WHEN v[3] < 0 THEN -1 ELSE 1 END / sqrt(list_dot_product(v, v)) AS k FROM m8),
+      pl AS (SELECT {key}, n, cx, cy, cz, CASE WHEN e1 > 1e-8 THEN greatest(e, 0) / e1 ELSE 0 END AS planarity, v[1] * k AS nx, v[2] * k AS ny, v[3] * k AS nz, degrees(acos(least(1, v[3] * k))) AS angle FROM m9)"""
+
+
+def sql_smooth(window: int, degree: int) -> str:
+    """``win_savgol`` by least squares: the value at a row of the polynomial through its window, from a table of the
+    hat matrices of all window sizes."""
+    import numpy as np
+
+    hats = []
+    for n in range(1, window + 1, 2):
+        b = np.vander(np.arange(n), min(n, degree + 1)).astype(float)
+        q, _ = np.linalg.qr(b)
+        hats += [f"({n}, {i}, {j}, {float(v)!r}::DOUBLE)" for (i, j), v in np.ndenumerate(q @ q.T)]
+    return f"""WITH h AS (SELECT * FROM (VALUES {', '.join(hats)}) t(n, i, j, w)), o AS (SELECT file, reference_id, distance_to_ref AS v, row_number() OVER (PARTITION BY file ORDER BY reference_id) - 1 AS pos, count(*) OVER (PARTITION BY file) AS total FROM targets),
+      s AS (SELECT *, least(total - 1 + total % 2, {window}) AS n FROM o), f AS (SELECT *, greatest(0, least(pos - n // 2, total - n)) AS start FROM s)
+      SELECT f.file, f.reference_id, round(sum(h.w * g.v), 6) AS smooth FROM f JOIN h ON h.n = f.n AND h.i = f.pos - f.start JOIN o g ON g.file = f.file AND g.pos = f.start + h.j GROUP BY f.file, f.reference_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     p = lambda text: with_views("WITH " + text, ["points"])
     return {
@@ -189,5 +221,10 @@ def oracle_sql() -> dict[str, str]:
         "win_focal_std": p(f"{SQL_RASTER}, o AS (SELECT unnest(range(-2, 3)) AS d), w AS (SELECT g.i, g.j, g.i + a.d AS ni, g.j + b.d AS nj FROM g, o a, o b), f AS (SELECT i, j, CASE WHEN ni < 0 THEN -ni - 1 WHEN ni >= {SIDE} THEN {2 * SIDE - 1} - ni ELSE ni END AS ni, CASE WHEN nj < 0 THEN -nj - 1 WHEN nj >= {SIDE} THEN {2 * SIDE - 1} - nj ELSE nj END AS nj FROM w) SELECT f.i, f.j, round(stddev_pop(g.z), 5) AS roughness FROM f JOIN g ON f.ni = g.i AND f.nj = g.j GROUP BY f.i, f.j"),
         "str_running_cells": with_views("SELECT strip, CAST(floor(x / 20.0) AS BIGINT) AS cx, CAST(floor(y / 20.0) AS BIGINT) AS cy, count(*) AS n, round(avg(z), 5) AS z_mean, round(stddev_pop(z), 5) AS z_std, round(min(z), 5) AS z_min, round(max(z), 5) AS z_max FROM points GROUP BY ALL", ["points"]),
         "inf_bootstrap": with_views("WITH u AS (SELECT file, distance_to_ref AS v, rep, (('0x' || substr(md5('7|' || file || '|' || reference_id || '|' || rep), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM targets CROSS JOIN range(200) r(rep)), k AS (SELECT *, " + " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in targets.POISSON) + " AS k FROM u), m AS (SELECT file, rep, sum(k * v) / nullif(sum(k), 0) AS m FROM k GROUP BY file, rep) SELECT file, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM m GROUP BY file", ["targets"]),
+        "inf_qq": with_views(f"""SELECT file, round(distance_to_ref, 6) AS distance_to_ref, round(z, 6) AS quantile FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY distance_to_ref) AS i, count(*) OVER (PARTITION BY file) AS n FROM targets) t
+          JOIN (VALUES {", ".join(f"({n}, {i}, {NormalDist().inv_cdf((i - 0.5) / n)!r}::DOUBLE)" for n in range(1, NATIONS + 1) for i in range(1, n + 1))}) k(kn, ki, z) ON kn = n AND ki = i""", ["targets"]),
+        "win_savgol": with_views(sql_smooth(11, 3), ["targets"]),
+        "geo_plane_fit": with_views(f"WITH {sql_planes('cloud', 'cluster')} SELECT cluster, n, " + ", ".join(f"round({v}, 6) AS {v}" for v in ("cx", "cy", "cz", "planarity", "nx", "ny", "nz", "angle")) + " FROM pl", ["cloud"]),
+        "geo_normals": with_views(f"WITH nr AS (SELECT * FROM (SELECT a.pid, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.pid ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), b.pid) AS rk FROM cloud a, cloud b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.2) t WHERE rk <= 30), {sql_planes('nr', 'pid')} SELECT pid, " + ", ".join(f"round({v}, 6) AS {v}" for v in ("planarity", "nx", "ny", "nz")) + " FROM pl", ["cloud"]),
         "str_windowed_events": "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     }

@@ -289,3 +289,47 @@ def test_clique_of_many():
     t = np.concatenate((rng.random((600, 3)) * 10, s[600:] + (1.0, -2.0, 0.5)))
     m = registration.clique(s, t, 0.05)
     assert np.allclose(m[:3, 3], (1, -2, 0.5), atol=1e-6) and np.allclose(m[:3, :3], np.eye(3), atol=1e-6)
+
+
+def test_smoothing_of_a_long_group(spark):
+    """Each row's window against a polynomial fit of its own; short groups are left as they are."""
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=40)
+    rows = [("a", i, float(v)) for i, v in enumerate(y)] + [("b", i, float(i * i)) for i in range(3)]
+    got = {(r["g"], r["o"]): r["smooth"] for r in targets.smooth(spark.createDataFrame(rows, "g string, o int, v double").repartition(3), "g", "o", "v").collect()}
+    for i in range(40):
+        start = max(0, min(i - 5, 29))
+        fit = np.polynomial.Polynomial.fit(np.arange(start, start + 11), y[start : start + 11], 3)
+        assert abs(got["a", i] - fit(i)) < 1e-9
+    assert [round(got["b", i], 9) for i in range(3)] == [0, 1, 4]
+
+
+def test_normal_quantiles_of_a_column(spark):
+    p = [1e-300, 1e-20, 1e-9, 0.01, 0.07, 0.3, 0.5, 0.7, 0.95, 0.999]
+    got = [r["z"] for r in spark.createDataFrame([(v,) for v in p], "p double").select(statistics.normal_quantile_of(F.col("p")).alias("z")).collect()]
+    assert np.allclose(got, [statistics.normal_quantile(v) for v in p], rtol=1e-12, atol=1e-15)
+
+
+def test_mahalanobis(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2)) @ np.array([[2.0, 0.3], [0.0, 0.5]])
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double")
+    d = np.sqrt(np.einsum("ij,jk,ik->i", x - x.mean(0), np.linalg.inv(np.cov(x.T)), x - x.mean(0)))
+    r = spatial.mahalanobis(df, ["a", "b"], 0.9).first()
+    assert r["color_outliers"] == (d > np.quantile(d, 0.9)).sum() and abs(r["threshold"] - np.quantile(d, 0.9)) < 1e-9 and abs(r["mean_distance"] - d.mean()) < 1e-9
+    for bad in (df.limit(0), df.withColumn("b", F.col("a") * 2)):
+        r = spatial.mahalanobis(bad, ["a", "b"]).first()
+        assert r["color_outliers"] == 0 and r["threshold"] is None and r["mean_distance"] is None
+
+
+def test_feature_histograms(spark):
+    """Against the kernel on arrays; points alone have none."""
+    rng = np.random.default_rng(6)
+    p, n = rng.uniform(size=(80, 3)), rng.normal(size=(80, 3))
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    p[0] += 50
+    rows = [(i, *map(float, p[i]), *map(float, n[i])) for i in range(80)]
+    got = np.zeros((80, 33))
+    for r in spatial.fpfh(spark.createDataFrame(rows, "pid long, x double, y double, z double, nx double, ny double, nz double"), 0.3).collect():
+        got[r["pid"], r["bin"]] = r["value"]
+    assert np.allclose(got, registration.fpfh(p, n, 0.3), atol=1e-9) and not got[0].any()
