@@ -611,6 +611,31 @@ def test_pipeline(spark, docs, labels):
     assert length == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in kept[3].items()}
 
 
+def test_pipeline_odd(spark, odd, empty, labels, tmp_path):
+    """Nulls, empty, very long and repeated texts, clashing names, and an empty table, through all stages."""
+    import corpus_pipeline
+
+    clash = odd.withColumns({n: F.lit("mine") for n in ("__id", "mark", "group_id", "removed", "n_removed", "node", "its_id", "row")})
+    for name, docs in (("odd", clash), ("empty", empty)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.materialize(stage(spark, now, folder))
+            assert now.columns == docs.columns and (name == "empty" or now.where("removed <> 'mine' or mark <> 'mine'").count() == 0)
+        got = [(r["doc_id"], r["text"]) for r in now.collect()]
+        if name == "odd":
+            # one of the texts without words, one of the repeated rows; nothing else is alike
+            assert Counter(i for i, _ in got) == Counter({1: 1, 4: 2, None: 1, 5: 1, 6: 1, 7: 1, 8: 1}) and (1, None) in got
+            assert Counter(t for i, t in got if i not in (1, 5, 6)) == Counter(["a", "b c", "no id", "x" * 3000, "a\x1cb   c"])
+        else:
+            assert got == []
+        t = library(packing.default_path())
+        packed = corpus_pipeline.run(spark, folder).collect()
+        assert sum(r["length"] for r in packed) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in got)
+
+
 def test_registered():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
