@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lidarloom.llm import bpe, fingerprint, hnsw, packing, pii, simhash, substring, token_count, toxicity, url_filter
+from lidarloom.llm import bpe, fingerprint, hnsw, html_text, packing, periodic, pii, simhash, substring, token_count, toxicity, url_filter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_prefix_fingerprints, op2_skip_chain_pii, op3_tree_bpe, op4_noisy_channel_toxicity, op5_token_counts, op6_sentence_spans, op7_hnsw, op8_url_rules, op9_best_fit_packing, op10_simhash)
+    own = (op1_prefix_fingerprints, op2_skip_chain_pii, op3_tree_bpe, op4_noisy_channel_toxicity, op5_token_counts, op6_sentence_spans, op7_hnsw, op8_url_rules, op9_best_fit_packing, op10_simhash, op11_whitening, op12_main_text, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
