@@ -1,289 +1,128 @@
-"""Rigid registration of grid cells: Spark pairs the strips' points by cell and runs one small numpy kernel per cell.
+"""Rigid registration of grid cells: methods by name, each a composition of Spark jobs over all selected cells at once.
 
-A cell is bounded by the selection (at most ``max_regions`` cells) and by voxel averaging before the kernel, which is a
-Spark aggregate. Correspondences come back as rows of their own, so nothing is shared between tasks.
+Both strips are thinned to voxel averages first. A method takes its start from the identity or from matches of point
+features (``matching``), and iterated closest points (``icp``) refine it. No task ever holds a cell; the driver holds a
+matrix for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarloom.operators.spatial import voxel_down
+from lidarloom.functions.geometry import affine
+from lidarloom.operators import icp, matching, spatial
+from lidarloom.sources import scratch
 
 RESULT = "grid_id long, transformation array<double>, fitness double, rmse double, mae double, n_corr long, success boolean, error string"
+AXES, CELL = ("x", "y", "z"), ("grid_id",)
 
+Starts = Callable[[DataFrame], dict[int, np.ndarray]]
 
-def neighbours(points: np.ndarray, queries: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, distance) of all pairs within ``radius``: points filed by voxel, queries look at 27 voxels."""
-    low = np.minimum(points.min(0), queries.min(0)) - 2 * radius
-    key = lambda v: (v[:, 0] << 42) | (v[:, 1] << 21) | v[:, 2]
-    pv, qv = (((x - low) / radius).astype(np.int64) for x in (points, queries))
-    order = np.argsort(key(pv), kind="stable")
-    keys = key(pv)[order]
-    qs, ps = [], []
-    for dx in (-1, 0, 1):
-        for dy in (-1, 0, 1):
-            for dz in (-1, 0, 1):
-                k = key(qv + (dx, dy, dz))
-                a, b = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
-                n = b - a
-                q = np.repeat(np.arange(len(queries)), n)
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-                qs.append(q)
-                ps.append(order[at])
-    q, p = np.concatenate(qs), np.concatenate(ps)
-    d = np.linalg.norm(queries[q] - points[p], axis=1)
-    near = d <= radius
-    return q[near], p[near], d[near]
 
+@dataclass(frozen=True)
+class Method:
+    """A refinement within ``reach``, to planes whose normals come from ``normal`` around a point, or to points; and the
+    start from matches of features within ``feature`` around a point, if there is one."""
 
-def nearest(points: np.ndarray, queries: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, distance) of the nearest point strictly within ``radius``."""
-    q, p, d = neighbours(points, queries, radius)
-    rank = np.lexsort((p, d, q))
-    q, p, d = q[rank], p[rank], d[rank]
-    first = np.concatenate(([True], q[1:] != q[:-1])) if len(q) else np.zeros(0, bool)
-    first &= d < radius
-    return q[first], p[first], d[first]
+    reach: float
+    rounds: int
+    normal: float | None = None
+    cauchy: float | None = None
+    start: Starts | None = None
+    feature: float = 2.5
+    mutual: bool = True
+    most: int = 20_000
 
 
-def normals(points: np.ndarray, radius: float, most: int) -> np.ndarray:
-    """Normals by principal components of up to ``most`` nearest points within ``radius``."""
-    q, p, d = neighbours(points, points, radius)
-    rank = np.lexsort((d, q))
-    q, p = q[rank], p[rank]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    q, p = q[place < most], p[place < most]
-    n = np.bincount(q, minlength=len(points))[:, None]
-    mean = np.stack([np.bincount(q, points[p, i], len(points)) for i in range(3)], 1) / n
-    c = points[p] - mean[q]
-    cov = np.stack([np.bincount(q, c[:, i] * c[:, j], len(points)) for i in range(3) for j in range(3)], 1).reshape(-1, 3, 3)
-    v = np.linalg.eigh(cov)[1][:, :, 0]
-    return v * np.where(v[:, 2:] < 0, -1, 1)
+def by_samples(pairs: DataFrame) -> dict[int, np.ndarray]:
+    """The best of random samples, solved once more over its inliers."""
+    best = {r["grid_id"]: np.reshape(r["transformation"], (4, 4)) for r in matching.ransac(pairs, 0.5).collect()}
+    inliers = matching.under(pairs, {g: (m, 0.0) for g, m in best.items()}).where("r2 < 0.25") if best else pairs.limit(0)
+    return best | matching.squares(inliers)
 
 
-def rigid(source: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-    """The weighted least-squares rigid transform, by singular values; reflections are turned back."""
-    w = np.ones(len(source)) if weight is None else weight
-    w = w / w.sum()
-    cs, ct = w @ source, w @ target
-    u, _, vt = np.linalg.svd((source - cs).T @ ((target - ct) * w[:, None]))
-    r = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T)) or 1]) @ u.T
-    t = np.eye(4)
-    t[:3, :3], t[:3, 3] = r, ct - r @ cs
-    return t
+def by_cliques(pairs: DataFrame) -> dict[int, np.ndarray]:
+    return matching.squares(matching.members_of(pairs, matching.cliques(pairs, 0.1)))
 
 
-def nearest_rotation(m: np.ndarray) -> np.ndarray:
-    u, _, vt = np.linalg.svd(m)
-    return u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt)) or 1]) @ vt
-
-
-def move(t: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return points @ t[:3, :3].T + t[:3, 3]
-
-
-def plane_step(source: np.ndarray, target: np.ndarray, normal: np.ndarray, k: float | None) -> np.ndarray:
-    """One linearised point-to-plane step; a Cauchy weight of width ``k`` if given."""
-    r = ((source - target) * normal).sum(1)
-    w = np.ones(len(r)) if k is None else 1 / (1 + (r / k) ** 2)
-    a = np.hstack((np.cross(source, normal), normal))
-    x = np.linalg.lstsq((a * w[:, None]).T @ a, -(a * w[:, None]).T @ r, rcond=None)[0]
-    angle = np.linalg.norm(x[:3])
-    axis = x[:3] / angle if angle > 1e-12 else np.array([1.0, 0, 0])
-    kx = np.array([[0, -axis[2], axis[1]], [axis[2], 0, -axis[0]], [-axis[1], axis[0], 0]])
-    t = np.eye(4)
-    t[:3, :3] = np.eye(3) + np.sin(angle) * kx + (1 - np.cos(angle)) * kx @ kx
-    t[:3, 3] = x[3:]
-    return t
-
-
-def icp(source: np.ndarray, target: np.ndarray, reach: float, rounds: int, start: np.ndarray | None = None, normal: np.ndarray | None = None, cauchy: float | None = None) -> np.ndarray:
-    """Iterated closest points, to points or (with ``normal``) to planes, until fitness and rmse settle."""
-    t = np.eye(4) if start is None else start
-    before = (-1.0, -1.0)
-    for _ in range(rounds):
-        moved = move(t, source)
-        q, p, d = nearest(target, moved, reach)
-        if len(q) < 6:
-            break
-        now = (len(q) / len(source), float(np.sqrt((d * d).mean())))
-        if abs(now[0] - before[0]) < 1e-6 and abs(now[1] - before[1]) < 1e-6:
-            break
-        before = now
-        step = rigid(moved[q], target[p]) if normal is None else plane_step(moved[q], target[p], normal[p], cauchy)
-        t = step @ t
-    return t
-
-
-def fpfh(points: np.ndarray, normal: np.ndarray, radius: float) -> np.ndarray:
-    """Fast point feature histograms: 3 x 11 bins of the angles between a point's and its neighbours' normals."""
-    q, p, d = neighbours(points, points, radius)
-    q, p, d = q[q != p], p[q != p], d[q != p]
-    line = (points[p] - points[q]) / np.maximum(d, 1e-12)[:, None]
-    u = normal[q]
-    v = np.cross(u, line)
-    v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
-    w = np.cross(u, v)
-    angles = ((v * normal[p]).sum(1), (u * line).sum(1), np.arctan2((w * normal[p]).sum(1), (u * normal[p]).sum(1)) / np.pi)
-    spf = np.zeros((len(points), 33))
-    for i, a in enumerate(angles):
-        np.add.at(spf, (q, 11 * i + np.clip(((a + 1) * 5.5).astype(int), 0, 10)), 1)
-    spf /= np.maximum(spf.sum(1, keepdims=True) / 3, 1)
-    out = spf.copy()
-    n = np.maximum(np.bincount(q, minlength=len(points)), 1)
-    np.add.at(out, q, spf[p] / np.maximum(d, 1e-3)[:, None] / n[q][:, None])
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-
-
-def matches(fs: np.ndarray, ft: np.ndarray, mutual: bool, most: int) -> np.ndarray:
-    """(source, target) of nearest features, mutual or one way, best first, at most ``most``."""
-    best = np.concatenate([np.argmax(fs[a : a + 1024] @ ft.T, axis=1) for a in range(0, len(fs), 1024)])
-    pair = np.stack((np.arange(len(fs)), best), 1)
-    if mutual:
-        back = np.concatenate([np.argmax(ft[a : a + 1024] @ fs.T, axis=1) for a in range(0, len(ft), 1024)])
-        pair = pair[back[pair[:, 1]] == pair[:, 0]]
-    score = (fs[pair[:, 0]] * ft[pair[:, 1]]).sum(1)
-    return pair[np.argsort(-score, kind="stable")[:most]]
-
-
-def ransac(s: np.ndarray, t: np.ndarray, reach: float, rounds: int, seed: int = 0) -> np.ndarray:
-    """Best of seeded three-point hypotheses whose edges agree in length to 0.9."""
-    rng = np.random.default_rng(seed)
-    best, score = np.eye(4), -1
-    for _ in range(rounds):
-        i = rng.choice(len(s), 3, replace=False)
-        a, b = (np.linalg.norm(x[i] - x[np.roll(i, 1)], axis=1) for x in (s, t))
-        if (np.minimum(a, b) < 0.9 * np.maximum(a, b)).any():
-            continue
-        m = rigid(s[i], t[i])
-        n = int((np.linalg.norm(move(m, s) - t, axis=1) < reach).sum())
-        if n > score:
-            best, score = m, n
-    return best
-
-
-def graduated(s: np.ndarray, t: np.ndarray, width: float, truncated: bool) -> np.ndarray:
-    """Graduated non-convexity over correspondences: Geman-McClure weights, or truncated least squares."""
-    m = rigid(s, t)
-    r = np.linalg.norm(move(m, s) - t, axis=1)
-    mu = max(float((r / width).max()) ** 2, 1.0) if not truncated else 1 / max(2 * float((r / width).max()) ** 2 - 1, 1e-3)
-    for _ in range(100):
-        r2 = ((move(m, s) - t) ** 2).sum(1) / width**2
-        w = (mu / (mu + r2)) ** 2 if not truncated else np.clip(np.sqrt(mu * (mu + 1) / np.maximum(r2, 1e-12)) - mu, 0, 1)
-        if w.sum() < 3e-6:
-            break
-        m = rigid(s, t, w + 1e-12)
-        mu = mu / 1.4 if not truncated else mu * 1.4
-        if (not truncated and mu < 1) or (truncated and mu > 1e6):
-            break
-    return m
-
-
-def consistency(s: np.ndarray, t: np.ndarray, own: np.ndarray, tolerance: float) -> np.ndarray:
-    """How well each correspondence of ``own`` keeps its distances to all: 1 to 0, 0 to itself. A block of rows."""
-    apart = lambda x: np.sqrt(np.maximum((x[own] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[own] @ x.T, 0))
-    d = np.abs(apart(s) - apart(t))
-    g = np.exp(-((d / tolerance) ** 2)) * (d < 3 * tolerance)
-    g[np.arange(len(own)), own] = 0
-    return g
-
-
-def clique(s: np.ndarray, t: np.ndarray, tolerance: float) -> np.ndarray:
-    """The transform of the heaviest greedily grown clique of correspondences that keep each other's distances. All of
-    them take part; their consistency is computed in blocks of rows, never held as a whole."""
-    full, s, t = (s, t), s - s.mean(0), t - t.mean(0)
-    total_of = np.concatenate([consistency(s, t, np.arange(at, min(at + 512, len(s))), tolerance).sum(1) for at in range(0, len(s), 512)])
-    best, weight = np.arange(min(3, len(s))), -1.0
-    for seed in np.argsort(-total_of, kind="stable")[:20]:
-        own, total = [int(seed)], 0.0
-        support = consistency(s, t, np.array(own), tolerance)[0]
-        open_ = support > 0
-        while open_.any():
-            nxt = int(np.argmax(np.where(open_, support, -1)))
-            total += 2 * support[nxt]
-            row = consistency(s, t, np.array([nxt]), tolerance)[0]
-            own.append(nxt)
-            open_ &= row > 0
-            support += row
-        if len(own) >= 3 and total > weight:
-            best, weight = np.array(own), total
-    return rigid(full[0][best], full[1][best])
-
-
-def point_to_plane(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return icp(s, t, 0.8, 200, normal=normals(t, 1.5, 30), cauchy=2.0)
-
+#: ``ndt`` is named after distributions, but point to point with a wide reach, as its callers expect. Turbo registration
+#: needs an external GPU binary and is not offered.
+METHODS: dict[str, Method] = {
+    "p2plane": Method(0.8, 200, normal=1.5, cauchy=2.0),
+    "p2point": Method(0.8, 200),
+    "ndt": Method(2.0, 50),
+    "ransac": Method(0.5, 100, normal=1.0, start=by_samples),
+    "fgr": Method(0.5, 100, normal=1.0, start=lambda p: matching.graduated(p, 0.5, False), mutual=False),
+    "teaser": Method(0.5, 100, normal=1.0, start=lambda p: matching.graduated(p, 0.1, True)),
+    "mac": Method(0.5, 100, normal=1.0, start=by_cliques, mutual=False, most=10_000),
+}
 
-def point_to_point(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return icp(s, t, 0.8, 200)
 
+def identified(cells: DataFrame) -> DataFrame:
+    """``cells(strip, grid_id, x, y, z)`` with a row number ``pid`` that stays, since the table is written down: equal
+    points are rows of their own."""
+    return scratch.written(cells.select("strip", "grid_id", *AXES).withColumn("pid", F.monotonically_increasing_id()))
 
-def ndt(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Named after distributions, but point to point with a wide reach, as its callers expect."""
-    return icp(s, t, 2.0, 50)
 
+def as_source(points: DataFrame) -> DataFrame:
+    return points.select("grid_id", F.col("pid").alias("sid"), *AXES)
 
-def by_features(align: Callable[[np.ndarray, np.ndarray], np.ndarray], radius: float, mutual: bool, most: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    def run(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-        ns, nt = normals(s, 1.0, 30), normals(t, 1.0, 30)
-        pair = matches(fpfh(s, ns, radius), fpfh(t, nt, radius), mutual, most)
-        start = align(s[pair[:, 0]], t[pair[:, 1]]) if len(pair) >= 3 else np.eye(4)
-        return icp(s, t, 0.5, 100, start, nt)
 
-    return run
+def as_target(points: DataFrame, *more: str) -> DataFrame:
+    return points.select("grid_id", F.col("pid").alias("tid"), *(F.col(a).alias(f"t{a}") for a in AXES), *more)
 
 
-#: Kernels by name. Turbo registration needs an external GPU binary and is not offered.
-METHODS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
-    "p2plane": point_to_plane,
-    "p2point": point_to_point,
-    "ndt": ndt,
-    "ransac": by_features(lambda s, t: ransac(s, t, 0.5, 5_000), 2.5, True, 20_000),
-    "fgr": by_features(lambda s, t: graduated(s, t, 0.5, False), 2.5, False, 20_000),
-    "teaser": by_features(lambda s, t: graduated(s, t, 0.1, True), 2.5, True, 20_000),
-    "mac": by_features(lambda s, t: clique(s, t, 0.1), 2.5, False, 10_000),
-}
+def align(source: DataFrame, target: DataFrame, method: Method) -> dict[int, icp.Fit]:
+    """The transform of each cell of ``source(grid_id, pid, x, y, z)`` that ``target`` has as well."""
+    aimed, start = target, None
+    if method.normal:
+        planes = lambda points: scratch.written(points.join(spatial.normals(points, method.normal, 30, CELL).select("pid", "nx", "ny", "nz"), "pid"))
+        aimed = planes(target)
+        if method.start:
+            turned = planes(source)
+            features = [spatial.fpfh(p, method.feature, 100, CELL) for p in (turned, aimed)]
+            start = method.start(matching.feature_pairs(turned, aimed, *features, method.mutual, method.most))
+    more = icp.NORMAL if method.normal else ()
+    return icp.icp(as_source(source), as_target(aimed, *more), method.reach, method.rounds, start, bool(method.normal), method.cauchy)
 
 
 def register(cells: DataFrame, first: str, second: str, method: str = "p2plane", voxel: float = 0.5, inlier: float = 0.8) -> DataFrame:
-    """One result row per cell of ``cells(strip, grid_id, x, y, z)`` that both strips have."""
-    run = METHODS[method]
-    small = voxel_down(cells, voxel, ["strip", "grid_id"]).select("strip", "grid_id", "x", "y", "z")
-    side = lambda s: small.where(F.col("strip") == s).select(*(F.col(c).alias(c) for c in ("grid_id", "x", "y", "z"))).groupBy("grid_id")
-
-    def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        row = {"grid_id": key[0], "transformation": np.eye(4).ravel().tolist(), "fitness": 0.0, "rmse": np.inf, "mae": np.inf, "n_corr": 0, "success": False, "error": None}
-        if len(a) and len(b):
-            s, t = (x[["x", "y", "z"]].to_numpy(float) for x in (a, b))
-            try:
-                m = run(s, t)
-                _, _, d = nearest(t, move(m, s), inlier)
-                row |= {"transformation": m.ravel().tolist(), "fitness": len(d) / len(s), "n_corr": len(d), "success": True}
-                if len(d):
-                    row |= {"rmse": float(np.sqrt((d * d).mean())), "mae": float(d.mean())}
-            except (np.linalg.LinAlgError, ValueError) as e:
-                row["error"] = str(e)
-        return pd.DataFrame([row])
-
-    return side(first).cogroup(side(second)).applyInPandas(kernel, RESULT).where("success OR error IS NOT NULL")
+    """One result row per cell of ``cells(strip, grid_id, x, y, z)`` that both strips have. Fitness, errors and n_corr are
+    of the first strip's voxel averages whose nearest of the second, once moved, is within ``inlier``. A cell without
+    any has no success, the identity and infinite errors."""
+    c = F.col
+    small = identified(spatial.voxel_down(cells, voxel, ["strip", "grid_id"]))
+    pick = lambda strip, other: small.where(c("strip") == strip).join(small.where(c("strip") == other).select("grid_id").distinct(), "grid_id", "left_semi").select("grid_id", "pid", *AXES)
+    source, target = scratch.written(pick(first, second)), scratch.written(pick(second, first))
+    found = align(source, target, METHODS[method])
+    if not found:
+        return small.sparkSession.createDataFrame([], RESULT)
+    fits = small.sparkSession.createDataFrame([(int(g), [float(v) for v in f.matrix.ravel()]) for g, f in sorted(found.items())], "grid_id long, transformation array<double>")
+    at = icp.moved(as_source(source), [(g, f.matrix, 0.0, 0.0, 0.0) for g, f in sorted(found.items())])
+    d = F.sqrt("d2")
+    near = icp.closest(at, icp.filed(as_target(target), inlier), inlier).groupBy("grid_id").agg(F.count("*").alias("n_corr"), F.sqrt(F.avg("d2")).alias("rmse"), F.avg(d).alias("mae"))
+    n = source.groupBy("grid_id").agg(F.count("*").alias("n"))
+    good, never = c("n_corr").isNotNull(), F.lit(float("inf"))
+    eye = F.array(*(F.lit(float(i % 5 == 0)) for i in range(16)))
+    return fits.join(n, "grid_id").join(near, "grid_id", "left").select(
+        "grid_id", F.when(good, c("transformation")).otherwise(eye).alias("transformation"), F.coalesce(c("n_corr") / c("n"), F.lit(0.0)).alias("fitness"), F.coalesce("rmse", never).alias("rmse"), F.coalesce("mae", never).alias("mae"),
+        F.coalesce("n_corr", F.lit(0).cast("long")).alias("n_corr"), good.alias("success"), F.when(~good, "no correspondences").alias("error"),
+    )
 
 
 def correspondences(cells: DataFrame, results: DataFrame, first: str, second: str, radius: float = 0.8) -> DataFrame:
-    """(grid_id, sx..tz): each moved source point's nearest target in its cell, recomputed by the voxel join."""
-    from lidarloom.functions.geometry import affine
-    from lidarloom.operators import spatial
-
-    t = F.broadcast(results.where("success").select("grid_id", F.col("transformation").alias("m")))
-    ids = cells.withColumn("pid", F.xxhash64("strip", "x", "y", "z"))
-    src = ids.where(F.col("strip") == first).join(t, "grid_id")
-    x, y, z = affine(F.col("x"), F.col("y"), F.col("z"), [F.col("m")[i] for i in range(16)])
-    moved = src.select("pid", "grid_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), x.alias("x"), y.alias("y"), z.alias("z"))
-    tgt = ids.where(F.col("strip") == second).select("pid", "x", "y", "z")
-    pair = spatial.nearest(moved.select("pid", "x", "y", "z"), tgt, radius)
-    return moved.select(F.col("pid").alias("q"), "grid_id", "sx", "sy", "sz").join(pair, "q").join(tgt.select(F.col("pid").alias("p"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz")), "p").select("grid_id", *(F.col(c).cast("float").alias(c) for c in ("sx", "sy", "sz", "tx", "ty", "tz")))
+    """(grid_id, sx..tz): each source point of the ``first`` strip with the nearest target of its own cell strictly
+    within ``radius`` of where its cell's transform moves it. One row a source point at most, equal points included."""
+    c = F.col
+    points = identified(cells)
+    t = F.broadcast(results.where("success").select("grid_id", c("transformation").alias("m")))
+    own = points.where(c("strip") == first).join(t, "grid_id")
+    x, y, z = affine(c("x"), c("y"), c("z"), [c("m")[i] for i in range(16)])
+    source = own.select("grid_id", c("pid").alias("sid"), x.alias("x"), y.alias("y"), z.alias("z"), c("x").alias("sx"), c("y").alias("sy"), c("z").alias("sz"))
+    target = as_target(points.where(c("strip") == second))
+    return icp.nearest(source, target, radius).select("grid_id", *(c(v).cast("float").alias(v) for v in ("sx", "sy", "sz", "tx", "ty", "tz")))

@@ -22,15 +22,16 @@ def voxel(v: Column, size: float) -> Column:
     return F.floor(v / size)
 
 
-def within(queries: DataFrame, points: DataFrame, radius: float, strict: bool = False) -> DataFrame:
-    """(q, p, d): pairs at a distance of at most ``radius`` (below it if ``strict``). Inputs: (pid, x, y, z)."""
+def within(queries: DataFrame, points: DataFrame, radius: float, strict: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(q, p, d): pairs at a distance of at most ``radius`` (below it if ``strict``). Inputs: (pid, x, y, z), and the
+    columns ``by``, in which the two of a pair agree."""
     c = F.col
-    q = queries.select(c("pid").alias("q"), *(c(a).alias(f"q{a}") for a in AXES))
+    q = queries.select(*by, c("pid").alias("q"), *(c(a).alias(f"q{a}") for a in AXES))
     for a in AXES:
         q = q.withColumn(f"v{a}", F.explode(F.array(*(voxel(c(f"q{a}"), radius) + i for i in (-1, 0, 1)))))
-    p = points.select(c("pid").alias("p"), *(c(a).alias(f"p{a}") for a in AXES), *(voxel(c(a), radius).alias(f"v{a}") for a in AXES))
+    p = points.select(*by, c("pid").alias("p"), *(c(a).alias(f"p{a}") for a in AXES), *(voxel(c(a), radius).alias(f"v{a}") for a in AXES))
     dx, dy, dz = (c(f"q{a}") - c(f"p{a}") for a in AXES)
-    pairs = q.join(p, [f"v{a}" for a in AXES]).select("q", "p", F.sqrt(dx * dx + dy * dy + dz * dz).alias("d"))
+    pairs = q.join(p, [*by, *(f"v{a}" for a in AXES)]).select("q", "p", F.sqrt(dx * dx + dy * dy + dz * dz).alias("d"))
     return pairs.where(c("d") < radius if strict else c("d") <= radius)
 
 
@@ -116,23 +117,24 @@ def colour_consistent(points: DataFrame, seeds: DataFrame, radius: float, multip
     return ids.union(ok.select(F.col("p").alias("pid"))).distinct()
 
 
-def normals(points: DataFrame, radius: float, k: int) -> DataFrame:
-    """(pid, planarity, nx, ny, nz): the plane through each point's ``k`` nearest within ``radius``, itself included."""
+def normals(points: DataFrame, radius: float, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(pid, planarity, nx, ny, nz): the plane through each point's ``k`` nearest within ``radius``, itself included, of
+    those that agree with it in the columns ``by``."""
     from lidarloom.operators.clustering import planes
 
     w = Window.partitionBy("q").orderBy("d", "p")
-    near = within(points, points, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = within(points, points, radius, by=by).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     own = near.join(points.select(F.col("pid").alias("p"), *AXES), "p")
     return planes(own.select(F.col("q").alias("pid"), *AXES), "pid").select("pid", "planarity", "nx", "ny", "nz")
 
 
-def fpfh(points: DataFrame, radius: float, most: int = 100) -> DataFrame:
+def fpfh(points: DataFrame, radius: float, most: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
     """(pid, bin, value): fast point feature histograms of ``points(pid, x, y, z, nx, ny, nz)``, 3 x 11 bins of the
     angles between a point's normal and those of its ``most`` nearest within ``radius``; empty bins have no row. A
     point's own histogram and its neighbours', by inverse distance, are summed and scaled to unit length. Points without
     neighbours have no rows."""
     c, normal = F.col, ("nx", "ny", "nz")
-    near = within(points, points, radius).where("q <> p").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "p"))).where(c("rank") <= most).drop("rank")
+    near = within(points, points, radius, by=by).where("q <> p").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "p"))).where(c("rank") <= most).drop("rank")
     near = scratch.written(near)
     side = lambda of: points.select(c("pid").alias(of), *(c(a).alias(f"{of}{a}") for a in (*AXES, *normal)))
     dot = lambda a, b: sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarloom.operators import registration
+from lidarloom.functions import rigid
+from lidarloom.operators import matching
+from lidarloom.sources import scratch
 
 S, T = ("sx", "sy", "sz"), ("tx", "ty", "tz")
 
@@ -21,7 +23,7 @@ def kabsch(pairs: DataFrame, by: str) -> DataFrame:
             out = []
             for r in b.to_dict("records"):
                 u, _, vt = np.linalg.svd(np.array([[r[f"{a}{c}"] for c in T] for a in S]))
-                rot = registration.nearest_rotation(vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T)) or 1]) @ u.T)
+                rot = rigid.nearest_rotation(vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T)) or 1]) @ u.T)
                 m = np.eye(4)
                 m[:3, :3], m[:3, 3] = rot, np.array([r[c] for c in T]) - rot @ np.array([r[c] for c in S])
                 out.append((r[by], r["n"], m.ravel().tolist()))
@@ -30,15 +32,14 @@ def kabsch(pairs: DataFrame, by: str) -> DataFrame:
     return sums.mapInPandas(solve, f"{by} {dict(pairs.dtypes)[by]}, n long, transformation array<double>")
 
 
-def clique_transforms(pairs: DataFrame, by: str, tolerance: float) -> DataFrame:
-    """(by, transformation) of the heaviest clique of all correspondences of each group. A group is a selected cell,
-    whose matches the feature search bounds; the kernel holds its coordinates and a block of consistencies."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = registration.clique(pdf[list(S)].to_numpy(float), pdf[list(T)].to_numpy(float), tolerance) if len(pdf) >= 3 else np.eye(4)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "transformation": [m.ravel().tolist()]})
-
-    return pairs.select(by, *S, *T).groupBy(by).applyInPandas(solve, f"{by} {dict(pairs.dtypes)[by]}, transformation array<double>")
+def clique_transforms(pairs: DataFrame, by: str, tolerance: float, least: float = 0.99) -> DataFrame:
+    """(by, weight, members, transformation) of the heaviest clique of matches of each group that keep their distances;
+    groups without a clique of three have no row. ``members`` are the matches' numbers from 0 on in the order of their
+    coordinates."""
+    numbered = scratch.written(matching.numbered(pairs.select(F.col(by).cast("long").alias("grid_id"), *S, *T)))
+    found = scratch.written(matching.cliques(numbered, tolerance, least=least))
+    fits = kabsch(matching.members_of(numbered, found), "grid_id")
+    return found.join(fits.select("grid_id", "transformation"), "grid_id").withColumnRenamed("grid_id", by)
 
 
 def triangles(p: np.ndarray) -> np.ndarray:

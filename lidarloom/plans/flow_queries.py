@@ -8,16 +8,13 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lidarloom.functions import rigid
 from lidarloom.operators import clustering, fusion, registration, strips
 from lidarloom.plans import fusion_queries, strip_queries, target_queries
 from lidarloom.plans.fusion_queries import COS, MATRIX, SIN, SQL_ANGLES, SQL_D, rounded
 from lidarloom.plans.views import with_views
 from lidarloom.sources import las, refs, scratch, sinks, tables
 
-#: The shift between the two strips of ``target_queries.shifted``: what registration has to find.
-SHIFT = (0.15, -0.1, 0.08)
-
-
 def local(path: str) -> str:
     """A path of the shared folder as ``open`` takes it."""
     return urlparse(path).path if path.startswith("file:") else path
@@ -150,35 +147,37 @@ def srt_group_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("strip", "grid_id", (stop - F.col("n_points")).alias("start"), stop.alias("stop"))
 
 
-def two_strips(spark: SparkSession, sf_dir: str, grid: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cells, selected, results): the shifted strips by way of LAS files, and their selected cells, registered."""
-    folder = as_las(target_queries.shifted(spark, sf_dir), "strip")
-    p = las.read_points(spark, folder)
-    p = p.select(F.when(F.col("strip_id") == 0, "F").otherwise("O").alias("strip"), "x", "y", "z", "intensity")
-    cells = scratch.written(strips.assign(p, strips.overlap(strips.bounds(p), 1.0), grid, grid))
-    f = strips.entropies(cells, strips.ranges(cells, strip_queries.Z_PCT, strip_queries.I_PCT), 20, 30, 1.0).join(cells.groupBy("strip", "grid_id").agg(F.count("*").alias("n_points")), ["strip", "grid_id"])
-    selected = scratch.written(strips.scores(f, "F", "O", strip_queries.WEIGHTS).where("composite_score > 0").select("grid_id", "composite_score"))
-    chosen = cells.join(F.broadcast(selected), "grid_id", "left_semi")  # kernels see selected cells only
+def two_strips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, selected, results): the strips of ``terrain`` by way of LAS files, and the cells that the flagship's rules
+    select, registered."""
+    p = las.read_points(spark, as_las(tables.terrain(spark, sf_dir), "strip"))
+    p = p.select(F.when(F.col("strip_id") == 0, "F").otherwise("O").alias("strip"), "x", "y", "z", F.col("intensity").cast("double").alias("intensity"))
+    cells, selected = target_queries.selected(spark, sf_dir, p)
+    chosen = cells.join(F.broadcast(selected.select("grid_id")), "grid_id", "left_semi")
     return cells, selected, scratch.written(registration.register(chosen, "F", "O", "p2plane", voxel=0.4))
 
 
 def flow_two_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way, and whether it has found the known shift: LAS files, overlap, selection, registration, fusion on
-    the rotation group, global metrics, and the fused matrix in a file."""
+    """The whole way: LAS files, overlap, the flagship's grid and selection, registration, fusion on the rotation group,
+    correspondences and global metrics, the fused matrix in the original frame in a file. One row a selected cell, with
+    its rank, whether it was registered well, and whether the fused matrix is the known shift and its metrics are close."""
     cells, selected, results = two_strips(spark, sf_dir)
     m = [float(v) for v in fusion.fuse_transforms(fusion.regions_of(results, selected)).first()[1:]]
-    sinks.write_matrix(m, local(scratch.new_path(spark, "fused")), [r["grid_id"] for r in selected.select("grid_id").collect()])
-    pairs = registration.correspondences(cells, results, "F", "O", 0.5)
-    metrics = fusion.global_metrics(fusion.residuals(pairs, m), 0.3, 95.0)
-    off = max(abs(m[4 * i + 3] - SHIFT[i]) for i in range(3))
+    over = strips.overlap(strips.bounds(tables.terrain(spark, sf_dir)), strip_queries.BUFFER).first()
+    offset = [F.lit(float(over[c])) for c in ("cx", "cy", "cz")]
+    original = spark.range(1).select(*(v.alias(f"m{i}") for i, v in enumerate(fusion.conjugate_offset([F.lit(v) for v in m], tuple(offset))))).first()
+    sinks.write_matrix(list(original), local(scratch.new_path(spark, "fused")), [r["grid_id"] for r in selected.select("grid_id").collect()])
+    chosen = cells.join(F.broadcast(selected.select("grid_id")), "grid_id", "left_semi")
+    metrics = fusion.global_metrics(fusion.residuals(registration.correspondences(chosen, results, "F", "O", 0.8), m), 0.8, 100.0).first()
+    off = max(abs(m[4 * i + 3] - tables.SHIFT[i]) for i in range(3))
     turned = max(abs(m[4 * i + j] - (i == j)) for i in range(3) for j in range(3))
-    return metrics.select(F.lit(off < 0.05).alias("shift_found"), F.lit(turned < 0.02).alias("unturned"), (F.col("global_rmse") < 0.3).alias("close"), (F.col("global_fitness") > 0.5).alias("fit"))
+    good = target_queries.aligned(chosen, results).select("grid_id", "aligned")
+    return rounded(selected.join(good, "grid_id").select("grid_id", "selection_rank", "aligned", F.lit(off < 0.1 and turned < 0.02).alias("shift_found"), F.lit(metrics["global_rmse"] < 0.5 and metrics["global_fitness"] > 0.95).alias("close")))
 
 
 def reg_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods by name over the selected cells: how many succeed, and how well."""
-    cells, selected, _ = two_strips(spark, sf_dir, 2)
-    chosen = cells.join(F.broadcast(selected), "grid_id", "left_semi")
+    chosen = scratch.written(target_queries.chosen(spark, sf_dir))
     found = [registration.register(chosen, "F", "O", m, voxel=0.6).select(F.lit(m).alias("method"), "success", "fitness") for m in ("p2plane", "p2point", "ndt")]
     return found[0].union(found[1]).union(found[2]).groupBy("method").agg(F.count_if("success").alias("cells"), (F.avg("fitness") > 0.5).alias("fit"))
 
@@ -208,7 +207,7 @@ def la_svd_orthogonalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            r = [registration.nearest_rotation(np.array(v).reshape(3, 3)) for v in b["m"]]
+            r = [rigid.nearest_rotation(np.array(v).reshape(3, 3)) for v in b["m"]]
             yield pd.DataFrame({"grid_id": b["grid_id"], "orthogonal": [bool(np.allclose(x @ x.T, np.eye(3), atol=1e-12) and np.linalg.det(x) > 0) for x in r], "near": [bool(np.abs(x.ravel() - v).max() < 0.03) for x, v in zip(r, b["m"], strict=True)]})
 
     return rows.mapInPandas(work, "grid_id long, orthogonal boolean, near boolean")
@@ -251,7 +250,8 @@ def oracle_sql() -> dict[str, str]:
         "snk_report_json": with_views("SELECT 'targets' AS section, count(*) AS n FROM targets UNION ALL SELECT 'regions', count(*) FROM regions", ["targets", "regions"]),
         "flt_score_threshold": f"SELECT grid_id, composite_score FROM ({strip['score_composite']}) s WHERE composite_score >= 0.4",
         "srt_group_slices": f"SELECT strip, grid_id, CAST(sum(n_points) OVER o - n_points AS BIGINT) AS start, CAST(sum(n_points) OVER o AS BIGINT) AS stop FROM ({strip['prj_grid_id']}) g WINDOW o AS (ORDER BY strip, grid_id)",
-        "flow_two_strips": "SELECT true AS shift_found, true AS unturned, true AS close, true AS fit",
+        "flow_two_strips": f"SELECT grid_id, selection_rank, true AS aligned, true AS shift_found, true AS close FROM ({target_queries.sql_selected()}) q",
+        "reg_driver": f"SELECT method, (SELECT count(*) FROM ({target_queries.sql_selected()}) q) AS cells, true AS fit FROM (VALUES ('p2plane'), ('p2point'), ('ndt')) m(method)",
         "fus_average": with_views(f"""WITH {SQL_ANGLES}, t AS (SELECT *, acos(greatest(-1.0, least(1.0, (m0 + m4 + m8 - 1) / 2))) AS th, 1 / (n_corr * rmse * rmse) AS w FROM m), k AS (SELECT *, CASE WHEN th < 1e-8 THEN 0.5 ELSE th / (2 * sin(th)) END AS k FROM t),
           g AS (SELECT sum(w * k * (m7 - m5)) / sum(w) AS x, sum(w * k * (m2 - m6)) / sum(w) AS y, sum(w * k * (m3 - m1)) / sum(w) AS z, sum(w * tx) / sum(w) AS tx, sum(w * ty) / sum(w) AS ty, sum(w * tz) / sum(w) AS tz FROM k),
           f AS (SELECT *, sin(a) / a AS s, (1 - cos(a)) / (a * a) AS b, cos(a) AS c FROM (SELECT *, sqrt(x * x + y * y + z * z) AS a FROM g) q)

@@ -30,6 +30,17 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_PAIRS = "SELECT CAST(label AS INT) AS grid_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(("sx", "sy", "sz", "tx", "ty", "tz"))) + " FROM embeddings"
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pairs``, of which every fourth vector's is a true match under ``MATRIX``."""
+    c = F.col
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("grid_id"), (c("vec_id") % 4 == 0).alias("true_match"), *(c("embedding")[i].cast("double").alias(n) for i, n in enumerate(("sx", "sy", "sz", "ex", "ey", "ez"))))
+    moved = geometry.affine(c("sx"), c("sy"), c("sz"), MATRIX)
+    return e.select("grid_id", "sx", "sy", "sz", *(F.when(c("true_match"), m).otherwise(c(f"e{a}")).alias(f"t{a}") for a, m in zip("xyz", moved, strict=True)))
+
+
+SQL_LINKED = f"""linked AS (SELECT CAST(label AS BIGINT) AS grid_id, sx, sy, sz, CASE WHEN m THEN {COS} * sx + {-SIN} * sy + 0.0 * sz + 0.05 ELSE e[4]::DOUBLE END AS tx, CASE WHEN m THEN {SIN} * sx + {COS} * sy + 0.0 * sz + -0.02 ELSE e[5]::DOUBLE END AS ty, CASE WHEN m THEN 0.0 * sx + 0.0 * sy + 1.0 * sz + 0.01 ELSE e[6]::DOUBLE END AS tz
+  FROM (SELECT label, embedding AS e, vec_id % 4 = 0 AS m, embedding[1]::DOUBLE AS sx, embedding[2]::DOUBLE AS sy, embedding[3]::DOUBLE AS sz FROM embeddings)),
+  p AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY sx, sy, sz, tx, ty, tz) - 1 AS rn, count(*) OVER (PARTITION BY grid_id) AS n FROM linked)"""
 SQL_D = f"pairs AS ({SQL_PAIRS}), moved AS (SELECT *, {SQL_MOVED} FROM pairs), e AS (SELECT *, sqrt((mx - tx) * (mx - tx) + (my - ty) * (my - ty) + (mz - tz) * (mz - tz)) AS d FROM moved)"
 
 

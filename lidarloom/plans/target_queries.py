@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lidarloom.operators import clustering, registration, spatial, strips, targets, transforms
-from lidarloom.plans.fusion_queries import pairs, rounded
-from lidarloom.plans.views import with_views
-from lidarloom.sources import tables
+from lidarloom.functions import geometry
+from lidarloom.operators import clustering, icp, matching, registration, spatial, strips, targets, transforms
+from lidarloom.plans import strip_queries
+from lidarloom.plans.fusion_queries import MATRIX, SQL_LINKED, linked, pairs, rounded
+from lidarloom.plans.views import SQL_VIEWS, with_views
+from lidarloom.sources import scratch, tables
 from lidarloom.streaming import cells as running
 
 SIDE = 20
@@ -114,33 +117,66 @@ def smp_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.points(spark, sf_dir).orderBy(F.xxhash64("x", "y", "z", "intensity", F.lit(3))).limit(5000)
 
 
-def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping strips of a smooth surface through the table's points, the second one turned and shifted."""
-    p = tables.points(spark, sf_dir)
-    u = p.select("strip", (F.col("x") * 0.2).alias("x"), (F.col("y") * 0.2 + (F.pmod(F.hash("intensity", "x"), F.lit(1000)) / 2500.0)).alias("y"))
-    u = u.withColumn("z", F.sin(F.col("x") * 0.5) * 2 + F.cos(F.col("y") * 0.4) * 2 + 0.8 * F.sin(F.col("x") * 1.1 + F.col("y") * 0.7))
-    t = F.col("strip") == "O"
-    return u.select("strip", (F.col("x") + F.when(t, 0.15).otherwise(0.0)).alias("x"), (F.col("y") - F.when(t, 0.1).otherwise(0.0)).alias("y"), (F.col("z") + F.when(t, 0.08).otherwise(0.0)).alias("z"), F.lit(1.0).alias("intensity"))
+def selected(spark: SparkSession, sf_dir: str, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, selected): the strips of ``terrain`` on the flagship's grid, and the cells that the three rules select."""
+    p = tables.terrain(spark, sf_dir) if points is None else points
+    q = strip_queries
+    cells = scratch.written(strips.assign(p, strips.overlap(strips.bounds(p), q.BUFFER), q.ROWS, q.COLS))
+    n = cells.groupBy("strip", "grid_id").agg(F.count("*").alias("n_points"))
+    f = strips.entropies(cells, strips.ranges(cells, q.Z_PCT, q.I_PCT), q.Z_BINS, q.I_BINS, q.ALPHA).join(n, ["strip", "grid_id"])
+    return cells, scratch.written(strips.select(strips.scores(f, "F", "O", q.WEIGHTS), 0.05, 2))
 
 
-def registered(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    s = shifted(spark, sf_dir)
-    cells = strips.assign(s, strips.overlap(strips.bounds(s), 1.0), 2, 2)
-    return registration.register(cells, "F", "O", method, voxel=0.4)
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, own = selected(spark, sf_dir)
+    return cells.join(F.broadcast(own.select("grid_id")), "grid_id", "left_semi")
+
+
+def aligned(cells: DataFrame, results: DataFrame) -> DataFrame:
+    """(grid_id, success, aligned): whether the middle of a cell's points is moved to within a voxel of where it belongs."""
+    c = F.col
+    middle = cells.where("strip = 'F'").groupBy("grid_id").agg(*(F.avg(a).alias(a) for a in "xyz"))
+    moved = geometry.affine(c("x"), c("y"), c("z"), [c("transformation")[i] for i in range(16)])
+    off = geometry.dist3d(*(m - (c(a) + v) for m, a, v in zip(moved, "xyz", tables.SHIFT, strict=True)))
+    return results.join(middle, "grid_id").select("grid_id", "success", (off < 0.4).alias("aligned"))
 
 
 def method_query(method: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return registered(spark, sf_dir, method)
+        return registration.register(chosen(spark, sf_dir), "F", "O", method, voxel=0.4)
 
     return run
 
 
+def reg_p2plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected cells, each with whether it was registered onto the known shift."""
+    cells = scratch.written(chosen(spark, sf_dir))
+    return aligned(cells, registration.register(cells, "F", "O", "p2plane", voxel=0.4))
+
+
+def truth(cells: DataFrame) -> DataFrame:
+    """Results that move every cell by the known shift."""
+    x, y, z = tables.SHIFT
+    return cells.select("grid_id").distinct().select("grid_id", F.lit(True).alias("success"), F.array(*(F.lit(float(v)) for v in (1, 0, 0, x, 0, 1, 0, y, 0, 0, 1, z, 0, 0, 0, 1))).alias("transformation"))
+
+
 def reg_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = shifted(spark, sf_dir)
-    cells = strips.assign(s, strips.overlap(strips.bounds(s), 1.0), 2, 2)
-    results = registration.register(cells, "F", "O", "p2plane", voxel=0.4)
-    return registration.correspondences(cells, results, "F", "O", 0.3).groupBy("grid_id").agg(F.count("*").alias("n_correspondences"))
+    """The correspondences of the selected cells, each source moved by the known shift and matched in its own cell."""
+    cells = chosen(spark, sf_dir)
+    stored = registration.correspondences(cells, truth(cells), "F", "O", 0.3)
+    off = geometry.dist3d(*(F.col(f"s{a}").cast("double") + v - F.col(f"t{a}") for a, v in zip("xyz", tables.SHIFT, strict=True)))
+    return rounded(stored.withColumn("d", off).groupBy("grid_id").agg(F.count("*").alias("n_correspondences"), F.avg("d").alias("mae"), F.max("d").alias("worst")), 4)
+
+
+def reg_icp_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one round of point-to-point matching sums in each selected cell, from the identity and the cell's mean on."""
+    points = registration.identified(chosen(spark, sf_dir))
+    side = lambda strip: points.where(F.col("strip") == strip)
+    source = registration.as_source(side("F"))
+    centres = source.groupBy("grid_id").agg(*(F.avg(a).alias(a) for a in "xyz")).collect()
+    at = icp.moved(source, [(r["grid_id"], np.eye(4), r["x"], r["y"], r["z"]) for r in centres])
+    sums = icp.step_sums(icp.closest(at, icp.filed(registration.as_target(side("O")), 0.3), 0.3), False, None)
+    return rounded(sums, 3)
 
 
 def geo_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +188,16 @@ def la_kabsch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def la_clique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transforms.clique_transforms(pairs(spark, sf_dir), "grid_id", 0.05)
+    """The heaviest clique of each label's matches, a quarter of which are true."""
+    found = transforms.clique_transforms(linked(spark, sf_dir), "grid_id", 0.02)
+    off = F.greatest(*(F.abs(F.col("transformation")[i] - v) for i, v in enumerate(MATRIX)))
+    return rounded(found.select("grid_id", "weight", F.array_join("members", " ").alias("members"), (off < 1e-6).alias("found")), 5)
+
+
+def la_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The winning hypothesis over each label's matches, a quarter of which are true."""
+    p = scratch.written(matching.numbered(linked(spark, sf_dir)))
+    return matching.ransac(p, reach=0.05, batch=4_000).select("grid_id", "h", "inliers", "n", "drawn")
 
 
 def geo_interp_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +213,11 @@ def str_windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(running.windowed_events(tables.table(spark, sf_dir, "events")), 4)
 
 
-QUERIES = (geo_normals, la_kabsch, la_clique, geo_interp_linear, str_running_cells, str_windowed_events, geo_plane_fit, clu_kmeans, tgt_find, clu_target_analysis, jn_assignment, win_savgol, inf_bootstrap, mdl_expfit, mdl_pca, inf_qq, geo_slope_aspect, geo_surface_stats, win_focal_std, top_corr_cap, top_nearest_half, flt_ref_bbox, smp_plot, reg_store)
+QUERIES = (geo_normals, la_kabsch, la_clique, geo_interp_linear, str_running_cells, str_windowed_events, geo_plane_fit, clu_kmeans, tgt_find, clu_target_analysis, jn_assignment, win_savgol, inf_bootstrap, mdl_expfit, mdl_pca, inf_qq, geo_slope_aspect, geo_surface_stats, win_focal_std, top_corr_cap, top_nearest_half, flt_ref_bbox, smp_plot, reg_store, reg_p2plane, reg_icp_sums, la_ransac)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES} | {f"reg_{m}": method_query(m) for m in registration.METHODS}
+    return {f"reg_{m}": method_query(m) for m in registration.METHODS} | {f.__name__: f for f in QUERIES}
 
 
 SQL_RASTER = f"b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points), g AS (SELECT CAST(least(floor((y - y0) * {SIDE} / (y1 - y0)), {SIDE - 1}) AS BIGINT) AS i, CAST(least(floor((x - x0) * {SIDE} / (x1 - x0)), {SIDE - 1}) AS BIGINT) AS j, avg(z) AS z FROM points CROSS JOIN b GROUP BY ALL)"
@@ -209,9 +254,67 @@ def sql_smooth(window: int, degree: int) -> str:
       SELECT f.file, f.reference_id, round(sum(h.w * g.v), 6) AS smooth FROM f JOIN h ON h.n = f.n AND h.i = f.pos - f.start JOIN o g ON g.file = f.file AND g.pos = f.start + h.j GROUP BY f.file, f.reference_id"""
 
 
+def sql_selected() -> str:
+    """The flagship's twin over the strips of ``terrain``, and its cells as ``cells``."""
+    return strip_queries.oracle_sql()["select_regions"].replace(SQL_VIEWS["points"], SQL_VIEWS["terrain"])
+
+
+#: The points of the selected cells of ``terrain``: the flagship's twin up to its points and cells, and its last result.
+def sql_chosen() -> str:
+    return f"{strip_queries.SQL_CELLS}, sel AS (SELECT grid_id FROM ({sql_selected()}) q), ch AS (SELECT * FROM cells JOIN sel USING (grid_id))"
+
+
+def sql_near(shift: tuple[float, float, float], reach: float) -> str:
+    """CTE ``near``: each source of the chosen cells with its nearest target within ``reach`` once shifted."""
+    d = " + ".join(f"power(s.{a} + {v} - t.{a}, 2)" for a, v in zip("xyz", shift, strict=True))
+    return f"""c AS (SELECT *, row_number() OVER () AS pid FROM ch), near AS (SELECT s.grid_id, s.pid, min({d}) AS d2, arg_min(s.x, {d}) AS sx, arg_min(s.y, {d}) AS sy, arg_min(s.z, {d}) AS sz, arg_min(t.x, {d}) AS tx, arg_min(t.y, {d}) AS ty, arg_min(t.z, {d}) AS tz
+      FROM c s JOIN c t ON s.grid_id = t.grid_id AND s.strip = 'F' AND t.strip = 'O' WHERE {d} < {reach * reach} GROUP BY s.grid_id, s.pid)"""
+
+
+def sql_ransac(draws: int, reach: float, edges: float) -> str:
+    """Every hypothesis of the first ``draws`` outright, in plain arithmetic."""
+    k3, ax = range(3), "xyz"
+    draw = lambda k: f"('0x' || substr(md5('0|' || grid_id || '|' || h || '|{k}'), 1, 8))::BIGINT % n"
+    dot = lambda a, b: "(" + " + ".join(f"{a}{v} * {b}{v}" for v in ax) + ")"
+    edge = lambda s, i, j: "sqrt(" + " + ".join(f"power(p{i}.{s}{v} - p{j}.{s}{v}, 2)" for v in ax) + ")"
+    ok = " AND ".join(f"least({edge('s', i, j)}, {edge('t', i, j)}) > 0 AND least({edge('s', i, j)}, {edge('t', i, j)}) >= {edges} * greatest({edge('s', i, j)}, {edge('t', i, j)})" for i, j in ((0, 1), (1, 2), (2, 0)))
+    a1 = ", ".join(f"(p1.{s}{v} - p0.{s}{v}) / {edge(s, 0, 1)} AS {s}a{v}, p2.{s}{v} - p0.{s}{v} AS {s}b{v}, (p0.{s}{v} + p1.{s}{v} + p2.{s}{v}) / 3 AS {s}m{v}" for s in "st" for v in ax)
+    points = ", ".join(f"p{k}.{s}{v} AS {s}{v}{k}" for k in k3 for s in "st" for v in ax)
+    a2 = ", ".join(f"{s}b{v} - {dot(f'{s}b', f'{s}a')} * {s}a{v} AS {s}c{v}" for s in "st" for v in ax)
+    a3 = ", ".join(f"{s}c{v} / sqrt({dot(f'{s}c', f'{s}c')}) AS {s}d{v}" for s in "st" for v in ax)
+    a4 = ", ".join(f"{s}a{ax[(i + 1) % 3]} * {s}d{ax[(i + 2) % 3]} - {s}a{ax[(i + 2) % 3]} * {s}d{ax[(i + 1) % 3]} AS {s}e{v}" for s in "st" for i, v in enumerate(ax))
+    r = ", ".join(f"ta{v} * sa{w} + td{v} * sd{w} + te{v} * se{w} AS r{v}{w}" for v in ax for w in ax)
+    u = ", ".join(f"tm{v} - {dot(f'r{v}', 'sm')} AS u{v}" for v in ax)
+    off = lambda k: "sqrt(" + " + ".join(f"power({' + '.join(f'r{v}{w} * s{w}{k}' for w in ax)} + u{v} - t{v}{k}, 2)" for v in ax) + ")"
+    hit = " + ".join(f"power({' + '.join(f'f.r{v}{w} * p.s{w}' for w in ax)} + f.u{v} - p.t{v}, 2)" for v in ax)
+    return f"""WITH {SQL_LINKED}, h AS (SELECT *, {', '.join(f'{draw(k)} AS k{k}' for k in k3)} FROM (SELECT DISTINCT grid_id, n FROM p WHERE n >= 3) g CROSS JOIN range({draws}) r(h)),
+      f1 AS (SELECT h.grid_id, h.h, h.n, {points}, {a1} FROM h JOIN p p0 ON p0.grid_id = h.grid_id AND p0.rn = k0 JOIN p p1 ON p1.grid_id = h.grid_id AND p1.rn = k1 JOIN p p2 ON p2.grid_id = h.grid_id AND p2.rn = k2 WHERE k0 <> k1 AND k1 <> k2 AND k0 <> k2 AND {ok}),
+      f2 AS (SELECT *, {a2} FROM f1), f3 AS (SELECT *, {a3} FROM f2 WHERE {dot('sc', 'sc')} > 1e-18 AND {dot('tc', 'tc')} > 1e-18), f4 AS (SELECT *, {a4} FROM f3), f5 AS (SELECT *, {r} FROM f4), f6 AS (SELECT *, {u} FROM f5), f AS (SELECT * FROM f6 WHERE {' AND '.join(f'{off(k)} < {reach}' for k in k3)}),
+      s AS (SELECT f.grid_id, f.h, f.n, count(*) AS inliers FROM f JOIN p ON p.grid_id = f.grid_id WHERE {hit} < {reach * reach} GROUP BY f.grid_id, f.h, f.n)
+      SELECT grid_id, h, inliers, n, CAST({draws} AS BIGINT) AS drawn FROM (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY inliers DESC, h) AS place FROM s) q WHERE place = 1"""
+
+
+def sql_clique(tolerance: float) -> str:
+    """Every clique outright, grown by one match at a time."""
+    d = lambda s: "sqrt(" + " + ".join(f"power(a.{s}{v} - b.{s}{v}, 2)" for v in "xyz") + ")"
+    w = f"1 - power(({d('s')} - {d('t')}) / {tolerance}, 2)"
+    return f"""WITH RECURSIVE {SQL_LINKED}, e AS (SELECT a.grid_id, a.rn AS a, b.rn AS b, {w} AS w FROM p a JOIN p b ON a.grid_id = b.grid_id AND a.rn <> b.rn WHERE {w} >= 0.99),
+      e2 AS (SELECT x.grid_id, x.a, x.b, any_value(x.w) * sum(y.w * z.w) AS w2 FROM e x JOIN e y ON y.grid_id = x.grid_id AND y.a = x.a JOIN e z ON z.grid_id = x.grid_id AND z.a = y.b AND z.b = x.b GROUP BY ALL),
+      k AS (SELECT grid_id, [a, b] AS m, 2 * w2 AS weight FROM e2 WHERE a < b
+        UNION ALL SELECT k.grid_id, list_append(k.m, e2.b), any_value(k.weight) + 2 * sum(e2.w2) FROM k JOIN e2 ON e2.grid_id = k.grid_id AND list_contains(k.m, e2.a) AND e2.b > k.m[-1] GROUP BY k.grid_id, k.m, e2.b HAVING count(*) = len(k.m))
+      SELECT grid_id, round(weight, 5) AS weight, array_to_string(m, ' ') AS members, true AS found FROM (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY round(weight, 9) DESC, m) AS place FROM k WHERE len(m) >= 3) q WHERE place = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     p = lambda text: with_views("WITH " + text, ["points"])
+    terrain = lambda text: f"WITH points AS ({SQL_VIEWS['terrain']}), {text}"
     return {
+        "la_ransac": sql_ransac(4_000, 0.05, 0.9),
+        "la_clique": sql_clique(0.02),
+        "reg_p2plane": f"SELECT grid_id, true AS success, true AS aligned FROM ({sql_selected()}) q",
+        "reg_store": terrain(f"{sql_chosen()}, {sql_near(tables.SHIFT, 0.3)} SELECT grid_id, count(*) AS n_correspondences, round(avg(sqrt(d2)), 4) AS mae, round(max(sqrt(d2)), 4) AS worst FROM near GROUP BY grid_id"),
+        "reg_icp_sums": terrain(f"""{sql_chosen()}, {sql_near((0, 0, 0), 0.3)}, m AS (SELECT grid_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM ch WHERE strip = 'F' GROUP BY grid_id), q AS (SELECT *, {', '.join(f's{a} - c{a} AS s{i}, t{a} - c{a} AS t{i}' for i, a in enumerate('xyz'))} FROM near JOIN m USING (grid_id))
+          SELECT grid_id, count(*) AS n, round(sum(d2), 3) AS d2, {', '.join(f'round(sum({k}{i}), 3) AS {k}{i}' for k in 'st' for i in range(3))}, {', '.join(f'round(sum(s{i} * t{j}), 3) AS c{i}{j}' for i in range(3) for j in range(3))} FROM q GROUP BY grid_id"""),
         "tgt_find": with_views("SELECT strip, count(*) AS n, round(max(z), 6) AS top FROM points WHERE x BETWEEN 10 AND 90 AND y BETWEEN 10 AND 100 AND intensity > 150 AND z < 12 GROUP BY strip", ["points"]),
         "flt_ref_bbox": with_views("SELECT strip, count(*) AS n FROM points WHERE x BETWEEN 10 AND 90 AND y BETWEEN 10 AND 100 GROUP BY strip", ["points"]),
         "top_nearest_half": with_views("SELECT file, reference_id FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY distance_to_ref, reference_id) AS rn, count(*) OVER (PARTITION BY file) AS n FROM targets) t WHERE rn <= greatest(2, n // 2)", ["targets"]),

@@ -17,12 +17,15 @@ SQL_VIEWS = {
       SELECT file, reference_id, reference_id AS cluster_id, point_count, m / 1000 AS center_x, lo / 1000 AS center_y, hi / 1000 AS center_z, 4.5::DOUBLE AS ref_x, -0.9::DOUBLE AS ref_y, 9.9::DOUBLE AS ref_z, abs(m - lo) / (abs(hi - lo) + 1) AS planarity, k % 90.0 AS normal_angle FROM (
         SELECT 'customer' AS file, CAST(c_nationkey AS BIGINT) AS reference_id, count(*) AS point_count, avg(c_acctbal) AS m, min(c_acctbal) AS lo, max(c_acctbal) AS hi, avg(c_custkey) AS k FROM customer GROUP BY c_nationkey
         UNION ALL SELECT 'supplier', CAST(s_nationkey AS BIGINT), count(*), avg(s_acctbal), min(s_acctbal), max(s_acctbal), avg(s_suppkey) FROM supplier GROUP BY s_nationkey))""",
+    "terrain": f"""SELECT strip, x + CASE WHEN strip = 'O' THEN {tables.SHIFT[0]} ELSE 0 END AS x, y + CASE WHEN strip = 'O' THEN {tables.SHIFT[1]} ELSE 0 END AS y, z + CASE WHEN strip = 'O' THEN {tables.SHIFT[2]} ELSE 0 END AS z, intensity FROM (
+      SELECT strip, x, y, sin(x * 0.5) * 2 + cos(y * 0.4) * 2 + 0.8 * sin(x * 1.1 + y * 0.7) AS z, CAST(floor(100 + 50 * sin(x * 0.9) * cos(y * 0.6) + k) AS DOUBLE) AS intensity FROM (
+        SELECT l_linestatus AS strip, (l_extendedprice % 100.0) / 5 AS x, (l_quantity * 2 - ((l_partkey * 7 + l_suppkey * 13 + l_linenumber * 29) % 1000) / 500) / 5 AS y, l_partkey % 40 AS k FROM lineitem))""",
     "events": None,
 }
 
 
 def frames(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    make = {"points": tables.points, "cloud": tables.cloud, "regions": tables.regions, "targets": tables.targets, "events": lambda s, d: tables.table(s, d, "events")}
+    make = {"points": tables.points, "terrain": tables.terrain, "cloud": tables.cloud, "regions": tables.regions, "targets": tables.targets, "events": lambda s, d: tables.table(s, d, "events")}
     return {n: make[n](spark, sf_dir) for n in names}
 
 

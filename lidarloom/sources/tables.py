@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The shift between the strips of ``terrain``: what registration has to find.
+SHIFT = (0.15, -0.1, 0.08)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,6 +30,19 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(strip, x, y, z, intensity): two strips over the same hills, the second one shifted by ``SHIFT``. The strips' points
+    are not each other's."""
+    c = F.col
+    p = table(spark, sf_dir, "lineitem").select(
+        c("l_linestatus").alias("strip"), (F.pmod(c("l_extendedprice"), F.lit(100.0)) / 5).alias("x"),
+        ((c("l_quantity") * 2 - ((c("l_partkey") * 7 + c("l_suppkey") * 13 + c("l_linenumber") * 29) % 1000) / 500) / 5).alias("y"), (c("l_partkey") % 40).alias("k"),
+    )
+    x, y, second = c("x"), c("y"), c("strip") == "O"
+    p = p.withColumn("z", F.sin(x * 0.5) * 2 + F.cos(y * 0.4) * 2 + 0.8 * F.sin(x * 1.1 + y * 0.7)).withColumn("intensity", F.floor(100 + 50 * F.sin(x * 0.9) * F.cos(y * 0.6) + c("k")).cast("double"))
+    return p.select("strip", *((c(a) + F.when(second, v).otherwise(0.0)).alias(a) for a, v in zip("xyz", SHIFT, strict=True)), "intensity")
+
+
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pid, strip, cluster, x, y, z): a 3-d cloud with unique ids."""
     c = F.col

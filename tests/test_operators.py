@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lidarloom.functions import statistics
-from lidarloom.operators import clustering, fusion, registration, spatial, strips, targets
+from lidarloom.operators import clustering, fusion, spatial, strips, targets
 from lidarloom.sources import las, refs, sinks
 
 REGION = "grid_id long, n_corr long, fitness double, rmse double, tx double, ty double, tz double, pitch double, roll double, yaw double, composite_score double"
@@ -69,31 +69,6 @@ def test_fusion_branches(spark):
     assert one["method"] == "single_valid_region" and one["tx"] == 3.0
 
 
-@pytest.mark.parametrize("method", sorted(registration.METHODS))
-def test_registration_recovers(method):
-    rng = np.random.default_rng(1)
-
-    def surface(n):
-        p = rng.uniform(0, 20, (n, 2))
-        return np.c_[p, np.sin(p[:, 0] * 0.5) * 2 + np.cos(p[:, 1] * 0.4) * 2 + 0.8 * np.sin(p[:, 0] * 1.1 + p[:, 1] * 0.7)]
-
-    m = np.eye(4)
-    m[:2, :2] = [[math.cos(0.02), -math.sin(0.02)], [math.sin(0.02), math.cos(0.02)]]
-    m[:3, 3] = 0.15, -0.1, 0.08
-    s, t = surface(2000), registration.move(m, surface(2000)) + rng.normal(0, 0.01, (2000, 3))
-    got = registration.METHODS[method](s, t)
-    assert np.abs(registration.move(got, s) - registration.move(m, s)).max() < 0.15
-
-
-def test_nearest_is_brute_force():
-    rng = np.random.default_rng(2)
-    a, b = rng.random((200, 3)), rng.random((150, 3))
-    q, p, d = registration.nearest(a, b, 0.15)
-    full = np.linalg.norm(b[:, None] - a[None], axis=2)
-    best = full.min(1)
-    assert q.tolist() == np.flatnonzero(best < 0.15).tolist() and np.allclose(d, best[q]) and (p == full.argmin(1)[q]).all()
-
-
 def test_assignment_is_optimal():
     from itertools import permutations
 
@@ -201,19 +176,6 @@ def test_interpolation(spark):
     assert len(got) == 81 and all(abs(r["z"] - (2 * r["x"] - r["y"])) < 1e-9 for r in got)
 
 
-def test_kabsch(spark):
-    from lidarloom.operators import transforms
-
-    rng = np.random.default_rng(8)
-    s = rng.random((50, 3))
-    m = np.eye(4)
-    m[:2, :2], m[:3, 3] = [[0.8, -0.6], [0.6, 0.8]], (1, 2, 3)
-    t = registration.move(m, s)
-    df = spark.createDataFrame([(1, *a, *b) for a, b in zip(s.tolist(), t.tolist(), strict=True)], "g int, sx double, sy double, sz double, tx double, ty double, tz double")
-    assert np.allclose(transforms.kabsch(df, "g").first()["transformation"], m.ravel())
-    assert np.allclose(transforms.clique_transforms(df, "g", 0.05).first()["transformation"], m.ravel())
-
-
 def test_bootstrap_of_equal_values(spark):
     """Equal values are drawn independently: 50 ones and 50 twos have the interval of a mean of 100 fair draws."""
     df = spark.createDataFrame([("a", i, 1.0 + (i >= 50)) for i in range(100)], "g string, i int, v double")
@@ -280,17 +242,6 @@ def test_linkage_and_hull(spark):
     assert [(r["x"], r["y"]) for r in hull if r["g"] == "a"] == square and sum(r["g"] == "b" for r in hull) == 2
 
 
-def test_clique_of_many():
-    """More than 400 correspondences take part: the true ones stand behind 600 false ones."""
-    from lidarloom.operators import registration
-
-    rng = np.random.default_rng(3)
-    s = rng.random((700, 3)) * 10
-    t = np.concatenate((rng.random((600, 3)) * 10, s[600:] + (1.0, -2.0, 0.5)))
-    m = registration.clique(s, t, 0.05)
-    assert np.allclose(m[:3, 3], (1, -2, 0.5), atol=1e-6) and np.allclose(m[:3, :3], np.eye(3), atol=1e-6)
-
-
 def test_smoothing_of_a_long_group(spark):
     """Each row's window against a polynomial fit of its own; short groups are left as they are."""
     rng = np.random.default_rng(4)
@@ -320,16 +271,3 @@ def test_mahalanobis(spark):
     for bad in (df.limit(0), df.withColumn("b", F.col("a") * 2)):
         r = spatial.mahalanobis(bad, ["a", "b"]).first()
         assert r["color_outliers"] == 0 and r["threshold"] is None and r["mean_distance"] is None
-
-
-def test_feature_histograms(spark):
-    """Against the kernel on arrays; points alone have none."""
-    rng = np.random.default_rng(6)
-    p, n = rng.uniform(size=(80, 3)), rng.normal(size=(80, 3))
-    n /= np.linalg.norm(n, axis=1, keepdims=True)
-    p[0] += 50
-    rows = [(i, *map(float, p[i]), *map(float, n[i])) for i in range(80)]
-    got = np.zeros((80, 33))
-    for r in spatial.fpfh(spark.createDataFrame(rows, "pid long, x double, y double, z double, nx double, ny double, nz double"), 0.3).collect():
-        got[r["pid"], r["bin"]] = r["value"]
-    assert np.allclose(got, registration.fpfh(p, n, 0.3), atol=1e-9) and not got[0].any()
