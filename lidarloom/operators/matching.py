@@ -22,6 +22,8 @@ from lidarloom.sources import scratch
 S, T = ("sx", "sy", "sz"), ("tx", "ty", "tz")
 #: Points of a block of features, and blocks that a cell's matches are dealt to when hypotheses are scored.
 BLOCK, SALT = 512, 8
+#: Vertices of a cell whose cliques are searched for before the others.
+EARLY = 8
 
 def length(a: list[Column]) -> Column:
     return F.sqrt(functools.reduce(lambda x, y: x + y, (v * v for v in a)))
@@ -277,7 +279,12 @@ def heaviest(weight: np.ndarray, start: np.ndarray) -> tuple[float, list[int]]:
                 best = total, own
             return
         at = sorted(open_)
-        if total + float(gain[at].sum()) + float(weight[np.ix_(at, at)].sum()) / 2 <= best[0] + 1e-12:
+        inside = weight[np.ix_(at, at)]
+        bound = total + float(gain[at].sum()) + float(inside.sum()) / 2
+        if bound <= best[0] + 1e-12:
+            return
+        if np.count_nonzero(inside) == len(at) * (len(at) - 1):  # all agree: nothing to choose
+            best = bound, own + at
             return
         pivot = max(at, key=lambda v: (len(near[v] & open_), -v))
         for v in [v for v in at if v == pivot or v not in near[pivot]]:
@@ -318,7 +325,17 @@ def heaviest_cliques(graph: DataFrame) -> DataFrame:
         total, chosen = heaviest(inside, weight[k, others])
         return pd.DataFrame({"grid_id": [pdf["grid_id"].iloc[0]], "weight": [2 * total], "members": [sorted([own, *nodes[others[chosen]].tolist()])]})
 
-    found = inner.unionByName(first).groupBy("grid_id", "u").applyInPandas(search, "grid_id long, weight double, members array<long>").where(F.size("members") >= 3)
+    # a vertex can't give more than all its edges weigh: the most promising are searched first, the others where they can
+    # still beat what was found
+    graphs = scratch.written(inner.unionByName(first))
+    most = graphs.groupBy("grid_id", "u").agg((2 * F.sum("w2")).alias("most"))
+    most = scratch.written(most.withColumn("place", F.row_number().over(Window.partitionBy("grid_id").orderBy(F.desc("most"), "u"))))
+    result = "grid_id long, weight double, members array<long>"
+    run = lambda own: graphs.join(own.select("grid_id", "u"), ["grid_id", "u"], "left_semi").groupBy("grid_id", "u").applyInPandas(search, result).where(F.size("members") >= 3)
+    early = scratch.written(run(most.where(c("place") <= EARLY)))
+    best = F.broadcast(early.groupBy("grid_id").agg(F.max("weight").alias("best")))
+    late = most.where(c("place") > EARLY).join(best, "grid_id", "left").where(c("most") >= F.coalesce("best", F.lit(0.0)) - 1e-9)
+    found = early.unionByName(run(late))
     top = found.groupBy("grid_id").agg(F.max(F.struct(F.round("weight", 9).alias("rounded"), F.transform("members", lambda m: -m).alias("order"), "weight", "members")).alias("m"))
     return top.select("grid_id", "m.weight", "m.members")
 

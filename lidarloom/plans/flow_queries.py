@@ -3,29 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lidarloom.functions import rigid
-from lidarloom.operators import clustering, fusion, registration, strips
+from lidarloom.functions.geometry import strip_number
+from lidarloom.operators import clustering, fusion, registration, stages, strips
 from lidarloom.plans import fusion_queries, strip_queries, target_queries
 from lidarloom.plans.fusion_queries import COS, MATRIX, SIN, SQL_ANGLES, SQL_D, rounded
 from lidarloom.plans.views import with_views
 from lidarloom.sources import las, refs, scratch, sinks, tables
-
-def local(path: str) -> str:
-    """A path of the shared folder as ``open`` takes it."""
-    return urlparse(path).path if path.startswith("file:") else path
-
+from lidarloom.sources.las import local
 
 def as_las(points: DataFrame, *by: str, scale: float = 1e-6) -> str:
-    """The folder of LAS files, numbered in the order of the groups, one for each group, that ``points`` are written to."""
+    """The folder of LAS files that ``points`` are written to, numbered in the order of the groups; a group is as many
+    files as tasks have points of it."""
     folder = local(scratch.new_path(points.sparkSession, "las"))
     groups = points.select(*by).distinct().withColumn("file_number", F.row_number().over(Window.orderBy(*by)) - 1)
-    dealt = points.join(F.broadcast(groups), list(by)).repartitionById(groups.count(), F.col("file_number"))
-    sinks.write_las(dealt, folder, scale).collect()
+    sinks.write_las(points.join(F.broadcast(groups), list(by)), folder, scale)
     return folder
 
 
@@ -50,7 +46,7 @@ def src_las_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_las_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points by file, as a DataFrame with the file's name and number."""
     p = las.read_points(spark, strips_as_las(spark, sf_dir))
-    return rounded(p.groupBy("filepath", "strip_id").agg(F.count("*").alias("n"), F.max("x").alias("x_max")).select("n", "x_max"), 3)
+    return rounded(p.groupBy("strip_id").agg(F.count("*").alias("n"), F.max("x").alias("x_max")).select("n", "x_max"), 3)
 
 
 def src_multi_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +65,10 @@ def src_ref_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk_las(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and points that the LAS sink has written, as the files have them."""
+    """Points of each strip that the LAS sink has written, as the headers of its files have them."""
     las.enable(spark)
-    h = spark.read.format("las_header").load(strips_as_las(spark, sf_dir))
-    return h.agg(F.count("*").alias("files"), F.sum("n_points").alias("n"))
+    h = spark.read.format("las_header").load(strips_as_las(spark, sf_dir)).withColumn("strip", strip_number(F.col("filepath")))
+    return rounded(h.groupBy("strip").agg(F.sum("n_points").alias("n"), F.min("x_min").alias("x_min"), F.max("z_max").alias("z_max")), 3)
 
 
 def snk_las_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +171,36 @@ def flow_two_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selected.join(good, "grid_id").select("grid_id", "selection_rank", "aligned", F.lit(off < 0.1 and turned < 0.02).alias("shift_found"), F.lit(metrics["global_rmse"] < 0.5 and metrics["global_fitness"] > 0.95).alias("close")))
 
 
+def recorded(spark: SparkSession, sf_dir: str) -> tuple[stages.Recorder, DataFrame, DataFrame]:
+    """A run of the strips up to their registration, stage by stage: (recorder, cells of the selection, results)."""
+    log = stages.Recorder(spark)
+    points = log.stage("load", tables.terrain(spark, sf_dir))
+    cells, selected = target_queries.selected(spark, sf_dir, points)
+    cells, selected = log.stage("assign", cells), log.stage("select", selected)
+    chosen = log.stage("extract", cells.join(F.broadcast(selected.select("grid_id")), "grid_id", "left_semi"))
+    results = log.stage("register", registration.register(chosen, "F", "O", "p2plane", voxel=0.4))
+    log.stage("match", registration.correspondences(chosen, target_queries.truth(chosen), "F", "O", 0.3))
+    return log, chosen, results
+
+
+def agg_memory_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of a run with the rows that were observed in each, whether it has a time, and whether the report's peak
+    of memory is above its first, last and mean figures."""
+    log, _, _ = recorded(spark, sf_dir)
+    peak = F.broadcast(log.report().select((F.col("peak_memory_mb") >= F.greatest("initial_memory_mb", "final_memory_mb", "avg_memory_mb")).alias("peak_above")))
+    return log.records().crossJoin(peak).select("place", "stage", "rows", (F.col("seconds") > 0).alias("timed"), "peak_above")
+
+
+def snk_memlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text records of the registered cells, read back: all but the memory itself."""
+    log, chosen, results = recorded(spark, sf_dir)
+    path = scratch.new_path(spark, "memory")
+    records = stages.cell_records(chosen, results, "F", "O", log.rows[-2][4], log.rows[-2][5])
+    stages.write_memory_log(records, log.report(), path)
+    back = spark.read.option("sep", " ").schema(", ".join(f"{n} {t}" for n, t in records.dtypes)).csv(path)
+    return back.select("grid_id", "region_index", "strip1_points", "strip2_points", "total_points", "error")
+
+
 def reg_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods by name over the selected cells: how many succeed, and how well."""
     chosen = scratch.written(target_queries.chosen(spark, sf_dir))
@@ -222,7 +248,7 @@ def geo_convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(area.groupBy("cluster").agg(F.count("*").alias("corners"), (F.sum("a") / 2).alias("area")))
 
 
-QUERIES = (src_las_header, src_las_points, src_las_df, src_multi_file, src_ref_txt, snk_las, snk_las_copy, snk_matrix, snk_corr_errors, snk_csvs, snk_append_log, snk_err_summary, snk_report_json, flt_score_threshold, srt_group_slices, flow_two_strips, reg_driver, fus_average, la_so3_exp, la_svd_orthogonalise, geo_convex_hull)
+QUERIES = (src_las_header, src_las_points, src_las_df, src_multi_file, src_ref_txt, snk_las, snk_las_copy, snk_matrix, snk_corr_errors, snk_csvs, snk_append_log, snk_err_summary, snk_report_json, flt_score_threshold, srt_group_slices, flow_two_strips, agg_memory_report, snk_memlog, reg_driver, fus_average, la_so3_exp, la_svd_orthogonalise, geo_convex_hull)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -240,7 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "src_las_df": p("SELECT count(*) AS n, round(max(x), 3) AS x_max FROM points GROUP BY strip"),
         "src_multi_file": p("SELECT count(*) AS n, round(sum(y), 1) AS y FROM points"),
         "src_ref_txt": t("SELECT count(*) AS n, round(sum(center_x), 3) AS x, round(sum(center_y), 3) AS y, round(sum(center_z), 3) AS z FROM targets WHERE file = 'supplier'"),
-        "snk_las": p("SELECT count(DISTINCT strip) AS files, CAST(count(*) AS BIGINT) AS n FROM points"),
+        "snk_las": p("SELECT CASE WHEN strip = 'F' THEN 0::BIGINT ELSE 1::BIGINT END AS strip, CAST(count(*) AS BIGINT) AS n, round(min(x), 3) AS x_min, round(max(z), 3) AS z_max FROM points GROUP BY strip"),
         "snk_las_copy": with_views(f"SELECT count(*) AS n, round(avg({COS} * x - {SIN} * y + 0.05), 4) AS x, round(avg({SIN} * x + {COS} * y - 0.02), 4) AS y, round(avg(z + 0.01), 4) AS z FROM cloud", ["cloud"]),
         "snk_matrix": "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(round(v, 6) AS DOUBLE) AS v FROM (VALUES " + ", ".join(f"({i}, {j}, {MATRIX[4 * i + j]!r}::DOUBLE)" for i in range(4) for j in range(4)) + ") t(i, j, v)",
         "snk_corr_errors": f"WITH {SQL_D} SELECT count(*) AS n, round(avg(d), 4) AS d, round(max(d), 4) AS worst FROM e",
@@ -251,6 +277,9 @@ def oracle_sql() -> dict[str, str]:
         "flt_score_threshold": f"SELECT grid_id, composite_score FROM ({strip['score_composite']}) s WHERE composite_score >= 0.4",
         "srt_group_slices": f"SELECT strip, grid_id, CAST(sum(n_points) OVER o - n_points AS BIGINT) AS start, CAST(sum(n_points) OVER o AS BIGINT) AS stop FROM ({strip['prj_grid_id']}) g WINDOW o AS (ORDER BY strip, grid_id)",
         "flow_two_strips": f"SELECT grid_id, selection_rank, true AS aligned, true AS shift_found, true AS close FROM ({target_queries.sql_selected()}) q",
+        "agg_memory_report": target_queries.terrain(f"""{target_queries.sql_chosen()}, {target_queries.sql_near(tables.SHIFT, 0.3)}, n AS (SELECT 0 AS place, 'load' AS stage, count(*) AS rows FROM points UNION ALL SELECT 1, 'assign', count(*) FROM cells UNION ALL SELECT 2, 'select', count(*) FROM sel
+          UNION ALL SELECT 3, 'extract', count(*) FROM ch UNION ALL SELECT 4, 'register', count(*) FROM sel UNION ALL SELECT 5, 'match', count(*) FROM near) SELECT place, stage, rows, true AS timed, true AS peak_above FROM n"""),
+        "snk_memlog": target_queries.terrain(f"""{target_queries.sql_chosen()} SELECT grid_id, CAST(row_number() OVER (ORDER BY grid_id) - 1 AS INT) AS region_index, count(*) FILTER (strip = 'F') AS strip1_points, count(*) FILTER (strip = 'O') AS strip2_points, count(*) AS total_points, '-' AS error FROM ch GROUP BY grid_id"""),
         "reg_driver": f"SELECT method, (SELECT count(*) FROM ({target_queries.sql_selected()}) q) AS cells, true AS fit FROM (VALUES ('p2plane'), ('p2point'), ('ndt')) m(method)",
         "fus_average": with_views(f"""WITH {SQL_ANGLES}, t AS (SELECT *, acos(greatest(-1.0, least(1.0, (m0 + m4 + m8 - 1) / 2))) AS th, 1 / (n_corr * rmse * rmse) AS w FROM m), k AS (SELECT *, CASE WHEN th < 1e-8 THEN 0.5 ELSE th / (2 * sin(th)) END AS k FROM t),
           g AS (SELECT sum(w * k * (m7 - m5)) / sum(w) AS x, sum(w * k * (m2 - m6)) / sum(w) AS y, sum(w * k * (m3 - m1)) / sum(w) AS z, sum(w * tx) / sum(w) AS tx, sum(w * ty) / sum(w) AS ty, sum(w * tz) / sum(w) AS tz FROM k),

@@ -259,8 +259,13 @@ def sql_selected() -> str:
     return strip_queries.oracle_sql()["select_regions"].replace(SQL_VIEWS["points"], SQL_VIEWS["terrain"])
 
 
-#: The points of the selected cells of ``terrain``: the flagship's twin up to its points and cells, and its last result.
+def terrain(text: str) -> str:
+    """``text`` with ``terrain`` in front of it as its points."""
+    return f"WITH points AS ({SQL_VIEWS['terrain']}), {text}"
+
+
 def sql_chosen() -> str:
+    """CTEs up to ``ch``, the points of the cells that the flagship's twin selects."""
     return f"{strip_queries.SQL_CELLS}, sel AS (SELECT grid_id FROM ({sql_selected()}) q), ch AS (SELECT * FROM cells JOIN sel USING (grid_id))"
 
 
@@ -307,7 +312,6 @@ def sql_clique(tolerance: float) -> str:
 
 def oracle_sql() -> dict[str, str]:
     p = lambda text: with_views("WITH " + text, ["points"])
-    terrain = lambda text: f"WITH points AS ({SQL_VIEWS['terrain']}), {text}"
     return {
         "la_ransac": sql_ransac(4_000, 0.05, 0.9),
         "la_clique": sql_clique(0.02),

@@ -1,21 +1,30 @@
-"""LAS files as Spark data sources: ``las`` for points, ``las_header`` for one row per file.
+"""LAS files as Spark data sources: ``las`` for points, read and written, ``las_header`` for one row per file.
 
 The header source reads 227 bytes of each file. The point source splits a file into ranges of records, one task each,
 skips files and decodes only ranges whose header bounds meet the pushed filters on x and y, and reads fixed-size
 records through numpy in blocks, so memory doesn't grow with the file. Paths must be readable by all executors.
+
+A write is all or nothing: tasks stream their records into files of a hidden folder of the job, the commit gives the
+files of the tasks that count their names, an abort deletes the folder. Headers are written last, when a file's number of
+records and bounds are known.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 BLOCK = 200_000
 #: Byte offset of red in the point formats that hold colours, and of GPS time: fixed values of the LAS layout.
@@ -48,8 +57,13 @@ def header_row(h: dict) -> tuple:
     return (h["path"], h["version"], h["kind"], h["n"], x0, x1, y0, y1, z0, z1, True, h["kind"] in COLOUR, attributes, x1 - x0, y1 - y0, (x1 - x0) * (y1 - y0))
 
 
+def local(path: str) -> str:
+    """A path of the shared folder as ``open`` takes it."""
+    return urlparse(path).path if path.startswith("file:") else path
+
+
 def files(options: dict) -> list[str]:
-    path = options.get("path", "")
+    path = local(options.get("path", ""))
     return sorted(glob.glob(os.path.join(path, "*.las")) if os.path.isdir(path) else glob.glob(path))
 
 
@@ -119,6 +133,109 @@ class PointReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(raw)), *xyz, pa.array(raw["intensity"].astype(np.float32)), *rgb], ["filepath", "x", "y", "z", "intensity", "r", "g", "b"])
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """Files of a task: (name in the job's folder, name to be)."""
+
+    files: list[tuple[str, str]] = field(default_factory=list)
+
+
+class LasFile:
+    """A file that takes records block by block. Coordinates count from the first block's least ones, in steps of
+    ``scale``; what doesn't fit a record's fields is an error."""
+
+    def __init__(self, path: str, scale: float, colours: bool):
+        self.path, self.scale, self.colours, self.n = path, scale, colours, 0
+        self.record = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("rest", "V6"), *([(c, "<u2") for c in "rgb"] if colours else [])])
+        self.shift, self.lo, self.hi = None, np.full(3, np.inf), np.full(3, -np.inf)
+        self.out = open(path, "wb")  # noqa: SIM115
+        self.out.write(bytes(227))
+
+    def add(self, t: pa.RecordBatch) -> None:
+        raw = np.zeros(t.num_rows, self.record)
+        xyz = np.stack([t.column(a).to_numpy(zero_copy_only=False) for a in "xyz"])
+        if not np.isfinite(xyz).all():
+            raise ValueError("a coordinate is null or not finite")
+        if self.shift is None:
+            self.shift = xyz.min(1)
+        steps = np.round((xyz - self.shift[:, None]) / self.scale)
+        if np.abs(steps).max() >= 2**31:
+            raise ValueError(f"points lie more than 2^31 steps of {self.scale} apart: take a larger scale")
+        back = steps * self.scale + self.shift[:, None]
+        self.lo, self.hi = np.minimum(self.lo, back.min(1)), np.maximum(self.hi, back.max(1))
+        for i, a in enumerate("xyz"):
+            raw[a] = steps[i]
+        for c in ("intensity", *("rgb" if self.colours else "")):
+            v = t.column(c).fill_null(0).to_numpy(zero_copy_only=False)
+            if not ((v >= 0) & (v <= 65535)).all():
+                raise ValueError(f"{c} is beyond 0 to 65535")
+            raw[c] = v
+        self.out.write(raw.tobytes())
+        self.n += t.num_rows
+
+    def close(self) -> None:
+        self.out.seek(0)
+        self.out.write(pack_header(self.n, 2 if self.colours else 0, self.record.itemsize, (self.scale,) * 3, tuple(self.shift), tuple(self.lo), tuple(self.hi)))
+        self.out.close()
+
+
+class PointWriter(DataSourceArrowWriter):
+    """Points (x, y, z, intensity[, r, g, b][, file_number]) as ``strip-<file_number>-<n>.las``. A task begins a new file
+    of a number after ``recordsperfile`` points, so a strip is as many files as its tasks write."""
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+        self.folder, self.overwrite = local(options["path"]), overwrite
+        self.scale, self.each = float(options.get("scale", 0.001)), int(options.get("recordsperfile", 20_000_000))
+        missing = {"x", "y", "z", "intensity"} - set(schema.names)
+        if missing:
+            raise ValueError(f"columns {sorted(missing)} are missing")
+        self.colours, self.numbered = {"r", "g", "b"} <= set(schema.names), "file_number" in schema.names
+        self.job = os.path.join(self.folder, f"_job-{uuid.uuid4().hex}")
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        os.makedirs(self.job, exist_ok=True)
+        open_: dict[int, LasFile] = {}
+        done = Written()
+
+        def end(number: int) -> None:
+            f = open_.pop(number)
+            f.close()
+            done.files.append((os.path.basename(f.path), f"strip-{number:05d}-{uuid.uuid4().hex[:12]}.las"))
+
+        try:
+            for b in batches:
+                numbers = b.column("file_number").to_numpy(zero_copy_only=False).astype(int) if self.numbered else np.zeros(b.num_rows, int)
+                for number in np.unique(numbers).tolist():
+                    own = np.flatnonzero(numbers == number)
+                    while len(own):
+                        if number not in open_:
+                            open_[number] = LasFile(os.path.join(self.job, f"{uuid.uuid4().hex}.las"), self.scale, self.colours)
+                        room = self.each - open_[number].n
+                        open_[number].add(b.take(pa.array(own[:room])))
+                        own = own[room:]
+                        if open_[number].n >= self.each:
+                            end(number)
+            for number in list(open_):
+                end(number)
+        finally:
+            for f in open_.values():  # after an error: the abort deletes them
+                f.out.close()
+        return done
+
+    def commit(self, messages: list[Written | None]) -> None:
+        os.makedirs(self.folder, exist_ok=True)
+        if self.overwrite:
+            for old in glob.glob(os.path.join(self.folder, "*.las")):
+                os.remove(old)
+        for m in messages:
+            for name, final in m.files if m else ():
+                os.replace(os.path.join(self.job, name), os.path.join(self.folder, final))
+        shutil.rmtree(self.job, ignore_errors=True)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        shutil.rmtree(self.job, ignore_errors=True)
+
+
 class LasHeaders(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -142,6 +259,9 @@ class LasPoints(DataSource):
     def reader(self, schema) -> PointReader:
         return PointReader(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> PointWriter:
+        return PointWriter(dict(self.options), schema, overwrite)
+
 
 def enable(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lidarloom.functions.geometry import affine
-from lidarloom.sources.las import pack_header
+from lidarloom.sources import las
 
 
 def transform_points(points: DataFrame, matrix: Sequence[float]) -> DataFrame:
@@ -23,33 +20,12 @@ def transform_points(points: DataFrame, matrix: Sequence[float]) -> DataFrame:
     return points.withColumns({"x": x, "y": y, "z": z})
 
 
-def write_las(points: DataFrame, folder: str, scale: float = 0.001) -> DataFrame:
-    """One LAS file for each partition, with a header of its own bounds; (path, n). A file appears under its name only
-    when it is whole, so a task that is run again replaces what it left."""
-    has_rgb = {"r", "g", "b"} <= set(points.columns)
-    cols = ["x", "y", "z", "intensity", *(["r", "g", "b"] if has_rgb else [])]
-
-    def work(batches):
-        own = list(batches)  # one file's points: the size of a partition is the caller's choice
-        t = pa.Table.from_batches(own) if own else None
-        if t is not None and t.num_rows:
-            xyz = np.stack([t[a].to_numpy() for a in "xyz"])
-            lo, hi = xyz.min(1), xyz.max(1)
-            record = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("rest", "V6"), *([(c, "<u2") for c in "rgb"] if has_rgb else [])])
-            raw = np.zeros(t.num_rows, record)
-            for i, a in enumerate("xyz"):
-                raw[a] = np.round((xyz[i] - lo[i]) / scale)
-            for c in cols[3:]:
-                raw[c] = np.clip(t[c].fill_null(0).to_numpy(), 0, 65535)
-            path = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.las")
-            os.makedirs(folder, exist_ok=True)
-            with open(path + ".tmp", "wb") as f:
-                f.write(pack_header(len(raw), 2 if has_rgb else 0, record.itemsize, (scale,) * 3, tuple(lo), tuple(lo), tuple(hi)))
-                f.write(raw.tobytes())
-            os.replace(path + ".tmp", path)
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([t.num_rows], pa.int64())], ["path", "n"])
-
-    return points.select(*cols).mapInArrow(work, "path string, n long")
+def write_las(points: DataFrame, folder: str, scale: float = 0.001, mode: str = "append") -> None:
+    """``points(x, y, z, intensity[, r, g, b][, file_number])`` as LAS files of ``folder``: by all tasks at once, and
+    either all files or none."""
+    las.enable(points.sparkSession)
+    cols = ["x", "y", "z", "intensity", *(["r", "g", "b"] if {"r", "g", "b"} <= set(points.columns) else []), *(["file_number"] if "file_number" in points.columns else [])]
+    points.select(*cols).write.format("las").mode(mode).option("scale", scale).save(folder)
 
 
 def write_matrix(matrix: Sequence[float], path: str, grids: Sequence[int] = ()) -> None:

@@ -119,8 +119,7 @@ def test_las_round_trip(spark, tmp_path, rgb):
     folder = str(tmp_path / "las")
     rows = [(i * 0.5, i * 0.25 - 3, 7.0 - i * 0.1, float(i % 900), float(i), 2.0 * i, 3.0 * i) for i in range(1000)]
     df = spark.createDataFrame(rows, "x double, y double, z double, intensity float, r float, g float, b float").repartition(3)
-    sinks.write_las(df if rgb else df.drop("r", "g", "b"), folder).collect()
-    las.enable(spark)
+    sinks.write_las(df if rgb else df.drop("r", "g", "b"), folder)
     head = spark.read.format("las_header").load(folder).collect()
     assert sum(h["n_points"] for h in head) == 1000 and all(h["has_colors"] == rgb for h in head)
     back = spark.read.format("las").option("recordsPerPartition", "100").load(folder)
@@ -131,6 +130,28 @@ def test_las_round_trip(spark, tmp_path, rgb):
     assert las.read_points(spark, folder).select("strip_id").distinct().count() >= 1
 
 
+def test_las_is_written_whole_or_not_at_all(spark, tmp_path):
+    """A strip is many files; a failed job leaves none, and what overflows is an error."""
+    import os
+
+    folder = str(tmp_path / "las")
+    df = spark.range(0, 900, 1, 3).selectExpr("id * 0.5D AS x", "1D AS y", "2D AS z", "5F AS intensity", "CAST(id % 2 AS INT) AS file_number")
+    las.enable(spark)
+    df.write.format("las").mode("append").option("recordsPerFile", 100).save(folder)
+    names = sorted(os.listdir(folder))
+    assert all(n.endswith(".las") for n in names) and len(names) == 12 and not [n for n in names if n.startswith("_")]
+    n = las.read_points(spark, folder).groupBy("strip_id").count().collect()
+    assert {(r["strip_id"], r["count"]) for r in n} == {(0, 450), (1, 450)}
+    for bad in ("CASE WHEN id = 850 THEN 1e12D ELSE id END AS x, 1F AS intensity", "id * 1D AS x, CASE WHEN id = 850 THEN 70000F ELSE 1F END AS intensity", "CASE WHEN id = 850 THEN NULL ELSE 1D END AS x, 1F AS intensity"):
+        with pytest.raises(Exception, match="scale|65535|finite"):
+            sinks.write_las(spark.range(0, 900, 1, 3).selectExpr(*bad.split(", "), "1D AS y", "2D AS z"), folder)
+        assert sorted(os.listdir(folder)) == names
+    sinks.write_las(df, folder, mode="overwrite")
+    assert las.read_points(spark, folder).count() == 900 and not set(os.listdir(folder)) & set(names)
+    sinks.write_las(df.limit(0), str(tmp_path / "none"))
+    assert os.listdir(tmp_path / "none") == []
+
+
 def test_las_broken(tmp_path):
     assert las.header(str(tmp_path / "none.las")) is None
     (tmp_path / "bad.las").write_bytes(b"nothing" * 60)
