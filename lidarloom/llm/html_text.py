@@ -177,6 +177,26 @@ LAYOUTS = (
     ((0, 4, 0, 0, 0, 0), (0, 11, 0, 0, 0, 0), (1, 7, 0, 0, 1, 1), (1, 44, 3, 0, 1, 0), (1, 20, 20, 0, 1, 0), (1, 90, 0, 0, 1, 0), (0, 3, 3, 0, 1, 0), (0, 4, 4, 0, 1, 0), (0, 60, 0, 0, 0, 0), (0, 8, 2, 0, 0, 0)),
     # one very short article, an advert within it
     ((0, 2, 2, 1, 0, 0), (1, 2, 0, 0, 1, 1), (1, 1, 0, 0, 1, 0), (0, 14, 1, 1, 1, 0), (1, 1, 0, 0, 1, 0), (0, 30, 0, 1, 1, 0), (1, 4, 0, 0, 1, 0), (0, 25, 0, 1, 0, 0)),
+    # an article of short and long paragraphs in turn, adverts of all lengths between them
+    ((0, 5, 5, 1, 0, 0), (1, 3, 0, 0, 1, 1), (1, 40, 0, 0, 1, 0), (1, 3, 0, 0, 1, 0), (0, 20, 0, 1, 1, 0), (1, 2, 0, 0, 1, 0), (1, 55, 1, 0, 1, 0), (0, 65, 2, 1, 1, 0), (1, 34, 0, 0, 1, 0), (1, 1, 0, 0, 1, 0), (0, 3, 0, 1, 1, 0), (1, 9, 0, 0, 1, 0), (1, 25, 2, 0, 1, 0), (0, 110, 0, 1, 0, 0)),
+    # a long notice and a long sidebar around a short article, whose last paragraph is a long one
+    ((0, 90, 3, 1, 0, 0), (0, 50, 50, 1, 0, 0), (1, 6, 0, 0, 1, 1), (1, 11, 0, 0, 1, 0), (1, 5, 0, 0, 1, 0), (1, 18, 3, 0, 1, 0), (1, 75, 0, 0, 1, 0), (0, 80, 0, 2, 0, 0), (0, 120, 0, 2, 0, 0), (0, 3, 0, 2, 0, 1), (0, 70, 2, 1, 0, 0)),
+    # a short article and many comments
+    ((1, 4, 0, 0, 1, 1), (1, 14, 0, 0, 1, 0), (1, 50, 0, 0, 1, 0), (0, 2, 0, 2, 0, 1), (0, 60, 0, 2, 1, 0), (0, 9, 0, 2, 1, 0), (0, 33, 2, 2, 1, 0), (0, 140, 0, 2, 1, 0), (0, 1, 1, 2, 1, 0), (0, 28, 0, 2, 1, 0)),
+    # an article of one paragraph between unmarked texts of any length
+    ((0, 45, 0, 0, 0, 0), (0, 16, 2, 0, 0, 0), (1, 33, 0, 0, 1, 0), (0, 85, 1, 0, 0, 0), (0, 2, 0, 0, 0, 0), (0, 28, 0, 0, 0, 0)),
+    # no article element: marked texts of all lengths around and between the paragraphs
+    ((0, 75, 2, 1, 0, 0), (0, 12, 12, 1, 0, 0), (1, 8, 0, 0, 0, 1), (1, 66, 1, 0, 0, 0), (0, 48, 1, 1, 0, 0), (1, 52, 2, 0, 0, 0), (0, 7, 0, 1, 0, 0), (1, 88, 0, 0, 0, 0), (1, 41, 0, 0, 0, 0), (0, 95, 0, 2, 0, 0), (0, 60, 0, 2, 0, 0), (0, 36, 0, 1, 0, 0)),
+    # articles with nothing or with links behind them
+    ((0, 4, 4, 1, 0, 0), (1, 5, 0, 0, 1, 1), (1, 30, 0, 0, 1, 0), (1, 3, 0, 0, 1, 0)),
+    ((1, 2, 0, 0, 1, 0),),
+    ((1, 5, 0, 0, 1, 1), (1, 40, 4, 0, 1, 0), (1, 12, 0, 0, 1, 0)),
+    ((1, 30, 3, 0, 1, 0), (1, 2, 0, 0, 1, 0)),
+    ((1, 6, 0, 0, 1, 1), (1, 1, 0, 0, 1, 0)),
+    ((1, 80, 0, 0, 1, 0), (1, 4, 0, 0, 1, 0), (0, 6, 6, 1, 0, 0), (0, 3, 3, 1, 0, 0)),
+    ((1, 7, 0, 0, 1, 1), (1, 2, 0, 0, 1, 0), (0, 5, 5, 2, 0, 0), (0, 4, 4, 2, 0, 0)),
+    # no article element: the last paragraph is the page's last block
+    ((0, 2, 2, 0, 0, 0), (1, 58, 0, 0, 0, 0), (1, 35, 0, 0, 0, 0)),
     # no article element: links, a title, long paragraphs and a short one between them, small print
     ((0, 1, 1, 0, 0, 0), (0, 2, 2, 0, 0, 0), (0, 1, 1, 0, 0, 0), (1, 7, 0, 0, 0, 1), (1, 60, 1, 0, 0, 0), (1, 95, 0, 0, 0, 0), (1, 6, 0, 0, 0, 0), (1, 48, 4, 0, 0, 0), (1, 30, 0, 0, 0, 0), (0, 5, 0, 0, 0, 0), (0, 3, 3, 0, 0, 0), (0, 4, 0, 0, 0, 0)),
     # no article element: marked menu and sidebar around paragraphs, a heading between them
