@@ -88,15 +88,23 @@ def normal_quantile_of(p: Column) -> Column:
 def quantiles(df: DataFrame, column: str, shares: list[float], few: int = FEW) -> list[float | None]:
     """Exact quantiles with linear interpolation (as ``percentile`` has them) of a column of any number of distinct
     doubles. Each rank is narrowed down by histograms of ``BINS`` bins, of which only counts are gathered, until at most
-    ``few`` values are left beside it. Nulls and NaN don't count; without values all quantiles are null."""
+    ``few`` values are left beside it. Nulls and NaN don't count,
+    infinite values lie beyond all others; without values all quantiles are null."""
     v = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    s = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    finite = F.abs("v") < math.inf
+    s = v.agg(F.count("v").alias("n"), F.count_if(F.col("v") == -math.inf).alias("below"), F.count_if(finite).alias("finite"), F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi")).first()
     if not s["n"]:
         return [None] * len(shares)
     ranks = {p: p * (s["n"] - 1) for p in shares}
     wanted = sorted({k for r in ranks.values() for k in (math.floor(r), math.ceil(r))})
-    found = at_ranks(v, s["n"], s["lo"], s["hi"], wanted, few)
-    return [found[math.floor(r)] + (found[math.ceil(r)] - found[math.floor(r)]) * (r - math.floor(r)) for r in ranks.values()]
+    inner = sorted(k - s["below"] for k in wanted if 0 <= k - s["below"] < s["finite"])
+    found = dict(at_ranks(v.where(finite), s["finite"], s["lo"], s["hi"], inner, few)) if inner else {}
+    value = lambda k: -math.inf if k < s["below"] else found[k - s["below"]] if k - s["below"] < s["finite"] else math.inf
+    return [between(value(math.floor(r)), value(math.ceil(r)), r - math.floor(r)) for r in ranks.values()]
+
+
+def between(low: float, high: float, share: float) -> float:
+    return low if not share or low == high else low + (high - low) * share
 
 
 def at_ranks(v: DataFrame, n: int, lo: float, hi: float, ranks: list[int], few: int) -> dict[int, float]:

@@ -3,11 +3,14 @@ row per selected cell; correspondences may be any number and are only ever aggre
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lidarloom.functions.geometry import affine, dist3d
 from lidarloom.functions.statistics import quantiles
+from lidarloom.sources import scratch
 
 #: component, limit, least MAD: fixed values of the first pass; the second relaxes x and y and drops the angles.
 FIRST = (("tx", 1.0, 0.5), ("ty", 1.0, None), ("tz", 2.0, 0.2), ("pitch", 2.0, None), ("roll", 2.0, None), ("yaw", 2.0, None))
@@ -40,22 +43,57 @@ def mad_filter(regions: DataFrame) -> DataFrame:
     return r.where(keep).select(*regions.columns)
 
 
-def medoid_distances(regions: DataFrame) -> DataFrame:
-    """(grid_id, total): each region's summed distance to all others in MAD-scaled components."""
-    names = tuple(v for v, _, _ in FIRST)
-    scaled = with_mads(regions, names).select("grid_id", *((F.col(v) / F.greatest(F.col(f"mad_{v}"), F.lit(1e-6))).alias(v) for v in names))
-    other = scaled.select(F.col("grid_id").alias("o"), *(F.col(v).alias(f"o_{v}") for v in names))
-    d = F.sqrt(sum(((F.col(v) - F.col(f"o_{v}")) ** 2 for v in names), F.lit(0.0)))
-    return scaled.crossJoin(other).where("grid_id <> o").groupBy("grid_id").agg(F.sum(d).alias("total"))
+NAMES = tuple(v for v, _, _ in FIRST)
+#: Candidates for the medoid whose distances to all are summed in a round.
+TRIED = 16
+
+
+def mad_scaled(regions: DataFrame) -> DataFrame:
+    """(grid_id, six components) in units of the components' MADs."""
+    return with_mads(regions, NAMES).select("grid_id", *((F.col(v) / F.greatest(F.col(f"mad_{v}"), F.lit(1e-6))).alias(v) for v in NAMES))
+
+
+def apart(other: str) -> Column:
+    """The distance between the components and those called ``other`` and a name."""
+    return F.sqrt(sum(((F.col(v) - F.col(f"{other}{v}")) ** 2 for v in NAMES), F.lit(0.0)))
+
+
+def medoid(scaled: DataFrame) -> tuple[int, float] | None:
+    """(grid_id, summed distance) of the row of ``scaled(grid_id, components)`` that is nearest to all others by the sum
+    of distances; ties go to the least grid_id. None without rows.
+
+    If the distances of p sum to E(p), those of a row x among n sum to at least |E(p) - n d(x, p)|, by the triangle
+    inequality. A round sums the distances of the few rows of the least bounds, which are broadcast, in one pass; they
+    bound all others; rows whose bound lies above the best sum can't be the medoid and are left out. At worst all rows
+    are tried, ``TRIED`` at a time; as a rule those near the middle are."""
+    n = scaled.count()
+    if not n:
+        return None
+    middle = scaled.agg(*(F.median(v).alias(f"o_{v}") for v in NAMES))
+    left = scratch.written(scaled.crossJoin(F.broadcast(middle)).select("grid_id", *NAMES, F.lit(0.0).alias("bound"), apart("o_").alias("near")))
+    best: tuple[float, int] = (math.inf, -1)
+    while True:
+        tried = left.orderBy("bound", "near", "grid_id").limit(TRIED).collect()
+        if not tried:
+            return best[1], best[0]
+        pivots = F.broadcast(scaled.sparkSession.createDataFrame([(r["grid_id"], *(r[v] for v in NAMES)) for r in tried], f"o long, {', '.join(f'o_{v} double' for v in NAMES)}"))
+        sums = {r["o"]: r["total"] for r in scaled.join(pivots, F.lit(True)).groupBy("o").agg(F.sum(apart("o_")).alias("total")).collect()}
+        best = min(best, min((round(t, 9), g) for g, t in sums.items()))
+        with_sums = F.broadcast(scaled.sparkSession.createDataFrame([(r["grid_id"], *(r[v] for v in NAMES), sums[r["grid_id"]]) for r in tried], f"o long, {', '.join(f'o_{v} double' for v in NAMES)}, total double"))
+        at = left.where(~F.col("grid_id").isin([r["grid_id"] for r in tried])).join(with_sums, F.lit(True))
+        bounds = at.groupBy("grid_id", *NAMES, "bound", "near").agg(F.max(F.abs(F.col("total") - n * apart("o_"))).alias("new"))
+        left = scratch.written(bounds.select("grid_id", *NAMES, F.greatest("bound", "new").alias("bound"), "near").where(F.col("bound") <= best[0] + 1e-6))
 
 
 def medoid_filter(regions: DataFrame, k: float = 2.5) -> DataFrame:
-    """Regions within median + k MAD of the medoid, in MAD-scaled components."""
-    names = tuple(v for v, _, _ in FIRST)
-    scaled = with_mads(regions, names).select("grid_id", *((F.col(v) / F.greatest(F.col(f"mad_{v}"), F.lit(1e-6))).alias(v) for v in names))
-    best = medoid_distances(regions).orderBy("total", "grid_id").limit(1).select("grid_id")
-    m = F.broadcast(scaled.join(best, "grid_id").select(*(F.col(v).alias(f"m_{v}") for v in names)))
-    d = scaled.crossJoin(m).select("grid_id", F.sqrt(sum(((F.col(v) - F.col(f"m_{v}")) ** 2 for v in names), F.lit(0.0))).alias("d"))
+    """Regions within median + k MAD of the medoid, in MAD-scaled components. Repeated grid_ids are rows of their own,
+    but one of them stands for all as a medoid."""
+    scaled = scratch.written(mad_scaled(regions))
+    found = medoid(scaled.dropDuplicates(["grid_id"]))
+    if found is None:
+        return scaled.select("grid_id", F.lit(0.0).alias("d"))
+    m = F.broadcast(scaled.where(F.col("grid_id") == found[0]).dropDuplicates(["grid_id"]).select(*(F.col(v).alias(f"m_{v}") for v in NAMES)))
+    d = scaled.crossJoin(m).select("grid_id", apart("m_").alias("d"))
     med = F.broadcast(d.agg(F.median("d").alias("med")))
     dev = d.crossJoin(med)
     mad = F.broadcast(dev.agg(F.median(F.abs(F.col("d") - F.col("med"))).alias("mad")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -9,6 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lidarloom.sources import scratch
+
 from lidarloom.functions.geometry import dist3d
 from lidarloom.functions.statistics import normal_quantile_of
 from lidarloom.operators import clustering, spatial
@@ -83,42 +87,90 @@ def smooth(rows: DataFrame, by: str, order: str, value: str, window: int = 11, d
 def bootstrap(rows: DataFrame, by: str, key: list[str], value: str, times: int = 1000, seed: int = 7) -> DataFrame:
     """(by, lower, upper): percentile interval of the mean over ``times`` resamples. Each row's count in a resample is
     Poisson with mean one, drawn from a hash of its group, its ``key`` (which tells the rows of a group apart) and the
-    resample, so resamples need no shuffle of their own, are reproducible, and equal values are drawn independently."""
-    b = F.broadcast(rows.sparkSession.range(times).select(F.col("id").alias("rep")))
-    text = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in (by, *key, "rep"))))
-    u = (F.conv(F.substring(text, 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
-    k = sum((F.when(u > c, 1).otherwise(0) for c in POISSON), F.lit(0))
-    means = rows.crossJoin(b).withColumn("k", k).groupBy(by, "rep").agg(F.try_divide(F.sum(F.col("k") * F.col(value)), F.sum("k")).alias("m"))
-    return means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"))
+    resample, so resamples need no shuffle of their own, are reproducible, and equal values are drawn independently.
+
+    A task keeps two arrays of ``times`` sums for each group, of counts and of counted values; only these leave it. Rows
+    without a value count as draws of nothing, as in a sum."""
+    named = rows.select(F.col(by).alias("own"), F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in (by, *key))).alias("text"), F.col(value).cast("double").alias("value"))
+    limits, kind = np.array(POISSON), dict(rows.dtypes)[by]
+
+    def work(batches):
+        import hashlib
+
+        sums: dict = {}
+        for b in batches:
+            for own, text, v in zip(b["own"], b["text"], b["value"], strict=True):
+                state = sums.setdefault(own, np.zeros((2, times)))
+                head = hashlib.md5(f"{text}|".encode())
+                u = np.empty(times)
+                for r in range(times):
+                    h = head.copy()
+                    h.update(str(r).encode())
+                    u[r] = int.from_bytes(h.digest()[:4], "big")
+                k = ((u + 0.5) / (1 << 32) > limits[:, None]).sum(0)
+                state[0] += k
+                if v == v:
+                    state[1] += k * v
+        yield pd.DataFrame({"own": list(sums), "k": [s[0].tolist() for s in sums.values()], "kv": [s[1].tolist() for s in sums.values()]})
+
+    states = named.mapInPandas(work, f"own {kind}, k array<double>, kv array<double>")
+    each = states.select("own", F.posexplode(F.arrays_zip("k", "kv"))).groupBy("own", "pos").agg(F.try_divide(F.sum("col.kv"), F.sum("col.k")).alias("m"))
+    return each.groupBy(F.col("own").alias(by)).agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"))
 
 
 #: The distribution of a Poisson count with mean one, from 0 on.
 POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720)]).tolist()
 
 
+#: Rates among which an exponential's is looked for at first; damping at which a fit is given up, and its rounds.
+RATES = (*(-np.geomspace(1, 1e-4, 60)).tolist(), *np.geomspace(1e-4, 5, 80).tolist())
+GIVEN_UP, FIT_ROUNDS = 1e12, 60
+
+
 def exponential_fit(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, a, b, c) of a exp(-b x) + c through each group's sorted values. For a given b the rest is linear, so only b
-    is searched: a grid of rates, then a golden-section refinement around the best."""
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.sort(pdf[value].to_numpy(float))
-        x = np.arange(len(y), dtype=float)
-
-        def solve(b: float) -> tuple[float, np.ndarray]:
-            m = np.stack((np.exp(np.clip(-b * x, -50, 50)), np.ones_like(x)), 1)
-            p = np.linalg.lstsq(m, y, rcond=None)[0]
-            return float(((m @ p - y) ** 2).sum()), p
-
-        rates = np.concatenate((-np.geomspace(1, 1e-4, 60), np.geomspace(1e-4, 5, 80)))
-        k = int(np.argmin([solve(b)[0] for b in rates]))
-        low, high = rates[max(k - 1, 0)], rates[min(k + 1, len(rates) - 1)]
-        for _ in range(80):
-            u, v = high - 0.6180339887 * (high - low), low + 0.6180339887 * (high - low)
-            low, high = (low, v) if solve(u)[0] < solve(v)[0] else (u, high)
-        b = (low + high) / 2
-        p = solve(b)[1]
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "a": [p[0]], "b": [b], "c": [p[1]]})
-
-    return rows.groupBy(by).applyInPandas(work, f"{by} {dict(rows.dtypes)[by]}, a double, b double, c double")
+    """(by, a, b, c) of a exp(-b x) + c through each group's sorted values, x from 0 on. Nulls don't count.
+
+    For a given rate the rest is linear, so the first aggregate tries ``RATES`` by their sums. From the best one on, steps
+    of Levenberg and Marquardt: a round sums the squares and products of the derivatives and residuals of all groups at
+    once; the driver solves a 3 x 3 system for each group that is still open."""
+    w = Window.partitionBy("own").orderBy("y")
+    data = rows.select(F.col(by).alias("own"), F.col(value).cast("double").alias("y")).where("y IS NOT NULL")
+    data = scratch.written(data.withColumn("x", F.row_number().over(w) - F.lit(1.0)))
+    kind = dict(rows.dtypes)[by]
+    tried = data.selectExpr("own", "x", "y", f"explode(array({', '.join(f'{r!r}D' for r in RATES)})) AS b").selectExpr("own", "b", "y", "exp(greatest(-50D, least(50D, -b * x))) AS e")
+    fits = tried.groupBy("own", "b").agg(*(F.expr(f"{f} AS {k}") for k, f in (("n", "count(*)"), ("e1", "sum(e)"), ("e2", "sum(e * e)"), ("y1", "sum(y)"), ("y2", "sum(y * y)"), ("ey", "sum(e * y)"))))
+    start: dict = {}
+    for r in fits.collect():  # groups x rates
+        h, g = np.array([[r["e2"], r["e1"]], [r["e1"], r["n"]]]), np.array([r["ey"], r["y1"]])
+        a, c = np.linalg.lstsq(h, g, rcond=None)[0]
+        cost = float(r["y2"] - 2 * (a * r["ey"] + c * r["y1"]) + a * a * r["e2"] + 2 * a * c * r["e1"] + c * c * r["n"])
+        if r["own"] not in start or (cost, abs(r["b"])) < start[r["own"]][:2]:
+            start[r["own"]] = cost, abs(r["b"]), np.array([a, r["b"], c])
+    found, damping = {g: v[2] for g, v in start.items()}, dict.fromkeys(start, 1e-3)
+    now: dict = {}
+    step: dict = {g: p for g, p in found.items()}  # what is tried next
+    for _ in range(FIT_ROUNDS):
+        if not step:
+            break
+        at = data.sparkSession.createDataFrame([(g, *(float(v) for v in p)) for g, p in step.items()], f"own {kind}, a double, b double, c double")
+        d = data.join(F.broadcast(at), data["own"].eqNullSafe(at["own"])).select(data["own"], "x", "y", "a", "b", "c")
+        d = d.selectExpr("own", "y", "a", "c", "x", "exp(greatest(-50D, least(50D, -b * x))) AS j0").selectExpr("own", "j0", "-a * x * j0 AS j1", "1D AS j2", "y - a * j0 - c AS r")
+        sums = d.groupBy("own").agg(F.expr("sum(r * r) AS cost"), *(F.expr(f"sum(j{i} * j{k}) AS h{i}{k}") for i in range(3) for k in range(i, 3)), *(F.expr(f"sum(j{i} * r) AS g{i}") for i in range(3)))
+        for r in sums.collect():
+            g = r["own"]
+            if g not in now or (math.isfinite(r["cost"]) and r["cost"] < now[g]["cost"]):
+                small = g in now and now[g]["cost"] - r["cost"] <= 1e-13 * now[g]["cost"]
+                found[g], now[g], damping[g] = step[g], r.asDict(), damping[g] / 10
+            else:
+                small, damping[g] = False, damping[g] * 10
+            own = now[g]
+            h = np.array([[own[f"h{min(i, k)}{max(i, k)}"] for k in range(3)] for i in range(3)])
+            move = np.linalg.lstsq(h + damping[g] * np.diag(np.maximum(np.diag(h), 1e-12)), np.array([own[f"g{i}"] for i in range(3)]), rcond=None)[0]
+            if small or damping[g] > GIVEN_UP or float(np.abs(move).max()) < 1e-12 * (1 + float(np.abs(found[g]).max())):
+                del step[g]
+            else:
+                step[g] = found[g] + move
+    return data.sparkSession.createDataFrame([(g, *(float(v) for v in p)) for g, p in found.items()], f"{by} {kind}, a double, b double, c double")
 
 
 def principal_components(rows: DataFrame, columns: list[str]) -> DataFrame:

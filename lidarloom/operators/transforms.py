@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarloom.functions import rigid
-from lidarloom.operators import matching
+from lidarloom.functions import delaunay, rigid
+from lidarloom.operators import clustering, matching
 from lidarloom.sources import scratch
 
 S, T = ("sx", "sy", "sz"), ("tx", "ty", "tz")
@@ -42,37 +42,70 @@ def clique_transforms(pairs: DataFrame, by: str, tolerance: float, least: float
     return found.join(fits.select("grid_id", "transformation"), "grid_id").withColumnRenamed("grid_id", by)
 
 
-def triangles(p: np.ndarray) -> np.ndarray:
-    """Delaunay triangles of some dozens of points: those whose circumcircle holds no other point."""
-    n = len(p)
-    i, j, k = np.array([(a, b, c) for a in range(n) for b in range(a + 1, n) for c in range(b + 1, n)]).T
-    a, b, c = p[i], p[j], p[k]
-    d = 2 * (a[:, 0] * (b[:, 1] - c[:, 1]) + b[:, 0] * (c[:, 1] - a[:, 1]) + c[:, 0] * (a[:, 1] - b[:, 1]))
-    ok = np.abs(d) > 1e-12
-    d = np.where(ok, d, 1)
-    q = lambda v: (v * v).sum(1)
-    ux = (q(a) * (b[:, 1] - c[:, 1]) + q(b) * (c[:, 1] - a[:, 1]) + q(c) * (a[:, 1] - b[:, 1])) / d
-    uy = (q(a) * (c[:, 0] - b[:, 0]) + q(b) * (a[:, 0] - c[:, 0]) + q(c) * (b[:, 0] - a[:, 0])) / d
-    u = np.stack((ux, uy), 1)
-    r2 = q(a - u)
-    inside = (((p[None] - u[:, None]) ** 2).sum(2) < r2[:, None] * (1 - 1e-9)).sum(1)
-    return np.stack((i, j, k), 1)[ok & (inside == 0)]
+def node_of(v: str, low: str, high: str, side: int) -> str:
+    """SQL for the number of the grid node next to ``v`` between ``low`` and ``high``, held within the grid."""
+    return f"CAST(greatest(0, least({side - 1}, coalesce(round(({v} - {low}) / nullif({high} - {low}, 0) * {side - 1}), 0))) AS INT)"
 
 
-def interpolate(points: DataFrame, by: str, side: int = 50) -> DataFrame:
-    """(by, i, j, x, y, z): linear interpolation of each group's targets on a side x side grid over their bounds; null
-    outside their hull. A group is the targets of one file."""
+def surface_nodes(active: DataFrame, by: str, side: int) -> DataFrame:
+    """(by, i, j, x, y, z, cx, cy, r2): the nodes of a side x side grid over the bounds of each group of ``active``, their
+    heights on its triangulation, and the circle of the triangle that they lie in; nulls outside the hull."""
+
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         p, z = pdf[["x", "y"]].to_numpy(float), pdf["z"].to_numpy(float)
         gx, gy = (np.linspace(p[:, a].min(), p[:, a].max(), side) for a in (0, 1))
-        j, i = np.meshgrid(np.arange(side), np.arange(side))
-        g = np.stack((gx[j.ravel()], gy[i.ravel()]), 1)
-        out = np.full(len(g), np.nan)
-        for t in triangles(p) if len(p) >= 3 else []:
-            m = np.vstack((p[t].T, np.ones(3)))
-            w = np.linalg.solve(m, np.vstack((g.T, np.ones(len(g)))))
-            hit = (w >= -1e-9).all(0) & np.isnan(out)
-            out[hit] = z[t] @ w[:, hit]
-        return pd.DataFrame({by: pdf[by].iloc[0], "i": i.ravel(), "j": j.ravel(), "x": g[:, 0], "y": g[:, 1], "z": pd.Series(out).astype(object).where(~np.isnan(out), None)})
-
-    return points.select(by, "x", "y", "z").groupBy(by).applyInPandas(work, f"{by} {dict(points.dtypes)[by]}, i int, j int, x double, y double, z double")
+        mesh = delaunay.Mesh(p)
+        rows = []
+        for i in range(side):
+            for j in range(side) if i % 2 == 0 else range(side - 1, -1, -1):
+                node, found = (float(gx[j]), float(gy[i])), (None,) * 4
+                if mesh.tri:
+                    _, t = mesh.locate(node)
+                    mesh.last = t
+                    own = mesh.tri[t]
+                    share = delaunay.shares(*(mesh.p[v] for v in own), node)
+                    if min(share) >= -1e-9:
+                        found = (float(np.dot(share, z[own])), *delaunay.circle(*(mesh.p[v] for v in own)))
+                rows.append((pdf[by].iloc[0], i, j, *node, *found))
+        return pd.DataFrame(rows, columns=[by, "i", "j", "x", "y", "z", "cx", "cy", "r2"]).astype({c: float for c in ("z", "cx", "cy", "r2")}).astype({c: object for c in ("z", "cx", "cy", "r2")}).where(lambda d: d.notna(), None)
+
+    kind = dict(active.dtypes)[by]
+    return active.select(by, "x", "y", "z").groupBy(by).applyInPandas(work, f"{by} {kind}, i int, j int, x double, y double, z double, cx double, cy double, r2 double")
+
+
+def interpolate(points: DataFrame, by: str, side: int = 50) -> DataFrame:
+    """(by, i, j, x, y, z): linear interpolation of each group's points (x, y, z) on their Delaunay triangulation, at the
+    nodes of a side x side grid over their bounds; null outside their hull. Points at one place count as their mean;
+    groups on a line, or of fewer than three places, have nulls only.
+
+    A triangle belongs to the triangulation of all points if its circle is empty, and only triangles with nodes matter.
+    So a group's task begins with the corners of the hull and the point next to each node, at most side x side of them
+    however many points there are. A join then looks for points inside the circles of the nodes' triangles; the one
+    deepest in each circle joins the group's task, until all circles are empty. Groups without a find leave the rounds.
+    """
+    c = F.col
+    p = scratch.written(points.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").groupBy(by, "x", "y").agg(F.avg("z").alias("z")))
+    box = scratch.written(p.groupBy(by).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+    filed = scratch.written(p.join(F.broadcast(box), by).selectExpr("*", f"{node_of('y', 'y0', 'y1', side)} AS i", f"{node_of('x', 'x0', 'x1', side)} AS j"))
+    off = f"pow(x - x0 - j * (x1 - x0) / {side - 1}, 2) + pow(y - y0 - i * (y1 - y0) / {side - 1}, 2)"
+    next_ = filed.groupBy(by, "i", "j").agg(F.expr(f"min(struct({off} AS d, x, y, z)) AS m")).select(by, "m.x", "m.y", "m.z")
+    corners = p.join(clustering.convex_hull(p, by).select(by, "x", "y"), [by, "x", "y"], "left_semi").select(by, "x", "y", "z")
+    active = scratch.written(next_.union(corners).distinct())
+    done: list[DataFrame] = []
+    while True:
+        nodes = scratch.written(surface_nodes(active, by, side))
+        circles = nodes.where("r2 IS NOT NULL").select(by, "cx", "cy", "r2").distinct().join(F.broadcast(box), by)
+        for n, v, low, high in (("i", "cy", "y0", "y1"), ("j", "cx", "x0", "x1")):
+            first, last = (node_of(f"{v} {sign} sqrt(r2)", low, high, side) for sign in "-+")
+            circles = circles.selectExpr("*", f"explode(sequence({first}, {last})) AS {n}")
+        inside = circles.select(by, "i", "j", "cx", "cy", "r2").join(filed.select(by, "i", "j", "x", "y", "z"), [by, "i", "j"]).selectExpr("*", "(x - cx) * (x - cx) + (y - cy) * (y - cy) AS d").where("d < r2 * (1 - 1e-9D)")
+        more = scratch.written(inside.groupBy(by, "cx", "cy", "r2").agg(F.expr("min(struct(d, x, y, z)) AS m")).select(by, "m.x", "m.y", "m.z").distinct())
+        open_ = more.select(by).distinct()
+        done.append(nodes.join(open_, by, "left_anti"))
+        if more.isEmpty():
+            break
+        active = scratch.written(active.join(open_, by, "left_semi").union(more).distinct())
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select(by, "i", "j", "x", "y", "z")

@@ -64,7 +64,7 @@ def win_savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inf_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(targets.bootstrap(tables.targets(spark, sf_dir), "file", ["reference_id"], "distance_to_ref", 200))
+    return rounded(targets.bootstrap(tables.targets(spark, sf_dir), "file", ["reference_id"], "distance_to_ref", 1000))
 
 
 def mdl_expfit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,17 @@ def la_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def geo_interp_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.targets(spark, sf_dir)
-    return transforms.interpolate(t.select("file", F.col("center_x").alias("x"), F.col("center_y").alias("y"), F.col("center_z").alias("z")), "file", 20)
+    return rounded(transforms.interpolate(t.select("file", F.col("center_x").alias("x"), F.col("center_y").alias("y"), F.col("center_z").alias("z")), "file", 20), 5)
+
+
+def geo_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strips' surfaces at 12 x 12 nodes, from all points of ``terrain``: how far they are from the true heights."""
+    p = tables.terrain(spark, sf_dir)
+    near = transforms.interpolate(p.select("strip", "x", "y", "z"), "strip", 12)
+    x, y, z = (F.when(F.col("strip") == "O", v).otherwise(0.0) for v in tables.SHIFT)
+    u, v = F.col("x") - x, F.col("y") - y
+    true = F.sin(u * 0.5) * 2 + F.cos(v * 0.4) * 2 + 0.8 * F.sin(u * 1.1 + v * 0.7) + z
+    return near.groupBy("strip").agg(F.count("*").alias("nodes"), (F.avg(F.abs(F.col("z") - true)) < 0.1).alias("close"))
 
 
 def str_running_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +223,7 @@ def str_windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(running.windowed_events(tables.table(spark, sf_dir, "events")), 4)
 
 
-QUERIES = (geo_normals, la_kabsch, la_clique, geo_interp_linear, str_running_cells, str_windowed_events, geo_plane_fit, clu_kmeans, tgt_find, clu_target_analysis, jn_assignment, win_savgol, inf_bootstrap, mdl_expfit, mdl_pca, inf_qq, geo_slope_aspect, geo_surface_stats, win_focal_std, top_corr_cap, top_nearest_half, flt_ref_bbox, smp_plot, reg_store, reg_p2plane, reg_icp_sums, la_ransac)
+QUERIES = (geo_normals, la_kabsch, la_clique, geo_interp_linear, str_running_cells, str_windowed_events, geo_plane_fit, clu_kmeans, tgt_find, clu_target_analysis, jn_assignment, win_savgol, inf_bootstrap, mdl_expfit, mdl_pca, inf_qq, geo_slope_aspect, geo_surface_stats, win_focal_std, top_corr_cap, top_nearest_half, flt_ref_bbox, smp_plot, reg_store, reg_p2plane, reg_icp_sums, la_ransac, geo_surface)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -276,6 +286,21 @@ def sql_near(shift: tuple[float, float, float], reach: float) -> str:
       FROM c s JOIN c t ON s.grid_id = t.grid_id AND s.strip = 'F' AND t.strip = 'O' WHERE {d} < {reach * reach} GROUP BY s.grid_id, s.pid)"""
 
 
+def sql_interpolated(side: int) -> str:
+    """All triples of a file's targets whose circle is empty, and the heights of the nodes within them."""
+    turn = lambda a, b, c: f"(({b}.x - {a}.x) * ({c}.y - {a}.y) - ({b}.y - {a}.y) * ({c}.x - {a}.x))"
+    square = lambda p: f"(power({p}.x - q.x, 2) + power({p}.y - q.y, 2))"
+    minor = lambda a, b: f"(({a}.x - q.x) * ({b}.y - q.y) - ({a}.y - q.y) * ({b}.x - q.x))"
+    inside = f"({square('a')} * {minor('b', 'c')} + {square('b')} * {minor('c', 'a')} + {square('c')} * {minor('a', 'b')})"
+    return f"""WITH t AS (SELECT file, center_x AS x, center_y AS y, avg(center_z) AS z FROM targets GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY x, y) AS k FROM t),
+      tri AS (SELECT a.file, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS byy, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz, {turn('a', 'b', 'c')} AS area FROM k a JOIN k b ON b.file = a.file AND b.k > a.k JOIN k c ON c.file = a.file AND c.k > b.k JOIN k q ON q.file = a.file
+        WHERE {turn('a', 'b', 'c')} <> 0 GROUP BY ALL HAVING max(CASE WHEN q.k IN (a.k, b.k, c.k) THEN -1 ELSE sign({turn('a', 'b', 'c')}) * {inside} END) <= 0),
+      g AS (SELECT file, i, j, x0 + j * (x1 - x0) / {side - 1} AS x, y0 + i * (y1 - y0) / {side - 1} AS y FROM (SELECT file, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM t GROUP BY file) b CROSS JOIN range({side}) r(i) CROSS JOIN range({side}) s(j)),
+      w AS (SELECT g.*, ((bx - g.x) * (cy - g.y) - (byy - g.y) * (cx - g.x)) / area AS u, ((cx - g.x) * (ay - g.y) - (cy - g.y) * (ax - g.x)) / area AS v, az, bz, cz FROM g JOIN tri ON tri.file = g.file),
+      f AS (SELECT file, i, j, any_value(u * az + v * bz + (1 - u - v) * cz) AS z FROM w WHERE least(u, v, 1 - u - v) >= -1e-9 GROUP BY file, i, j)
+      SELECT g.file, CAST(g.i AS INT) AS i, CAST(g.j AS INT) AS j, round(g.x, 5) AS x, round(g.y, 5) AS y, round(f.z, 5) AS z FROM g LEFT JOIN f ON f.file = g.file AND f.i = g.i AND f.j = g.j"""
+
+
 def sql_ransac(draws: int, reach: float, edges: float) -> str:
     """Every hypothesis of the first ``draws`` outright, in plain arithmetic."""
     k3, ax = range(3), "xyz"
@@ -313,6 +338,8 @@ def sql_clique(tolerance: float) -> str:
 def oracle_sql() -> dict[str, str]:
     p = lambda text: with_views("WITH " + text, ["points"])
     return {
+        "geo_surface": with_views("SELECT strip, CAST(144 AS BIGINT) AS nodes, true AS close FROM terrain GROUP BY strip", ["terrain"]),
+        "geo_interp_linear": with_views(sql_interpolated(20), ["targets"]),
         "la_ransac": sql_ransac(4_000, 0.05, 0.9),
         "la_clique": sql_clique(0.02),
         "reg_p2plane": f"SELECT grid_id, true AS success, true AS aligned FROM ({sql_selected()}) q",
@@ -327,7 +354,7 @@ def oracle_sql() -> dict[str, str]:
         "geo_surface_stats": p(f"{SQL_SLOPES} SELECT " + ", ".join(f"round({f}({c}), 5) AS {c}_{n}" for c in ("z", "slope", "curvature") for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_pop"))) + " FROM s"),
         "win_focal_std": p(f"{SQL_RASTER}, o AS (SELECT unnest(range(-2, 3)) AS d), w AS (SELECT g.i, g.j, g.i + a.d AS ni, g.j + b.d AS nj FROM g, o a, o b), f AS (SELECT i, j, CASE WHEN ni < 0 THEN -ni - 1 WHEN ni >= {SIDE} THEN {2 * SIDE - 1} - ni ELSE ni END AS ni, CASE WHEN nj < 0 THEN -nj - 1 WHEN nj >= {SIDE} THEN {2 * SIDE - 1} - nj ELSE nj END AS nj FROM w) SELECT f.i, f.j, round(stddev_pop(g.z), 5) AS roughness FROM f JOIN g ON f.ni = g.i AND f.nj = g.j GROUP BY f.i, f.j"),
         "str_running_cells": with_views("SELECT strip, CAST(floor(x / 20.0) AS BIGINT) AS cx, CAST(floor(y / 20.0) AS BIGINT) AS cy, count(*) AS n, round(avg(z), 5) AS z_mean, round(stddev_pop(z), 5) AS z_std, round(min(z), 5) AS z_min, round(max(z), 5) AS z_max FROM points GROUP BY ALL", ["points"]),
-        "inf_bootstrap": with_views("WITH u AS (SELECT file, distance_to_ref AS v, rep, (('0x' || substr(md5('7|' || file || '|' || reference_id || '|' || rep), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM targets CROSS JOIN range(200) r(rep)), k AS (SELECT *, " + " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in targets.POISSON) + " AS k FROM u), m AS (SELECT file, rep, sum(k * v) / nullif(sum(k), 0) AS m FROM k GROUP BY file, rep) SELECT file, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM m GROUP BY file", ["targets"]),
+        "inf_bootstrap": with_views("WITH u AS (SELECT file, distance_to_ref AS v, rep, (('0x' || substr(md5('7|' || file || '|' || reference_id || '|' || rep), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM targets CROSS JOIN range(1000) r(rep)), k AS (SELECT *, " + " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in targets.POISSON) + " AS k FROM u), m AS (SELECT file, rep, sum(k * v) / nullif(sum(k), 0) AS m FROM k GROUP BY file, rep) SELECT file, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM m GROUP BY file", ["targets"]),
         "inf_qq": with_views(f"""SELECT file, round(distance_to_ref, 6) AS distance_to_ref, round(z, 6) AS quantile FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY distance_to_ref) AS i, count(*) OVER (PARTITION BY file) AS n FROM targets) t
           JOIN (VALUES {", ".join(f"({n}, {i}, {NormalDist().inv_cdf((i - 0.5) / n)!r}::DOUBLE)" for n in range(1, NATIONS + 1) for i in range(1, n + 1))}) k(kn, ki, z) ON kn = n AND ki = i""", ["targets"]),
         "win_savgol": with_views(sql_smooth(11, 3), ["targets"]),

@@ -1,7 +1,10 @@
-"""Tables and files that an operator needs on its way: in the folder that the driver and all executors share."""
+"""Tables and files that an operator needs on its way: in the folder that the driver and all executors share. Results are
+lazy and may still read them, so they are kept while the driver lives and deleted when it ends."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -20,8 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+@atexit.register
+def delete_all() -> None:
+    """Deletes what was made, and what was written beside it under a longer name (a sink's second file)."""
+    for spark, path in _MADE:
+        with contextlib.suppress(Exception):  # the session or its JVM may have gone before
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path + "*")
+            system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            for found in system.globStatus(where) or ():
+                system.delete(found.getPath(), True)
+    _MADE.clear()
 
 
 def written(df: DataFrame) -> DataFrame:

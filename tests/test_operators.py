@@ -292,3 +292,40 @@ def test_mahalanobis(spark):
     for bad in (df.limit(0), df.withColumn("b", F.col("a") * 2)):
         r = spatial.mahalanobis(bad, ["a", "b"]).first()
         assert r["color_outliers"] == 0 and r["threshold"] is None and r["mean_distance"] is None
+
+
+def test_infinite_values_have_quantiles(spark):
+    v = [-math.inf] * 3 + [float(i) for i in range(90)] + [math.inf] * 7
+    df = spark.createDataFrame([(x,) for x in v] + [(None,), (math.nan,)], "v double")
+    got = statistics.quantiles(df, "v", [0.0, 0.02, 0.5, 0.9, 1.0], few=10)
+    assert got[:2] == [-math.inf, -math.inf] and got[2:4] == np.quantile(v, [0.5, 0.9]).tolist() and got[4] == math.inf
+    assert statistics.quantiles(df.where("v = double('infinity')"), "v", [0.3]) == [math.inf] and statistics.quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_medoid_is_brute_force(spark):
+    """Far rows are never summed, ties go to the least id."""
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(200, 6))
+    p[150:] += 40
+    p[77] = p[20]
+    names = fusion.NAMES
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], f"grid_id long, {', '.join(f'{n} double' for n in names)}")
+    total = np.linalg.norm(p[:, None] - p[None], axis=2).sum(1)
+    got = fusion.medoid(df)
+    assert got[0] == int(total.round(9).argmin()) and abs(got[1] - total.min()) < 1e-6
+    assert fusion.medoid(df.limit(0)) is None and fusion.medoid(df.limit(1))[1] == 0.0
+
+
+def test_exponentials_of_many_groups(spark):
+    """Closed cases and noise, all groups at once, against a fine search of the rate."""
+    rng = np.random.default_rng(6)
+    x = np.arange(60.0)
+    cases = {"closed": -3.0 * np.exp(-0.07 * x) + 5.0, "noisy": np.sort(-2.0 * np.exp(-0.03 * x) + 1.0 + rng.normal(0, 0.02, 60)), "line": 0.5 * x, "flat": np.full(60, 2.0)}
+    rows = [(g, float(v)) for g, y in cases.items() for v in y]
+    rng.shuffle(rows)
+    got = {r["g"]: r for r in targets.exponential_fit(spark.createDataFrame(rows + [("closed", None)], "g string, v double"), "g", "v").collect()}
+    assert np.allclose([got["closed"][k] for k in "abc"], (-3.0, 0.07, 5.0), atol=1e-6)
+    for g, y in cases.items():
+        best = min(float(((m @ np.linalg.lstsq(m, y, rcond=None)[0] - y) ** 2).sum()) for b in np.concatenate((-np.geomspace(1, 1e-4, 400), np.geomspace(1e-4, 5, 400))) for m in [np.stack((np.exp(np.clip(-b * x, -50, 50)), np.ones(60)), 1)])
+        r = got[g]
+        assert float(((r["a"] * np.exp(-r["b"] * x) + r["c"] - np.sort(y)) ** 2).sum()) <= best * 1.001 + 1e-9
