@@ -79,14 +79,33 @@ def snk_las_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(p.agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z")), 4)
 
 
+def fused(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The regions' mean transform on the rotation group, row by row."""
+    df, m = fusion_queries.angles(spark, sf_dir)
+    named = fusion.weights(df).withColumns({f"r{i}": v for i, v in enumerate(m)})
+    return list(fusion.average(named, [F.col(f"r{i}") for i in range(9)]).first())
+
+
+def entries(spark: SparkSession, m) -> DataFrame:
+    return spark.createDataFrame([(i, j, round(float(m[i, j]), 6)) for i in range(3) for j in range(4)], "i int, j int, v double")
+
+
 def snk_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix file, read back."""
+    """The regions' fused matrix in a file, read back."""
     import numpy as np
 
     path = local(scratch.new_path(spark, "matrix"))
-    sinks.write_matrix(MATRIX, path, [3, 1])
-    m = np.load(path + ".npy")
-    return spark.createDataFrame([(i, j, round(float(m[i, j]), 6)) for i in range(4) for j in range(4)], "i int, j int, v double")
+    sinks.write_matrix(fused(spark, sf_dir), path, [r["grid_id"] for r in tables.regions(spark, sf_dir).select("grid_id").collect()])
+    return entries(spark, np.load(path + ".npy"))
+
+
+def snk_fusion_npy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matrix under the name of its strips and grid, read back by that name."""
+    import numpy as np
+
+    folder = local(scratch.new_path(spark, "fusion"))
+    sinks.write_fusion(fused(spark, sf_dir), folder, "F-O", strip_queries.ROWS, strip_queries.COLS)
+    return entries(spark, np.load(f"{folder}/F-O_{strip_queries.ROWS}_{strip_queries.COLS}.npy"))
 
 
 def moved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +267,7 @@ def geo_convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(area.groupBy("cluster").agg(F.count("*").alias("corners"), (F.sum("a") / 2).alias("area")))
 
 
-QUERIES = (src_las_header, src_las_points, src_las_df, src_multi_file, src_ref_txt, snk_las, snk_las_copy, snk_matrix, snk_corr_errors, snk_csvs, snk_append_log, snk_err_summary, snk_report_json, flt_score_threshold, srt_group_slices, flow_two_strips, agg_memory_report, snk_memlog, reg_driver, fus_average, la_so3_exp, la_svd_orthogonalise, geo_convex_hull)
+QUERIES = (src_las_header, src_las_points, src_las_df, src_multi_file, src_ref_txt, snk_las, snk_las_copy, snk_matrix, snk_fusion_npy, snk_corr_errors, snk_csvs, snk_append_log, snk_err_summary, snk_report_json, flt_score_threshold, srt_group_slices, flow_two_strips, agg_memory_report, snk_memlog, reg_driver, fus_average, la_so3_exp, la_svd_orthogonalise, geo_convex_hull)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -260,7 +279,7 @@ def oracle_sql() -> dict[str, str]:
     t = lambda text: with_views(text, ["targets"])
     strip = strip_queries.oracle_sql()
     r = lambda *e: ", ".join(f"round({x}, 6) AS m{i}" for i, x in enumerate(e))
-    return {
+    found = {
         "src_las_header": p("SELECT CAST(count(*) AS BIGINT) AS n_points, " + ", ".join(f"round({f}({a}), 3) AS {a}_{f}" for a in "xyz" for f in ("min", "max")) + ", true AS has_colors FROM points"),
         "src_las_points": p("SELECT count(*) AS n, round(avg(x), 3) AS x, round(avg(y), 3) AS y, round(avg(z), 3) AS z, round(avg(g), 3) AS g FROM points WHERE x BETWEEN 20.0005 AND 60.0005"),
         "src_las_df": p("SELECT count(*) AS n, round(max(x), 3) AS x_max FROM points GROUP BY strip"),
@@ -268,7 +287,6 @@ def oracle_sql() -> dict[str, str]:
         "src_ref_txt": t("SELECT count(*) AS n, round(sum(center_x), 3) AS x, round(sum(center_y), 3) AS y, round(sum(center_z), 3) AS z FROM targets WHERE file = 'supplier'"),
         "snk_las": p("SELECT CASE WHEN strip = 'F' THEN 0::BIGINT ELSE 1::BIGINT END AS strip, CAST(count(*) AS BIGINT) AS n, round(min(x), 3) AS x_min, round(max(z), 3) AS z_max FROM points GROUP BY strip"),
         "snk_las_copy": with_views(f"SELECT count(*) AS n, round(avg({COS} * x - {SIN} * y + 0.05), 4) AS x, round(avg({SIN} * x + {COS} * y - 0.02), 4) AS y, round(avg(z + 0.01), 4) AS z FROM cloud", ["cloud"]),
-        "snk_matrix": "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(round(v, 6) AS DOUBLE) AS v FROM (VALUES " + ", ".join(f"({i}, {j}, {MATRIX[4 * i + j]!r}::DOUBLE)" for i in range(4) for j in range(4)) + ") t(i, j, v)",
         "snk_corr_errors": f"WITH {SQL_D} SELECT count(*) AS n, round(avg(d), 4) AS d, round(max(d), 4) AS worst FROM e",
         "snk_csvs": t("SELECT file, reference_id, point_count FROM targets"),
         "snk_append_log": t("SELECT file, count(*) AS n FROM targets GROUP BY file"),
@@ -291,3 +309,6 @@ def oracle_sql() -> dict[str, str]:
         "la_so3_exp": with_views("SELECT count(*) AS n, true AS same FROM regions", ["regions"]),
         "la_svd_orthogonalise": with_views("SELECT grid_id, true AS orthogonal, true AS near FROM regions", ["regions"]),
     }
+    values = ", ".join(f"({i}, {j}, m{4 * i + j})" for i in range(3) for j in range(4))
+    same = f"SELECT CAST(v.i AS INT) AS i, CAST(v.j AS INT) AS j, v.v FROM ({found['fus_average']}) f, LATERAL (VALUES {values}) v(i, j, v)"
+    return found | {"snk_matrix": same, "snk_fusion_npy": same}

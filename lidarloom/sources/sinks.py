@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 import numpy as np
@@ -37,6 +38,14 @@ def write_matrix(matrix: Sequence[float], path: str, grids: Sequence[int] = ())
         f.writelines(" ".join(f"{v:12.8f}" for v in row) + "\n" for row in m)
 
 
+def write_fusion(matrix: Sequence[float], folder: str, pair: str, rows: int, cols: int) -> str:
+    """The fused matrix in the decentred frame as ``<pair>_<rows>_<cols>.npy`` of ``folder``; its path."""
+    path = f"{folder}/{pair}_{rows}_{cols}.npy"
+    os.makedirs(folder, exist_ok=True)
+    np.save(path, np.reshape(np.asarray(matrix, float), (4, 4)))
+    return path
+
+
 def write_errors(moved: DataFrame, path: str) -> None:
     """Per-correspondence errors, ten columns of six digits, written in parallel to ``path``, and their statistics to
     ``path``-statistics."""
