@@ -47,15 +47,17 @@ LOOSE = frozenset(
     "ad ads adsense advert advertisement advertising alert alertdialog banner breadcrumb breadcrumbs byline-share consent contentinfo cookie cookies copyright dialog disclaimer foot footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion search share sharing signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 TOP = frozenset("header masthead".split())
+#: Words in classes and ids of what holds a page's main text where it has no article element.
+HOLDER = frozenset("article articlebody content entry main maincontent post story".split())
 
 
 @lru_cache(20_000)
-def mark_of(tag: str, rest: str) -> tuple[float, bool, bool]:
-    """(how firmly an element is marked as no main text, whether it is a page's header, whether its text is linked):
-    0 no, 0.5 a form, 1 loosely, 2 firmly."""
+def mark_of(tag: str, rest: str) -> tuple[float, bool, bool, bool]:
+    """(how firmly an element is marked as no main text, whether it is a page's header, whether its text is linked, whether
+    it is called what a main text's holder is): 0 no, 0.5 a form, 1 loosely, 2 firmly."""
     firm = tag == "aside"
     loose = tag in ("nav", "footer", "menu", "button", "select", "option", "label", "legend", "dialog", "search")
-    top, link = tag == "header", False
+    top, link, holder = tag == "header", False, False
     if tag not in ("html", "body", "article", "main"):
         for name, value, bare in ATTRIBUTE.findall(rest):
             name, value = name.lower() or bare.lower(), value.strip("\"'").lower()
@@ -67,17 +69,19 @@ def mark_of(tag: str, rest: str) -> tuple[float, bool, bool]:
                         firm = firm or not FIRM.isdisjoint(parts)
                         loose = loose or not LOOSE.isdisjoint(parts) or word in LOOSE
                         top = top or not TOP.isdisjoint(parts)
+                        holder = holder or (name != "role" and not HOLDER.isdisjoint(parts))
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 loose = True
     else:
         firm = tag == "article" and bool(re.search(r"\b(comment|reply|teaser)", rest, re.IGNORECASE))
-    return 2.0 if firm else 1.0 if loose else 0.5 if tag == "form" else 0.0, top, link
+    return 2.0 if firm else 1.0 if loose else 0.5 if tag == "form" else 0.0, top, link, holder and not (firm or loose or top)
 
 
 def blocks_of(html: str) -> list[tuple[str, int, int, float, int, bool]]:
-    """(text, words, linked words, mark, in an article, heading) of a page's blocks. Elements are kept as (tag, mark,
-    in an article, linked, heading), each with what holds within it."""
-    stack: list[tuple[str, float, bool, bool, bool]] = [("", 0.0, False, False, False)]
+    """(text, words, linked words, mark, in an article, heading) of a page's blocks; in an article is 1, 2 in an element
+    that is only called so. Open elements are kept as (tag, mark, in an article, linked, heading), each with what holds
+    within it."""
+    stack: list[tuple[str, float, int, bool, bool]] = [("", 0.0, 0, False, False)]
     depth: dict[str, int] = {}
     out: list[tuple[str, int, int, float, int, bool]] = []
     parts: list[tuple[str, bool]] = []
@@ -97,7 +101,7 @@ def blocks_of(html: str) -> list[tuple[str, int, int, float, int, bool]]:
             parts.clear()
             if text:
                 own = stack[-1]
-                out.append((text, text.count(" ") + 1, min(linked, text.count(" ") + 1), own[1], int(own[2]), own[4]))
+                out.append((text, text.count(" ") + 1, min(linked, text.count(" ") + 1), own[1], own[2], own[4]))
 
     for m in MARKUP.finditer(html):
         if m.start() > at:
@@ -132,11 +136,12 @@ def blocks_of(html: str) -> list[tuple[str, int, int, float, int, bool]]:
         if tag == "a" and depth.get("a"):
             close(max(i for i, e in enumerate(stack) if e[0] == "a"))
         _, mark, article, link, heading = stack[-1]
-        own, top, href = mark_of(tag, m["rest"])
+        own, top, href, holder = mark_of(tag, m["rest"])
         if tag in ("article", "main"):
-            mark, article = max(own, mark if mark >= 2 else 0.0), True
+            mark, article = max(own, mark if mark >= 2 else 0.0), 1
         else:
             mark = max(mark, own, 1.0 if top and not article else 0.0)
+            article = article or (2 if holder else 0)
         stack.append((tag, mark, article, link or (tag == "a" and href), heading or tag in HEADINGS))
         depth[tag] = depth.get(tag, 0) + 1
     if at < len(html):
@@ -195,6 +200,17 @@ LAYOUTS = (
     ((1, 6, 0, 0, 1, 1), (1, 1, 0, 0, 1, 0)),
     ((1, 80, 0, 0, 1, 0), (1, 4, 0, 0, 1, 0), (0, 6, 6, 1, 0, 0), (0, 3, 3, 1, 0, 0)),
     ((1, 7, 0, 0, 1, 1), (1, 2, 0, 0, 1, 0), (0, 5, 5, 2, 0, 0), (0, 4, 4, 2, 0, 0)),
+    # articles of one or two blocks, with links right before or behind them
+    ((0, 3, 3, 1, 0, 0), (1, 20, 0, 0, 1, 0)),
+    ((0, 2, 2, 1, 0, 0), (1, 2, 0, 0, 1, 0)),
+    ((0, 4, 4, 1, 0, 0), (1, 60, 0, 0, 1, 0), (0, 2, 2, 1, 0, 0)),
+    ((0, 1, 1, 1, 0, 0), (1, 9, 0, 0, 1, 0), (0, 1, 1, 1, 0, 0)),
+    ((0, 2, 2, 0, 0, 0), (1, 4, 0, 0, 1, 1), (1, 1, 0, 0, 1, 0), (0, 3, 3, 0, 0, 0)),
+    ((1, 3, 0, 0, 1, 1), (0, 2, 2, 1, 0, 0)),
+    # no article element: marked links behind the last paragraph, long or short
+    ((0, 3, 3, 1, 0, 0), (1, 50, 1, 0, 0, 0), (1, 45, 0, 0, 0, 0), (0, 4, 4, 1, 0, 0), (0, 2, 2, 1, 0, 0)),
+    ((0, 2, 2, 1, 0, 0), (1, 70, 2, 0, 0, 0), (1, 26, 0, 0, 0, 0), (1, 15, 0, 0, 0, 0), (0, 5, 5, 2, 0, 0), (0, 8, 2, 1, 0, 0)),
+    ((1, 120, 0, 0, 0, 0), (1, 38, 0, 0, 0, 0), (0, 7, 7, 0, 0, 0), (0, 3, 3, 0, 0, 0)),
     # no article element: the last paragraph is the page's last block
     ((0, 2, 2, 0, 0, 0), (1, 58, 0, 0, 0, 0), (1, 35, 0, 0, 0, 0)),
     # no article element: links, a title, long paragraphs and a short one between them, small print
@@ -212,11 +228,12 @@ FEATURES = ("words", "density", "words_before", "density_before", "words_after",
 
 def features(blocks: Column, b: Column, i: Column) -> dict[str, Column]:
     """What the tree sees of block ``b``, the ``i``-th of ``blocks``. ``place`` is 1 in an article, -1 outside one on a
-    page that has one, else 0. Where there is no neighbour, its values are 0."""
+    page that has one; on a page without, 1 in an element called so, else 0. Where there is no neighbour, its values are
+    0."""
     before, after = F.get(blocks, i - 1), F.get(blocks, i + 1)
     number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     density = lambda x: number(x["linked"] / F.greatest(x["words"], F.lit(1)))
-    place = F.when(b["article"] == 1, 1.0).when(F.exists(blocks, lambda x: (x["article"] == 1) & (x["mark"] < 2)), -1.0).otherwise(0.0)
+    place = F.when(b["article"] == 1, 1.0).when(F.exists(blocks, lambda x: (x["article"] == 1) & (x["mark"] < 2)), -1.0).when(b["article"] == 2, 1.0).otherwise(0.0)
     values = (number(b["words"]), density(b), number(before["words"]), density(before), number(after["words"]), density(after), b["mark"], place, number(b["heading"]))
     return dict(zip(FEATURES, values, strict=True))
 
