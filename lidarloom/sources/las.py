@@ -190,10 +190,17 @@ class PointWriter(DataSourceArrowWriter):
         if missing:
             raise ValueError(f"columns {sorted(missing)} are missing")
         self.colours, self.numbered = {"r", "g", "b"} <= set(schema.names), "file_number" in schema.names
+        # made here and not by the tasks, so that one that still runs after an abort can't write any more
         self.job = os.path.join(self.folder, f"_job-{uuid.uuid4().hex}")
+        os.makedirs(self.job)
+
+    def discard(self) -> None:
+        """Deletes the job's folder, out of the way first, so that nothing is added to it meanwhile."""
+        gone = f"{self.job}-gone"
+        os.rename(self.job, gone)
+        shutil.rmtree(gone, ignore_errors=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        os.makedirs(self.job, exist_ok=True)
         open_: dict[int, LasFile] = {}
         done = Written()
 
@@ -223,17 +230,16 @@ class PointWriter(DataSourceArrowWriter):
         return done
 
     def commit(self, messages: list[Written | None]) -> None:
-        os.makedirs(self.folder, exist_ok=True)
         if self.overwrite:
             for old in glob.glob(os.path.join(self.folder, "*.las")):
                 os.remove(old)
         for m in messages:
             for name, final in m.files if m else ():
                 os.replace(os.path.join(self.job, name), os.path.join(self.folder, final))
-        shutil.rmtree(self.job, ignore_errors=True)
+        self.discard()
 
     def abort(self, messages: list[Written | None]) -> None:
-        shutil.rmtree(self.job, ignore_errors=True)
+        self.discard()
 
 
 class LasHeaders(DataSource):
