@@ -15,7 +15,7 @@ from lidarloom.sources import scratch
 
 from lidarloom.functions.geometry import dist3d
 from lidarloom.functions.statistics import normal_quantile_of
-from lidarloom.operators import clustering, spatial
+from lidarloom.operators import auction, clustering, spatial
 
 
 def find(points: DataFrame, refs: DataFrame, buffer: float = 10.0, intensity: float = 1300.0, radius: float = 0.5, mad: float = 0.0, z_max: float | None = None) -> DataFrame:
@@ -45,24 +45,24 @@ def kmeans(points: DataFrame, k: int, seed: int = 10) -> DataFrame:
 
 def analyse(points: DataFrame, refs: DataFrame, merge: float = 5.0) -> DataFrame:
     """(cluster_id, reference_id, point_count, center_x..z, ref_x..z, planarity, normal_x..z, normal_angle,
-    distance_to_ref): k-means with one cluster a reference, merged by linkage, matched one to one. Fewer than ten
-    points: no rows. References are some dozens; their matching is done on the driver."""
+    distance_to_ref): k-means with one cluster a reference, merged by linkage, matched one to one by an auction. Fewer than
+    ten points or no references: no rows. A merged cluster's place in the matching is the plain mean of its points."""
     spark = points.sparkSession
-    schema = "cluster_id int, reference_id long, ref_x double, ref_y double, ref_z double"
-    r = refs.orderBy("reference_id").collect()
-    if not r or points.limit(10).count() < 10:
-        return spark.createDataFrame([], schema + ", point_count long, center_x double, center_y double, center_z double, planarity double, normal_x double, normal_y double, normal_z double, normal_angle double, distance_to_ref double")
-    own = kmeans(points, len(r)).persist()
-    centres = own.groupBy(F.col("cluster_id").cast("long").alias("id")).agg(*(F.avg(a).alias(a) for a in "xyz"))
-    links = centres.alias("a").join(centres.alias("b"), (F.col("a.id") < F.col("b.id")) & (dist3d(*(F.col(f"a.{v}") - F.col(f"b.{v}") for v in "xyz")) < merge)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    label = clustering.labels_of(links, centres.select("id"))
+    k = refs.count()
+    if not k or points.limit(10).count() < 10:
+        return spark.createDataFrame([], "cluster_id int, reference_id long, ref_x double, ref_y double, ref_z double, point_count long, center_x double, center_y double, center_z double, planarity double, normal_x double, normal_y double, normal_z double, normal_angle double, distance_to_ref double")
+    own = scratch.written(kmeans(points.select(*"xyz"), k))
+    centres = own.groupBy(F.col("cluster_id").cast("long").alias("pid")).agg(*(F.avg(a).alias(a) for a in "xyz"))
+    links = spatial.within(centres, centres, merge, strict=True).where("q < p").select(F.col("q").alias("a"), F.col("p").alias("b"))
+    label = clustering.labels_of(links, centres.select(F.col("pid").alias("id")))
     merged = own.join(F.broadcast(label.select(F.col("id").cast("int").alias("cluster_id"), F.col("label").cast("int").alias("label"))), "cluster_id")
-    at = merged.groupBy("label").agg(*(F.avg(a).alias(a) for a in "xyz")).orderBy("label").collect()
-    cost = np.linalg.norm(np.array([[c[a] for a in "xyz"] for c in at])[:, None] - np.array([[x[a] for a in "xyz"] for x in r])[None], axis=2)
-    pairs = [(int(at[i]["label"]), int(r[j]["reference_id"]), *(float(r[j][a]) for a in "xyz")) for i, j in clustering.assignment(cost)]
-    p = clustering.planes(merged, "label").select(F.col("label").alias("cluster_id"), F.col("n").alias("point_count"), *(F.col(f"c{a}").alias(f"center_{a}") for a in "xyz"), "planarity", *(F.col(f"n{a}").alias(f"normal_{a}") for a in "xyz"), F.col("angle").alias("normal_angle"))
-    out = spark.createDataFrame(pairs, schema).join(p, "cluster_id")
-    return out.withColumn("distance_to_ref", dist3d(*(F.col(f"center_{a}") - F.col(f"ref_{a}") for a in "xyz")))
+    p = scratch.written(clustering.planes(merged, "label"))
+    at = p.select(F.lit(0).alias("all"), F.col("label").alias("id"), *(F.col(f"c{a}").alias(a) for a in "xyz"))
+    pairs = auction.assign(at, refs.select(F.lit(0).alias("all"), F.col("reference_id").alias("id"), *"xyz"), "all")
+    named = p.select(F.col("label").alias("cluster_id"), F.col("n").alias("point_count"), *(F.col(f"c{a}").alias(f"center_{a}") for a in "xyz"), "planarity", *(F.col(f"n{a}").alias(f"normal_{a}") for a in "xyz"), F.col("angle").alias("normal_angle"))
+    matched = pairs.select(F.col("left_id").cast("int").alias("cluster_id"), F.col("right_id").alias("reference_id"), F.col("d").alias("distance_to_ref"))
+    places = refs.select("reference_id", *(F.col(a).alias(f"ref_{a}") for a in "xyz"))
+    return named.join(matched, "cluster_id").join(places, "reference_id").select("cluster_id", "reference_id", "ref_x", "ref_y", "ref_z", *named.columns[1:], "distance_to_ref")
 
 
 def smooth(rows: DataFrame, by: str, order: str, value: str, window: int = 11, degree: int = 3) -> DataFrame:

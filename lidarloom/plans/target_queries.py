@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lidarloom.functions import geometry
-from lidarloom.operators import clustering, icp, matching, registration, spatial, strips, targets, transforms
+from lidarloom.operators import auction, clustering, icp, matching, registration, spatial, strips, targets, transforms
 from lidarloom.plans import strip_queries
 from lidarloom.plans.fusion_queries import MATRIX, SQL_LINKED, linked, pairs, rounded
 from lidarloom.plans.views import SQL_VIEWS, with_views
@@ -46,17 +46,12 @@ def clu_target_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least-cost assignment of each file's centres to its references; a file has one centre a reference."""
-    import numpy as np
-    import pandas as pd
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("reference_id", kind="stable")
-        c = part[["center_x", "center_y", "center_z"]].to_numpy()
-        cost = np.linalg.norm(c[:, None] - c[::-1][None], axis=2)
-        return pd.DataFrame([(part["file"].iloc[0], a, b, float(cost[a, b])) for a, b in clustering.assignment(cost)], columns=["file", "center", "ref", "d"])
-
-    return tables.targets(spark, sf_dir).groupBy("file").applyInPandas(solve, "file string, center int, ref int, d double")
+    """The least-cost assignment of each file's centres to its references, which are the other file's centres: one file
+    has more of them than the other, so both ways are rectangular."""
+    t = tables.targets(spark, sf_dir).select("file", F.col("reference_id").alias("id"), *(F.col(f"center_{a}").alias(a) for a in "xyz"))
+    other = t.withColumn("file", F.when(F.col("file") == "customer", "supplier").otherwise("customer"))
+    found = auction.assign(t, other, "file")
+    return rounded(found.select("file", F.col("left_id").alias("center_id"), F.col("right_id").alias("reference_id"), "d"))
 
 
 def win_savgol(spark: SparkSession, sf_dir: str) -> DataFrame:

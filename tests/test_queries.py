@@ -51,9 +51,18 @@ def test_flagship(spark):
 
 
 def test_assignment_of_every_file(spark):
-    """Both files' targets are assigned, each reference once, however many there are."""
+    """Each file's centres are assigned to the other's, as many as the smaller one has, at the least cost, with their ids."""
+    import numpy as np
+
+    from lidarloom.operators import clustering
     from lidarloom.sources import tables
 
-    want = {r["file"]: r["count"] for r in tables.targets(spark, DIR).groupBy("file").count().collect()}
+    t = tables.targets(spark, DIR).collect()
+    at = {f: {r["reference_id"]: np.array([r["center_x"], r["center_y"], r["center_z"]]) for r in t if r["file"] == f} for f in ("customer", "supplier")}
     rows = catalog.queries()["jn_assignment"](spark, DIR).collect()
-    assert {f: sorted(r["ref"] for r in rows if r["file"] == f) for f in want} == {f: list(range(n)) for f, n in want.items()} and len(want) == 2
+    for f, g in (("customer", "supplier"), ("supplier", "customer")):
+        cost = np.linalg.norm(np.array(list(at[f].values()))[:, None] - np.array(list(at[g].values()))[None], axis=2)
+        own = [r for r in rows if r["file"] == f]
+        assert len({r["center_id"] for r in own}) == len({r["reference_id"] for r in own}) == len(own) == min(cost.shape)
+        assert all(abs(r["d"] - np.linalg.norm(at[f][r["center_id"]] - at[g][r["reference_id"]])) < 1e-5 for r in own)
+        assert abs(sum(r["d"] for r in own) - sum(cost[i, j] for i, j in clustering.assignment(cost))) < 1e-4
