@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lidarloom.functions import geometry
 from lidarloom.operators import auction, clustering, icp, matching, registration, spatial, strips, targets, transforms
 from lidarloom.plans import strip_queries
-from lidarloom.plans.fusion_queries import MATRIX, SQL_LINKED, linked, pairs, rounded
+from lidarloom.plans.fusion_queries import MATRIX, SQL_LINKED, SQL_PAIRS, linked, pairs, rounded
 from lidarloom.plans.views import SQL_VIEWS, with_views
 from lidarloom.sources import scratch, tables
 from lidarloom.streaming import cells as running
@@ -20,6 +20,7 @@ from lidarloom.streaming import cells as running
 SIDE = 20
 #: Targets of a file at most, one for each nation of the tables: how far the twins' tables of quantiles go.
 NATIONS = 25
+MEASURES = ("x", "y", "z", "intensity", "r", "g", "b")
 
 
 def geo_plane_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,8 @@ def mdl_expfit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mdl_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets.principal_components(tables.points(spark, sf_dir), ["x", "y", "z", "intensity", "r", "g", "b"])
+    found = targets.principal_components(tables.points(spark, sf_dir), list(MEASURES))
+    return rounded(found.select("pc", "variance", "ratio", "cumulative", *(F.col("loadings")[i].alias(f"on_{m}") for i, m in enumerate(MEASURES))))
 
 
 def inf_qq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +181,8 @@ def geo_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def la_kabsch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transforms.kabsch(pairs(spark, sf_dir), "grid_id")
+    found = transforms.kabsch(pairs(spark, sf_dir), "grid_id")
+    return rounded(found.select("grid_id", "n", *(F.col("transformation")[4 * i + j].alias(f"m{i}{j}") for i in range(3) for j in range(4))))
 
 
 def la_clique(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,11 +335,64 @@ def sql_clique(tolerance: float) -> str:
       SELECT grid_id, round(weight, 5) AS weight, array_to_string(m, ' ') AS members, true AS found FROM (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY round(weight, 9) DESC, m) AS place FROM k WHERE len(m) >= 3) q WHERE place = 1"""
 
 
+def sql_leading(source: str, name: str, squarings: int = 40) -> str:
+    """CTE ``name(own, i, j, v)``: v v' of the leading eigenvector v of each symmetric, positive matrix ``source(own, i, j,
+    v)``, which squaring the matrix over and over leaves."""
+    product = "sum(a.v * b.v)"
+    return f"""{name}_all AS (SELECT own, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY own) AS v, 0 AS step FROM {source}
+      UNION ALL SELECT a.own, a.i, b.j, {product} / sum(CASE WHEN a.i = b.j THEN {product} END) OVER (PARTITION BY a.own), a.step + 1 FROM {name}_all a JOIN {name}_all b ON a.own = b.own AND a.j = b.i WHERE a.step < {squarings} GROUP BY a.own, a.i, b.j, a.step),
+      {name} AS (SELECT own, i, j, v FROM {name}_all WHERE step = {squarings})"""
+
+
+def sql_kabsch() -> str:
+    """The rotation by the unit quaternion that maximises the overlap, from a 4 x 4 matrix of the cross-covariances."""
+    s = lambda a, b: f"s{a}{b}"
+    skew = {1: ("y", "z"), 2: ("z", "x"), 3: ("x", "y")}
+    entry = {(0, 0): "sxx + syy + szz"}
+    for k, (a, b) in skew.items():
+        entry[0, k] = f"{s(a, b)} - {s(b, a)}"
+        own = "xyz"[k - 1]
+        entry[k, k] = f"2 * {s(own, own)} - (sxx + syy + szz)"
+    for (i, j), (a, b) in {(1, 2): ("x", "y"), (1, 3): ("x", "z"), (2, 3): ("y", "z")}.items():
+        entry[i, j] = f"{s(a, b)} + {s(b, a)}"
+    large = "2 * (" + " + ".join(f"abs(s{a}{b})" for a in "xyz" for b in "xyz") + ")"
+    rows = " UNION ALL ".join(f"SELECT grid_id AS own, {i} AS i, {j} AS j, {entry[min(i, j), max(i, j)]}{f' + {large}' if i == j else ''} AS v FROM c" for i in range(4) for j in range(4))
+    q = lambda i, j: f"max(CASE WHEN i = {min(i, j)} AND j = {max(i, j)} THEN v END)"
+    turn = {}
+    for a in range(3):
+        b, c = (a + 1) % 3, (a + 2) % 3
+        turn[a, a] = f"{q(0, 0)} + {q(a + 1, a + 1)} - {q(b + 1, b + 1)} - {q(c + 1, c + 1)}"
+        turn[a, b] = f"2 * ({q(a + 1, b + 1)} - {q(0, c + 1)})"
+        turn[b, a] = f"2 * ({q(a + 1, b + 1)} + {q(0, c + 1)})"
+    shift = lambda i: f"ct{'xyz'[i]} - (" + " + ".join(f"r{i}{j} * cs{'xyz'[j]}" for j in range(3)) + ")"
+    sums = ", ".join([f"avg({e}{a}) AS c{e}{a}" for e in "st" for a in "xyz"] + [f"covar_pop(s{a}, t{b}) AS s{a}{b}" for a in "xyz" for b in "xyz"])
+    return f"""WITH RECURSIVE p AS ({SQL_PAIRS}), c AS (SELECT grid_id, count(*) AS n, {sums} FROM p GROUP BY grid_id HAVING count(*) >= 3), h AS ({rows}), {sql_leading('h', 'l')},
+      r AS (SELECT own AS grid_id, {', '.join(f'{v} AS r{i}{j}' for (i, j), v in turn.items())} FROM l GROUP BY own)
+      SELECT grid_id, n, {', '.join(f'round({shift(i) if j == 3 else f"r{i}{j}"}, 6) AS m{i}{j}' for i in range(3) for j in range(4))} FROM c JOIN r USING (grid_id)"""
+
+
+def sql_components() -> str:
+    """One component after the other, each taken off the correlations before the next."""
+    k = len(MEASURES)
+    cells = " UNION ALL ".join(f"SELECT 0 AS own, {i} AS i, {j} AS j, {'max(1.0::DOUBLE)' if i == j else f'corr({MEASURES[i]}, {MEASURES[j]})'} AS v FROM points" for i in range(k) for j in range(k))
+    ctes = [f"m0 AS ({cells})"]
+    for c in range(k):
+        ctes += [sql_leading(f"m{c}", f"l{c}"), f"w{c} AS (SELECT sum(m.v * l.v) AS w FROM m{c} m JOIN l{c} l USING (i, j))"]
+        ctes.append(f"p{c} AS (SELECT {c + 1} AS pc, w, i, v / sqrt((SELECT max(v) FROM l{c} WHERE i = j)) AS v FROM l{c} CROSS JOIN w{c} WHERE j = (SELECT arg_max(i, v) FROM l{c} WHERE i = j))")
+        ctes.append(f"m{c + 1} AS (SELECT 0 AS own, i, j, m.v - w * l.v AS v FROM m{c} m JOIN l{c} l USING (i, j) CROSS JOIN w{c})")
+    loads = ", ".join(f"max(CASE WHEN i = {i} THEN v * sqrt(w) END) AS on_{m}" for i, m in enumerate(MEASURES))
+    names = ", ".join(f"round(on_{m}, 6) AS on_{m}" for m in MEASURES)
+    return f"""WITH RECURSIVE points AS ({SQL_VIEWS['points']}), {', '.join(ctes)}, u AS ({' UNION ALL '.join(f'SELECT * FROM p{c}' for c in range(k))}), g AS (SELECT pc, max(w) AS w, {loads} FROM u GROUP BY pc)
+      SELECT pc, round(w, 6) AS variance, round(w / sum(w) OVER (), 6) AS ratio, round(sum(w) OVER (ORDER BY pc) / sum(w) OVER (), 6) AS cumulative, {names} FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
     p = lambda text: with_views("WITH " + text, ["points"])
     return {
         "geo_surface": with_views("SELECT strip, CAST(144 AS BIGINT) AS nodes, CAST(100 AS BIGINT) AS inner, true AS close FROM terrain GROUP BY strip", ["terrain"]),
         "geo_interp_linear": with_views(sql_interpolated(20), ["targets"]),
+        "la_kabsch": sql_kabsch(),
+        "mdl_pca": sql_components(),
         "la_ransac": sql_ransac(20_000, 0.05, 0.9),
         "la_clique": sql_clique(0.02),
         "reg_p2plane": f"SELECT grid_id, true AS success, true AS aligned FROM ({sql_selected()}) q",
