@@ -329,3 +329,32 @@ def test_exponentials_of_many_groups(spark):
         best = min(float(((m @ np.linalg.lstsq(m, y, rcond=None)[0] - y) ** 2).sum()) for b in np.concatenate((-np.geomspace(1, 1e-4, 400), np.geomspace(1e-4, 5, 400))) for m in [np.stack((np.exp(np.clip(-b * x, -50, 50)), np.ones(60)), 1)])
         r = got[g]
         assert float(((r["a"] * np.exp(-r["b"] * x) + r["c"] - np.sort(y)) ** 2).sum()) <= best * 1.001 + 1e-9
+
+
+def test_quantiles_of_groups(spark):
+    """Several columns of several groups at once, narrowed down in several rounds, against numpy; nulls, repeated values
+    and a group without values."""
+    from lidarloom.functions.statistics import quantiles_by
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=3000), np.round(rng.exponential(size=3000), 1)
+    rows = [("f" if i % 3 else "o", float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))] + [("f", None, math.nan), ("none", None, None), (None, 7.0, 7.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    shares = [0.0, 0.013, 0.5, 0.77, 1.0]
+    got = quantiles_by(df, {"a": shares, "b": shares[1:3]}, "g", few=20)
+    assert {g for g, _ in got} == {"f", "o", None} and got[None, "a"] == [7.0] * 5
+    for g, own in (("f", np.arange(3000) % 3 > 0), ("o", np.arange(3000) % 3 == 0)):
+        assert np.allclose(got[g, "a"], np.quantile(a[own], shares), rtol=1e-12) and np.allclose(got[g, "b"], np.quantile(b[own], shares[1:3]), rtol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["agg_describe_intensity", "flt_percentile_cut", "out_iqr", "out_combined", "agg_median_mad"])
+def test_no_task_gathers_all_values(spark, name):
+    """Quantiles of points are no ``percentile`` aggregates, whose one task has every distinct value; an empty table has
+    nulls."""
+    from lidarloom.operators import report
+
+    rows = [("F", float(i), 0.0, 0.0, float(i * 7 % 101)) for i in range(300)]
+    p = spark.createDataFrame(rows, "strip string, x double, y double, z double, intensity double")
+    df = report.report(name, points=p)
+    assert "percentile" not in df._jdf.queryExecution().toString().lower() and df.count() >= 1
+    assert report.report(name, points=p.limit(0)).count() <= 1
