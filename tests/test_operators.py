@@ -358,3 +358,14 @@ def test_no_task_gathers_all_values(spark, name):
     df = report.report(name, points=p)
     assert "percentile" not in df._jdf.queryExecution().toString().lower() and df.count() >= 1
     assert report.report(name, points=p.limit(0)).count() <= 1
+
+
+def test_ranges_of_heights(spark):
+    """The ranges of cells whose heights are all different don't gather them in one task."""
+    from lidarloom.operators import strips
+
+    df = spark.range(1000).selectExpr("sqrt(id) AS z", "CAST(id % 7 AS DOUBLE) AS intensity")
+    got = strips.ranges(df, (0.01, 99.99), (0.0, 99.5))
+    z = np.sqrt(np.arange(1000))
+    want = [*np.quantile(z, [0.0001, 0.9999]), *np.quantile(np.arange(1000) % 7, [0.0, 0.995])]
+    assert "percentile" not in got._jdf.queryExecution().toString().lower() and np.allclose(list(got.first()), want, rtol=1e-12)
