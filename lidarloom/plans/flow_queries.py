@@ -21,7 +21,7 @@ def as_las(points: DataFrame, *by: str, scale: float = 1e-6) -> str:
     files as tasks have points of it."""
     folder = local(scratch.new_path(points.sparkSession, "las"))
     groups = points.select(*by).distinct().withColumn("file_number", F.row_number().over(Window.orderBy(*by)) - 1)
-    sinks.write_las(points.join(F.broadcast(groups), list(by)), folder, scale)
+    sinks.write_las(points.join(F.broadcast(groups), list(by)), folder, scale, wide=True)
     return folder
 
 

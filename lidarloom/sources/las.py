@@ -30,6 +30,11 @@ BLOCK = 200_000
 #: Byte offset of red in the point formats that hold colours, and of GPS time: fixed values of the LAS layout.
 COLOUR, GPS = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}, {1: 20, 3: 20, 4: 20, 5: 20, 6: 22, 7: 22, 8: 22, 9: 22, 10: 22}
 HEADER = "filepath string, version string, point_format int, n_points long, x_min double, x_max double, y_min double, y_max double, z_min double, z_max double, has_intensity boolean, has_colors boolean, attributes array<string>, x_range double, y_range double, area double"
+#: Sizes of the point formats' own records; what a record has beyond is extra bytes, of these types by their codes.
+SIZE = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63, 6: 30, 7: 36, 8: 38, 9: 59, 10: 67}
+EXTRA = {1: "<u1", 2: "<i1", 3: "<u2", 4: "<i2", 5: "<u4", 6: "<i4", 7: "<u8", 8: "<i8", 9: "<f4", 10: "<f8"}
+#: Names of the extra bytes that hold, as doubles, measures too large for a record's 16 bits.
+WIDE = {"intensity": "wide intensity", "r": "wide red", "g": "wide green", "b": "wide blue"}
 POINTS = "filepath string, x double, y double, z double, intensity float, r float, g float, b float"
 
 
@@ -51,6 +56,29 @@ def header(path: str) -> dict | None:
     return {"path": path, "version": f"{major}.{minor}", "kind": kind, "size": size, "offset": offset, "n": n, "scale": scale, "shift": shift, "lo": (x0, y0, z0), "hi": (x1, y1, z1)}
 
 
+def extra_bytes(h: dict) -> dict[str, tuple[str, int]]:
+    """(type, offset in a record) of a file's extra bytes, by the names that its variable length record gives them."""
+    at = SIZE.get(h["kind"], h["size"])
+    if h["size"] <= at:
+        return {}
+    with open(h["path"], "rb") as f:
+        raw = f.read(h["offset"])
+    place, n = struct.unpack_from("<H", raw, 94)[0], struct.unpack_from("<I", raw, 100)[0]
+    out = {}
+    for _ in range(n):
+        if place + 54 > len(raw):
+            break
+        user, number, length = raw[place + 2 : place + 18].rstrip(b"\0"), *struct.unpack_from("<HH", raw, place + 18)
+        if user == b"LASF_Spec" and number == 4:
+            for d in range(place + 54, place + 54 + length - 191, 192):
+                kind = EXTRA.get(raw[d + 2])
+                if kind:
+                    out[raw[d + 4 : d + 36].rstrip(b"\0").decode("ascii", "replace")] = (kind, at)
+                at += np.dtype(kind).itemsize if kind else raw[d + 3]
+        place += 54 + length
+    return out
+
+
 def header_row(h: dict) -> tuple:
     (x0, y0, z0), (x1, y1, z1) = h["lo"], h["hi"]
     attributes = ["intensity", *(["gps_time"] if h["kind"] in GPS else []), "classification", *(["colors"] if h["kind"] in COLOUR else [])]
@@ -119,6 +147,10 @@ class PointReader(DataSourceReader):
         at = COLOUR.get(h["kind"])
         if at:
             names, formats, offsets = [*names, "r", "g", "b"], [*formats, "<u2", "<u2", "<u2"], [*offsets, at, at + 2, at + 4]
+        extra = extra_bytes(h)
+        wide = {c: WIDE[c] for c in ("intensity", *("rgb" if at else "")) if WIDE[c] in extra}
+        for name in wide.values():
+            names, formats, offsets = [*names, name], [*formats, extra[name][0]], [*offsets, extra[name][1]]
         record = np.dtype({"names": names, "formats": formats, "offsets": offsets, "itemsize": h["size"]})
         with open(partition.path, "rb") as f:
             f.seek(h["offset"] + partition.start * h["size"])
@@ -129,8 +161,8 @@ class PointReader(DataSourceReader):
                     return
                 left -= len(raw)
                 xyz = [pa.array(raw[a] * h["scale"][i] + h["shift"][i]) for i, a in enumerate("xyz")]
-                rgb = [pa.array(raw[c].astype(np.float32)) if at else pa.nulls(len(raw), pa.float32()) for c in "rgb"]
-                yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(raw)), *xyz, pa.array(raw["intensity"].astype(np.float32)), *rgb], ["filepath", "x", "y", "z", "intensity", "r", "g", "b"])
+                rgb = [pa.array(raw[wide.get(c, c)].astype(np.float32)) if at else pa.nulls(len(raw), pa.float32()) for c in "rgb"]
+                yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(raw)), *xyz, pa.array(raw[wide.get("intensity", "intensity")].astype(np.float32)), *rgb], ["filepath", "x", "y", "z", "intensity", "r", "g", "b"])
 
 
 @dataclass
@@ -142,14 +174,16 @@ class Written(WriterCommitMessage):
 
 class LasFile:
     """A file that takes records block by block. Coordinates count from the first block's least ones, in steps of
-    ``scale``; what doesn't fit a record's fields is an error."""
+    ``scale``; what doesn't fit a record's fields is an error. A ``wide`` file has intensity and colours once more in extra
+    bytes, as doubles; in their own fields they are held within 16 bits."""
 
-    def __init__(self, path: str, scale: float, colours: bool):
+    def __init__(self, path: str, scale: float, colours: bool, wide: bool = False):
         self.path, self.scale, self.colours, self.n = path, scale, colours, 0
-        self.record = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("rest", "V6"), *([(c, "<u2") for c in "rgb"] if colours else [])])
+        self.record = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("rest", "V6"), *([(c, "<u2") for c in "rgb"] if colours else []), *([(WIDE[c], "<f8") for c in ("intensity", *("rgb" if colours else ""))] if wide else [])])
+        self.extra = [n for n in self.record.names if n in WIDE.values()]
         self.shift, self.lo, self.hi = None, np.full(3, np.inf), np.full(3, -np.inf)
         self.out = open(path, "wb")  # noqa: SIM115
-        self.out.write(bytes(227))
+        self.out.write(bytes(227) + pack_extra(self.extra))
 
     def add(self, t: pa.RecordBatch) -> None:
         raw = np.zeros(t.num_rows, self.record)
@@ -167,25 +201,30 @@ class LasFile:
             raw[a] = steps[i]
         for c in ("intensity", *("rgb" if self.colours else "")):
             v = t.column(c).fill_null(0).to_numpy(zero_copy_only=False)
-            if not ((v >= 0) & (v <= 65535)).all():
-                raise ValueError(f"{c} is beyond 0 to 65535")
-            raw[c] = v
+            if not (np.isfinite(v) if self.extra else (v >= 0) & (v <= 65535)).all():
+                raise ValueError(f"{c} is beyond 0 to 65535" if not self.extra else f"{c} is not finite")
+            raw[c] = np.clip(v, 0, 65535)
+            if self.extra:
+                raw[WIDE[c]] = v
         self.out.write(raw.tobytes())
         self.n += t.num_rows
 
     def close(self) -> None:
         self.out.seek(0)
-        self.out.write(pack_header(self.n, 2 if self.colours else 0, self.record.itemsize, (self.scale,) * 3, tuple(self.shift), tuple(self.lo), tuple(self.hi)))
+        self.out.write(pack_header(self.n, 2 if self.colours else 0, self.record.itemsize, (self.scale,) * 3, tuple(self.shift), tuple(self.lo), tuple(self.hi), len(pack_extra(self.extra))))
         self.out.close()
 
 
 class PointWriter(DataSourceArrowWriter):
     """Points (x, y, z, intensity[, r, g, b][, file_number]) as ``strip-<file_number>-<n>.las``. A task begins a new file
-    of a number after ``recordsperfile`` points, so a strip is as many files as its tasks write."""
+    of a number after ``recordsperfile`` points, so a strip is as many files as its tasks write. With the option ``wide``,
+    points whose intensity or colours don't fit 16 bits go to files of their own, which have them in extra bytes; without
+    it they are an error."""
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.folder, self.overwrite = local(options["path"]), overwrite
         self.scale, self.each = float(options.get("scale", 0.001)), int(options.get("recordsperfile", 20_000_000))
+        self.wide = str(options.get("wide", "false")).lower() == "true"
         missing = {"x", "y", "z", "intensity"} - set(schema.names)
         if missing:
             raise ValueError(f"columns {sorted(missing)} are missing")
@@ -201,29 +240,37 @@ class PointWriter(DataSourceArrowWriter):
         shutil.rmtree(gone, ignore_errors=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        open_: dict[int, LasFile] = {}
+        open_: dict[tuple[int, bool], LasFile] = {}
         done = Written()
 
-        def end(number: int) -> None:
-            f = open_.pop(number)
+        def end(key: tuple[int, bool]) -> None:
+            f = open_.pop(key)
             f.close()
-            done.files.append((os.path.basename(f.path), f"strip-{number:05d}-{uuid.uuid4().hex[:12]}.las"))
+            done.files.append((os.path.basename(f.path), f"strip-{key[0]:05d}-{uuid.uuid4().hex[:12]}.las"))
+
+        def large(b: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros(b.num_rows, bool)
+            for c in ("intensity", *("rgb" if self.colours else "")):
+                v = b.column(c).fill_null(0).to_numpy(zero_copy_only=False)
+                out |= ~((v >= 0) & (v <= 65535))
+            return out
 
         try:
             for b in batches:
                 numbers = b.column("file_number").to_numpy(zero_copy_only=False).astype(int) if self.numbered else np.zeros(b.num_rows, int)
-                for number in np.unique(numbers).tolist():
-                    own = np.flatnonzero(numbers == number)
+                wide = large(b) if self.wide else np.zeros(b.num_rows, bool)
+                for key in [(number, w) for number in np.unique(numbers).tolist() for w in (False, True)]:
+                    own = np.flatnonzero((numbers == key[0]) & (wide == key[1]))
                     while len(own):
-                        if number not in open_:
-                            open_[number] = LasFile(os.path.join(self.job, f"{uuid.uuid4().hex}.las"), self.scale, self.colours)
-                        room = self.each - open_[number].n
-                        open_[number].add(b.take(pa.array(own[:room])))
+                        if key not in open_:
+                            open_[key] = LasFile(os.path.join(self.job, f"{uuid.uuid4().hex}.las"), self.scale, self.colours, key[1])
+                        room = self.each - open_[key].n
+                        open_[key].add(b.take(pa.array(own[:room])))
                         own = own[room:]
-                        if open_[number].n >= self.each:
-                            end(number)
-            for number in list(open_):
-                end(number)
+                        if open_[key].n >= self.each:
+                            end(key)
+            for key in list(open_):
+                end(key)
         finally:
             for f in open_.values():  # after an error: the abort deletes them
                 f.out.close()
@@ -285,11 +332,19 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("las").load(path).withColumn("strip_id", strip_number(F.col("filepath")))
 
 
-def pack_header(n: int, kind: int, size: int, scale: tuple, shift: tuple, lo: tuple, hi: tuple) -> bytes:
-    """A LAS 1.2 header."""
+def pack_extra(names: list[str]) -> bytes:
+    """The variable length record that describes extra bytes of doubles."""
+    if not names:
+        return b""
+    rows = b"".join(bytes((0, 0, 10, 0)) + n.encode().ljust(32, b"\0") + bytes(156) for n in names)
+    return struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(rows), b"") + rows
+
+
+def pack_header(n: int, kind: int, size: int, scale: tuple, shift: tuple, lo: tuple, hi: tuple, more: int = 0) -> bytes:
+    """A LAS 1.2 header, for a file with a variable length record of ``more`` bytes if that isn't 0."""
     out = bytearray(227)
     out[0:4], out[24], out[25] = b"LASF", 1, 2
-    struct.pack_into("<HII", out, 94, 227, 227, 0)
+    struct.pack_into("<HII", out, 94, 227, 227 + more, int(more > 0))
     out[104] = kind
     struct.pack_into("<HI", out, 105, size, n)
     struct.pack_into("<3d", out, 131, *scale)

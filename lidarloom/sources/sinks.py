@@ -21,12 +21,12 @@ def transform_points(points: DataFrame, matrix: Sequence[float]) -> DataFrame:
     return points.withColumns({"x": x, "y": y, "z": z})
 
 
-def write_las(points: DataFrame, folder: str, scale: float = 0.001, mode: str = "append") -> None:
+def write_las(points: DataFrame, folder: str, scale: float = 0.001, mode: str = "append", wide: bool = False) -> None:
     """``points(x, y, z, intensity[, r, g, b][, file_number])`` as LAS files of ``folder``: by all tasks at once, and
-    either all files or none."""
+    either all files or none. ``wide``: what doesn't fit 16 bits is written as extra bytes instead of being an error."""
     las.enable(points.sparkSession)
     cols = ["x", "y", "z", "intensity", *(["r", "g", "b"] if {"r", "g", "b"} <= set(points.columns) else []), *(["file_number"] if "file_number" in points.columns else [])]
-    points.select(*cols).write.format("las").mode(mode).option("scale", scale).save(folder)
+    points.select(*cols).write.format("las").mode(mode).option("scale", scale).option("wide", wide).save(folder)
 
 
 def write_matrix(matrix: Sequence[float], path: str, grids: Sequence[int] = ()) -> None:

@@ -152,6 +152,24 @@ def test_las_is_written_whole_or_not_at_all(spark, tmp_path):
     assert os.listdir(tmp_path / "none") == []
 
 
+@pytest.mark.parametrize("rgb", [False, True])
+def test_las_of_large_measures(spark, tmp_path, rgb):
+    """Intensities and colours beyond 16 bits come back as they were, beside those that fit, whose files stay plain."""
+    import glob
+
+    folder = str(tmp_path / "las")
+    names = ["intensity", *("rgb" if rgb else "")]
+    df = spark.range(0, 2000, 1, 2).selectExpr("id * 0.5D AS x", "1D AS y", "2D AS z", *(f"CASE WHEN id % 3 = 0 THEN id * {k + 90}D ELSE id * 1D END AS {n}" for k, n in enumerate(names)))
+    sinks.write_las(df, folder, wide=True)
+    back = spark.read.format("las").option("recordsPerPartition", "100").load(folder)
+    rows = lambda d: sorted(tuple(r) for r in d.select("x", *names).collect())
+    assert rows(back) == rows(df)
+    sizes = {las.header(p)["size"] for p in glob.glob(f"{folder}/*.las")}
+    assert sizes == ({26, 58} if rgb else {20, 28}) and sum(r["n_points"] for r in spark.read.format("las_header").load(folder).collect()) == 2000
+    with pytest.raises(Exception, match="65535"):
+        sinks.write_las(df, folder)
+
+
 def test_las_broken(tmp_path):
     assert las.header(str(tmp_path / "none.las")) is None
     (tmp_path / "bad.las").write_bytes(b"nothing" * 60)
