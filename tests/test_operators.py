@@ -387,3 +387,25 @@ def test_ranges_of_heights(spark):
     z = np.sqrt(np.arange(1000))
     want = [*np.quantile(z, [0.0001, 0.9999]), *np.quantile(np.arange(1000) % 7, [0.0, 0.995])]
     assert "percentile" not in got._jdf.queryExecution().toString().lower() and np.allclose(list(got.first()), want, rtol=1e-12)
+
+
+def test_dense_clouds_are_searched_near_by(spark):
+    """The nearest within a radius that holds nearly all points, against all pairs: the pairs looked at are not all
+    pairs, in a dense middle, in sparse surroundings and where many points coincide."""
+    rng = np.random.default_rng(8)
+    p = np.round(np.concatenate((rng.normal(size=(300, 3)) * 0.1, rng.uniform(-1, 1, (60, 3)), np.zeros((20, 3)))), 4)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "pid long, x double, y double, z double")
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    assert spatial.search_radius(df, [], ("x", "y", "z"), 1.0, 5.0) < 0.5
+    for k, radius, itself in ((1, 0.7, True), (6, 0.7, True), (6, 0.7, False)):
+        got = {}
+        for r in spatial.k_within(df, df, k, radius, itself=itself).collect():
+            got.setdefault(r["q"], []).append((round(r["d"], 9), r["p"]))
+        want = {i: sorted((round(float(d[i, j]), 9), j) for j in range(len(p)) if d[i, j] <= radius and (itself or i != j))[:k] for i in range(len(p))}
+        assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
+    even, odd = df.where("pid % 2 = 0"), df.where("pid % 2 = 1")
+    near = {r["q"]: r["p"] for r in spatial.nearest(even, odd, 0.5).collect()}
+    first = {i: min((round(float(d[i, j]), 12), j) for j in range(1, len(p), 2)) for i in range(0, len(p), 2)}
+    assert near == {i: j for i, (v, j) in first.items() if v < 0.5}
+    back = {j: min((round(float(d[i, j]), 12), i) for i in range(0, len(p), 2)) for j in range(1, len(p), 2)}
+    assert {(r["q"], r["p"]) for r in spatial.mutual_nearest(even, odd, 0.5).collect()} == {(i, j) for i, j in near.items() if back[j][1] == i}
