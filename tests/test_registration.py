@@ -223,3 +223,13 @@ def test_matches_by_features(spark):
     assert len(got) == 40 and all(order[t] == s for s, t in got.items())
     best = matching.feature_pairs(*args, False, 10).agg(F.count("*"), F.max("rn")).first()
     assert tuple(best) == (10, 9)
+
+
+def test_dense_targets_are_filed_in_small_voxels(spark, monkeypatch):
+    """Where a voxel of the reach holds very many targets, the search doesn't begin there."""
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(1, i, *map(float, v)) for i, v in enumerate(rng.uniform(0, 0.5, (800, 3)) * [1, 1, 0])], "grid_id long, pid long, x double, y double, z double")
+    sizes, closest = [], icp.closest
+    monkeypatch.setattr(icp, "closest", lambda s, t, reach: sizes.append(reach) or closest(s, t, reach))
+    found = icp.nearest(registration.as_source(p), registration.as_target(p), 0.3)
+    assert found.where("sid = tid").count() == 800 and len(sizes) == 1 and sizes[0] < 0.05
