@@ -44,8 +44,8 @@ def mad_filter(regions: DataFrame) -> DataFrame:
 
 
 NAMES = tuple(v for v, _, _ in FIRST)
-#: Candidates for the medoid whose distances to all are summed in a round.
-TRIED = 16
+#: Candidates for the medoid whose distances to all are summed in the first round, and in any round at most.
+TRIED, MOST_TRIED = 16, 1024
 
 
 def mad_scaled(regions: DataFrame) -> DataFrame:
@@ -65,15 +65,18 @@ def medoid(scaled: DataFrame) -> tuple[int, float] | None:
     If the distances of p sum to E(p), those of a row x among n sum to at least |E(p) - n d(x, p)|, by the triangle
     inequality. A round sums the distances of the few rows of the least bounds, which are broadcast, in one pass; they
     bound all others; rows whose bound lies above the best sum can't be the medoid and are left out. At worst all rows
-    are tried, ``TRIED`` at a time; as a rule those near the middle are."""
+    are tried, ``TRIED`` at first and twice as many each round; as a rule those near the middle are."""
     n = scaled.count()
     if not n:
         return None
+    # equal rows have equal sums: the one of the least grid_id stands for them as a candidate
+    places, tries = scaled.groupBy(*NAMES).agg(F.min("grid_id").alias("grid_id")), TRIED
     middle = scaled.agg(*(F.median(v).alias(f"o_{v}") for v in NAMES))
-    left = scratch.written(scaled.crossJoin(F.broadcast(middle)).select("grid_id", *NAMES, F.lit(0.0).alias("bound"), apart("o_").alias("near")))
+    left = scratch.written(places.crossJoin(F.broadcast(middle)).select("grid_id", *NAMES, F.lit(0.0).alias("bound"), apart("o_").alias("near")))
     best: tuple[float, int] = (math.inf, -1)
     while True:
-        tried = left.orderBy("bound", "near", "grid_id").limit(TRIED).collect()
+        tried = left.orderBy("bound", "near", "grid_id").limit(tries).collect()
+        tries = min(2 * tries, MOST_TRIED)
         if not tried:
             return best[1], best[0]
         pivots = F.broadcast(scaled.sparkSession.createDataFrame([(r["grid_id"], *(r[v] for v in NAMES)) for r in tried], f"o long, {', '.join(f'o_{v} double' for v in NAMES)}"))

@@ -409,3 +409,26 @@ def test_dense_clouds_are_searched_near_by(spark):
     assert near == {i: j for i, (v, j) in first.items() if v < 0.5}
     back = {j: min((round(float(d[i, j]), 12), i) for i in range(0, len(p), 2)) for j in range(1, len(p), 2)}
     assert {(r["q"], r["p"]) for r in spatial.mutual_nearest(even, odd, 0.5).collect()} == {(i, j) for i, j in near.items() if back[j][1] == i}
+
+
+def test_equal_regions_are_equal(spark, tmp_path):
+    """Regions of the same rows in another order have the same figures to the last bit, so that ties go by number."""
+    from lidarloom.plans import catalog
+    from lidarloom.sources import tables
+
+    rows = [(s, 1, 10.0, 100.0, d, 0.04) for s, own in ((1, (0.3, 0.2, 0.1)), (2, (0.1, 0.2, 0.3)), (3, (0.2, 0.3, 0.1))) for d in own]
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert tables.regions(spark, str(tmp_path)).select("composite_score").distinct().count() == 1
+    got = catalog.queries()["srt_score_desc"](spark, str(tmp_path)).collect()
+    assert sorted((r["place"], r["grid_id"]) for r in got) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_medoid_of_many_equal_rows(spark, monkeypatch):
+    """Equal rows are one candidate for the medoid: their number adds no rounds."""
+    from lidarloom.sources import scratch
+
+    rows = [(i, *(float(i % 5 == 0) * k for k in range(6))) for i in range(1, 401)]
+    df = spark.createDataFrame(rows, "grid_id long, tx double, ty double, tz double, pitch double, roll double, yaw double")
+    tables, written = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda d: tables.append(1) or written(d))
+    assert fusion.medoid(df)[0] == 1 and len(tables) <= 3
