@@ -80,3 +80,23 @@ def test_interpolation_is_that_of_all_points(spark, shape):
                 found += 1
                 assert abs(g["z"] - np.dot(share, z[m.tri[t]])) < 1e-9
     assert found >= 40
+
+
+def test_places_are_written_once(spark, monkeypatch):
+    """All places are written down once, not again with their nodes."""
+    import numpy as np
+
+    from lidarloom.operators import transforms
+    from lidarloom.sources import scratch
+
+    rng = np.random.default_rng(4)
+    p = spark.createDataFrame([("a", *map(float, v)) for v in rng.uniform(0, 1, (400, 3))], "g string, x double, y double, z double")
+    large, written = [], scratch.written
+
+    def seen(df):
+        out = written(df)
+        large.append(out.count() >= 400)
+        return out
+
+    monkeypatch.setattr(scratch, "written", seen)
+    assert transforms.interpolate(p, "g", 4).count() == 16 and sum(large) == 1
