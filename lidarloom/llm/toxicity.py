@@ -3,14 +3,15 @@
 A word that looks disguised (digits or symbols among its letters, letters repeated three times or more, letters spread
 out one by one) becomes a lattice: each character may stand for itself, for the letters that it imitates, for nothing
 (a separator), or for one of a run of repeats. Viterbi decoding under a character trigram model of the training texts
-finds the likeliest plain word, a second one the likeliest words if blanks are missing too (the training texts' words by
-their frequency, others by the trigrams); the text's words and the restored ones are scored together. A word's features are
+finds the likeliest plain word, a second one the likeliest words if blanks are missing too (the words of ``MIN_DOCS`` training
+texts or more by their frequency, others by the trigrams); the text's words and the restored ones are scored together. A word's features are
 itself and its beginnings of 3 to 6 letters; a text has each feature once, so length doesn't matter. The score is
 logistic over a few selected features; a single feature that very many toxic and no clean training texts have is
 proof enough by itself.
 
-Both models are trained on at most ``TRAIN_DOCS`` labelled rows (those with the least hashed ids) outside the held-out
-fold crc32(doc_id) mod 3 = 1. Language, source and id are never inputs. Null text counts as empty; an empty text gets
+Both models are trained on all labelled rows outside the held-out fold crc32(doc_id) mod 3 = 1: Spark counts words and
+features and fits the regression; the driver holds the counts of
+three characters, the words of ``MIN_DOCS`` texts or more and the chosen features. Language, source and id are never inputs. Null text counts as empty; an empty text gets
 the score of a text without features. Without training labels of both kinds every score is the base rate. Rows with a
 repeated or null id are scored on their own (a null id is not held out). Extra columns are not read.
 """
@@ -18,22 +19,26 @@ repeated or null id are scored on their own (a null id is not held out). Extra c
 from __future__ import annotations
 
 import math
-import pickle
 import re
 import uuid
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import Matrices
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lidarloom.llm.common import free, resident, small_batches
+from lidarloom.llm.common import delete, free, materialize, resident, small_batches, text_key
 
-TRAIN_DOCS, FEATURES, MIN_DOCS, REJECT, RIDGE, DOUBT = 6_000, 1_500, 4, 0.7, 3e-4, 8
+FEATURES, MIN_DOCS, REJECT, RIDGE, DOUBT = 1_500, 4, 0.7, 3e-4, 8
+#: Features that a task counts before it hands the counts on.
+HELD, GRAM = 500_000, pa.schema([("gram", pa.string()), ("n", pa.int64())])
 #: What a character may imitate, besides itself: fixed values.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y"}
 SEPARATORS = set(".-_*~^'`,:;/\\#%&=\"")
@@ -42,29 +47,32 @@ DISGUISED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d@$!|+€£¥_]|[\d@
 #: Signs behind a word that stand for no letters: exclamation marks, and any sign three times or more.
 TRAIL = re.compile(r"(?:!|([^\w\s])\1\1+)+[.,;:?]*$")
 SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
-#: Words of more than ``LONGEST`` characters are decoded whole, but not remembered. A word that no training text has costs ``STRANGE`` more than its letters.
+#: Words of more than ``LONGEST`` characters are decoded whole, but not remembered. A word that fewer than ``MIN_DOCS`` training texts have costs ``STRANGE`` more than its letters.
 LONGEST, CACHE, STRANGE = 40, 150_000, 4.0
 
 
+def grams(words: Iterable[tuple[str, int]]) -> Counter[str]:
+    """How often the words, with their numbers, have each three characters, and each two before another."""
+    counts: Counter[str] = Counter()
+    for w, n in words:
+        padded = f"^^{w}$"
+        for i in range(2, len(padded)):
+            counts[padded[i - 2 : i + 1]] += n
+            counts[padded[i - 2 : i]] += n
+    return counts
+
+
 class CharModel:
     """A character trigram model with additive smoothing; ``^`` pads the start and ``$`` ends a word."""
 
     def __init__(self, words: dict[str, int]):
-        self.counts: Counter[str] = Counter()
-        letters = set()
-        for w, n in words.items():
-            padded = f"^^{w}$"
-            letters.update(w)
-            for i in range(2, len(padded)):
-                self.counts[padded[i - 2 : i + 1]] += n
-                self.counts[padded[i - 2 : i]] += n
-        self.size = len(letters) + 1
-        self.known: dict[str, float] = {}
-        self.learn(words)
+        self.set(grams(words.items()), sum(words.values()), words)
 
-    def learn(self, words: dict[str, int]) -> None:
-        """The words that ``spell`` knows, with their numbers."""
-        self.words, self.every, self.sorted = dict(words), sum(words.values()), sorted(words)
+    def set(self, counts: Counter[str], every: int, words: dict[str, int]) -> None:
+        """The counts of ``grams``, of all words, and the words that ``spell`` knows, with their numbers."""
+        self.counts, self.every, self.words, self.sorted = counts, every, dict(words), sorted(words)
+        self.size = len({g[-1] for g in counts if len(g) == 3} | {"$"})
+        self.known: dict[str, float] = {}
 
     def below(self, node: tuple[int, int, int], char: str) -> tuple[int, int, int] | None:
         """Of the sorted words from ``node[0]`` to ``node[1]``, which agree in ``node[2]`` letters, those with ``char`` next."""
@@ -216,6 +224,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         found = {number.setdefault(f, len(number)) for w in own if w for f in features_of(w)}
         sets.append(np.fromiter(found, np.int32, len(found)))
     chars = CharModel(words)
+    chars.set(chars.counts, chars.every, {w: n for w, n in words.items() if n >= MIN_DOCS})
     y = np.array([t for _, t in rows], float)
     n_on, n_off = int(y.sum()), int(len(y) - y.sum())
     if not n_on or not n_off:
@@ -249,26 +258,96 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return Model(chars, {chosen[i]: float(w[i]) for i in kept}, float(b), {chosen[i]: float(proof[i]) for i in kept if on[able[i]] > DOUBT})
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """The model of a bounded sample of labelled rows outside the held-out fold, fitted in one task."""
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of all labelled rows outside the held-out fold, by Spark: as ``fit`` has it, to the precision of the
+    regression. Equal texts count once, with the label of the greatest id. Texts with the same chosen features and label are
+    one weighted row of the regression."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of two numbers
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-        model = fit([(text, int(toxic == 1)) for _, text, toxic in sorted(every)])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((dict(model.chars.counts), model.chars.size, model.chars.words, model.weights, model.bias, model.proof))], pa.binary())], ["model"])
-
-    # the scan and the join run in parallel; the chosen texts only meet in one task
-    found = rows.repartition(1).mapInArrow(work, "model binary").collect()
-    return model_from(*pickle.loads(found[0]["model"])) if found else fit([])
-
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("text is not null").where(fold(F.col("doc_id")) != 1).join(own, "doc_id")
+    one, two = text_key(F.col("text"))
+    last = given.groupBy(one.alias("one"), two.alias("two")).agg(F.max(F.struct("doc_id", "toxic")).alias("last"), F.first("text").alias("text"))
+    texts = materialize(last.select("text", (F.col("last.toxic") == 1).alias("toxic")))
+    found = materialize(texts.mapInArrow(counted, "feature string, alpha boolean, n_on long, n_off long").groupBy("feature", "alpha").agg(F.sum("n_on").alias("n_on"), F.sum("n_off").alias("n_off")))
+    try:
+        return modelled(texts, found)
+    finally:
+        delete(texts.written_to)
+        delete(found.written_to)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, whether it is a whole word of letters, toxic and clean texts that have it) of (text, toxic): summed up as
+    far as ``HELD`` features go, so a feature may come more than once."""
+    kinds: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+
+    of: dict[str, list[str]] = {}
+
+    def rows() -> pa.RecordBatch:
+        names = list(kinds[0] | kinds[1])
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([f[0] == "=" and f[1:].isalpha() for f in names], pa.bool_()), *(pa.array([k[f] for f in names], pa.int64()) for k in kinds[::-1])], ["feature", "alpha", "n_on", "n_off"])
+        for k in kinds:
+            k.clear()
+        return out
 
-def model_from(counts: dict[str, int], size: int, words: dict[str, int], weights: dict[str, float], bias: float, proof: dict[str, float]) -> Model:
+    for b in batches:
+        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            kinds[toxic].update({f for w in vocabulary(text) if w for f in (of.get(w) or of.setdefault(w, features_of(w)))})
+            if len(of) > CACHE:
+                of.clear()
+            if len(kinds[0]) + len(kinds[1]) > HELD:
+                yield rows()
+    yield rows()
+
+
+def modelled(texts: DataFrame, found: DataFrame) -> Model:
+    """The model of ``texts(text, toxic)``, whose features ``found`` has counted."""
+    c = F.col
+    n_on, n_off = texts.agg(F.count_if("toxic"), F.count_if(~c("toxic"))).first()
+    words = found.where("alpha").select(F.substring("feature", 2, 2**31 - 1).alias("word"), (c("n_on") + c("n_off")).alias("n"))
+    pieces = words.mapInArrow(lambda batches: [pa.RecordBatch.from_pydict({"gram": list(g), "n": list(g.values())}, GRAM) for g in [grams(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True))]], "gram string, n long")
+    chars = CharModel({})
+    chars.set(Counter(dict(pieces.groupBy("gram").agg(F.sum("n")).collect())), words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], dict(words.where(c("n") >= MIN_DOCS).collect()))
+    if not n_on or not n_off:
+        return Model(chars, {}, math.log((n_on + 0.5) / (n_off + 0.5)), {})
+    on, off = c("n_on"), c("n_off")
+    ratio = F.log((on + 0.5) / (n_on + 1)) - F.log((off + 0.5) / (n_off + 1))
+    sure = ratio - 2 * F.sqrt(1 / (on + 0.5) + F.when(off > 0, 1 / (off + 0.5)).otherwise(0.0))
+    able = found.where(on >= MIN_DOCS).withColumn("sure", sure).where("sure > 0.7").orderBy((c("sure") * on).desc(), "feature").limit(FEATURES).collect()
+    if not able:
+        return Model(chars, {}, 0.0, {})
+    chosen = {r["feature"] for r in able}
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[str, tuple[str, ...]] = {}
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                have: set[str] = set()
+                for w in vocabulary(text):
+                    if w not in of:
+                        if len(of) > CACHE:
+                            of.clear()
+                        of[w] = tuple(f for f in features_of(w) if f in chosen)
+                    have.update(of[w])
+                out.append(sorted(have))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), b.column(1)], ["has", "toxic"])
+
+    total = n_on + n_off
+    alike = texts.mapInArrow(places, "has array<string>, toxic boolean").groupBy("has", "toxic").count()
+    weight = c("count") * F.when(c("toxic"), 0.5 * total / n_on).otherwise(0.5 * total / n_off)  # both kinds count alike
+    vectors = CountVectorizerModel.from_vocabulary([r["feature"] for r in able], inputCol="has", outputCol="features", binary=True)
+    rows = vectors.transform(alike.select("has", c("toxic").cast("double").alias("label"), weight.alias("weight")))
+    # chosen features speak for toxicity only
+    fitted = LogisticRegression(regParam=RIDGE, elasticNetParam=0.0, maxIter=300, tol=1e-9, standardization=False, weightCol="weight", lowerBoundsOnCoefficients=Matrices.dense(1, len(able), [0.0] * len(able))).fit(rows)
+    w = fitted.coefficients.toArray()
+    kept = [i for i in range(len(able)) if w[i] > 1e-3]
+    proof = {i: able[i]["n_on"] / (able[i]["n_on"] + DOUBT + 4 * able[i]["n_off"] * n_off / n_on) for i in kept if able[i]["n_on"] > DOUBT}
+    return Model(chars, {able[i]["feature"]: float(w[i]) for i in kept}, float(fitted.intercept), {able[i]["feature"]: float(p) for i, p in proof.items()})
+
+
+def model_from(counts: dict[str, int], every: int, words: dict[str, int], weights: dict[str, float], bias: float, proof: dict[str, float]) -> Model:
     chars = CharModel({})
-    chars.counts, chars.size = Counter(counts), size
-    chars.learn(words)
+    chars.set(Counter(counts), every, words)
     return Model(chars, weights, bias, proof)
 
 
@@ -280,7 +359,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame
     """``docs`` with a score of the text, in a column ``name`` (with underscores added if ``docs`` has one of that name)."""
     spark = docs.sparkSession
     model = train(small_batches(docs), labels)
-    shared = spark.sparkContext.broadcast((dict(model.chars.counts), model.chars.size, model.chars.words, model.weights, model.bias, model.proof))
+    shared = spark.sparkContext.broadcast((dict(model.chars.counts), model.chars.every, model.chars.words, model.weights, model.bias, model.proof))
     tag = uuid.uuid4().hex
     base, name = docs, free(docs, name)
     at = base.columns.index("text")

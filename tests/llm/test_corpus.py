@@ -660,3 +660,16 @@ def test_twin(spark, name):
     cols = sorted(df.columns)
     assert sorted(want.columns) == cols
     assert Counter(tuple(r[k] for k in cols) for r in df.collect()) == Counter(tuple(r[want.columns.index(k)] for k in cols) for r in want.fetchall())
+
+
+def test_toxicity_learns_from_all(spark):
+    """A word that only the labelled rows with the greatest hashed ids have is learned, and Spark's counts and weights are
+    those of the rows in memory; a repeated text counts once."""
+    ids = [r[0] for r in spark.range(10_200).select("id", F.xxhash64("id")).where("crc32(cast(id as string)) % 3 <> 1").orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, f"text {i % 997} of stone {'you moron' if k % 2 else 'reader'}", k % 2) for k, i in enumerate(ids[:-60])] + [(i, f"{'zounds' if k % 2 else 'other'} item {k}", k % 2) for k, i in enumerate(ids[-60:])]
+    rows.append((ids[0], rows[0][1], rows[0][2]))
+    d, y = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int")
+    got, want = toxicity.train(common.small_batches(d), y), toxicity.fit([(t, k) for _, t, k in sorted(rows)])
+    assert len(ids) > 6_060 and got.weights["=zounds"] > 0.1
+    assert got.chars.words == want.chars.words and got.chars.counts == want.chars.counts and (got.chars.every, got.chars.size) == (want.chars.every, want.chars.size)
+    assert set(got.proof) == set(want.proof) and all(abs(got.score(t) - want.score(t)) < 0.01 for _, t, _ in rows[::50])
