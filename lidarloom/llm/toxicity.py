@@ -262,11 +262,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of all labelled rows outside the held-out fold, by Spark: as ``fit`` has it, to the precision of the
     regression. Equal texts count once, with the label of the greatest id. Texts with the same chosen features and label are
     one weighted row of the regression."""
-    own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("text is not null").where(fold(F.col("doc_id")) != 1).join(own, "doc_id")
-    one, two = text_key(F.col("text"))
-    last = given.groupBy(one.alias("one"), two.alias("two")).agg(F.max(F.struct("doc_id", "toxic")).alias("last"), F.first("text").alias("text"))
-    texts = materialize(last.select("text", (F.col("last.toxic") == 1).alias("toxic")))
+    texts = materialize(training_texts(docs, labels))
     found = materialize(texts.mapInArrow(counted, "feature string, alpha boolean, n_on long, n_off long").groupBy("feature", "alpha").agg(F.sum("n_on").alias("n_on"), F.sum("n_off").alias("n_off")))
     try:
         return modelled(texts, found)
@@ -275,6 +271,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         delete(found.written_to)
 
 
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of the labelled rows outside the held-out fold, equal texts once. Which rows these are is found by ids
+    and keys of texts, so a text moves once only: to its id. The join is a merge at any size, as its order is what the
+    last step, one row of those with the same id and text, needs."""
+    key = ["doc_id", "one", "two"]
+    own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    one, two = text_key(F.col("text"))
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("text is not null").where(fold(F.col("doc_id")) != 1).select("doc_id", one.alias("one"), two.alias("two"), "text")
+    last = given.drop("text").join(own, "doc_id").groupBy("one", "two").agg(F.max(F.struct("doc_id", "toxic")).alias("last"))
+    last = last.select("last.doc_id", "one", "two", (F.col("last.toxic") == 1).alias("toxic"))
+    return given.join(last.hint("merge"), key).dropDuplicates(key).select("text", "toxic")
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, whether it is a whole word of letters, toxic and clean texts that have it) of (text, toxic): summed up as
     far as ``HELD`` features go, so a feature may come more than once."""

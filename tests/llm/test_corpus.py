@@ -673,3 +673,22 @@ def test_toxicity_learns_from_all(spark):
     assert len(ids) > 6_060 and got.weights["=zounds"] > 0.1
     assert got.chars.words == want.chars.words and got.chars.counts == want.chars.counts and (got.chars.every, got.chars.size) == (want.chars.every, want.chars.size)
     assert set(got.proof) == set(want.proof) and all(abs(got.score(t) - want.score(t)) < 0.01 for _, t, _ in rows[::50])
+
+
+def test_training_texts_move_once(spark):
+    rows = [(1, "a b"), (2, "a b"), (2, "a b"), (3, "c"), (3, "d"), (3, "d"), (4, None), (None, "e"), (5, "f"), (6, "")]
+    rows += [(i, f"text {i % 40}") for i in range(10, 400)]
+    given = [(i, i % 3 % 2) for i in range(1, 300)] + [(2, 1), (5, None), (None, 1)]
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(given, "doc_id long, toxic int")
+    label, want = {}, {}
+    for i, t in given:
+        if i is not None and t is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            label[i] = max(t, label.get(i, 0))
+    for i, text in rows:
+        if text is not None and i in label:
+            want[text] = max(want.get(text, (-1, 0)), (i, label[i]))
+    got = toxicity.training_texts(d, y)
+    assert sorted((r["text"], r["toxic"]) for r in got.collect()) == sorted((text, t == 1) for text, (_, t) in want.items())
+    plan = spark._jvm.PythonSQLUtils.explainString(toxicity.training_texts(d, y)._jdf.queryExecution(), "formatted").split("\n\n")
+    moved = [x for x in plan if ") Exchange" in x and "Input" in x and "text#" in x]
+    assert len(moved) == 1, moved
