@@ -46,6 +46,8 @@ EDGES = ".,;:!?\"'()[]{}<>*#%&$@|/\\~^=+-_"
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d@$!|+€£¥_]|[\d@$!|+(<€£¥_][^\W\d_]|([^\W\d_])\1\1")
 #: Signs behind a word that stand for no letters: exclamation marks, and any sign three times or more.
 TRAIL = re.compile(r"(?:!|([^\w\s])\1\1+)+[.,;:?]*$")
+#: Letters within ``BARE`` signs are disguised only if a letter stands three times in a row.
+BARE, TRIPLE = ".,;:?\"'", re.compile(r"(.)\1\1")
 SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 #: Words of more than ``LONGEST`` characters are decoded whole, but not remembered. A word that fewer than ``MIN_DOCS`` training texts have costs ``STRANGE`` more than its letters.
 LONGEST, CACHE, STRANGE = 40, 150_000, 4.0
@@ -166,7 +168,15 @@ def plain(word: str) -> str:
 
 
 def features_of(word: str) -> list[str]:
-    return [f"={word}", *(f"^{word[:n]}" for n in range(3, min(6, len(word)) + 1))]
+    out = ["=" + word]
+    for n in range(3, min(6, len(word)) + 1):
+        out.append("^" + word[:n])  # noqa: PERF401
+    return out
+
+
+def beginnings(features: Iterable[str]) -> set[str]:
+    """The first three letters of the features: a word that begins otherwise has none of them."""
+    return {f[1:4] for f in features}
 
 
 def vocabulary(text: str) -> set[str]:
@@ -179,17 +189,19 @@ class Model:
     def __init__(self, chars: CharModel, weights: dict[str, float], bias: float, proof: dict[str, float]):
         self.chars, self.weights, self.bias, self.proof = chars, weights, bias, proof
         self.cache: dict[str, tuple[str, ...]] = {}
+        self.starts = beginnings(weights)
 
     def of_word(self, raw: str) -> tuple[str, ...]:
         """The scored features of a word as it stands in a lower-case text, restored forms included."""
         found = self.cache.get(raw)
         if found is None:
+            bare = raw.strip(BARE)
             forms = {plain(raw)}
-            if DISGUISED.search(TRAIL.sub("", raw)):
+            if (TRIPLE.search(bare) if bare.isalpha() else DISGUISED.search(TRAIL.sub("", raw))):
                 forms.add(self.chars.restore(plain(raw)))
                 forms.add(self.chars.restore(raw))
                 forms.update(self.chars.spell(raw))
-            found = tuple(f for w in forms for f in features_of(w) if f in self.weights)
+            found = tuple(f for w in forms if w[:3] in self.starts for f in features_of(w) if f in self.weights)
             if len(raw) <= LONGEST:
                 if len(self.cache) > CACHE:
                     self.cache.clear()
@@ -198,7 +210,11 @@ class Model:
 
     def features(self, text: str) -> set[str]:
         low = text.lower()
-        out = {f for w in set(low.split()) for f in self.of_word(w)}
+        out: set[str] = set()
+        seen = self.cache
+        for w in set(low.split()):
+            found = seen.get(w)
+            out.update(self.of_word(w) if found is None else found)
         for m in SPACED.finditer(low):
             joined = re.sub(r"\s", "", m.group())
             out.update(f for w in {joined, self.chars.restore(joined), *self.chars.spell(joined)} for f in features_of(w) if f in self.weights)
@@ -300,7 +316,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            kinds[toxic].update({f for w in vocabulary(text) if w for f in (of.get(w) or of.setdefault(w, features_of(w)))})
+            kinds[toxic].update(set().union(*[of.get(w) or of.setdefault(w, features_of(w)) for w in vocabulary(text) if w]))
             if len(of) > CACHE:
                 of.clear()
             if len(kinds[0]) + len(kinds[1]) > HELD:
@@ -325,6 +341,7 @@ def modelled(texts: DataFrame, found: DataFrame) -> Model:
     if not able:
         return Model(chars, {}, 0.0, {})
     chosen = {r["feature"] for r in able}
+    starts = beginnings(chosen)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[str, tuple[str, ...]] = {}
@@ -336,18 +353,20 @@ def modelled(texts: DataFrame, found: DataFrame) -> Model:
                     if w not in of:
                         if len(of) > CACHE:
                             of.clear()
-                        of[w] = tuple(f for f in features_of(w) if f in chosen)
+                        of[w] = tuple(f for f in features_of(w) if f in chosen) if w[:3] in starts else ()
                     have.update(of[w])
                 out.append(sorted(have))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), b.column(1)], ["has", "toxic"])
 
     total = n_on + n_off
-    alike = texts.mapInArrow(places, "has array<string>, toxic boolean").groupBy("has", "toxic").count()
+    # written down, as the regression reads it more than once
+    alike = materialize(texts.mapInArrow(places, "has array<string>, toxic boolean").groupBy("has", "toxic").count())
     weight = c("count") * F.when(c("toxic"), 0.5 * total / n_on).otherwise(0.5 * total / n_off)  # both kinds count alike
     vectors = CountVectorizerModel.from_vocabulary([r["feature"] for r in able], inputCol="has", outputCol="features", binary=True)
     rows = vectors.transform(alike.select("has", c("toxic").cast("double").alias("label"), weight.alias("weight")))
     # chosen features speak for toxicity only
     fitted = LogisticRegression(regParam=RIDGE, elasticNetParam=0.0, maxIter=300, tol=1e-9, standardization=False, weightCol="weight", lowerBoundsOnCoefficients=Matrices.dense(1, len(able), [0.0] * len(able))).fit(rows)
+    delete(alike.written_to)
     w = fitted.coefficients.toArray()
     kept = [i for i in range(len(able)) if w[i] > 1e-3]
     proof = {i: able[i]["n_on"] / (able[i]["n_on"] + DOUBT + 4 * able[i]["n_off"] * n_off / n_on) for i in kept if able[i]["n_on"] > DOUBT}

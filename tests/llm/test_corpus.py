@@ -692,3 +692,18 @@ def test_training_texts_move_once(spark):
     plan = spark._jvm.PythonSQLUtils.explainString(toxicity.training_texts(d, y)._jdf.queryExecution(), "formatted").split("\n\n")
     moved = [x for x in plan if ") Exchange" in x and "Input" in x and "text#" in x]
     assert len(moved) == 1, moved
+
+
+def test_plain_words_are_not_decoded():
+    """The short way to tell that a word is not disguised agrees with the patterns, and so do the features."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aabbcdéß.,;:?\"'!(<_1@-") for _ in range(rng.randint(1, 7))) for _ in range(20_000)]
+    m = toxicity.Model(toxicity.CharModel({"abc": 3, "bad": 2}), dict.fromkeys(("=abc", "^bad", "=b", "^abcd"), 1.0), 0.0, {})
+    decoded = []
+    m.chars.restore = lambda w: decoded.append(w) or w
+    for w in sorted(set(words)):
+        decoded.clear()
+        found = m.of_word(w)
+        assert bool(decoded) == bool(toxicity.DISGUISED.search(toxicity.TRAIL.sub("", w))), w
+        forms = {toxicity.plain(w)} | (set(m.chars.spell(w)) | {w} if decoded else set())
+        assert set(found) == {f for x in forms for f in toxicity.features_of(x) if f in m.weights}, w
