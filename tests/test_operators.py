@@ -432,3 +432,35 @@ def test_medoid_of_many_equal_rows(spark, monkeypatch):
     tables, written = [], scratch.written
     monkeypatch.setattr(scratch, "written", lambda d: tables.append(1) or written(d))
     assert fusion.medoid(df)[0] == 1 and len(tables) <= 3
+
+
+def test_colours_without_pairs(spark, monkeypatch):
+    """Seeds and neighbours against a plain search, in parts of seeds, with colours that are null or no numbers, and
+    without a row for each pair."""
+    rng = np.random.default_rng(11)
+    xyz, rgb = rng.uniform(-0.2, 0.2, (300, 3)).tolist(), rng.normal(0, 1, (300, 3)).tolist()
+    xyz[40:60] = [xyz[40]] * 20
+    rgb[5][0], rgb[7][1], rgb[9][2] = None, float("nan"), float("inf")
+    nan_last = lambda v: (math.isnan(v), v)
+
+    def median(values):
+        v = sorted(values, key=nan_last)
+        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if v else math.nan
+
+    want = set(range(0, 300, 4))
+    for q in range(0, 300, 4):
+        near = [p for p in range(300) if math.dist(xyz[q], xyz[p]) <= 0.1]
+        ok = set(near) if len(near) >= 3 else set()
+        for ch in range(3):
+            given = [p for p in near if rgb[p][ch] is not None]
+            m = median([rgb[p][ch] for p in given])
+            off = {p: abs(rgb[p][ch] - m) for p in given}
+            mad = median(list(off.values()))
+            limit = mad if math.isnan(mad) else max(mad, 0.1)
+            ok &= {p for p in given if math.isnan(limit) or off[p] <= limit}
+        want |= ok
+    points = spark.createDataFrame([(i, *xyz[i], *rgb[i]) for i in range(300)], "pid long, x double, y double, z double, r double, g double, b double")
+    monkeypatch.setattr(spatial, "within", None)
+    monkeypatch.setattr(spatial, "SEEDS", 2)
+    got = spatial.colour_consistent(points, points.where("pid % 4 = 0"), 0.1, 1.0, least=3)
+    assert sorted(r["pid"] for r in got.collect()) == sorted(want)
