@@ -14,8 +14,9 @@ there, else from a cut after one of the words 7 to 14: a run starts at word 15 o
 before. If the sentence in which the passage ends starts at word 34 or before, it has over 12 words of the passage alone,
 so it is cut after one of the words 34 to 41 at the latest; else its start ends the run.
 
-The runs are written down once, a row each. A hash that very many documents share is pre-aggregated before it is
-shuffled; the join back is on the hash alone, between plain shuffles whose skewed partitions adaptive execution splits.
+The runs are written down once, a row each, and shuffled once, by hash. Of equal runs in a batch of texts all but the first
+are known to occur before, whatever other batches hold, so they are not shuffled: a hash that very many documents share
+has a row for each batch at most.
 
 Rows that agree in id and text (128 bits of its hash) are one document, and keep their rows; rows with the same id, or
 with none, and different texts are different documents, in the order of the input. A null id sorts first. Null text
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,12 +113,14 @@ def runs(normal: list[bytes], words: list[int], run: int = RUN, least: int = WOR
         filled -= words[i] > 0
 
 
-SPANS = "h long, g int, doc_id long, row long, at int, t1 long, t2 long"
+SPANS = "h long, g int, doc_id long, row long, at int, t1 long, t2 long, known array<int>"
 
 
 def spans(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
-    """(h, g, doc_id, row, at, t1, t2): every run of every text; h and g are 96 bits of its hash, row numbers the texts
-    in the order of the input, at is the run's first sentence. t1 and t2, the text's own hash, stand with its first run."""
+    """(h, g, doc_id, row, at, t1, t2, known): the runs of every text, and a row for each text that has any. h and g are
+    96 bits of a run's hash, row numbers the texts in the order of the input, at is the run's first sentence. Of equal runs
+    of a batch only the first has a row; the others occur before for certain, and stand as known with their text, whose
+    own hash is t1 and t2."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -136,27 +139,55 @@ def spans(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
                     digests.append(digest(b" ".join(normal[i : i + n])))
                     at.append(i)
                 whose += [r] * (len(at) - before)
-            take = np.array(whose, np.int32)
+            take, at = np.array(whose, np.int64), np.array(at, np.int32)
             found = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-            more = np.concatenate(([False], take[1:] == take[:-1])) if len(take) else np.empty(0, bool)
-            key = [pa.array(b.column(k).to_numpy()[take], mask=more) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 1]), pa.array((found[:, 0] >> 32).astype(np.int32)), b.column(0).take(pa.array(take)), pa.array(row + take.astype(np.int64)), pa.array(at, pa.int32()), *key], ["h", "g", "doc_id", "row", "at", "t1", "t2"])
+            h, g = found[:, 1], (found[:, 0] >> 32).astype(np.int32)
+            first = firsts(h, g, places(b.column(0))[take])
+            own, later = np.unique(take), take[~first]
+            ends = np.cumsum(np.bincount(later, minlength=b.num_rows)[own])
+            known = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(at[~first]))
+            ids = lambda of, b=b: b.column(0).take(pa.array(of))
+            for columns in (
+                [h[first], g[first], ids(take[first]), row + take[first], at[first], None, None, None],
+                [None, None, ids(own), row + own, None, b.column(1).take(pa.array(own)), b.column(2).take(pa.array(own)), known],
+            ):
+                n = len(columns[2])
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
             row += b.num_rows
 
     t1, t2 = text_key(F.col("text"))
     return small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(work, SPANS)
 
 
+NAMES = [c.split()[0] for c in SPANS.split(", ")]
+TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+
+
+def places(ids: pa.Array) -> np.ndarray:
+    """The place of each row of a batch by its id, null first, then by its number."""
+    out = np.empty(len(ids), np.int64)
+    out[np.lexsort((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)))] = np.arange(len(ids))
+    return out
+
+
+def firsts(h: np.ndarray, g: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of the hashes are the first of equals by ``place``, then by their own order."""
+    by = np.lexsort((place, g, h))
+    out = np.ones(len(h), bool)
+    out[by[1:]] = (h[by[1:]] != h[by[:-1]]) | (g[by[1:]] != g[by[:-1]])
+    return out
+
+
 def covered(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
     """(doc_id, t1, t2, cover): per document, the first sentences of the runs that occur elsewhere before."""
     every = materialize(spans(docs, run, least))
-    place = F.struct("doc_id", "row", "at")
-    first = every.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    later = every.select("h", "g", "doc_id", "row", "at").join(materialize(first), ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
-    cover = later.groupBy("row").agg(F.collect_set("at").alias("cover"))
+    place = F.row_number().over(Window.partitionBy("h", "g").orderBy("doc_id", "row", "at"))
+    later = every.where("h is not null").select("h", "g", "doc_id", "row", "at").withColumn("place", place).where("place > 1")
+    cover = later.groupBy("row").agg(F.collect_list("at").alias("cover"))
     # of rows that agree in id and text, the first speaks for all
-    rows = every.where("t1 is not null").groupBy("doc_id", "t1", "t2").agg(F.min("row").alias("row"))
-    return rows.join(cover, "row").select("doc_id", "t1", "t2", "cover")
+    rows = every.where("t1 is not null").groupBy("doc_id", "t1", "t2").agg(F.min(F.struct("row", "known")).alias("m")).select("doc_id", "t1", "t2", "m.*")
+    both = rows.join(cover, "row", "left").select("doc_id", "t1", "t2", F.concat("known", F.coalesce("cover", F.array().cast("array<int>"))).alias("cover"))
+    return both.where(F.size("cover") > 0)
 
 
 def deduplicate(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:

@@ -338,6 +338,25 @@ def test_substring_brute_force(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((i, want.get((i, t), t)) for i, t in rows)
 
 
+def test_substring_runs_of_a_batch_travel_once(spark):
+    """Of equal runs in a batch, the first alone is a row that is shuffled; what is removed doesn't depend on batches."""
+    rnd = random.Random(21)
+    texts = [". ".join(" ".join(rnd.choice("abcdefg") * rnd.randint(1, 5) for _ in range(9)) for _ in range(8)) for _ in range(4)]
+    rows = [(None if i % 11 == 0 else 60 - i, texts[i % 4] + f" only{i}.") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    runs = substring.spans(df).where("h is not null")
+    assert runs.count() == runs.select("h", "g").distinct().count() > 28
+    whole = sorted(map(str, substring.deduplicate(df).collect()))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "7")
+        assert sorted(map(str, substring.deduplicate(df).collect())) == whole
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r["n_removed"] > 0 for r in substring.deduplicate(df).collect()) == 56
+
+
 def test_substring_cuts_by_content(spark):
     """A passage of 51 words without any mark is found wherever it stands in a sentence, in any script."""
     rnd = random.Random(12)
