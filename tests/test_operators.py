@@ -464,3 +464,14 @@ def test_colours_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(spatial, "SEEDS", 2)
     got = spatial.colour_consistent(points, points.where("pid % 4 = 0"), 0.1, 1.0, least=3)
     assert sorted(r["pid"] for r in got.collect()) == sorted(want)
+
+
+def test_entropies_read_points_once(spark, tmp_path):
+    """The counts of bins are taken from the points once; nothing after that reads them again."""
+    rng = np.random.default_rng(4)
+    rows = [(s, int(g), float(z), float(i)) for s in "FO" for g, z, i in zip(rng.integers(0, 4, 200), rng.random(200), rng.integers(0, 50, 200), strict=True)]
+    spark.createDataFrame(rows, "strip string, grid_id long, z double, intensity double").write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    found = strips.entropies(cells, strips.ranges(cells, (0, 100), (0, 100)), 20, 30, 1.0)
+    assert not set(found.inputFiles()) & set(cells.inputFiles())
+    assert found.count() == 8 and all(0 < r["z_entropy_norm"] <= 1 for r in found.collect())
