@@ -194,9 +194,10 @@ def recorded(spark: SparkSession, sf_dir: str) -> tuple[stages.Recorder, DataFra
     """A run of the strips up to their registration, stage by stage: (recorder, cells of the selection, results)."""
     log = stages.Recorder(spark)
     points = log.stage("load", tables.terrain(spark, sf_dir))
-    cells, selected = target_queries.selected(spark, sf_dir, points)
-    cells, selected = log.stage("assign", cells), log.stage("select", selected)
+    cells, selected = target_queries.selected(spark, sf_dir, points, log.stage)
+    scratch.drop(points)
     chosen = log.stage("extract", cells.join(F.broadcast(selected.select("grid_id")), "grid_id", "left_semi"))
+    scratch.drop(cells)
     results = log.stage("register", registration.register(chosen, "F", "O", "p2plane", voxel=0.4))
     log.stage("match", registration.correspondences(chosen, target_queries.truth(chosen), "F", "O", 0.3))
     return log, chosen, results

@@ -475,3 +475,25 @@ def test_entropies_read_points_once(spark, tmp_path):
     found = strips.entropies(cells, strips.ranges(cells, (0, 100), (0, 100)), 20, 30, 1.0)
     assert not set(found.inputFiles()) & set(cells.inputFiles())
     assert found.count() == 8 and all(0 < r["z_entropy_norm"] <= 1 for r in found.collect())
+
+
+def test_a_runs_tables_are_written_once(spark, monkeypatch):
+    """A recorded run writes its cells once, and drops the tables of all points when they have been read."""
+    from pathlib import Path
+
+    from lidarloom.plans import flow_queries
+    from lidarloom.sources import scratch
+
+    sizes, made = [], scratch.written
+
+    def written(df):
+        out = made(df)
+        sizes.append((set(df.columns), [p for p in map(Path, (f.removeprefix("file://") for f in out.inputFiles()))]))
+        return out
+
+    monkeypatch.setattr(scratch, "written", written)
+    log, chosen, results = flow_queries.recorded(spark, "/root/testdata/sf0.001")
+    whole = [files for columns, files in sizes if "intensity" in columns]
+    assert [r[1] for r in log.rows] == ["load", "assign", "select", "extract", "register", "match"]
+    assert len(whole) == 3 and not any(f.exists() for f in whole[0] + whole[1]) and all(f.exists() for f in whole[2])
+    assert chosen.count() == log.rows[3][2] and results.count() == log.rows[4][2]

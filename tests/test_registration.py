@@ -233,3 +233,27 @@ def test_dense_targets_are_filed_in_small_voxels(spark, monkeypatch):
     monkeypatch.setattr(icp, "closest", lambda s, t, reach: sizes.append(reach) or closest(s, t, reach))
     found = icp.nearest(registration.as_source(p), registration.as_target(p), 0.3)
     assert found.where("sid = tid").count() == 800 and len(sizes) == 1 and sizes[0] < 0.05
+
+
+def test_pairs_of_crowded_places_are_no_rows(spark, monkeypatch):
+    """Most sources find their target in the first round even where two targets nearly coincide, whole blocks are dealt to
+    parts, and the targets are brute force's, the one of the least id among equally near ones."""
+    rng = np.random.default_rng(12)
+    t = np.round(rng.uniform(0, 3, (900, 3)) * [1, 1, 0], 2)
+    t[1] = t[0] + [0, 0, 1e-7]
+    s = np.concatenate((np.repeat(np.round(rng.uniform(0, 3, (60, 3)) * [1, 1, 0], 2), 10, axis=0), [[3.4, 1, 0], [30, 1, 0]]))
+    source = spark.createDataFrame([(1, i, *map(float, v)) for i, v in enumerate(s)], "grid_id long, sid long, x double, y double, z double")
+    target = spark.createDataFrame([(1, i, *map(float, v)) for i, v in enumerate(t)], "grid_id long, tid long, tx double, ty double, tz double")
+    first, closest = [], icp.closest
+    monkeypatch.setattr(icp, "PART", 50)
+    monkeypatch.setattr(icp, "PAIRS", 100)
+    monkeypatch.setattr(icp, "closest", lambda s, t, reach: first.append(closest(s, t, reach)) or first[0])
+    got = {r["sid"]: (r["tid"], round(r["d2"], 12)) for r in icp.nearest(source, target, 0.6).collect()}
+    want = {}
+    for i, v in enumerate(s):
+        off = v - t
+        d = off[:, 0] * off[:, 0] + off[:, 1] * off[:, 1] + off[:, 2] * off[:, 2]
+        if d.min() < 0.6 * 0.6:
+            want[i] = int(d.argmin()), round(float(d.min()), 12)
+    assert got == want and len(want) == 601 and len(first) == 1
+    assert first[0].where("tid IS NULL").count() < 60 and "min(" not in first[0]._jdf.queryExecution().executedPlan().toString()
