@@ -257,3 +257,16 @@ def test_pairs_of_crowded_places_are_no_rows(spark, monkeypatch):
             want[i] = int(d.argmin()), round(float(d.min()), 12)
     assert got == want and len(want) == 601 and len(first) == 1
     assert first[0].where("tid IS NULL").count() < 60 and "min(" not in first[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_feature_histograms_of_many_neighbours(spark, monkeypatch):
+    """All points within the radius count, however many they are, and seeds are dealt to parts."""
+    rng = np.random.default_rng(13)
+    p, n = rng.uniform(0, 0.3, size=(260, 3)), rng.normal(size=(260, 3))
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    monkeypatch.setattr(spatial, "SEEDS", 60)
+    got = np.zeros((260, 33))
+    rows = [(i, *map(float, p[i]), *map(float, n[i])) for i in range(260)]
+    for r in spatial.fpfh(spark.createDataFrame(rows, "pid long, x double, y double, z double, nx double, ny double, nz double"), 0.25).collect():
+        got[r["pid"], r["bin"]] = r["value"]
+    assert np.allclose(got, histograms(p, n, 0.25), atol=1e-9)
