@@ -270,3 +270,38 @@ def test_feature_histograms_of_many_neighbours(spark, monkeypatch):
     for r in spatial.fpfh(spark.createDataFrame(rows, "pid long, x double, y double, z double, nx double, ny double, nz double"), 0.25).collect():
         got[r["pid"], r["bin"]] = r["value"]
     assert np.allclose(got, histograms(p, n, 0.25), atol=1e-9)
+
+
+def test_cliques_hold_no_triangles(spark):
+    """400 matches of one motion among 900: their clique has ten million triangles, none of which is a row."""
+    from lidarloom.sources import scratch
+
+    p, moves = planted(spark, np.random.default_rng(14), cells=1, true=400, false=500)
+    before = len(scratch._MADE)
+    got = transforms.clique_transforms(p, "grid_id", 0.02).first()
+    assert len(got["members"]) >= 400 and np.allclose(np.reshape(got["transformation"], (4, 4)), moves[0], atol=1e-3)
+    assert max(spark.read.parquet(path).count() for _, path in scratch._MADE[before:]) <= 900
+
+
+def test_every_matchs_clique_is_tried(spark):
+    """The heaviest clique is one of pairs that agree among themselves only by a narrow margin; another has matches more that
+    its transform brings home, so that one wins."""
+    rng = np.random.default_rng(15)
+    m = motion(0.4, 1.0, -2.0, 0.5)
+    near = rng.random((30, 3)) * 0.005  # a knot of points: distances agree whatever they are matched with
+    wrong = np.hstack((near, near[rng.permutation(30)] + 5))
+    s = rng.random((70, 3)) * 10
+    t = rigid.move(m, s)
+    t[10:] += rng.choice([-1, 1], (60, 3)) * 0.02  # near the truth, but not compatible with each other
+    rows = [(0, *map(float, v)) for v in (*wrong, *np.hstack((s, t)))]
+    p = scratch_numbered(spark, rows)
+    heavy = matching.cliques(p, 0.1).first()["members"]
+    of = {r["rn"]: np.array([r["sx"], r["sy"], r["sz"]]) for r in p.collect()}
+    assert all(np.abs(of[k]).max() < 0.03 for k in heavy)
+    assert np.abs(rigid.move(matching.best_clique(p, 0.1)[0], s) - rigid.move(m, s)).max() < 0.05
+
+
+def scratch_numbered(spark, rows):
+    from lidarloom.sources import scratch
+
+    return scratch.written(matching.numbered(spark.createDataFrame(rows, PAIRS)))
