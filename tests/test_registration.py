@@ -305,3 +305,15 @@ def scratch_numbered(spark, rows):
     from lidarloom.sources import scratch
 
     return scratch.written(matching.numbered(spark.createDataFrame(rows, PAIRS)))
+
+
+def test_teaser_keeps_its_points(monkeypatch):
+    """TEASER gets the strips in voxels of 0.1, as the original has it: a cell of 5 x 5 keeps thousands of points."""
+    from lidarloom.plans import target_queries
+
+    seen = {}
+    monkeypatch.setattr(target_queries, "chosen", lambda spark, sf_dir: None)
+    monkeypatch.setattr(registration, "register", lambda cells, first, second, method, voxel: seen.update({method: voxel}))
+    for method in registration.METHODS:
+        target_queries.method_query(method)(None, "")
+    assert seen["teaser"] == 0.1 and set(seen) == set(registration.METHODS)
