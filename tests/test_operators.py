@@ -497,3 +497,12 @@ def test_a_runs_tables_are_written_once(spark, monkeypatch):
     assert [r[1] for r in log.rows] == ["load", "assign", "select", "extract", "register", "match"]
     assert len(whole) == 3 and not any(f.exists() for f in whole[0] + whole[1]) and all(f.exists() for f in whole[2])
     assert chosen.count() == log.rows[3][2] and results.count() == log.rows[4][2]
+
+
+def test_pairs_of_regions_are_dealt(spark):
+    """Adaptive execution would put the regions into one partition, and all of their pairs into one task."""
+    from lidarloom.plans import catalog
+
+    pairs = catalog.queries()["jn_pairwise_self"](spark, "/root/testdata/sf0.01")
+    tasks = [r["n"] for r in pairs.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    assert sum(tasks) == pairs.select("first").distinct().count() ** 2 and len(tasks) >= 8 and max(tasks) < sum(tasks) / 4
